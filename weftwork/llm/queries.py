@@ -11,6 +11,8 @@ from .bpe import round_trip
 from .media import media_digests
 from .mixing import mix_sources
 from .neardup import near_duplicates
+from .pii import find_personal_data
+from .quality import judge_quality
 from .url_filter import default_rules, judge_urls
 from .warc import archive_round_trip
 
@@ -37,6 +39,14 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), default_rules(spark))
 
@@ -47,6 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_media": op4_media,
     "op6_warc": op6_warc,
+    "op7_quality": op7_quality,
+    "op9_pii": op9_pii,
     "op10_url_filters": op10_url_filters,
 }
 
