@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
 from .bpe import round_trip
+from .html_extract import extract_text
 from .media import media_digests
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .pii import find_personal_data
 from .quality import judge_quality
+from .substring import SENTENCE, remove_repeated_passages
 from .url_filter import default_rules, judge_urls
 from .warc import archive_round_trip
 
@@ -35,6 +37,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -43,6 +49,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -56,8 +66,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_mixing": op3_mixing,
     "op4_media": op4_media,
+    "op5_html": op5_html,
     "op6_warc": op6_warc,
     "op7_quality": op7_quality,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_pii": op9_pii,
     "op10_url_filters": op10_url_filters,
 }
@@ -96,5 +108,23 @@ r(rule, action, h, q) AS (VALUES ('org/', 'allow', 'org', '/'), ('example.org/es
 m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action FROM p JOIN r
   ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY 1)
 SELECT p.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)
+""",
+    "op8_substring_dedup": rf"""
+WITH cut AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SENTENCE}') AS parts FROM documents),
+one AS (SELECT doc_id, unnest(parts) AS part, unnest(range(0, len(parts))) AS place FROM cut),
+said AS (SELECT *, regexp_replace(part, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS s,
+  len(regexp_extract_all(part, '[^\x20\x09-\x0D]+')) AS n FROM one WHERE part <> ''),
+ahead AS (SELECT *, lead(s, 1) OVER w AS s1, lead(s, 2) OVER w AS s2, lead(n, 1) OVER w AS n1, lead(n, 2) OVER w AS n2
+  FROM said WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+runs AS (
+  SELECT doc_id, place, 1 AS k, [s] AS r FROM ahead WHERE n >= 50
+  UNION ALL SELECT doc_id, place, 2, [s, s1] FROM ahead WHERE s1 IS NOT NULL AND n + n1 >= 50
+  UNION ALL SELECT doc_id, place, 3, [s, s1, s2] FROM ahead WHERE s2 IS NOT NULL AND n + n1 + n2 >= 12),
+later AS (SELECT doc_id, place, k FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY doc_id, place) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(place, place + k)) AS place FROM later),
+kept AS (SELECT said.*, gone.place IS NOT NULL AS removed FROM said LEFT JOIN gone ON gone.doc_id = said.doc_id AND gone.place = said.place)
+SELECT d.doc_id, count(k.doc_id)::BIGINT AS n_sentences, coalesce(sum(k.removed::INT), 0)::BIGINT AS n_removed,
+  coalesce(string_agg(k.part, '' ORDER BY k.place) FILTER (WHERE NOT k.removed), '') AS text
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id GROUP BY d.doc_id
 """,
 }

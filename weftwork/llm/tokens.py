@@ -17,6 +17,7 @@ CHUNK_BYTES = 1_500_000
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
+_BYTE2 = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
 _MULT = U(0x9E3779B97F4A7C15)
 _POS = _rng.integers(1, 2**63, 8, dtype=np.uint64) | U(1)
 _SPACE = np.zeros(256, bool)
@@ -46,15 +47,16 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
-def run_hashes(data: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    """Hash of each run that begins at starts[i] and reaches to the next start; bytes not `inside` don't count."""
+def run_hashes(data: np.ndarray, starts: np.ndarray, inside: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
+    """Hash of each run that begins at starts[i] and reaches to the next start; bytes not `inside` don't count. Another
+    `table` of values for the bytes gives an independent hash."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     begin = np.zeros(len(data), np.int64)
     begin[starts] = starts
     place = np.arange(len(data)) - np.maximum.accumulate(begin)
     place[: starts[0]] = 0
-    terms = _BYTE[data] * powers(int(place.max()) + 1)[place]
+    terms = table[data] * powers(int(place.max()) + 1)[place]
     terms[~inside] = U(0)
     return mix(np.add.reduceat(terms, starts))
 
