@@ -1,8 +1,8 @@
 """Near-duplicate groups by SuperMinHash signatures, banding, verification on full sets and union-find.
 
 Steps: (1) signature, set size and a 128-bit fingerprint of each text's shingle set; (2) equal sets collapse to the
-smallest id; (3) the signature's bands are bucket keys; only representatives that share a bucket stay; (4) a text whose
-share of shingles that occur in another such text is below the threshold can't be linked and leaves, which is exact;
+smallest id; (3) the signature's bands are bucket keys; only representatives that share a bucket stay; (4) shingles that
+no other such text has bound every intersection, so texts and pairs that can't reach the threshold leave, which is exact;
 (5) in rounds, the members of each bucket are verified against a pivot, linked ones are joined by union-find, and buckets
 whose members all carry one label are done; (6) the pairs with different labels that then remain in a bucket are verified
 one by one. No step gathers a bucket in one task, and none drops a pair that shares a bucket.
@@ -122,9 +122,10 @@ def _sets(size: int):
     return run
 
 
-def _fits(n1: str, n2: str, percent: int) -> Column:
-    """Sizes alone allow the threshold."""
-    return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
+def _fits(percent: int) -> Column:
+    """Sizes and shared items alone allow the threshold: i * 100 >= (n + nb - i) * percent for the largest i possible."""
+    most = F.least("n", "nb", "s", "sb")
+    return most * (100 + percent) >= (F.col("n") + F.col("nb")) * percent
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -155,9 +156,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = members.select("id").distinct()
     sets = materialize(texts.join(wanted, "id", "left_semi").mapInArrow(_sets(size), "id long, items array<long>").dropDuplicates(["id"]), "items")
     alone = sets.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
-    n = F.col("n")
-    lonely = members.select("id", "n").distinct().join(alone, "id").where((n - F.col("alone")) * 100 < n * percent).select("id")
-    members = materialize(in_shared_buckets(members.join(lonely, "id", "left_anti")), "buckets")
+    # s: how many of a set's items some other candidate has, so that no intersection is larger.
+    members = members.join(alone, "id", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    members = materialize(in_shared_buckets(members.where(F.col("s") * 100 >= F.col("n") * percent)), "buckets")
 
     edges: DataFrame | None = None
     labels: DataFrame | None = None
@@ -177,12 +178,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if turn < pivot_rounds:
             # The first pivot is the bucket's smallest id; later ones lead salted parts of it, so that they vary.
             salted = live.withColumn("part", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 if turn == 0 else 8 ** (turn % 3))))
-            pivots = salted.groupBy("bucket", "part").agg(F.min(F.struct("id", "n", "label")).alias("p")).select("bucket", "part", F.col("p.id").alias("b"), F.col("p.n").alias("nb"), F.col("p.label").alias("lb"))
+            pivots = salted.groupBy("bucket", "part").agg(F.min(F.struct("id", "n", "s", "label")).alias("p")).select("bucket", "part", F.col("p.id").alias("b"), F.col("p.n").alias("nb"), F.col("p.s").alias("sb"), F.col("p.label").alias("lb"))
             near = salted.join(pivots, ["bucket", "part"]).where((F.col("label") != F.col("lb")) & (F.col("id") != F.col("b")))
         else:  # what pivots have not joined: every pair of different labels, each pair once
-            other = live.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+            other = live.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("label").alias("lb"))
             near = live.join(other, "bucket").where((F.col("label") != F.col("lb")) & (F.col("id") > F.col("b")))
-        pairs = near.where(_fits("n", "nb", percent)).select(F.col("id").alias("a"), "b").distinct()
+        pairs = near.where(_fits(percent)).select(F.col("id").alias("a"), "b").distinct()
         found = materialize(verify(pairs, sets, percent), "links")
         edges = found if edges is None else edges.union(found)
         labels = connected_components(edges)
