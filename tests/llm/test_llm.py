@@ -1,0 +1,332 @@
+"""The ten operators against brute force, on small tables with nulls, repeats, long texts and clashing columns."""
+
+import base64
+import collections
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from weftwork.llm import bpe, components, html_extract, media, mixing, neardup, pii, quality, queries, substring, url_filter, warc
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def corpus():
+    rng = random.Random(5)
+    vocabulary = [f"wo{i}" for i in range(300)] + ["Straße", "ёж", "Ünï"]
+    texts = [" ".join(rng.choices(vocabulary, k=n)) for n in (3, 60, 80, 200, 5, 1)]
+    long = " ".join(rng.choices(vocabulary, k=20000))
+    near = texts[2].split()
+    near[70] = "changed"
+    rows = [*texts, texts[2], " ".join(near), texts[2].upper(), long, "", None, " \n\t ", "one two three four", "ONE two three  four", "same " * 200]
+    return [(i, t, f"s{i % 3}" if i % 5 else None, 7, "x") for i, t in enumerate(rows)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    # n, id and copies clash with names that operators use.
+    return spark.createDataFrame(corpus(), "doc_id long, text string, source string, n int, kept string").withColumn("id", F.lit("clash")).withColumn("copies", F.lit("clash")).repartition(3)
+
+
+def empty(docs):
+    return docs.where("doc_id < 0")
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(name, compare):
+    compare(queries.QUERIES[name], queries.ORACLES[name])
+
+
+def sets(text):
+    w = [x.encode().lower() for x in re.findall(WORD, text or "")]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_duplicates_equal_brute_force(spark, docs):
+    s = {r[0]: sets(r[1]) for r in corpus()}
+    up = components.UnionFind()
+    for a in s:
+        for b in s:
+            if a < b and s[a] and s[b] and 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b]):
+                up.union(a, b)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect()}
+    assert got == {i: (len(s[i]), up.root(i), up.root(i) == i) for i in s}
+    assert neardup.near_duplicates(empty(docs)).count() == 0
+    left = neardup.drop_near_duplicates(docs)
+    assert left.columns == docs.columns and left.count() == sum(k for _, _, k in got.values())
+
+
+def test_near_duplicates_chain_of_edits(spark):
+    """A hot bucket whose ends are linked only through its middle."""
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(60):
+        texts.append((i, " ".join(words)))
+        words[rng.randrange(150)] = f"new{i}"
+    s = {i: sets(t) for i, t in texts}
+    up = components.UnionFind()
+    for a in s:
+        for b in s:
+            if a < b and 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b]):
+                up.union(a, b)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {i: up.root(i) for i in s}
+
+
+def test_super_minhash_estimates_similarity():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 2**63, 1000, dtype=np.uint64)
+    b = np.concatenate([a[:800], rng.integers(0, 2**63, 200, dtype=np.uint64)])
+    sig = neardup.super_minhash(np.concatenate([a, b]), np.repeat([0, 1], 1000), 2, 512)
+    assert abs((sig[0] == sig[1]).mean() - 800 / 1200) < 0.08
+    one = neardup.super_minhash(a[:1], np.zeros(1, int), 1, 16)
+    assert sorted((one[0] >> np.uint64(32)).tolist()) == list(range(16))
+
+
+def test_components(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (3, 3), (3, 1), (None, 4)], "a long, b long")
+    got = {r.node: r.component for r in components.connected_components(e).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long")
+    assert {r.component for r in components.connected_components(chain, most_nodes=10).collect()} == {0}
+
+
+def test_bpe_equals_tiktoken(spark, docs):
+    import public_tokenizers
+    import tiktoken
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    more = spark.createDataFrame([(100, "a\u00a0b \x00\x1c\u2581 <|endoftext|> don't  12345\r\n\n x"), (101, "a" * 3000), (102, "日本語🙂\ufffd")], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").union(more)
+    texts = dict(map(tuple, rows.collect()))
+    encoded = bpe.encode_documents(rows)
+    assert {r.doc_id: r.ids for r in encoded.collect()} == {i: enc.encode_ordinary(t or "") for i, t in texts.items()}
+    assert {r.doc_id: bytes(r.decoded) for r in bpe.decode_documents(encoded).collect()} == {i: (t or "").encode() for i, t in texts.items()}
+    for r in bpe.round_trip(rows).collect():
+        ids = enc.encode_ordinary(texts[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
+    assert bpe.round_trip(empty(docs)).count() == 0
+    with pytest.raises(ValueError):
+        bpe.serialize_model({b"a": 0, b"b": 2})
+
+
+def test_mixing_equals_brute_force(spark, docs):
+    import xxhash
+
+    rows = [(r[0], r[2], len(re.findall(WORD, r[1] or ""))) for r in corpus()]
+    names = sorted({s for _, s, _ in rows if s is not None}) + [None]
+    size = {s: sum(n for _, x, n in rows if x == s) for s in names}
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    total = 1.5 * sum(size.values())
+    lo, hi = 0.0, 1e9
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(2 * size[s], mid * weight[s]) for s in names) < total else (lo, mid)
+    h = lambda i: (lambda x: x - 2**64 if x >= 2**63 else x)(xxhash.xxh64_intdigest(int.to_bytes(mixing.SEED & 0xFFFFFFFF, 4, "little"), seed=xxhash.xxh64_intdigest(int.to_bytes(i, 8, "little"), seed=42)))
+    queue = []
+    for s in names:
+        upto = 0
+        own = sorted((h(i), i, n) for i, x, n in rows if x == s)
+        for turn in range(2):
+            for k, i, n in own:
+                upto += n
+                queue.append((upto / weight[s], k, i, turn, n))
+    taken, sum_ = collections.Counter(), 0
+    for _, _, i, _, n in sorted(queue):
+        sum_ += n
+        if sum_ > total:
+            break
+        taken[i] += n
+    got = {r.doc_id: r for r in mixing.mix_sources(docs).collect()}
+    for i, s, n in rows:
+        assert (got[i]["size"], got[i].source_size) == (n, size[s])
+        assert got[i].target == pytest.approx(min(2 * size[s], lo * weight[s]))
+        assert got[i].taken == taken[i], i
+    assert mixing.mix_sources(empty(docs)).count() == 0
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got.values())
+
+
+def test_mixing_is_native(spark, docs):
+    plan = mixing.mix_sources(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_media_round_trip(docs):
+    texts = {r[0]: (r[1] or "").encode() for r in corpus()}
+    full = {r.doc_id: r for r in media.to_media(docs).collect()}
+    for i, raw in texts.items():
+        payload = media.read_wav(bytes(full[i].media))
+        assert payload.rstrip(b"\0") == raw.rstrip(b"\0") and len(payload) % 64 == 0 and len(payload) >= 64 and full[i].n_bytes == len(raw)
+        assert len(full[i].times) == len(full[i].codes) and list(full[i].times) == sorted(full[i].times)
+    got = {r.doc_id: r for r in media.media_digests(docs).collect()}
+    assert got[2].feature == got[6].feature and got[2].feature != got[7].feature
+    assert got[10].payload_bytes == 64 and got[10].feature.startswith("0:") and got[11] == got[10].__class__(*got[10]) or got[11].media_sha256 == got[10].media_sha256
+    assert media.media_digests(empty(docs)).count() == 0
+
+
+def test_spectrum_finds_a_tone():
+    import numpy as np
+
+    tone = (128 + 100 * np.sin(2 * np.pi * 20 * np.arange(4096) / 256)).astype(np.uint8)
+    assert media.spectrum(tone)[3].argmax() == 20
+
+
+PAGE = "<html><head><title>t</title></head><body><header>Top</header><nav><a href=x>m</a></nav><div class='cookie-notice'>ok</div><article><h1>Head {i}</h1><p>One &amp; <b>two</b>\n three<br>four<p>Five {i}</p><form>f</form></article><div id=comments><p>troll</p></div><footer>c</footer></body></html>"
+BARE = "<html><body><div class=menu><a href=a>a</a></div><div class=x><p>Body text number {i} is here and long.</p><p>More of it {i}.</p></div><div class=sidebar>side</div></body>"
+
+
+def test_html_text(spark):
+    rows = [(i, f"http://a.org/{i}", PAGE.format(i=i)) for i in range(4)] + [(i, f"http://b.org/{i}", BARE.format(i=i)) for i in range(4, 8)]
+    rows += [(8, None, None), (9, "http://c.org", ""), (10, "http://a.org/x", PAGE.format(i=10)[:-90]), (11, "http://d.org", "plain <b>only"), (0, "http://a.org/0", PAGE.format(i=0))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("text", F.lit("clash"))
+    got = collections.defaultdict(list)
+    for r in html_extract.extract_text(pages).collect():
+        got[r.page_id].append(r.text)
+        assert r.n_chars == len(r.text)
+    for i in (*range(4), 10):
+        assert set(got[i]) == {f"Head {i}\nOne & two three four\nFive {i}"}
+    assert len(got[0]) == 2
+    for i in range(4, 8):
+        assert got[i] == [f"Body text number {i} is here and long.\nMore of it {i}."]
+    assert got[8] == [""] and got[9] == [""] and len(got) == 12
+    assert html_extract.extract_text(pages.where("page_id < 0")).count() == 0
+
+
+def test_wrapper_is_union_free():
+    trees = [html_extract.page_tree(PAGE.format(i=i)) for i in range(3)]
+    w = html_extract.align(html_extract.align(trees[0], trees[1]), trees[2])
+    assert "(<p>#</>)+" in w.expression() or "(<p>T</>)+" in w.expression() or "<p>" in w.expression()
+    assert "|" not in w.expression()
+    again = html_extract.Node.load(w.dump())
+    assert again.expression() == w.expression()
+
+
+def test_warc_round_trip_and_salvage(spark):
+    rows = [(1, "http://a/\nb", "x"), (2, None, "x"), (3, "http://c", None), (4, "http://d", ""), (5, "u", "\u00e9" * 5000), (6, "u", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    got = {r.page_id: r for r in warc.archive_round_trip(pages).collect()}
+    sha = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    for i, _, h in rows:
+        raw = (h or "").encode()
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(raw), sha(raw))
+    assert {i: r.refers_to for i, r in got.items()} == {1: None, 2: 1, 3: None, 4: 3, 5: None, 6: 1}
+    assert warc.archive_round_trip(pages.where("page_id < 0")).count() == 0
+    records = [warc.format_record({"WARC-Type": "response", "X": i, "WARC-Block-Digest": f"sha1:{sha(b'p%d' % i)}"}, b"p%d" % i) for i in range(5)]
+    for pack in (warc.gzip_member, bytes):
+        parts = [pack(r) for r in records]
+        hurt = bytearray(b"".join(parts))
+        at = len(parts[0]) + len(parts[1]) // 2
+        hurt[at : at + 6] = b"\xff" * 6
+        out = list(warc.salvage(b"noise" + bytes(hurt) + parts[0][:20]))
+        assert [r.headers["x"] for r in out if isinstance(r, warc.Record)] == ["0", "2", "3", "4"]
+        gaps = [g for g in out if isinstance(g, warc.Gap)]
+        assert [g.length for g in gaps] == [5, len(parts[1]), 20] and gaps[0].offset == 0
+
+
+def brute_quality(t):
+    w = re.findall(WORD, t or "")
+    runs = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+    cover = {k + j for k in range(len(w) - 2) if runs[tuple(w[k : k + 3])] > 1 for j in range(3)}
+    seen, dup = set(), 0
+    for line in (t or "").split("\n"):
+        if re.search(WORD, line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, len(cover)
+
+
+def test_quality_rules_and_held_out_accuracy(spark, docs):
+    extra = spark.createDataFrame([(50, "a b c\na b c\n\n\na b c \na b c"), (51, "#*$ | é\n" * 3)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").union(extra)
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    for r in quality.judge_quality(rows, none).collect():
+        t = dict(map(tuple, rows.collect()))[r.doc_id]
+        n = brute_quality(t)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == n
+        assert r.base_failed == (n[0] < 50 or 100 * n[4] > 50 * n[0]) and r.kept == (not r.base_failed)
+    path = "/root/testdata/sf0.1"
+    d, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    known, unseen = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    got = quality.judge_quality(d, known).join(unseen, "doc_id").where("not base_failed").select("quality", "kept").collect()
+    good, low = [r.kept for r in got if r.quality], [r.kept for r in got if not r.quality]
+    assert sum(good) / len(good) > 0.98 and 1 - sum(low) / len(low) > 0.9
+    assert quality.keep_good(docs, none).columns == docs.columns
+
+
+def test_substring_brute_force(spark):
+    passage = "First long sentence of the shared passage goes on here. Then a second one follows it at once! And a third closes it?"
+    rows = [(1, f"Own start here. {passage} Own end one."), (2, f"Other start.\n{passage}\nOther end two."), (3, "Short. Dull. Tiny. Short. Dull. Tiny."), (4, None), (5, ""), (6, passage), (7, passage + " " + passage), (8, "w " * 60 + "."), (9, "w " * 60 + "."), (None, passage)]
+    got = {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in substring.remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (5, 0, rows[0][1])
+    assert got[2] == (5, 3, "Other start.\nOther end two.")
+    assert got[3][1] == 0 and got[4] == (0, 0, "") and got[5] == (0, 0, "")
+    assert got[6] == (3, 3, "") and got[7][2] == "" and got[8][1] == 0 and got[9] == (1, 1, "") and got[None][2] == passage
+
+
+def brute_pii(t):
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    out = []
+    for k, p in kinds.items():
+        for m in re.finditer(p, t):
+            d = re.sub("[^0-9]", "", m[0])
+            if {"email": True, "ip": k == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 13 <= len(d) <= 19 and pii.luhn(d), "phone": 9 <= len(d) <= 15}[k]:
+                out.append(f"{k}:{m.start()}:{m.end()}")
+    return out
+
+
+def test_pii_base_equals_regex_on_random_strings(docs):
+    rng = random.Random(7)
+    f = pii.Finder()
+    for _ in range(4000):
+        t = "".join(rng.choices(["1", "4", "25", "0", ".", "@", "a", "é", "-", " ", "+", "(", ")", "_", "4111111111111111", "1.2.3.4"], k=rng.randrange(30)))
+        s = f.spans(t)
+        assert pii.listed(s, pii.BASE).split(",") == (brute_pii(t) or [""]), t
+    assert pii.find_personal_data(empty(docs)).count() == 0
+
+
+def test_pii_added_kinds_and_redaction(spark):
+    rows = [(1, 'mail a.b@c.org, iban DE89 3704 0044 0532 0130 00. token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'), (2, "SSN: 123-45-6789 see ftp://joe:pw1@host/x"), (3, "plain words, 12 apples and token rings"), (4, None)]
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {x.split(":")[0] for x in got[1].split(",")} == {"email", "iban", "secret"}
+    assert {x.split(":")[0] for x in got[2].split(",")} >= {"id", "login"} and got[3] == "" and got[4] == ""
+    clean = {r.doc_id: (r.text, r.n_chars) for r in pii.redact_personal_data(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_chars long")).collect()}
+    assert clean[1][0].startswith("mail [EMAIL], iban [IBAN]. token = \"[SECRET]\"") and clean[1][1] == len(clean[1][0]) and clean[4] == (None, None)
+
+
+def test_url_rules_and_cascade(spark):
+    urls = ["http://Example.ORG/en/12?x", "https://a.example.org/es/1", "http://org/", "http://x.org", "http://b.com/de/#t", "http://comx/de/", "no scheme", None, "http://", "x://a.com/fr/ü://b", "http://a.b.com/FR/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit("clash"))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages, url_filter.default_rules(spark)).collect()}
+    assert got[0] == ("example.org", "/en/12", "example.org/en/1", "block") and got[1][2:] == ("example.org/es/", "block")
+    assert got[2][2:] == ("org/", "allow") and got[3] == ("x.org", "", None, "allow") and got[4] == ("b.com", "/de/", "com/de/", "block")
+    assert got[5][2] is None and got[6] == got[7] == ("", "", None, "allow") and got[9][:3] == ("a.com", "/fr/ü://b", "com/fr/") and got[10][2] is None
+    listed = spark.range(0, 3000, 7).select(F.col("id").cast("string").alias("key"))
+    universe = spark.range(3000).select(F.col("id").cast("string").alias("key"))
+    cascade = url_filter.build_cascade(listed, universe)
+    wrong = universe.where(cascade.listed(F.col("key")) != (F.col("key").cast("long") % 7 == 0))
+    assert len(cascade.levels) > 1 and wrong.count() == 0
+    with pytest.raises(ValueError):
+        url_filter.build_cascade(listed, universe, most_bytes=10)
+    assert url_filter.by_join(universe, listed).count() == listed.count()
+
+
+def test_pipeline(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    good = {r.doc_id for r in quality.judge_quality(docs, labels).where("kept").collect()}
+    unique = {r.doc_id for r in neardup.near_duplicates(docs.where(F.col("doc_id").isin(list(good)))).where("kept").collect()}
+    rest = pii.redact_personal_data(docs.where(F.col("doc_id").isin(list(unique))))
+    copies = {r.doc_id: r.copies for r in mixing.mix_sources(rest).collect() if r.copies}
+    got = collections.Counter(r.doc_id for r in pipeline.run(spark, d).collect())
+    assert got == copies

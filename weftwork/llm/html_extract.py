@@ -47,7 +47,7 @@ HINTS = {
 _HINT = {w: k for k, words in HINTS.items() for w in words}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|template|xmp)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)|</?\Z|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)

@@ -126,7 +126,7 @@ class Model(NamedTuple):
         """Calibrated probability of low quality of each text of a chunk."""
         doc, column, value = features(c)
         z = np.bincount(doc, self.weights[column] * value, minlength=len(c.rows)) + self.bias
-        return 1 / (1 + np.exp(-(self.slope * z + self.shift)))
+        return _sigmoid(self.slope * z + self.shift)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
