@@ -24,11 +24,18 @@ class Rule(NamedTuple):
 
 
 def compile_pattern(pattern: str, flags: str = "m") -> str:
-    """Python syntax to Java: our two groups come first, so back-references shift by two; named groups lose the P."""
+    """Python syntax to Java: our two groups come first, so back-references shift by two; named groups lose the P. The
+    end of the text is an empty last match, so that a text's rest is read once and not from each of its places."""
     body = re.sub(r"\(\?P<", "(?<", pattern)
     body = re.sub(r"\\([1-9])(?!\d)", lambda m: f"\\{int(m[1]) + 2}", body)
     on = "".join(f for f in flags if f in "ms") + ("iu" if "i" in flags else "")
-    return f"(?Uds)(.*?)((?{on}{'' if 's' in flags else '-s'}:{body}))"
+    return f"(?Uds)(.*?)((?{on}{'' if 's' in flags else '-s'}:{body})|\\z)"
+
+
+def test_pattern(pattern: str, flags: str = "m") -> str:
+    """The pattern alone, for a test whether it occurs."""
+    body = re.sub(r"\(\?P<", "(?<", pattern)
+    return f"(?Ud{''.join(f for f in flags if f in 'ms')}{'iu' if 'i' in flags else ''}){body}"
 
 
 def find_all(df: DataFrame, id_col: str, text_col: str, pattern: str, flags: str = "m") -> DataFrame:
@@ -54,7 +61,7 @@ def detect(df: DataFrame, id_col: str, text_col: str, rules: Sequence[Rule], sev
             re.compile(r.pattern)
         except re.error:
             continue
-        hits = find_all(df.where(F.col(text_col).rlike(compile_pattern(r.pattern, r.flags))), id_col, text_col, r.pattern, r.flags)
+        hits = find_all(df.where(F.col(text_col).rlike(test_pattern(r.pattern, r.flags))), id_col, text_col, r.pattern, r.flags)
         part = hits.select(id_col, F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"), "line", F.substring("match", 1, 100).alias("match"))
         out = part if out is None else out.unionByName(part)
     if out is None:

@@ -5,6 +5,7 @@ Ties are broken by an id, so that results are deterministic. Query vectors and t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -115,18 +116,17 @@ def field_score(title: Column, ident: Column, tags: Column, fields: Sequence[Col
 def bm25(df: DataFrame, id_col: str, text_col: str, terms: Sequence[str], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Ranking by Okapi BM25 over lower-cased words (an extension); corpus counts come from one aggregation."""
     words = df.select(id_col, F.split(F.lower(text_col), r"[^\p{L}\p{N}]+").alias("w")).withColumn("n", F.size("w"))
-    tf = [F.size(F.filter("w", lambda x, t=t: x == F.lit(t.lower()))).alias(f"tf{i}") for i, t in enumerate(terms)]
+
+    def count(term: str) -> Column:
+        return F.size(F.filter("w", lambda x: x == F.lit(term.lower())))
+
+    tf = [count(t).alias(f"tf{i}") for i, t in enumerate(terms)]
     counted = words.select(id_col, "n", *tf)
     stats = counted.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     for i in range(len(terms)):
-        idf = F.lit(float(_log1p((stats["docs"] - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5))))
+        idf = F.lit(float(math.log1p((stats["docs"] - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5))))
         t = F.col(f"tf{i}")
         score = score + idf * t * (k1 + 1) / (t + k1 * (1 - b + b * F.col("n") / F.lit(stats["mean"] or 1.0)))
     return top_k(counted.select(id_col, F.round(score, DIGITS).alias("score")).where("score > 0"), "score", k, id_col)
 
-
-def _log1p(x: float) -> float:
-    import math
-
-    return math.log1p(x)

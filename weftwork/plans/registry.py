@@ -92,7 +92,7 @@ def similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: true) AS w FROM documents),
 c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'worthless')) AS a, len(list_filter(w, lambda x: x = 'the')) AS b FROM w),
-s AS (SELECT count(*) AS docs, avg(n) AS mean, count_if(a > 0) AS da, count_if(b > 0) AS db FROM c)
+s AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM c)
 SELECT doc_id, round(ln(1 + (docs - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean))
   + ln(1 + (docs - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score
 FROM c, s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10
@@ -113,23 +113,23 @@ def _tags(c: Column) -> Column:
 
 
 @query("""
-SELECT p_partkey, round(contains(lower(p_name), 'steel')::INT * 1.0 + contains(lower(p_brand), 'steel')::INT * 0.8
-  + 0.5 * len(list_filter(string_split(p_type, ' '), lambda t: contains(lower(t), 'steel'))) + 0.3 * contains(lower(p_type), 'steel')::INT, 6)::DOUBLE AS score
+SELECT p_partkey, round(contains(lower(p_name), 'ring')::INT * 1.0 + contains(lower(p_brand), 'ring')::INT * 0.8
+  + 0.5 * len(list_filter(string_split(p_type, ' '), lambda t: contains(lower(t), 'ring'))) + 0.3 * contains(lower(p_type), 'ring')::INT, 6)::DOUBLE AS score
 FROM part WHERE score > 0 ORDER BY score DESC, p_partkey LIMIT 20
 """)
 def kb_search_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = se.field_score(F.col("p_name"), F.col("p_brand"), _tags(F.col("p_type")), [F.col("p_type")], F.lit(""), F.lit(""), "steel")
+    score = se.field_score(F.col("p_name"), F.col("p_brand"), _tags(F.col("p_type")), [F.col("p_type")], F.lit(""), F.lit(""), "ring")
     return se.top_k(table(spark, sf_dir, "part").select("p_partkey", score.alias("score")).where("score > 0"), "score", 20, "p_partkey")
 
 
-@query("SELECT p_partkey, p_brand FROM part WHERE list_contains(string_split(p_type, ' '), 'STEEL') AND p_size > 10")
+@query("SELECT p_partkey, p_brand FROM part WHERE list_contains(string_split(p_type, ' '), 'ECONOMY') AND p_size > 10")
 def kb_list_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where(F.array_contains(_tags(F.col("p_type")), "STEEL") & (F.col("p_size") > 10)).select("p_partkey", "p_brand")
+    return table(spark, sf_dir, "part").where(F.array_contains(_tags(F.col("p_type")), "ECONOMY") & (F.col("p_size") > 10)).select("p_partkey", "p_brand")
 
 
 @query("""
-SELECT count(*) AS total, count_if(o_orderstatus = 'F') AS n_f, count_if(o_orderstatus = 'O') AS n_o, count_if(o_orderstatus = 'P') AS n_p,
-  count_if(o_orderpriority LIKE '1%') AS n_urgent, count_if(o_orderpriority LIKE '2%') AS n_high, count_if(o_totalprice > 200000) AS n_large FROM orders
+SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_f, count(*) FILTER (WHERE o_orderstatus = 'O') AS n_o, count(*) FILTER (WHERE o_orderstatus = 'P') AS n_p,
+  count(*) FILTER (WHERE o_orderpriority LIKE '1%') AS n_urgent, count(*) FILTER (WHERE o_orderpriority LIKE '2%') AS n_high, count(*) FILTER (WHERE o_totalprice > 200000) AS n_large FROM orders
 """)
 def kb_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = [F.count_if(F.col("o_orderstatus") == s).alias(f"n_{s.lower()}") for s in "FOP"]
@@ -170,7 +170,7 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ru.secret_scan(table(spark, sf_dir, "documents"), "doc_id", "text", SECRETS)
 
 
-_GATE = "count_if(severity = 'critical') AS n_critical, count_if(severity = 'warning') AS n_warning, count_if(severity = 'info') AS n_info, count_if(severity = 'critical') = 0 AS passed, count_if(severity IN ('critical', 'warning')) AS n_failed"
+_GATE = "count(*) FILTER (WHERE severity = 'critical') AS n_critical, count(*) FILTER (WHERE severity = 'warning') AS n_warning, count(*) FILTER (WHERE severity = 'info') AS n_info, count(*) FILTER (WHERE severity = 'critical') = 0 AS passed, count(*) FILTER (WHERE severity IN ('critical', 'warning')) AS n_failed"
 
 
 @query(f"""
