@@ -9,6 +9,7 @@ vocabulary entry is that entry. Nothing is trained.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -19,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHIFT = 0x100
-CACHE_ENTRIES = 200_000
+GAP = "\u0e3f"
+CACHE_ENTRIES = 800_000
 _to_chars = {b: SHIFT + b for b in range(256)}
 _loaded: dict[bytes, Codec] = {}
 
@@ -87,14 +89,37 @@ class Codec:
             if len(known) + len(new) > CACHE_ENTRIES:
                 known.clear()
                 new = list(set(parts))
-            raw = [p.encode() for p in new]
-            found = self.pieces.encode([r.decode("latin-1").translate(_to_chars) for r in raw])
-            ids = self.ids
-            for p, r, f in zip(new, raw, found, strict=True):
-                one = self.whole.get(r)
-                known[p] = (ids[one],) if one is not None else tuple(map(ids.__getitem__, f))
+            self.learn(new)
         return list(chain.from_iterable(map(known.__getitem__, parts)))
 
+    def learn(self, parts: list[str], most: int = 20_000) -> None:
+        """Encode pre-tokens into the cache. Many go in one call, apart by a character that is in no piece: nothing can
+        merge across it, and it comes back as the unknown id."""
+        ids, known, unknown = self.ids, self.cache, len(self.ids)
+        some: list[str] = []
+        size = 0
+
+        def flush() -> None:
+            found = self.pieces.encode("".join(p.encode().decode("latin-1").translate(_to_chars) + GAP for p in some), num_threads=1)
+            at = 0
+            for p in some:
+                end = found.index(unknown, at)
+                known[p] = tuple(map(ids.__getitem__, found[at:end]))
+                at = end + 1
+
+        for p in parts:
+            one = self.whole.get(p.encode())
+            if one is not None:
+                known[p] = (ids[one],)
+                continue
+            some.append(p)
+            size += len(p)
+            if size >= most:
+                flush()
+                some, size = [], 0
+        if some:
+            flush()
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
@@ -104,6 +129,7 @@ def codec(model: bytes, pattern: str) -> Codec:
     key = hashlib.sha256(model + pattern.encode()).digest()
     if key not in _loaded:
         _loaded.clear()
+        gc.disable()  # the cache is many small tuples without cycles; looking through them again and again is most of the time
         _loaded[key] = Codec(model, pattern)
     return _loaded[key]
 
