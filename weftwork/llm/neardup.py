@@ -180,9 +180,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             salted = live.withColumn("part", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 if turn == 0 else 8 ** (turn % 3))))
             pivots = salted.groupBy("bucket", "part").agg(F.min(F.struct("id", "n", "s", "label")).alias("p")).select("bucket", "part", F.col("p.id").alias("b"), F.col("p.n").alias("nb"), F.col("p.s").alias("sb"), F.col("p.label").alias("lb"))
             near = salted.join(pivots, ["bucket", "part"]).where((F.col("label") != F.col("lb")) & (F.col("id") != F.col("b")))
-        else:  # what pivots have not joined: every pair of different labels, each pair once
-            other = live.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("label").alias("lb"))
-            near = live.join(other, "bucket").where((F.col("label") != F.col("lb")) & (F.col("id") > F.col("b")))
+        else:  # what pivots have not joined: every pair of different labels, in the first bucket that both are in
+            own = live.groupBy("id").agg(F.collect_set("bucket").alias("own"))  # at most one bucket a band
+            live = live.join(own, "id")
+            other = live.select("bucket", F.col("own").alias("ob"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("label").alias("lb"))
+            near = live.join(other, "bucket").where((F.col("label") != F.col("lb")) & (F.col("id") > F.col("b")) & _fits(percent) & (F.array_min(F.array_intersect("own", "ob")) == F.col("bucket")))
         pairs = near.where(_fits(percent)).select(F.col("id").alias("a"), "b").distinct()
         found = materialize(verify(pairs, sets, percent), "links")
         edges = found if edges is None else edges.union(found)
