@@ -1,7 +1,7 @@
 """Vectorised words, hashes and shingles over the bytes of an Arrow string column.
 
 Words are runs of bytes other than 0x20 and 0x09-0x0D; UTF-8 never uses these bytes inside a longer character, so bytes
-and code points give the same words. Everything works on whole texts, a few megabytes of them at a time.
+and code points give the same words. Everything works on whole texts, half a megabyte of them at a time.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-CHUNK_BYTES = 1_500_000
+CHUNK_BYTES = 500_000
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
