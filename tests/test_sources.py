@@ -1,8 +1,13 @@
 """Readers on files of our own."""
 
 import json
+import struct
+import zlib
 
-from weftwork.sources import lint, modules
+from pyspark.sql import functions as F
+
+from weftwork.sources import helpbook, lint, metadata, modules
+from weftwork.streaming import reindex
 
 
 def test_lint_reports(spark, tmp_path):
@@ -19,3 +24,65 @@ def test_methods(spark, tmp_path):
     (tmp_path / "other.txt").write_text("Процедура Чужая()")
     got = {(r.name, r.is_function, r.is_export, r.is_async, r.start_line, r.end_line) for r in modules.methods(modules.read_modules(spark, str(tmp_path))).collect()}
     assert got == {("Первая", False, True, False, 1, 3), ("Ёлка", True, False, True, 5, 7), ("open_", True, False, False, 8, 8)}
+
+
+def test_object_attributes(spark, tmp_path):
+    def attr(name, kind, fill=""):
+        return f"<Attribute uuid='u'><Properties><Name>{name}</Name><Type>{kind}</Type>{fill}</Properties></Attribute>"
+
+    ref, text = "<v8:Type>cfg:CatalogRef.Goods</v8:Type><v8:Type>xs:string</v8:Type>", "<v8:Type>xs:string</v8:Type>"
+    section = f"<TabularSection><Properties><Name>Rows</Name></Properties><ChildObjects>{attr('Unit', '<v8:Type>xs:int</v8:Type>')}</ChildObjects></TabularSection>"
+    synonym = "<Synonym><v8:item><v8:lang>ru</v8:lang><v8:content>Заказ</v8:content></v8:item></Synonym>"
+    body = f"<MetaDataObject><Document uuid='d-1'><Properties><Name>Order</Name>{synonym}</Properties><ChildObjects>{attr('Item', ref, '<FillChecking>Show</FillChecking>')}{attr('Note', text)}{attr('', text)}{section}<Form> Main </Form><Form/></ChildObjects></Document></MetaDataObject>"
+    for folder, name, xml in (("Documents", "Order", body), ("Catalogs", "Broken", "<MetaDataObject><Cat"), ("Catalogs", "Empty", "<MetaDataObject><Catalog/></MetaDataObject>")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / f"{name}.xml").write_text(xml, encoding="utf-8")
+    objects = metadata.read_objects(spark, str(tmp_path))
+    assert {(r.type, r.name) for r in objects.collect()} == {("Document", "Order"), ("Catalog", "Broken"), ("Catalog", "Empty")}
+    got = {tuple(r) for r in metadata.attributes(objects).collect()}
+    assert got == {("Document", "Order", None, "Item", "СправочникСсылка.Goods", True), ("Document", "Order", None, "Note", "Строка", False), ("Document", "Order", "Rows", "Unit", "Число", False)}
+    assert {r.name for r in objects.where("not well_formed").collect()} == {"Broken"}
+    assert [tuple(r) for r in metadata.children(objects, "Form").collect()] == [("Document", "Order", 0, "Main")]
+    assert [(r.uuid, r.synonym, r.comment) for r in metadata.properties(objects).where("name = 'Order'").collect()] == [("d-1", "Заказ", None)]
+
+
+def _book(*pages, broken=False):
+    out = b"\x00" * 16
+    for name, html in pages:
+        raw = zlib.compressobj(wbits=-15)
+        data = raw.compress(html.encode()) + raw.flush()
+        out += struct.pack("<4s5H3I2H", b"PK\x03\x04", 20, 0, 8, 0, 0, 0, len(data), len(html), len(name), 0) + name.encode() + data
+    return out + b"PK\x03\x04\xff" * broken
+
+
+def test_help_book(spark, tmp_path):
+    page = '<html><h1 class="V8SH_pagetitle">Глобальный.Найти (Global.Find)</h1><p class="V8SH_chapter">Синтаксис:</p> Найти(&lt;Где&gt;) <p class="V8SH_chapter">Доступность:</p> <p>Сервер, тонкий клиент. Веб-клиент.</p></html>'
+    (tmp_path / "a.hbk").write_bytes(_book(("p.html", page), ("q", "<!DOCTYPE html><p>no marker</p>"), ("r.bin", "x"), broken=True))
+    (tmp_path / "b.hbk").write_bytes(_book(("p2.html", page.replace("Где", "Что"))))
+    (tmp_path / "c.hbk").write_bytes(b"short")
+    pages = helpbook.read_pages(spark, str(tmp_path))
+    assert sorted(r.entry for r in pages.collect()) == ["p.html", "p2.html", "q"]
+    (m,) = helpbook.methods(pages).collect()
+    assert (m.name, m.name_en, m.category, m.source_file) == ("Найти", "Find", "Глобальный", "p.html")
+    assert (m.signature, m.server, m.thin_client, m.web_client, m.is_procedure) == ("Найти( )", True, True, False, False)
+
+
+def test_reindex_stream(spark, tmp_path):
+    source, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("one\n\ntwo")
+    for k in range(2):
+        q = reindex.index_stream(reindex.stream_texts(spark, source, "*.txt"), target, state)
+        q.awaitTermination(60)
+        assert q.exception() is None
+        got = sorted((r.path[-5:], r.pos, r.chunk) for r in reindex.read_index(spark, target).collect())
+        assert got == [("a.txt", 0, "one"), ("a.txt", 2, "two")] + [("b.txt", 0, "three")] * k
+        (tmp_path / "in" / "b.txt").write_text("three")
+
+
+def test_parameters(spark):
+    heads = ['Function F(Val A, Б = 1, Знач В = "x,)", Г = (1, 2)) Export', "Procedure P()", "Procedure Q(\n  A,\n\tB)", None]
+    rows = spark.createDataFrame([(i, h) for i, h in enumerate(heads)], "id int, head string").select("id", modules.parameters(F.col("head")).alias("p")).orderBy("id").collect()
+    got = [r.p and [tuple(x) for x in r.p] for r in rows]
+    assert got[0] == [("A", True, None, False), ("Б", False, "1", True), ("В", True, '"x,)"', True), ("Г", False, "(1, 2)", True)]
+    assert got[1:] == [[], [("A", False, None, False), ("B", False, None, False)], None]

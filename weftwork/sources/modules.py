@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rules import find_all
@@ -22,7 +22,7 @@ def read_modules(spark: SparkSession, folder: str, pattern: str = "*.bsl") -> Da
 
 
 def methods(modules: DataFrame) -> DataFrame:
-    """(path, name, is_function, is_export, is_async, start_line, end_line): a method ends at the next end mark, or where
+    """(path, name, is_function, is_export, is_async, parameters, start_line, end_line): a method ends at the next end mark, or where
     it starts if there is none. Keywords are matched without regard to case."""
     head = rf"^[\t ]*(?:(?:{ASYNC})[\t ]+)?(?:{BEGIN})[\t ]+{NAME}[\t ]*\([^)]*\)[^\n]*"
     starts = find_all(modules, "path", "text", head, "mi")
@@ -35,7 +35,24 @@ def methods(modules: DataFrame) -> DataFrame:
         F.col("match").rlike(r"(?iu)^[\t ]*(?:\S+[\t ]+)?(?:Function|Функция)[\t ]").alias("is_function"),
         after.rlike(rf"(?iu)(?:{EXPORT})").alias("is_export"),
         F.col("match").rlike(rf"(?iu)^[\t ]*(?:{ASYNC})[\t ]").alias("is_async"),
+        parameters(F.col("match")).alias("parameters"),
         F.col("line").alias("start_line"),
     )
     both = found.join(ends, (F.col("path") == F.col("p")) & (F.col("e") >= F.col("start_line")), "left")
     return both.groupBy(*found.columns).agg(F.min("e").alias("e")).select(*found.columns, F.coalesce("e", "start_line").alias("end_line"))
+
+
+def parameters(found: Column) -> Column:
+    """array<struct(name, by_value, default_value, has_default)> of a method's head, such as `match` of its start: split
+    at commas outside parentheses and double quotes; empty without parameters."""
+    inside = F.regexp_extract(found, r'(?s)\(((?:[^()"]|"[^"]*"|\((?:[^()"]|"[^"]*")*+\))*+)\)', 1)
+    parts = F.regexp_extract_all(inside, F.lit(r'(?:[^,()"]|"[^"]*"|\((?:[^()"]|"[^"]*")*+\))++'), 0)
+    by_value, default = r"(?iu)^(?:Val|Знач)\s+", r"(?s)^[^=]*=(.*)$"
+
+    def one(x: Column) -> Column:
+        text = F.trim(F.regexp_replace(x, r"\s+", " "))
+        has = F.contains(text, F.lit("="))
+        name = F.trim(F.regexp_replace(F.substring_index(text, "=", 1), by_value, ""))
+        return F.struct(name.alias("name"), text.rlike(by_value).alias("by_value"), F.when(has, F.trim(F.regexp_extract(text, default, 1))).alias("default_value"), has.alias("has_default"))
+
+    return F.filter(F.transform(parts, lambda x: one(x)), lambda x: x["name"] != "")
