@@ -18,6 +18,9 @@ from weftwork.llm.quality import keep_good
 from weftwork.llm.storage import materialize
 from weftwork.session import table
 
+#: Least similarity of near-duplicates; the 85 of `op1_near_dedup` is that query's alone.
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules and the classifier keep."""
@@ -25,8 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near-duplicates, linked at a similarity of 0.8 or more."""
+    return drop_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -330,3 +330,15 @@ def test_pipeline(spark):
     copies = {r.doc_id: r.copies for r in mixing.mix_sources(rest).collect() if r.copies}
     got = collections.Counter(r.doc_id for r in pipeline.run(spark, d).collect())
     assert got == copies
+
+
+def test_pipeline_links_at_eighty_percent(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    words = [f"w{i}" for i in range(100)]
+    near = [*words[:50], "new", *words[51:], *[f"more{i}" for i in range(8)]]
+    far = [*words[:20], "other", *words[21:70], "other", *words[71:], *[f"rest{i}" for i in range(6)]]
+    rows = [(i, " ".join(w)) for i, w in enumerate((words, near, far))]
+    alike = [len(sets(rows[0][1]) & sets(t)) / len(sets(rows[0][1]) | sets(t)) for _, t in rows]
+    assert 0.80 <= alike[1] < 0.85 and alike[2] < 0.80
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect()} == {0, 2}
