@@ -98,3 +98,32 @@ def test_refs(spark):
     assert one.select(refs.mask_dsn(F.lit("pg://u:secret@h/db"))).first()[0] == "pg://u:***@h/db"
     assert one.select(refs.diff_stat(F.lit("2 files changed, 10 insertions(+), 1 deletion(-)"))).first()[0] == (2, 10, 1)
     assert one.select(refs.artifact_ref(F.lit("p#1#2"))).first()[0] == ("p#1", 2)
+
+
+def test_neighbour_distances_equal_brute_force(spark):
+    """Gaps in ids, differences after character 100, Cyrillic and accented texts."""
+    long = "x" * 150
+    rows = [(9000, long + "b"), (1, long + "a"), (7, long + "ёж"), (8, "Straße"), (8300, "Strasse"), (8200, ""), (9001, None), (-5, "ü"), (None, "q")]
+
+    def distance(a, b):
+        if a is None or b is None:
+            return None
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            now = [i]
+            for j, y in enumerate(b, 1):
+                now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
+            last = now
+        return last[-1]
+
+    order = sorted((r for r in rows if r[0] is not None))
+    want = {a[0]: distance(a[1], b[1]) for a, b in zip(order, order[1:], strict=False)}
+    got = text.neighbour_distances(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()
+    assert len(got) == len(want) and {r.id: r.distance for r in got} == want
+
+
+def test_whole_edit_distance_has_all_pairs(spark):
+    from weftwork.plans.registry import QUERIES
+
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").count()
+    assert QUERIES["edit_distance_whole"](spark, "/root/testdata/sf0.001").count() == items - 1

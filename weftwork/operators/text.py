@@ -60,3 +60,22 @@ def chunks(df: DataFrame, id_col: str, text_col: str, prefix: Column, separator:
     """(chunk_id, id, pos, chunk): non-blank parts of a text, with ids `prefix_id_pos`."""
     parts = df.select(id_col, prefix.alias("__p"), F.posexplode(F.split(text_col, separator, -1)).alias("pos", "chunk")).where(F.trim("chunk") != "")
     return parts.select(F.concat_ws("_", "__p", F.col(id_col).cast("string"), F.col("pos").cast("string")).alias("chunk_id"), id_col, "pos", "chunk")
+
+
+def neighbours(rows: DataFrame, id_col: str, text_col: str, span: int = 4096) -> DataFrame:
+    """(id, t, u): each row's text and that of the row with the next larger id, whatever the gap; the last row has none.
+
+    Ids are whole numbers and unique; null ids are left out. Rows are ordered in spans of ids, and only each span's least
+    id is ordered in one task.
+    """
+    own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("id is not null")
+    own = own.withColumn("part", F.floor(F.col("id") / span))
+    heads = own.groupBy("part").agg(F.min("id").alias("head")).select("part", F.lead("head").over(Window.orderBy("part")).alias("after"))
+    inside = F.lead("id").over(Window.partitionBy("part").orderBy("id"))
+    ahead = own.withColumn("next", inside).join(heads, "part").withColumn("next", F.coalesce("next", "after"))
+    return ahead.join(own.select(F.col("id").alias("next"), F.col("t").alias("u")), "next").select(F.col("id").alias(id_col), "t", "u")
+
+
+def neighbour_distances(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, distance): edit distance in characters of the whole texts of all neighbours; null where a text is null."""
+    return neighbours(rows, id_col, text_col).select(id_col, F.levenshtein("t", "u").cast("long").alias("distance"))

@@ -426,10 +426,15 @@ WITH b AS (SELECT item_id, left(text, 100) AS t, lead(left(text, 100)) OVER (ORD
 SELECT item_id, levenshtein(t, u) AS distance FROM b WHERE regexp_full_match(t, '[\x20-\x7E\n]*') AND regexp_full_match(u, '[\x20-\x7E\n]*')
 """)
 def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(100)).alias("t"))
-    nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("u"))
+    """The SQL's share: first 100 characters, pairs in ASCII only. `edit_distance_whole` has whole texts of all pairs."""
+    both = tx.neighbours(table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(100)).alias("t")), "item_id", "t")
     ascii_ = r"^[\x20-\x7E\n]*$"
-    return b.join(nxt, "item_id").where(F.col("t").rlike(ascii_) & F.col("u").rlike(ascii_)).select("item_id", F.levenshtein("t", "u").cast("long").alias("distance"))
+    return both.where(F.col("t").rlike(ascii_) & F.col("u").rlike(ascii_)).select("item_id", F.levenshtein("t", "u").cast("long").alias("distance"))
+
+
+@query()
+def edit_distance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tx.neighbour_distances(table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
 @query("SELECT page_id, split_part(substr(url, strpos(url, '://') + 3), '.', 1) AS type, substr(substr(url, strpos(url, '://') + 3), strpos(substr(url, strpos(url, '://') + 3), '.') + 1) AS name FROM pages")
