@@ -342,3 +342,32 @@ def test_pipeline_links_at_eighty_percent(spark):
     assert 0.80 <= alike[1] < 0.85 and alike[2] < 0.80
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect()} == {0, 2}
+
+
+def brute_repeats(rows, counts):
+    """Sentence places of each id that a later occurrence of a run covers; `counts` says which runs count."""
+    runs = collections.defaultdict(list)
+    for i, t in rows:
+        parts = [p.strip() for p in re.findall(substring.SENTENCE, t)]
+        for k in (1, 2, 3):
+            for at in range(len(parts) - k + 1):
+                r = parts[at : at + k]
+                if counts(k, sum(len(p.split()) for p in r)):
+                    runs[tuple(r)].append((i, at))
+    gone = collections.defaultdict(set)
+    for r, places in runs.items():
+        for i, at in sorted(places)[1:]:
+            gone[i] |= set(range(at, at + len(r)))
+    return {i: len(gone[i]) for i, _ in rows}
+
+
+def test_pairs_of_sentences_equal_brute_force(spark):
+    say = lambda word, n: " ".join(f"{word}{i}" for i in range(n)) + ". "
+    two = say("a", 30) + say("b", 29)
+    rows = [(1, "Own words run on " + say("x", 8) + two + say("y", 9)), (2, "Others do so as well " + say("x", 8) + two + "end " + say("y", 9)), (3, say("p", 5) + say("q", 5) + say("r", 5)), (4, say("z", 4) + say("p", 5) + say("q", 5) + say("r", 5))]
+    rng = random.Random(3)
+    pool = [say(f"s{i}_", rng.choice([1, 3, 6, 9, 20, 55])) for i in range(25)]
+    rows += [(i, "".join(rng.choices(pool, k=12))) for i in range(10, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substring.remove_repeated_passages(docs, pair_words=12).collect()}
+    assert got == brute_repeats(rows, lambda k, n: n >= (50 if k == 1 else 12)) and got[2] == 2 and got[4] == 3

@@ -14,7 +14,7 @@ from .mixing import mix_sources
 from .neardup import near_duplicates
 from .pii import find_personal_data
 from .quality import judge_quality
-from .substring import SENTENCE, remove_repeated_passages
+from .substring import PAIR_WORDS, SENTENCE, remove_repeated_passages
 from .url_filter import default_rules, judge_urls
 from .warc import archive_round_trip
 
@@ -53,6 +53,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of two sentences of 12 words too, which the SQL of op8_substring_dedup leaves out."""
+    return remove_repeated_passages(table(spark, sf_dir, "documents"), pair_words=PAIR_WORDS)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_pii": op9_pii,
     "op10_url_filters": op10_url_filters,
+    "op8_substring_dedup_pairs": op8_substring_dedup_pairs,
 }
 
 ORACLES: dict[str, str] = {

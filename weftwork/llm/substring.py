@@ -2,7 +2,9 @@
 
 A sentence is a match of `SENTENCE`; its form without white space at the ends is what counts. Every run of RUN consecutive
 sentences with LEAST_WORDS words or more is hashed, and so is a shorter run that has LONG_WORDS words by itself (a passage
-of one or two long sentences). Runs are counted over the whole corpus by a 128-bit hash; the first occurrence is the one
+of one or two long sentences). With `pair_words`, a run of two sentences needs that many words only; a run of three both of
+whose pairs count is then left to them, as they repeat wherever it does. A passage that leaves one whole sentence under
+LONG_WORDS words, or none, between two cut ones is not seen. Runs are counted over the whole corpus by a 128-bit hash; the first occurrence is the one
 with the smallest (id, place), and sentences covered by any other occurrence are removed.
 """
 
@@ -19,7 +21,7 @@ from .tokens import _BYTE2, _POS, _SPACE, Chunk, U, chunks, mix, run_hashes
 
 #: A run up to and with its end marks (or line ends) and the white space after them, or the unended rest of a text.
 SENTENCE = r"[^.!?\n]*[.!?\n]+[\x20\x09-\x0D]*|[^.!?\n]+"
-RUN, LEAST_WORDS, LONG_WORDS = 3, 12, 50
+RUN, LEAST_WORDS, LONG_WORDS, PAIR_WORDS = 3, 12, 50, 12
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?\n"]] = True
 
@@ -46,7 +48,7 @@ def sentence_starts(c: Chunk) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def sentence_runs(c: Chunk, run: int = RUN, least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS) -> dict[str, np.ndarray]:
+def sentence_runs(c: Chunk, run: int = RUN, least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS, pair_words: int | None = None) -> dict[str, np.ndarray]:
     """doc (in the chunk), place, length, h1, h2 of every run that counts."""
     starts = sentence_starts(c)
     if not len(starts):
@@ -83,7 +85,13 @@ def sentence_runs(c: Chunk, run: int = RUN, least_words: int = LEAST_WORDS, long
             break
         total = np.concatenate([[0], np.cumsum(words)])
         size = total[k:] - total[:m]
-        ok = (doc[:m] == doc[k - 1 :]) & (size >= (least_words if k == run else long_words))
+        least = least_words if k == run else long_words
+        if k == 2 and pair_words is not None:
+            least = min(least, pair_words)
+        ok = (doc[:m] == doc[k - 1 :]) & (size >= least)
+        if k == 3 and pair_words is not None:
+            pair = total[2:] - total[:-2] >= pair_words
+            ok &= ~(pair[:m] & pair[1:])
         at = np.flatnonzero(ok)
         out["doc"].append(doc[at])
         out["place"].append(at - first[doc[at]])
@@ -131,7 +139,7 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
 
     Null and empty texts have no sentences and come back empty. Ids are taken to be unique: rows that repeat an id lose the
     same places, and equal rows count as one occurrence. Rows with a null id come back whole. Other columns are ignored.
-    Options: run (at most 7), least_words, long_words.
+    Options: run (at most 7), least_words, long_words, pair_words.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     runs = texts.where("id is not null").mapInArrow(_runs(options), "h1 long, h2 long, id long, at long")
