@@ -371,3 +371,12 @@ def test_pairs_of_sentences_equal_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.n_removed for r in substring.remove_repeated_passages(docs, pair_words=12).collect()}
     assert got == brute_repeats(rows, lambda k, n: n >= (50 if k == 1 else 12)) and got[2] == 2 and got[4] == 3
+
+
+def test_html_text_of_mixed_templates(spark):
+    """Pages with and without article on one host, and pages without a url; a title beside the body text."""
+    old = "<html><body><div class=box><div class=top>Title {i}</div><section>Same line.</section></div><div class=text><p>Old body text number {i} goes on for long, longer than all else here.</p><p>And more of it {i}.</p></div></body></html>"
+    rows = [(i, u, (PAGE if i % 2 else old).format(i=i)) for i, u in enumerate(["http://m.org/a"] * 4 + [None] * 4)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert got[i] == (f"Head {i}\nOne & two three four\nFive {i}" if i % 2 else f"Title {i}\nOld body text number {i} goes on for long, longer than all else here.\nAnd more of it {i}.")

@@ -4,8 +4,9 @@ A page is read as a stream of block-level elements and text slots. Pages of a ho
 two streams differ, an element that only one has becomes optional `( )?`, equal neighbours become a repeated group `( )+`,
 and texts that differ become a slot `#`; the result is a union-free regular expression, the host's wrapper. Alignments are
 associative, so every task infers wrappers of its own pages, which are then aligned in two steps; a host that holds most
-pages only brings one small wrapper from each task. The wrapper says which slots hold the article, and each page is then
-read by its host's wrapper.
+pages only brings one small wrapper from each task. The article is found on each page by article or main, or else by where
+the page's text is; class words mark what is left out. The wrapper says which slots hold the same text on several pages or
+are mostly links.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -114,20 +116,22 @@ def read(page: str) -> Iterator[tuple[str, object]]:
 class Node:
     """An element of a wrapper: children in order, whether it is optional or repeated, and what its own slot holds."""
 
-    __slots__ = ("chars", "children", "linked", "opt", "rep", "sym", "text")
+    __slots__ = ("chars", "children", "linked", "opt", "pages", "rep", "sym", "text")
 
     def __init__(self, sym: str) -> None:
         self.sym, self.children, self.opt, self.rep = sym, [], False, False
+        self.pages = 1  # how many pages have it, at least
         self.chars, self.linked, self.text = 0, 0, None  # text: None no slot, "" differing texts, else the one text
 
     def dump(self) -> list:
-        return [self.sym, self.opt, self.rep, self.chars, self.linked, self.text, [c.dump() for c in self.children]]
+        return [self.sym, self.opt, self.rep, self.chars, self.linked, self.text, [c.dump() for c in self.children], self.pages]
 
     @classmethod
     def load(cls, x: list) -> Node:
         n = cls(x[0])
         n.opt, n.rep, n.chars, n.linked, n.text = x[1:6]
         n.children = [cls.load(c) for c in x[6]]
+        n.pages = x[7]
         return n
 
     def expression(self) -> str:
@@ -166,26 +170,27 @@ def fold(node: Node) -> None:
     out: list[Node] = []
     for c in node.children:
         if out and out[-1].sym == c.sym:
-            out[-1] = align(out[-1], c)
+            out[-1] = align(out[-1], c, True)
             out[-1].rep = True
         else:
             out.append(c)
     node.children = out
 
 
-def align(a: Node, b: Node) -> Node:
+def align(a: Node, b: Node, same_page: bool = False) -> Node:
     """The least wrapper that covers both: mismatches become optional, differing texts become slots."""
     out = Node(a.sym)
     out.opt, out.rep = a.opt or b.opt, a.rep or b.rep
+    out.pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
     out.chars, out.linked = a.chars + b.chars, a.linked + b.linked
     out.text = b.text if a.text is None else a.text if b.text is None else a.text if a.text == b.text else ""
     left, right = [c.sym for c in a.children], [c.sym for c in b.children]
     if left == right:
-        out.children = [align(x, y) for x, y in zip(a.children, b.children, strict=True)]
+        out.children = [align(x, y, same_page) for x, y in zip(a.children, b.children, strict=True)]
         return out
     for op, i, j, k, n in difflib.SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
         if op == "equal":
-            out.children += [align(x, y) for x, y in zip(a.children[i:j], b.children[k:n], strict=True)]
+            out.children += [align(x, y, same_page) for x, y in zip(a.children[i:j], b.children[k:n], strict=True)]
         else:
             for c in a.children[i:j] + b.children[k:n]:
                 c.opt = True
@@ -200,62 +205,129 @@ def outside(sym: str) -> bool:
     return bool(hint) and name not in ("body", "html", "article", "main") or name in ASIDE
 
 
-def content_paths(wrapper: Node) -> list[str]:
-    """Paths of the slots that hold the article: those inside article or main where the wrapper has one, else those of the
-    smallest element that has most of the text outside of links; parts that are marked as something else are left out."""
-    spots: list[tuple[str, Node, bool]] = []
+class Slots(NamedTuple):
+    """What a host's wrapper says of its slots, by path."""
 
-    def walk(node: Node, path: str, inside: bool) -> None:
+    varied: frozenset[str]  # texts differ, or no second page of the host has the slot
+    links: frozenset[str]  # mostly text of links
+
+
+def slots(wrapper: Node) -> Slots:
+    said: dict[str, set[str]] = {}
+    seen: dict[str, list[int]] = {}
+
+    def walk(node: Node, path: str) -> None:
+        if node.text is not None:
+            said.setdefault(path, set()).add(node.text)
+            at = seen.setdefault(path, [0, 0, 0])
+            at[0], at[1], at[2] = max(at[0], node.pages), at[1] + node.chars, at[2] + node.linked
         for c in node.children:
-            own = f"{path}/{c.sym}"
-            if outside(c.sym) or (c.sym == "header" and not inside):
-                continue
-            spots.append((own, c, inside or c.sym.partition(".")[0] in ("article", "main")))
-            walk(c, own, spots[-1][2])
-
-    walk(wrapper, "", False)
-    if any(ok and plain(c) for _, c, ok in spots):
-        return sorted({p for p, _, ok in spots if ok})
-    total = sum(plain(c) for _, c, _ in spots)
-    best = ""
-    for path, _, _ in spots:
-        held = sum(plain(c) for p, c, _ in spots if p == path or p.startswith(path + "/"))
-        if total and held >= 0.6 * total and len(path) > len(best) and path.rsplit("/", 1)[-1].partition(".")[0] in ("body", "div", "section", "td", "center"):
-            best = path
-    return sorted({p for p, c, _ in spots if (p == best or p.startswith(best + "/")) and c.linked <= 0.5 * max(c.chars, 1)})
-
-
-def plain(node: Node) -> int:
-    return node.chars - node.linked
-
-
-def extract(page: str, paths: frozenset[str]) -> str:
-    """The text of the slots at `paths`: blocks in page order, one line each, white space inside a block as one space."""
-    blocks: list[str] = []
+            walk(c, f"{path}/{c.sym}")
+
+    walk(wrapper, "")
+    return Slots(frozenset(p for p, t in said.items() if t != {min(t)} or "" in t or seen[p][0] < 2), frozenset(p for p, (_, n, linked) in seen.items() if linked > 0.5 * n))
+
+
+class Element:
+    """An element of one page, with the text of its own slot and of all below it."""
+
+    __slots__ = ("article", "chars", "deep", "inside", "linked", "name", "parent", "path", "sym")
+
+    def __init__(self, sym: str, parent: Element | None) -> None:
+        self.sym, self.parent, self.name = sym, parent, sym.partition(".")[0]
+        self.path = f"{parent.path}/{sym}" if parent else ""
+        self.inside = self.name in ("article", "main") or parent is not None and parent.inside
+        self.article = False  # an article or main lies below
+        self.chars, self.linked, self.deep = 0, 0, 0
+
+
+def page_blocks(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
+    """Elements of a page in order, parents first, and its blocks of text with the element whose slot holds each."""
+    at = Element("", None)
+    elements, blocks = [at], []
     part: list[str] = []
-    path = [""]
+    link = False
 
     def end() -> None:
         if part:
             if said := " ".join("".join(part).split()):
-                blocks.append(said)
+                blocks.append((at, said))
             part.clear()
 
     for kind, value in read(page):
         if kind == "text":
-            if path[-1] in paths:
-                part.append(value)
-        elif kind == "open":
-            end()
-            path.append(f"{path[-1]}/{value}")
-        elif kind == "close":
-            end()
-            if len(path) > 1:
-                path.pop()
-        elif kind == "break":
+            part.append(value)
+            n = len(" ".join(value.split()))
+            at.chars += n
+            at.linked += n * link
+        elif kind == "link":
+            link = bool(value)
+        else:
             end()
+            if kind == "open":
+                at = Element(value, at)
+                elements.append(at)
+            elif kind == "close" and at.parent is not None:
+                at = at.parent
     end()
-    return "\n".join(blocks)
+    for e in reversed(elements):
+        e.deep += e.chars - e.linked
+        if e.parent is not None:
+            e.parent.deep += e.deep
+            e.parent.article |= e.article or e.name in ("article", "main")
+    return elements, blocks
+
+
+def content(elements: list[Element], known: Slots) -> set[Element]:
+    """The elements whose slots hold the article of a page.
+
+    Those inside article or main where the page itself has text there. Else those of the smallest element that has most of
+    the page's text outside of links, without slots that are mostly links here and over the host, and the slots beside it
+    whose text isn't the same on several pages of the host. Parts that are marked as something else are left out.
+    """
+    ok: set[Element] = set()
+    for e in elements:
+        if e.parent is None or e.parent in ok and not pruned(e, elements[0]):
+            ok.add(e)
+    spots = [e for e in elements if e in ok]
+    found = {e for e in spots if e.inside}
+    if any(e.chars > e.linked for e in found):
+        return found
+    held = dict.fromkeys(spots, 0)
+    for e in reversed(spots):
+        held[e] += e.chars - e.linked
+        if e.parent is not None:
+            held[e.parent] += held[e]
+    best = spots[0]
+    for e in spots:
+        if held[best] and held[e] >= 0.6 * held[spots[0]] and e.name in ("body", "div", "section", "td", "center", "form"):
+            best = e
+    own: dict[str, list[int]] = {}
+    for e in spots:
+        at = own.setdefault(e.path, [0, 0])
+        at[0], at[1] = at[0] + e.chars, at[1] + e.linked
+    under: set[Element] = set()
+    out: set[Element] = set()
+    for e in spots:
+        if e is best or e.parent in under:
+            under.add(e)
+        links = own[e.path][1] > 0.5 * own[e.path][0]
+        if not links or e in under and e.path not in known.links:
+            if e in under or e.path in known.varied:
+                out.add(e)
+    return out
+
+
+def pruned(e: Element, root: Element) -> bool:
+    """Marked as something else than the article."""
+    return outside(e.sym) or (e.sym == "header" and not e.inside)
+
+
+def extract(page: str, known: Slots) -> str:
+    """The article's text: blocks in page order, one line each, white space inside a block as one space."""
+    elements, blocks = page_blocks(page)
+    wanted = content(elements, known)
+    return "\n".join(said for e, said in blocks if e in wanted)
 
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +364,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, frozenset[str]] = {}
+    known: dict[str, Slots] = {}
     for batch in batches:
         texts = []
         for page, wrapper in zip(batch.column(2), batch.column(3), strict=True):
@@ -300,7 +372,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if w not in known:
                 if len(known) > 2000:
                     known.clear()
-                known[w] = frozenset(content_paths(Node.load(json.loads(w))))
+                known[w] = slots(Node.load(json.loads(w)))
             texts.append(extract(page.as_py(), known[w]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
