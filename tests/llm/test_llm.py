@@ -380,3 +380,22 @@ def test_html_text_of_mixed_templates(spark):
     got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for i in range(8):
         assert got[i] == (f"Head {i}\nOne & two three four\nFive {i}" if i % 2 else f"Title {i}\nOld body text number {i} goes on for long, longer than all else here.\nAnd more of it {i}.")
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='content-sidebar-wrap'><main><p>{t}</p></main><aside>side</aside></div>",
+        "<div class='has-sidebar'><article><p>{t}</p></article><div class=sidebar>side</div></div>",
+        "<form id='aspnetForm'><div class=menu>side</div><article><p>{t}</p></article></form>",
+        "<form id='aspnetForm'><div class=menu>side</div><div class=x><p>{t}</p></div></form>",
+        "<div class='page-with-sidebar'><div class=x><p>{t}</p></div><div class=sidebar>side</div></div>",
+        "<article><header class='entry-header'><h1>{t}</h1></header></article><header class=top>side</header>",
+        "<article><header><h1>{t}</h1></header></article><header>side</header>",
+        "<article><p>{t}</p></article><div class=related><article>side</article></div>",
+    ],
+)
+def test_html_layout_parts_are_not_pruned(page):
+    text = "The text of the article goes on for more than all the rest of its page."
+    html = f"<html><head><title>t</title></head><body>{page.format(t=text)}</body></html>"
+    assert html_extract.extract(html, html_extract.slots(html_extract.page_tree(html))) == text

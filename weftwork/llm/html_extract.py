@@ -285,14 +285,15 @@ def content(elements: list[Element], known: Slots) -> set[Element]:
     the page's text outside of links, without slots that are mostly links here and over the host, and the slots beside it
     whose text isn't the same on several pages of the host. Parts that are marked as something else are left out.
     """
-    ok: set[Element] = set()
-    for e in elements:
-        if e.parent is None or e.parent in ok and not pruned(e, elements[0]):
-            ok.add(e)
-    spots = [e for e in elements if e in ok]
-    found = {e for e in spots if e.inside}
-    if any(e.chars > e.linked for e in found):
-        return found
+    for around in (False, True):  # an article in a marked part, such as a comment, counts where there is no other
+        ok: set[Element] = set()
+        for e in elements:
+            if e.parent is None or e.parent in ok and (around and e.article or not pruned(e, elements[0])):
+                ok.add(e)
+        spots = [e for e in elements if e in ok]
+        found = {e for e in spots if e.inside}
+        if any(e.chars > e.linked for e in found):
+            return found
     held = dict.fromkeys(spots, 0)
     for e in reversed(spots):
         held[e] += e.chars - e.linked
@@ -319,8 +320,11 @@ def content(elements: list[Element], known: Slots) -> set[Element]:
 
 
 def pruned(e: Element, root: Element) -> bool:
-    """Marked as something else than the article."""
-    return outside(e.sym) or (e.sym == "header" and not e.inside)
+    """Marked as something else than the article, and not a hinted element or form with most of the page's text outside of
+    links. A header is part of the article that it is in."""
+    if e.name == "header":
+        return not e.inside
+    return outside(e.sym) and not ((e.name == "form" or e.name not in ASIDE) and 2 * e.deep > root.deep)
 
 
 def extract(page: str, known: Slots) -> str:
