@@ -127,3 +127,16 @@ def test_whole_edit_distance_has_all_pairs(spark):
 
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").count()
     assert QUERIES["edit_distance_whole"](spark, "/root/testdata/sf0.001").count() == items - 1
+
+
+def test_calls_resolve_against_a_whole_table(spark):
+    """Names that only documents from the 21st on have are found too."""
+    from weftwork.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    words = lambda t: {w for r in t.collect() for w in re.findall("[a-z]+", (r.text or "").lower())}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang in ('en', 'de')")
+    late = words(docs) - words(docs.where("doc_id < 20")) - {"the", "of"}
+    got = {r.method for r in QUERIES["calls_cross_module_whole"](spark, sf).collect()}
+    want = words(docs) & words(spark.read.parquet(f"{sf}/conversations.parquet")) - {"the", "of"}
+    assert got == want and got & late

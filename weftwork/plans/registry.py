@@ -285,6 +285,7 @@ e AS (SELECT DISTINCT module, method FROM (SELECT lang AS module, unnest(regexp_
 SELECT module, method, count(*) AS n FROM c WHERE module IN ('en', 'de') AND method NOT IN ('the', 'of') AND (module, method) IN (SELECT module, method FROM e) GROUP BY 1, 2
 """)
 def calls_cross_module(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL's exports: words of 20 documents. `calls_cross_module_whole` takes them from a whole table."""
     calls = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("method"), F.col("lang").alias("module"))
     modules = spark.createDataFrame([("en",), ("de",)], "module string")
     excluded = spark.createDataFrame([("the",), ("of",)], "method string")
@@ -292,6 +293,21 @@ def calls_cross_module(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.resolve_calls(calls, modules, exports, excluded).groupBy("module", "method").agg(F.count("*").alias("n"))
 
 
+@query(r"""
+WITH c AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS method, lang AS module FROM documents),
+e AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS method FROM conversations)
+SELECT module, method, count(*) AS n FROM c WHERE module IN ('en', 'de') AND method NOT IN ('the', 'of') AND method IN (SELECT method FROM e) GROUP BY 1, 2
+""")
+def calls_cross_module_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports of both modules are all words of conversations; no word of part occurs in these documents."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("method")
+    calls = table(spark, sf_dir, "documents").select(words, F.col("lang").alias("module"))
+    modules = spark.createDataFrame([("en",), ("de",)], "module string")
+    excluded = spark.createDataFrame([("the",), ("of",)], "method string")
+    exports = table(spark, sf_dir, "conversations").select(words).distinct().crossJoin(modules)
+    return gr.resolve_calls(calls, modules, exports, excluded).groupBy("module", "method").agg(F.count("*").alias("n"))
+
+
 @query("SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), '<module>') AS scope FROM conversations")
 def enclosing_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
