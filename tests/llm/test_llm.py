@@ -399,3 +399,9 @@ def test_html_layout_parts_are_not_pruned(page):
     text = "The text of the article goes on for more than all the rest of its page."
     html = f"<html><head><title>t</title></head><body>{page.format(t=text)}</body></html>"
     assert html_extract.extract(html, html_extract.slots(html_extract.page_tree(html))) == text
+
+
+def test_slots_compare_whole_texts():
+    pages = [f"<body><div>{'x' * 90} {end}</div><p>{'y' * 90}</p></body>" for end in ("one", "two")]
+    w = html_extract.align(*map(html_extract.page_tree, pages))
+    assert html_extract.slots(w).varied == {"/body/div"}

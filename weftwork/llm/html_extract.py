@@ -12,6 +12,7 @@ are mostly links.
 from __future__ import annotations
 
 import difflib
+import hashlib
 import html
 import json
 import re
@@ -121,7 +122,7 @@ class Node:
     def __init__(self, sym: str) -> None:
         self.sym, self.children, self.opt, self.rep = sym, [], False, False
         self.pages = 1  # how many pages have it, at least
-        self.chars, self.linked, self.text = 0, 0, None  # text: None no slot, "" differing texts, else the one text
+        self.chars, self.linked, self.text = 0, 0, None  # text: None no slot, "" differing texts, else the one text or its hash
 
     def dump(self) -> list:
         return [self.sym, self.opt, self.rep, self.chars, self.linked, self.text, [c.dump() for c in self.children], self.pages]
@@ -159,7 +160,9 @@ def page_tree(page: str) -> Node:
             node, said = path[-1], " ".join(words)
             node.chars += len(said)
             node.linked += len(said) * link
-            node.text = said[:80] if node.text is None else node.text if node.text == said[:80] else ""
+            if len(said) > 80:
+                said = hashlib.md5(said.encode("utf-8", "surrogatepass")).hexdigest()
+            node.text = said if node.text is None else node.text if node.text == said else ""
     while path:
         fold(path.pop())
     return root
