@@ -405,3 +405,11 @@ def test_slots_compare_whole_texts():
     pages = [f"<body><div>{'x' * 90} {end}</div><p>{'y' * 90}</p></body>" for end in ("one", "two")]
     w = html_extract.align(*map(html_extract.page_tree, pages))
     assert html_extract.slots(w).varied == {"/body/div"}
+
+
+def test_url_rules_beyond_the_filters(spark):
+    urls = ["http://Example.ORG/en/12?x", "https://a.example.org/es/1", "http://org/", "http://x.org", "http://b.com/de/#t", "no scheme", None, "x://a.com/fr/b", "x://a.com/fr/b"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = url_filter.default_rules(spark).union(spark.createDataFrame([("a.com/fr/", None), (None, "block")], "rule string, action string"))
+    small, large = (sorted(map(str, url_filter.judge_urls(pages, rules, most_bytes=n).collect())) for n in (10, url_filter.MOST_BYTES))
+    assert small == large and len(small) == len(urls)

@@ -73,6 +73,10 @@ def build_level(keys: DataFrame, n: int, seed: int) -> Level:
     return Level(bits, table, seed)
 
 
+class TooLarge(ValueError):
+    """The filters would be larger than their bound."""
+
+
 class Cascade(NamedTuple):
     levels: list[Level]
 
@@ -87,7 +91,7 @@ class Cascade(NamedTuple):
 def build_cascade(listed: DataFrame, universe: DataFrame, most_bytes: int = MOST_BYTES) -> Cascade:
     """The cascade of `listed` (key) over `universe` (key); both may repeat keys and hold nulls, which are ignored.
 
-    Raises ValueError where the filters would be larger than `most_bytes`; `by_join` is the way for such lists.
+    Raises TooLarge, a ValueError, where the filters would be larger than `most_bytes`; `by_join` is the way for such lists.
     """
     inside = materialize(listed.select(F.col("key").cast("string")).where("key is not null").distinct(), "listed")
     outside = None
@@ -98,7 +102,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, most_bytes: int = MOST
         if not n and levels:
             return Cascade(levels)
         if sum(len(x.words) * 8 for x in levels) + n * BITS_PER_KEY // 4 > most_bytes:
-            raise ValueError("the listed keys need larger filters than most_bytes; use by_join")
+            raise TooLarge("the listed keys need larger filters than most_bytes; use by_join")
         level = build_level(keys, n, len(levels) + 1)
         levels.append(level)
         if outside is None:
@@ -110,12 +114,12 @@ def build_cascade(listed: DataFrame, universe: DataFrame, most_bytes: int = MOST
         # The next level encodes what this one passed wrongly; after it, the keys of this level are tested again.
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", most_bytes: int = MOST_BYTES) -> DataFrame:
     """(id, host, path, rule, verdict) for each row of `pages`.
 
     `rules` has `rule` (domain followed by a path prefix) and `action`. A rule fits its domain and all subdomains where the
     path starts with its own; the longest fitting rule gives the verdict, and urls without one get `default`. The listed
-    rules are found through the cascade. Null urls and urls without `://` have an empty host and path. Repeated rows and
+    rules are found through the cascade, or by joins where its filters would be larger than `most_bytes`. Null urls and urls without `://` have an empty host and path. Repeated rows and
     null ids stay; other columns are ignored; without rules or pages the result has the same columns.
     """
     spark = pages.sparkSession
@@ -128,8 +132,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     keys = candidate_keys(F.col("host"), F.col("path"), lengths)
     parts = base.select("host", "path").distinct()
     universe = parts.select(F.explode(keys).alias("key"))
-    cascade = build_cascade(known, universe)
-    blocks = build_cascade(known.where("action = 'block'"), universe)
+    try:
+        cascade = build_cascade(known, universe, most_bytes)
+        blocks = build_cascade(known.where("action = 'block'"), universe, most_bytes)
+    except TooLarge:
+        asked = parts.select("host", "path", F.explode(keys).alias("key"))
+        found = by_join(asked, known).join(known, "key").groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), "key", "action")).alias("r"))
+        rule, action = F.col("r")["key"], F.col("r")["action"]
+        verdict = F.when(rule.isNull(), F.lit(default)).otherwise(F.when(action == "block", "block").otherwise("allow"))
+        return base.join(found, ["host", "path"], "left").select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), verdict.alias("verdict"))
     hits = F.filter(keys, cascade.listed)
     longest = F.array_max(F.transform(hits, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))["key"]
     out = base.withColumn("rule", longest)
