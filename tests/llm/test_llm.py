@@ -262,14 +262,66 @@ def test_quality_rules_and_held_out_accuracy(spark, docs):
     assert quality.keep_good(docs, none).columns == docs.columns
 
 
-def test_substring_brute_force(spark):
-    passage = "First long sentence of the shared passage goes on here. Then a second one follows it at once! And a third closes it?"
-    rows = [(1, f"Own start here. {passage} Own end one."), (2, f"Other start.\n{passage}\nOther end two."), (3, "Short. Dull. Tiny. Short. Dull. Tiny."), (4, None), (5, ""), (6, passage), (7, passage + " " + passage), (8, "w " * 60 + "."), (9, "w " * 60 + "."), (None, passage)]
-    got = {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in substring.remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1] == (5, 0, rows[0][1])
-    assert got[2] == (5, 3, "Other start.\nOther end two.")
-    assert got[3][1] == 0 and got[4] == (0, 0, "") and got[5] == (0, 0, "")
-    assert got[6] == (3, 3, "") and got[7][2] == "" and got[8][1] == 0 and got[9] == (1, 1, "") and got[None][2] == passage
+def brute_units(t):
+    """(text of the unit, its words), by a plain loop over the words."""
+    out, part, said = [], [], []
+    for m in re.finditer(rf"^[\x20\x09-\x0D]*{WORD}[\x20\x09-\x0D]*|{WORD}[\x20\x09-\x0D]*", t or ""):
+        word = re.search(WORD, m[0])[0]
+        part.append(m[0])
+        said.append(word)
+        if word[-1] in substring.MARKS or "\n" in m[0][m[0].index(word) :] or len(word) >= substring.LONG:
+            out.append(("".join(part), said))
+            part, said = [], []
+    return [*out, ("".join(part), said)] if said else out
+
+
+def brute_repeats(rows, least=substring.LEAST_WORDS):
+    """(units, removed units, text left) of each id, with every span in one dictionary."""
+    spans, units = collections.defaultdict(list), {i: brute_units(t) for i, t in rows}
+    for i, u in units.items():
+        for a in range(len(u)):
+            said = []
+            for b in range(a, len(u)):
+                said += u[b][1]
+                if len(said) >= least:
+                    spans[tuple(said)].append((i, a, b + 1))
+                    break
+    gone = collections.defaultdict(set)
+    for places in spans.values():
+        for i, a, b in sorted(places)[1:]:
+            gone[i] |= set(range(a, b))
+    return {i: (len(units[i]), len(gone[i]), "".join(p for k, (p, _) in enumerate(units[i]) if k not in gone[i]) if units[i] else t or "") for i, t in rows}
+
+
+def removed(docs, **options):
+    return {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in substring.remove_repeated_passages(docs, **options).collect()}
+
+
+def test_substring_equals_brute_force(spark):
+    rng = random.Random(3)
+    say = lambda word, n: " ".join(f"{word}{i}" for i in range(n)) + rng.choice([". ", ", ", "\n", ";\t", " \n ", "! "])
+    pool = [say(f"ß{i}_", rng.choice([1, 3, 6, 9, 20, 55])) for i in range(25)] + ["extraordinarily", " \n", "\x0b?! ", "日本語日本語日本語日本語 "]
+    rows = [(i, "".join(rng.choices(pool, k=rng.randrange(30)))) for i in range(150)] + [(200, None), (201, " \n "), (202, "Short. Dull. Tiny. " * 8)]
+    # Very long texts: one of many units, one that is a single word, one that is a single unit.
+    rows += [(300, "".join(rng.choices(pool, k=6000))), (301, "x" * 2_500_000), (302, "w " * 400_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone", F.lit("clash")).withColumn("h1", F.lit("clash")).repartition(5)
+    for least in (substring.LEAST_WORDS, 12):
+        assert removed(docs, least_words=least) == brute_repeats(rows, least)
+    assert removed(docs.where("doc_id < 0")) == {}
+    with pytest.raises(ValueError):
+        substring.remove_repeated_passages(docs, least_words=64)
+
+
+def test_substring_finds_a_passage_in_mid_sentence(spark):
+    rng = random.Random(8)
+    own = lambda n: " ".join(f"o{rng.randrange(10**6)}" for _ in range(n))
+    passage = "shared words open it, then a clause goes on and on; it has a fine extraordinarily long word and more of the same kind. Next comes another sentence with its own clause, which is just as dull as the first one was and closes with nothing of note at all, or so it says, and ends here without a mark"
+    line = "This is a fixed line of a licence. It is short, and stays."
+    rows = [(1, f"{own(20)} {passage} {own(20)}. {line}"), (2, f"{own(30)} {passage} {own(9)}. {line}"), (3, f"{line} {own(60)}"), (None, passage), (4, passage), (4, passage)]
+    got = removed(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(passage.split()) > 50 and got[1] == (*got[1][:1], 0, rows[0][1]) and got[3][1] == 0 and got[None][2] == passage
+    assert got[2][1] >= 6 and line in got[2][2] and "another sentence" not in got[2][2]
+    assert got[4] == (got[4][0], got[2][1], got[4][2])  # rows that repeat an id are one occurrence, and lose the same places
 
 
 def brute_pii(t):
@@ -344,35 +396,6 @@ def test_pipeline_links_at_eighty_percent(spark):
     assert {r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect()} == {0, 2}
 
 
-def brute_repeats(rows, counts):
-    """Sentence places of each id that a later occurrence of a run covers; `counts` says which runs count."""
-    runs = collections.defaultdict(list)
-    for i, t in rows:
-        parts = [p.strip() for p in re.findall(substring.SENTENCE, t)]
-        for k in (1, 2, 3):
-            for at in range(len(parts) - k + 1):
-                r = parts[at : at + k]
-                if counts(k, sum(len(p.split()) for p in r)):
-                    runs[tuple(r)].append((i, at))
-    gone = collections.defaultdict(set)
-    for r, places in runs.items():
-        for i, at in sorted(places)[1:]:
-            gone[i] |= set(range(at, at + len(r)))
-    return {i: len(gone[i]) for i, _ in rows}
-
-
-def test_pairs_of_sentences_equal_brute_force(spark):
-    say = lambda word, n: " ".join(f"{word}{i}" for i in range(n)) + ". "
-    two = say("a", 30) + say("b", 29)
-    rows = [(1, "Own words run on " + say("x", 8) + two + say("y", 9)), (2, "Others do so as well " + say("x", 8) + two + "end " + say("y", 9)), (3, say("p", 5) + say("q", 5) + say("r", 5)), (4, say("z", 4) + say("p", 5) + say("q", 5) + say("r", 5))]
-    rng = random.Random(3)
-    pool = [say(f"s{i}_", rng.choice([1, 3, 6, 9, 20, 55])) for i in range(25)]
-    rows += [(i, "".join(rng.choices(pool, k=12))) for i in range(10, 60)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.n_removed for r in substring.remove_repeated_passages(docs, pair_words=12).collect()}
-    assert got == brute_repeats(rows, lambda k, n: n >= (50 if k == 1 else 12)) and got[2] == 2 and got[4] == 3
-
-
 def test_html_text_of_mixed_templates(spark):
     """Pages with and without article on one host, and pages without a url; a title beside the body text."""
     old = "<html><body><div class=box><div class=top>Title {i}</div><section>Same line.</section></div><div class=text><p>Old body text number {i} goes on for long, longer than all else here.</p><p>And more of it {i}.</p></div></body></html>"

@@ -14,10 +14,11 @@ from .mixing import mix_sources
 from .neardup import near_duplicates
 from .pii import find_personal_data
 from .quality import judge_quality
-from .substring import PAIR_WORDS, SENTENCE, remove_repeated_passages
+from .substring import LEAST_WORDS, LONG, remove_repeated_passages
 from .url_filter import default_rules, judge_urls
 from .warc import archive_round_trip
 
+SPACE, SOLID = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,11 +54,6 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_passages(table(spark, sf_dir, "documents"))
 
 
-def op8_substring_dedup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of two sentences of 12 words too, which the SQL of op8_substring_dedup leaves out."""
-    return remove_repeated_passages(table(spark, sf_dir, "documents"), pair_words=PAIR_WORDS)
-
-
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -77,7 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_pii": op9_pii,
     "op10_url_filters": op10_url_filters,
-    "op8_substring_dedup_pairs": op8_substring_dedup_pairs,
 }
 
 ORACLES: dict[str, str] = {
@@ -116,21 +111,19 @@ m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(action, lengt
 SELECT p.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)
 """,
     "op8_substring_dedup": rf"""
-WITH cut AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SENTENCE}') AS parts FROM documents),
-one AS (SELECT doc_id, unnest(parts) AS part, unnest(range(0, len(parts))) AS place FROM cut),
-said AS (SELECT *, regexp_replace(part, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS s,
-  len(regexp_extract_all(part, '[^\x20\x09-\x0D]+')) AS n FROM one WHERE part <> ''),
-ahead AS (SELECT *, lead(s, 1) OVER w AS s1, lead(s, 2) OVER w AS s2, lead(n, 1) OVER w AS n1, lead(n, 2) OVER w AS n2
-  FROM said WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
-runs AS (
-  SELECT doc_id, place, 1 AS k, [s] AS r FROM ahead WHERE n >= 50
-  UNION ALL SELECT doc_id, place, 2, [s, s1] FROM ahead WHERE s1 IS NOT NULL AND n + n1 >= 50
-  UNION ALL SELECT doc_id, place, 3, [s, s1, s2] FROM ahead WHERE s2 IS NOT NULL AND n + n1 + n2 >= 12),
-later AS (SELECT doc_id, place, k FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY doc_id, place) > 1),
-gone AS (SELECT DISTINCT doc_id, unnest(range(place, place + k)) AS place FROM later),
-kept AS (SELECT said.*, gone.place IS NOT NULL AS removed FROM said LEFT JOIN gone ON gone.doc_id = said.doc_id AND gone.place = said.place)
+WITH cut AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SPACE}*{SOLID}+{SPACE}*') AS parts FROM documents),
+one AS (SELECT doc_id, unnest(parts) AS part, unnest(range(0, len(parts))) AS k FROM cut),
+marked AS (SELECT *, regexp_extract(part, '{SOLID}+') AS word, regexp_matches(part, '[.!?,;:]{SPACE}*$|\n{SPACE}*$|{SOLID}{{{LONG},}}') AS ends FROM one),
+numbered AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS unit FROM marked),
+units AS (SELECT doc_id, unit, min(k) AS a, max(k) + 1 AS e, string_agg(part, '' ORDER BY k) AS piece FROM numbered GROUP BY ALL),
+words AS (SELECT doc_id, list(word ORDER BY k) AS ws FROM marked GROUP BY ALL),
+reach AS (SELECT u.doc_id, u.unit, u.a, v.unit AS last, v.e FROM units u ASOF JOIN units v ON u.doc_id = v.doc_id AND u.a + {LEAST_WORDS} <= v.e),
+spans AS (SELECT reach.doc_id, unit, last, array_to_string(list_slice(ws, a + 1, e), ' ') AS said FROM reach JOIN words USING (doc_id)),
+later AS (SELECT doc_id, unit, last FROM spans QUALIFY row_number() OVER (PARTITION BY said ORDER BY doc_id, unit) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(unit::BIGINT, last::BIGINT + 1)) AS unit FROM later),
+kept AS (SELECT units.*, gone.unit IS NOT NULL AS removed FROM units LEFT JOIN gone ON gone.doc_id = units.doc_id AND gone.unit = units.unit)
 SELECT d.doc_id, count(k.doc_id)::BIGINT AS n_sentences, coalesce(sum(k.removed::INT), 0)::BIGINT AS n_removed,
-  coalesce(string_agg(k.part, '' ORDER BY k.place) FILTER (WHERE NOT k.removed), '') AS text
+  CASE WHEN count(k.doc_id) = 0 THEN coalesce(any_value(d.text), '') ELSE coalesce(string_agg(k.piece, '' ORDER BY k.unit) FILTER (WHERE NOT k.removed), '') END AS text
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id GROUP BY d.doc_id
 """,
 }

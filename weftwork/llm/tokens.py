@@ -24,7 +24,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers = np.ones(1, dtype=np.uint64)
+_BLOCK = 1 << 20
+_powers: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,28 +38,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> np.ndarray:
-    """The first n powers of the multiplier; the table grows when a longer run of bytes comes."""
-    global _powers
-    if len(_powers) < n:
-        grown = np.full(max(n, 2 * len(_powers), 1024), _MULT, dtype=np.uint64)
-        grown[0] = U(1)
-        _powers = np.multiply.accumulate(grown)
-    return _powers[:n]
+def powers(n: int, of: np.uint64 = _MULT) -> np.ndarray:
+    """The first n powers of a multiplier; the table grows when a longer run comes."""
+    known = _powers.get(int(of))
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1024), of, dtype=np.uint64)
+        known[0] = U(1)
+        known = np.multiply.accumulate(known)
+        if n <= _BLOCK:  # what a single very long text needs isn't kept for the life of the worker
+            _powers[int(of)] = known
+    return known[:n]
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, inside: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
     """Hash of each run that begins at starts[i] and reaches to the next start; bytes not `inside` don't count. Another
-    `table` of values for the bytes gives an independent hash."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    begin = np.zeros(len(data), np.int64)
-    begin[starts] = starts
-    place = np.arange(len(data)) - np.maximum.accumulate(begin)
-    place[: starts[0]] = 0
-    terms = table[data] * powers(int(place.max()) + 1)[place]
-    terms[~inside] = U(0)
-    return mix(np.add.reduceat(terms, starts))
+    `table` of values for the bytes gives an independent hash. Works on about a megabyte of whole runs at a time."""
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + _BLOCK)))
+        lo, hi = int(starts[i]), int(starts[j]) if j < len(starts) else len(data)
+        own = starts[i:j] - lo
+        begin = np.zeros(hi - lo, np.int64)
+        begin[own] = own
+        place = np.arange(hi - lo) - np.maximum.accumulate(begin)
+        terms = table[data[lo:hi]] * powers(int(place.max()) + 1)[place]
+        terms[~inside[lo:hi]] = U(0)
+        out[i:j] = mix(np.add.reduceat(terms, own))
+        i = j
+    return out
 
 
 class Chunk(NamedTuple):
