@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,8 +60,9 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert left.columns == docs.columns and left.count() == sum(k for _, _, k in got.values())
 
 
-def test_near_duplicates_chain_of_edits(spark):
-    """A hot bucket whose ends are linked only through its middle."""
+@pytest.mark.parametrize("pivot_rounds", [0, 3])
+def test_near_duplicates_chain_of_edits(spark, pivot_rounds):
+    """A hot bucket whose ends are linked only through its middle; without pivots all links come from rare shingles."""
     rng = random.Random(1)
     words = [f"w{i}" for i in range(150)]
     texts = []
@@ -73,10 +75,41 @@ def test_near_duplicates_chain_of_edits(spark):
         for b in s:
             if a < b and 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b]):
                 up.union(a, b)
-    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), pivot_rounds=pivot_rounds).collect()}
     assert got == {i: up.root(i) for i in s}
 
 
+@pytest.mark.parametrize("percent", [60, 85])
+def test_rare_items_find_every_pair(spark, percent):
+    """Sets of differing sizes, with labels of which one is frequent: all pairs over the threshold with differing labels."""
+    rng = random.Random(percent)
+    base = [[rng.randrange(10**9) for _ in range(rng.choice([3, 20, 60]))] for _ in range(8)]
+    own = {}
+    for i in range(160):
+        items = [x if rng.random() < 0.94 else rng.randrange(10**9) for x in base[i % 8]]
+        own[i] = sorted(set(items[: len(items) - rng.randrange(3)]) | {rng.randrange(30)})
+    label = {i: 0 if rng.random() < 0.6 else rng.randrange(160) for i in own}
+    sets_ = spark.createDataFrame(list(own.items()), "id long, items array<long>")
+    left = spark.createDataFrame([(i, len(x), len(x), label[i]) for i, x in own.items()], "id long, n long, s long, label long")
+    pairs = neardup.rare_item_pairs(left, sets_, percent)
+    got = {(r.a, r.b) for r in neardup.verify(pairs, sets_, percent).collect()}
+    both = lambda a, b: (len(set(own[a]) & set(own[b])), len(set(own[a]) | set(own[b])))
+    want = {(a, b) for a in own for b in range(a) if label[a] != label[b] and 100 * both(a, b)[0] >= percent * both(a, b)[1]}
+    assert got == want and len(want) > 20
+
+
+def test_near_duplicates_repeated_rows_and_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, text, 2), (5, text, 1), (5, text, 1), (None, text, 1), (None, text, 1), (3, text + " end", 4), (7, "", 1), (7, None, 1), (8, None, 1), (9, "alone here", 1), (9, "alone here too", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, weft_gone int").withColumns({c: F.lit(c) for c in ("WEFT_KEY", "weft_place", "bucket", "__gone", "component_id", "n")})
+    left = neardup.drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted(map(str, left.select("doc_id", "text", "weft_gone").collect())) == sorted(str(pyspark.sql.Row(doc_id=a, text=b, weft_gone=c)) for a, b, c in [rows[i] for i in (3, 4, 5, 6, 7, 8, 9, 10)])
+    group = {r.doc_id: (r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect()}
+    assert group == {3: (3, True), 5: (3, False), 7: (7, True), 8: (8, True), 9: (9, True)}
+    assert neardup.drop_near_duplicates(docs.where("false")).count() == 0
+
+
 def test_super_minhash_estimates_similarity():
     import numpy as np
 
@@ -155,6 +188,27 @@ def test_mixing_equals_brute_force(spark, docs):
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got.values())
 
 
+def test_mixing_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (None, "d e", None), (None, "f", "y"), (2, None, "y"), (3, "g " * 40, "y"), (4, "h " * 7, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(c) for c in ("__copies", "__copy", "weft_copy", "WEFT_KEY", "weft_copies", "weft_part", "size", "h")})
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == len(rows) and [tuple(r) for r in sorted(got, key=str)] == [tuple(r) for r in sorted(mixing.mix_sources(docs.repartition(4)).collect(), key=str)]
+    assert all(r.taken <= 2 * r["size"] for r in got)
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() >= sum(r.copies > 0 for r in got)
+    assert mixing.mixed_documents(docs.where("false")).count() == 0
+
+
+def test_mixing_levels(spark):
+    """Sources that stop at their own sizes one after the other; the targets share the whole budget."""
+    rows = [(i, "w " * n, f"s{k:02}") for i, (k, n) in enumerate((k, 3**k) for k in range(8))]
+    got = {r.doc_id: r for r in mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    total = 1.5 * sum(3**k for k in range(8))
+    assert sum(r.target for r in got.values()) == pytest.approx(total) and all(r.target <= 2 * r["size"] for r in got.values())
+    free = [r.target / (3, 1, 2)[i % 3] for i, r in got.items() if r.target < 2 * r["size"]]
+    assert free and max(free) == pytest.approx(min(free)) and all(2 * r["size"] / (3, 1, 2)[i % 3] <= free[0] + 1e-9 for i, r in got.items() if r.target == 2 * r["size"])
+
+
 def test_mixing_is_native(spark, docs):
     plan = mixing.mix_sources(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -377,13 +431,28 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     labels = spark.read.parquet(f"{d}/labels.parquet")
     good = {r.doc_id for r in quality.judge_quality(docs, labels).where("kept").collect()}
-    unique = {r.doc_id for r in neardup.near_duplicates(docs.where(F.col("doc_id").isin(list(good)))).where("kept").collect()}
+    unique = {r.doc_id for r in neardup.near_duplicates(docs.where(F.col("doc_id").isin(list(good))), percent=pipeline.NEAR_PERCENT).where("kept").collect()}
     rest = pii.redact_personal_data(docs.where(F.col("doc_id").isin(list(unique))))
     copies = {r.doc_id: r.copies for r in mixing.mix_sources(rest).collect() if r.copies}
     got = collections.Counter(r.doc_id for r in pipeline.run(spark, d).collect())
     assert got == copies
 
 
+def test_pipeline_stages_on_odd_tables(spark):
+    """Empty tables, nulls in every column, repeated rows and columns with clashing names go through every stage."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    odd = docs.limit(3).union(docs.limit(3)).union(spark.createDataFrame([(None, None, None, None, None), (-1, "", "en", None, 0), (-2, " \n", None, "x", 1)], docs.schema))
+    odd = odd.withColumns({c: F.lit(c) for c in ("id", "copies", "kept", "gone", "weft_key", "__copy", "h")})
+    for k, (name, stage) in enumerate(pipeline.STAGES):
+        for rows in (odd, odd.where("false")):
+            got = stage(spark, rows, d)
+            assert k == len(pipeline.STAGES) - 1 or got.columns == odd.columns, name
+            n = got.count()
+            assert (n == 0) == (rows is not odd), name
+
+
 def test_pipeline_links_at_eighty_percent(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     words = [f"w{i}" for i in range(100)]

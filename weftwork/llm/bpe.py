@@ -9,11 +9,10 @@ vocabulary entry is that entry. Nothing is trained.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +22,6 @@ SHIFT = 0x100
 GAP = "\u0e3f"
 CACHE_ENTRIES = 200_000
 _to_chars = {b: SHIFT + b for b in range(256)}
-_loaded: dict[bytes, Codec] = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -66,7 +64,8 @@ def serialize_model(ranks: dict[bytes, int]) -> bytes:
 
 
 class Codec:
-    """Encoder and decoder of one model; keeps a bounded cache of pre-tokens."""
+    """Encoder and decoder of one model; keeps a bounded cache of pre-tokens, each with its ids as packed bytes, which are
+    small and nothing for the garbage collector to look through."""
 
     def __init__(self, model: bytes, pattern: str) -> None:
         import regex
@@ -76,13 +75,13 @@ class Codec:
         self.pieces.LoadFromSerializedProto(model)
         self.find = regex.compile(pattern).findall
         n = self.pieces.get_piece_size() - 1
-        self.ids = list(range(n))
+        self.unknown = n
         self.decimal = [str(i) for i in range(n)]
         self.bytes = [self.pieces.id_to_piece(i).encode("utf-16-be")[1::2] for i in range(n)]
         self.whole = {b: i for i, b in enumerate(self.bytes)}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> array:
         parts = self.find(text)
         known = self.cache
         if new := [p for p in set(parts) if p not in known]:
@@ -90,12 +89,12 @@ class Codec:
                 known.clear()
                 new = list(set(parts))
             self.learn(new)
-        return list(chain.from_iterable(map(known.__getitem__, parts)))
+        return array("i", b"".join(map(known.__getitem__, parts)))
 
     def learn(self, parts: list[str], most: int = 20_000) -> None:
         """Encode pre-tokens into the cache. Many go in one call, apart by a character that is in no piece: nothing can
         merge across it, and it comes back as the unknown id."""
-        ids, known, unknown = self.ids, self.cache, len(self.ids)
+        known, unknown = self.cache, self.unknown
         some: list[str] = []
         size = 0
 
@@ -104,13 +103,13 @@ class Codec:
             at = 0
             for p in some:
                 end = found.index(unknown, at)
-                known[p] = tuple(map(ids.__getitem__, found[at:end]))
+                known[p] = array("i", found[at:end]).tobytes()
                 at = end + 1
 
         for p in parts:
             one = self.whole.get(p.encode())
             if one is not None:
-                known[p] = (ids[one],)
+                known[p] = array("i", (one,)).tobytes()
                 continue
             some.append(p)
             size += len(p)
@@ -124,16 +123,6 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
-def codec(model: bytes, pattern: str) -> Codec:
-    """One Codec a worker process and model."""
-    key = hashlib.sha256(model + pattern.encode()).digest()
-    if key not in _loaded:
-        _loaded.clear()
-        gc.disable()  # the cache is many small tuples without cycles; looking through them again and again is most of the time
-        _loaded[key] = Codec(model, pattern)
-    return _loaded[key]
-
-
 def _model(docs: DataFrame, vocabulary: str | None, pattern: str | None):
     if vocabulary is None or pattern is None:
         import public_tokenizers
@@ -161,7 +150,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     schema = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches):
-        c = codec(shared.value, pattern)
+        c = Codec(shared.value, pattern)  # a tenth of a second; it goes with the task, so that the worker is free for others
         return _rows(batches, lambda t: (c.encode(t or ""),), schema)
 
     return _pairs(docs, id_col, text_col).mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
@@ -173,7 +162,7 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str =
     schema = pa.schema([("id", pa.int64()), ("decoded", pa.binary())])
 
     def run(batches):
-        c = codec(shared.value, pattern)
+        c = Codec(shared.value, pattern)
         return _rows(batches, lambda t: (c.decode(t or []),), schema)
 
     rows = encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids"))
@@ -190,7 +179,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches):
-        c = codec(shared.value, pattern)
+        c = Codec(shared.value, pattern)
 
         def digest(text):
             ids = c.encode(text or "")

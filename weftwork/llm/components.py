@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, release
 
 
 class UnionFind:
@@ -62,13 +62,13 @@ def _forest(most_nodes: int):
 def connected_components(edges: DataFrame, most_nodes: int = 1_000_000) -> DataFrame:
     """(node, component) for every node of `edges` (a, b: long): component is the smallest node that can be reached.
 
-    Nulls are ignored, self-loops and repeated edges are harmless, no edges give no rows.
+    Nulls are ignored, self-loops and repeated edges are harmless, no edges give no rows. The result is a table in the shared
+    folder; the tables between are freed.
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null")
-    nodes = materialize(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    labels = materialize(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")), "labels")
     forest = edges.where("a <> b").mapInArrow(_forest(most_nodes), "a long, b long")
     live = materialize(forest.distinct(), "forest")
-    labels = nodes.withColumn("component", F.col("node"))
     while not live.isEmpty():
         both = live.union(live.select("b", "a"))
         hook = both.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("up"))
@@ -76,11 +76,16 @@ def connected_components(edges: DataFrame, most_nodes: int = 1_000_000) -> DataF
         while True:  # pointer jumping: afterwards every node points at its tree's root
             far = hook.select(F.col("x").alias("up"), F.col("up").alias("far"))
             jumped = materialize(hook.join(far, "up").select("x", F.col("far").alias("up"), (F.col("far") != F.col("up")).alias("moved")), "hooks")
-            hook = jumped.select("x", "up")
+            release(hook)
+            hook = jumped
             if jumped.where("moved").isEmpty():
                 break
         step = hook.select(F.col("x").alias("component"), F.col("up").alias("to"))
+        old = labels
         labels = materialize(labels.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
         ends = live.join(hook.select(F.col("x").alias("a"), F.col("up").alias("ra")), "a").join(hook.select(F.col("x").alias("b"), F.col("up").alias("rb")), "b")
-        live = materialize(ends.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "forest")
+        rest = materialize(ends.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "forest")
+        release(old, live, hook)
+        live = rest
+    release(live)
     return labels

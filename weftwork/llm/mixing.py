@@ -13,59 +13,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import fresh_names, materialize, release
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, BUDGET, PASSES, SEED = (3, 1, 2), 1.5, 2, 20240501
 
 
-def running_total(df: DataFrame, order: list[Column], value: str, out: str) -> DataFrame:
-    """`df` with the sum of `value` over all rows up to each, in the order of `order`; written to the shared folder.
+def running_total(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """`df` with, for each value column of `sums`, its sum over all rows up to each in the order of `order`.
 
-    Also adds `__part` and `__place`, the row's range partition and number in it.
+    Also adds `weft_part` and `weft_place`, the row's range partition and number in it. The ranges are a table in the shared
+    folder, which `release` of the result frees.
     """
-    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    spread = materialize(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
-    inside = Window.partitionBy("__part").orderBy(*order)
-    sums = spread.groupBy("__part").agg(F.sum(value).alias("s"))
+    spread = materialize(df.repartitionByRange(*order).withColumn("weft_part", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("weft_part").orderBy(*order)
+    totals = spread.groupBy("weft_part").agg(*[F.sum(v).alias(f"weft_{v}") for v in sums])
     # One row a range partition, so the window and the broadcast are bounded by the number of partitions.
-    before = sums.select("__part", (F.sum("s").over(Window.orderBy("__part")) - F.col("s")).alias("__before"))
-    total = F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    placed = spread.withColumn("__own", total).withColumn("__place", F.row_number().over(inside))
-    return placed.join(F.broadcast(before), "__part").withColumn(out, F.col("__own") + F.col("__before")).drop("__own", "__before")
-
-
+    ahead = Window.orderBy("weft_part")
+    before = totals.select("weft_part", *[(F.sum(f"weft_{v}").over(ahead) - F.col(f"weft_{v}")).alias(f"weft_{v}") for v in sums])
+    placed = spread.withColumn("weft_place", F.row_number().over(inside))
+    for v, out in sums.items():
+        placed = placed.withColumn(out, F.sum(v).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    out = placed.join(F.broadcast(before), "weft_part")
+    for v, name in sums.items():
+        out = out.withColumn(name, F.col(name) + F.col(f"weft_{v}")).drop(f"weft_{v}")
+    out._scratch = spread._scratch
+    return out
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, passes: int = PASSES) -> tuple[DataFrame, float]:
     """(source, source_size, start, weight, target) and the total budget.
 
     Sources are numbered by code point, null last, and take the weights in turn. Targets share `budget` times all sizes by
-    weight; one above `passes` times its source's size stops there and the excess is shared again until none is above.
+    weight; one above `passes` times its source's size stops there and the excess is shared again until none is above. The
+    common level at which that ends follows from one pass over the sources in the order in which they stop.
     """
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = running_total(sums, [F.col("source").asc_nulls_last()], "source_size", "upto")
-    ranked = materialize(running_rank(ranked).select("source", "source_size", (F.col("upto") - F.col("source_size")).alias("start"), "rank"), "sources")
+    order = running_total(sums, [F.col("source").asc_nulls_last()], {"source_size": "upto"})
+    ranked = running_rank(order).select("source", "source_size", (F.col("upto") - F.col("source_size")).alias("start"), "rank")
     weight = F.element_at(F.lit(list(weights)), (F.col("rank") % len(weights) + 1).cast("int"))
-    sources = ranked.withColumn("weight", weight.cast("double"))
-    total = (sources.agg(F.sum("source_size")).first()[0] or 0) * budget
-    level = 0.0
-    while True:  # every turn stops at least one more source; the sums are two numbers
-        cap = F.col("source_size") * passes
-        stopped = F.col("weight") * level >= cap
-        done, free = sources.agg(F.sum(F.when(stopped, cap)), F.sum(F.when(~stopped, F.col("weight")))).first()
-        higher = (total - (done or 0)) / free if free else level
-        if higher <= level:
-            break
-        level = higher
-    return sources.withColumn("target", F.least(F.col("source_size") * float(passes), F.col("weight") * level)), total
+    sources = materialize(ranked.withColumn("weight", weight.cast("double")).withColumn("most", (F.col("source_size") * passes).cast("double")), "sources")
+    release(order)
+    size, shares = sources.agg(F.sum("source_size"), F.sum("weight")).first()
+    total = (size or 0) * budget
+    stops = running_total(sources.select("rank", "weight", "most", (F.col("most") / F.col("weight")).alias("stop")), [F.col("stop"), F.col("rank")], {"weight": "weights", "most": "mosts"})
+    level = (F.lit(float(total)) - (F.col("mosts") - F.col("most"))) / (F.lit(float(shares or 0)) - (F.col("weights") - F.col("weight")))
+    found = stops.withColumn("level", level).agg(F.min(F.when(F.col("level") <= F.col("stop"), F.struct("stop", "rank", "level"))).alias("first"), F.max("stop").alias("last")).first()
+    release(stops)
+    at = found["first"]["level"] if found["first"] is not None else found["last"] or 0.0
+    out = sources.withColumn("target", F.least("most", F.col("weight") * at)).drop("most")
+    out._scratch = sources._scratch
+    return out, total
 
 
 def running_rank(ranked: DataFrame) -> DataFrame:
     """The 0-based number of each row in the order of a running total."""
-    counts = ranked.groupBy("__part").agg(F.count("*").alias("c"))
-    before = counts.select("__part", (F.sum("c").over(Window.orderBy("__part")) - F.col("c")).alias("skip"))
-    return ranked.join(F.broadcast(before), "__part").withColumn("rank", F.col("__place") - 1 + F.col("skip"))
+    counts = ranked.groupBy("weft_part").agg(F.count("*").alias("c"))
+    before = counts.select("weft_part", (F.sum("c").over(Window.orderBy("weft_part")) - F.col("c")).alias("skip"))
+    return ranked.join(F.broadcast(before), "weft_part").withColumn("rank", F.col("weft_place") - 1 + F.col("skip"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, passes: int = PASSES, seed: int = SEED) -> DataFrame:
@@ -74,15 +79,18 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     `size` counts the words of the whole text (null: 0), `taken` the words that the mix takes with repeats, `copies` how
     often the document occurs in it, at most `passes` times. A source ends within one document of its target. Documents
     without words take none, and occur as their place in the queue says. Null sources are one source, after all others;
-    rows that repeat an id count as documents of their own; an empty table gives no rows. Reruns agree.
+    rows that repeat an id count as documents of their own, told apart by their size and otherwise alike, so that equal rows
+    take the mix's places in any order; rows with a null id count as documents too. An empty table gives no rows. Other
+    columns are ignored, whatever their names. Reruns agree.
     """
     sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)).cast("long"), F.lit(0)).cast("long").alias("size")), "sizes")
-    sized = sized.withColumn("h", F.xxhash64("id", F.lit(seed)))
-    sources, total = source_targets(sized, weights, budget, passes)
-    queued = running_total(sized, [F.col("source").asc_nulls_last(), F.col("h"), F.col("id"), F.col("size")], "size", "upto").drop("__part", "__place")
+    hashed = sized.withColumn("h", F.xxhash64("id", F.lit(seed)))
+    sources, total = source_targets(hashed, weights, budget, passes)
+    line = running_total(hashed, [F.col("source").asc_nulls_last(), F.col("h"), F.col("id"), F.col("size")], {"size": "upto"})
     named = sources.withColumnRenamed("source", "of")
-    queued = queued.join(named, F.col("source").eqNullSafe(F.col("of"))).withColumn("upto", F.col("upto") - F.col("start"))
+    queued = line.join(named.hint("merge"), F.col("source").eqNullSafe(F.col("of"))).withColumn("upto", F.col("upto") - F.col("start"))
     queued = materialize(queued.select("id", "h", "size", "upto", "source_size", "weight", "target"), "queue")
+    release(sized, sources, line)
 
     def tag(turn: int | Column) -> Column:
         """What the mix is sorted by: finish time, then hash, id and pass."""
@@ -91,7 +99,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     turns = queued.withColumn("turn", F.explode(F.array(*[F.lit(i) for i in range(passes)]))).select("size", tag(F.col("turn")).alias("tag"))
     fields = [F.col(f"tag.{c}") for c in ("finish", "h", "id", "turn")]
-    last = running_total(turns, fields, "size", "upto").where(F.col("upto") <= F.lit(total)).agg(F.max("tag").alias("last")).first()["last"]
+    mix = running_total(turns, fields, {"size": "upto"})
+    last = mix.where(F.col("upto") <= F.lit(total)).agg(F.max("tag").alias("last")).first()["last"]
+    release(mix)
     if last is None:
         copies = F.lit(0)
     else:
@@ -102,8 +112,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it. Of rows that repeat an id each occurs as often as the one
-    that is taken most; rows with a null id count as one id."""
-    verdict = mix_sources(docs, id_col, **options).groupBy(F.col(id_col).alias("__id")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    rows = docs.join(verdict, docs[id_col].eqNullSafe(F.col("__id")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    """The rows of `docs`, each as often as the mix takes it.
+
+    Of rows that repeat an id each occurs as often as the one that is taken most; rows with a null id count as one id.
+    Columns may have any names and come back as they are; an empty table stays empty.
+    """
+    key, copies, copy = fresh_names(docs, "weft_key", "weft_copies", "weft_copy")
+    verdict = mix_sources(docs, id_col, **options).groupBy(F.col(id_col).alias(key)).agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
+    # The same join at every size: texts are moved once, in proportion.
+    rows = docs.join(verdict.hint("merge"), F.col(id_col).eqNullSafe(F.col(key)))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(key, copies, copy)
