@@ -3,7 +3,7 @@
 Features are word unigrams and bigrams and character trigrams and pentagrams (over A-Z as a-z and 0-9 as 0) of the whole
 text, hashed to 2^16 columns with a sign; each group of n-grams has its counts damped (sign(c) * log(1 + |c|)) and scaled
 to unit length, so that long texts weigh no more than short ones. The model is fitted on a sample of labelled rows of
-bounded size, chosen by a hash of the id; a third of it is held out for calibration by Platt's method. A document is
+bounded size in rows and bytes, chosen by a hash of the id; a third of it is held out for calibration by Platt's method. A document is
 rejected where its calibrated probability of low quality is above a fixed threshold.
 """
 
@@ -14,14 +14,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import materialize, release
 from .tokens import _LOWER, _SPACE, U, Chunk, chunks, mix, run_hashes, windows, words
 
 DIMENSIONS = 1 << 16
-#: Most labelled rows of each class that the model is fitted on, and the lowest probability of low quality that rejects.
-SAMPLE_A_CLASS, REJECT_ABOVE = 1500, 0.7
+#: Most labelled rows of each class that the model is fitted on, and most feature entries that these may have together.
+SAMPLE_A_CLASS, ENTRIES_A_CLASS = 1500, 12_000_000
+#: The lowest calibrated probability of low quality that rejects.
+REJECT_ABOVE = 0.7
 LEAST_WORDS = 50
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -133,26 +136,40 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], low: np.ndarray, held: np.ndarray, rounds: int = 200, rate: float = 2.0, l2: float = 1e-4) -> Model:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], low: np.ndarray, held: np.ndarray, rounds: int = 200, rate: float = 2.0, l2: float = 1e-4, block: int = 1 << 19) -> Model:
     """Full-batch logistic regression with classes of equal weight, then Platt calibration on the held-out rows.
 
-    Classes of which either part holds none give a model that rejects nothing.
+    `rows` holds (columns, values) of each row, and is emptied: entries are packed into blocks of about `block`, so that the
+    working arrays of a round stay small. Classes of which either part holds none give a model that rejects nothing.
     """
     train = ~held
     if min(int((low & train).sum()), int((~low & train).sum())) == 0:
         return Model(np.zeros(DIMENSIONS, np.float32), 0.0, 0.0, -40.0)
-    owner = np.repeat(np.arange(len(rows)), [len(c) for c, _ in rows])
-    column = np.concatenate([c for c, _ in rows])
-    value = np.concatenate([v for _, v in rows]).astype(np.float64)
+    n, packs, i = len(rows), [], 0
+    while i < n:
+        j, held_entries = i, 0
+        while j < n and (j == i or held_entries + len(rows[j][0]) <= block):
+            held_entries += len(rows[j][0])
+            j += 1
+        owner = np.repeat(np.arange(j - i, dtype=np.int32), [len(c) for c, _ in rows[i:j]])
+        packs.append((i, j, owner, np.concatenate([c for c, _ in rows[i:j]]).astype(np.uint16), np.concatenate([v for _, v in rows[i:j]]).astype(np.float32)))
+        rows[i:j] = [(np.zeros(0), np.zeros(0))] * (j - i)
+        i = j
+
+    def scores(w: np.ndarray, b: float) -> np.ndarray:
+        return np.concatenate([np.bincount(owner, w[column] * value, minlength=j - i) for i, j, owner, column, value in packs]) + b
+
     weight = np.where(low, 0.5 / max(1, (low & train).sum()), 0.5 / max(1, (~low & train).sum())) * train
     w, b, speed, pull = np.zeros(DIMENSIONS), 0.0, np.zeros(DIMENSIONS), 0.0
     for _ in range(rounds):
-        z = np.bincount(owner, w[column] * value, minlength=len(rows)) + b
-        error = (_sigmoid(z) - low) * weight
-        speed = 0.9 * speed - rate * (np.bincount(column, error[owner] * value, minlength=DIMENSIONS) + l2 * w)
+        error = (_sigmoid(scores(w, b)) - low) * weight
+        slope = l2 * w
+        for i, j, owner, column, value in packs:
+            slope += np.bincount(column, error[i:j][owner] * value, minlength=DIMENSIONS)
+        speed = 0.9 * speed - rate * slope
         pull = 0.9 * pull - rate * error.sum()
         w, b = w + speed, b + pull
-    z = np.bincount(owner, w[column] * value, minlength=len(rows)) + b
+    z = scores(w, b)
     part = held if min((low & held).sum(), (~low & held).sum()) > 0 else train
     n1, n0 = (low & part).sum(), (~low & part).sum()
     goal = np.where(low, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))[part]
@@ -175,33 +192,41 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.searchsorted(doc[order], np.arange(len(c.rows) + 1)).astype(np.int32)
             take = pa.array(c.rows)
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (column[order].astype(np.int32), value[order].astype(np.float32))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *lists], names=["id", "low", "columns", "values"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in (0, 1, 3)), pa.array(np.diff(ends)), *lists], names=["id", "low", "print", "n", "columns", "values"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_A_CLASS) -> Model:
-    """Fit on at most `sample` labelled rows of each class: those with the smallest hashes of their ids.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_A_CLASS, entries: int = ENTRIES_A_CLASS) -> Model:
+    """Fit on at most `sample` labelled rows of each class, those with the smallest hashes of their ids, as far as they have
+    `entries` feature entries together (12 bytes each on the driver while they arrive, 10 in the fit).
 
-    A label of 0 is low quality; null labels and labelled ids without a document are ignored. The sample and its features
-    are all that comes to the driver.
+    A label of 0 is low quality; of labels that repeat an id the lowest counts, and of documents that repeat one the one
+    whose text has the smallest hash. Null labels and labelled ids without a document are ignored. The sample and its
+    features are all that comes to the driver.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), (F.col(label_col) == 0).alias("low")).dropDuplicates(["id"])
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg((F.min(label_col) == 0).alias("low"))
     picked = None
     for low in (True, False):
         part = known.where(F.col("low") == low).orderBy(F.xxhash64("id", F.lit(11)), "id").limit(sample)
         picked = part if picked is None else picked.union(part)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # Broadcast: at most 2 * sample ids.
-    rows = texts.join(F.broadcast(picked), "id").select("id", "low", "text").mapInArrow(_featurize, "id long, low boolean, columns array<int>, values array<float>")
+    rows = texts.join(F.broadcast(picked), "id").select("id", "low", "text", F.xxhash64("text").alias("print"))
+    rows = materialize(rows.mapInArrow(_featurize, "id long, low boolean, print long, n int, columns array<int>, values array<float>"), "features")
+    sizes = rows.groupBy("id", "low").agg(F.min(F.struct("print", "n")).alias("one"))  # at most 2 * sample rows from here on
+    upto = F.sum("one.n").over(Window.partitionBy("low").orderBy(F.xxhash64("id", F.lit(11)), "id"))
+    wanted = sizes.withColumn("upto", upto).where(F.col("upto") <= entries).select("id", F.col("one.print").alias("print"))
     got = {}
-    for r in rows.toArrow().to_batches():
+    for r in rows.join(F.broadcast(wanted), ["id", "print"]).select("id", "low", "columns", "values").toArrow().to_batches():
         ids, low = r.column(0).to_pylist(), r.column(1).to_pylist()
-        for i, k in enumerate(ids):
-            got[k] = (low[i], r.column(2)[i].values.to_numpy(), r.column(3)[i].values.to_numpy())
+        for i, k in enumerate(ids):  # equal rows of one id have equal features
+            got[k] = (low[i], r.column(2)[i].values.to_numpy().astype(np.uint16), r.column(3)[i].values.to_numpy().copy())
+    release(rows)
     ids = sorted(got)
     if not ids:
         return Model(np.zeros(DIMENSIONS, np.float32), 0.0, 0.0, -40.0)
     held = mix(np.array(ids, np.int64).view(np.uint64)) % U(3) == 0
-    return fit([got[k][1:] for k in ids], np.array([got[k][0] for k in ids]), held)
+    low = np.array([got[k][0] for k in ids])
+    return fit([got.pop(k)[1:] for k in ids], low, held)
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -233,7 +258,12 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that pass; as the verdict depends on the text alone, rows are judged in place, without a join."""
+    """The rows of `docs` that pass; as the verdict depends on the text alone, rows are judged in place, without a join.
+
+    Null, empty and blank texts have no words and go; repeated rows and rows with a null id are judged like all others; every
+    column stays as it is, whatever its name; an empty table stays empty. Without labels of both classes only the base
+    rules reject.
+    """
     reject = options.pop("reject_above", REJECT_ABOVE)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, text_col=text_col, **options))
 
