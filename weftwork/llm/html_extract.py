@@ -1,30 +1,36 @@
 """Main text of web pages through union-free wrappers that are inferred for each host.
 
-A page is read as a stream of block-level elements and text slots. Pages of a host are aligned one after the other: where
-two streams differ, an element that only one has becomes optional `( )?`, equal neighbours become a repeated group `( )+`,
-and texts that differ become a slot `#`; the result is a union-free regular expression, the host's wrapper. Alignments are
-associative, so every task infers wrappers of its own pages, which are then aligned in two steps; a host that holds most
-pages only brings one small wrapper from each task. The article is found on each page by article or main, or else by where
-the page's text is; class words mark what is left out. The wrapper says which slots hold the same text on several pages or
-are mostly links.
+A page is read as a stream of block-level elements, keyed by tag and class tokens, and text tokens. Its own stream is folded
+first: neighbours that repeat, single or in groups, become one repeated group `( )+`. The distinct folded streams of a host
+are then aligned in a fixed order, where an element that only one has becomes optional `( )?`; the result is a union-free
+regular expression, the host's wrapper. Text tokens are aligned by value over the whole host: a text at one place on nearly
+all of its pages belongs to the template (`T`), other places are slots (`#`) of which the wrapper says whether they hold the
+same text everywhere or mostly links. All of this is counted over distinct pages and merged in an order that the data alone
+fix, so that the result doesn't depend on the partitioning.
+
+On a page, slots inside article or main are the article, or else those of the element that holds the page's text, with slots
+beside it that vary from page to page; template text is left out. Tags and class words only say what is a menu, notice,
+advert, form or comment; inside an article a class counts only where a whole token says so. A host with a single page has no
+template text and all its slots vary, so that its page is read by tags, class words and density alone.
 """
 
 from __future__ import annotations
 
-import difflib
 import hashlib
 import html
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import groupby
 from typing import NamedTuple
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, release
 from .url_filter import host_and_path
 
 # Fixed values of HTML.
@@ -55,25 +61,51 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: A text is template where at least so many distinct pages of a host, and this share of them, have it at one place.
+TEMPLATE_PAGES, TEMPLATE_SHARE = 5, 0.9
+#: What a wrapper says of a place counts from so many distinct pages on, and from this share of the host's pages.
+SLOT_PAGES, SLOT_SHARE = 2, 0.01
+#: Longest repeated group of elements, salts of the first alignment step, and bytes of all wrappers up to which they are
+#: shared with every task; larger ones are joined to the pages.
+GROUP, SALTS, SHARED_BYTES = 8, 64, 32 << 20
 
 
+@lru_cache(4096)
 def symbol(name: str, attrs: str) -> str:
-    """An element's name with the kind of part that its attributes mark, as in `div.ad`."""
-    if attrs and "=" in attrs:
+    """An element's name with the tokens of its class, id and role, digits as 0, as in `div.ad.box`."""
+    tokens: set[str] = set()
+    if "=" in attrs:
         for m in _ATTR.finditer(attrs):
-            for word in _WORD.findall((m[1] or m[2] or m[3] or "").lower()):
-                if word in _HINT:
-                    return f"{name}.{_HINT[word]}"
-    return name
+            tokens.update(re.sub("[0-9]+", "0", (m[1] or m[2] or m[3] or "").lower()).split())
+    return ".".join([name, *sorted(tokens)]) if tokens else name
+
+
+@lru_cache(4096)
+def marks(sym: str) -> tuple[bool, bool]:
+    """Whether class words mark an element as something else than the article: by any word, and by a whole token."""
+    name, _, rest = sym.partition(".")
+    if name in ("body", "html", "article", "main") or not rest:
+        return False, False
+    tokens = rest.split(".")
+    return any(w in _HINT for t in tokens for w in _WORD.findall(t)), any(t in _HINT for t in tokens)
+
+
+@lru_cache(1 << 16)
+def below(path: int, sym: str) -> int:
+    """A 63-bit name for the place of an element of this kind below another place."""
+    return int.from_bytes(hashlib.blake2b(f"{path} {sym}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
 
 
 def read(page: str) -> Iterator[tuple[str, object]]:
     """Events of a page: ("open", symbol), ("close", symbol), ("text", decoded text), ("link", in a link or not)."""
     stack: list[tuple[str, str]] = []
+    count: dict[str, int] = {}  # open elements of each name, so that no tag looks through the stack in vain
 
     def close(to: int) -> Iterator[tuple[str, object]]:
         while len(stack) > to:
-            yield "close", stack.pop()[1]
+            name, sym = stack.pop()
+            count[name] -= 1
+            yield "close", sym
 
     for m in _TOKEN.finditer(page):
         if m["text"] is not None:
@@ -90,158 +122,185 @@ def read(page: str) -> Iterator[tuple[str, object]]:
             yield ("text", " ") if name in ("br", "wbr", "img", "input") else ("break", "")
             continue
         if m["end"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    yield from close(i)
-                    break
+            if count.get(name):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == name:
+                        yield from close(i)
+                        break
             continue
-        if name in CLOSES_P and any(n == "p" for n, _ in stack):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    yield from close(i)
-                    break
-                if stack[i][0] in SCOPE:
-                    break
-        if name in CLOSED_BY:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSED_BY[name]:
-                    yield from close(i)
-                    break
-                if stack[i][0] in SCOPE:
-                    break
-        stack.append((name, symbol(name, m["attrs"])))
+        closed = CLOSED_BY.get(name, frozenset())
+        for names in (("p",) if name in CLOSES_P else (), closed):
+            if any(count.get(n) for n in names):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] in names:
+                        yield from close(i)
+                        break
+                    if stack[i][0] in SCOPE:
+                        break
+        stack.append((name, symbol(name, m["attrs"] or "")))
+        count[name] = count.get(name, 0) + 1
         yield "open", stack[-1][1]
     yield from close(0)
 
 
 class Node:
-    """An element of a wrapper: children in order, whether it is optional or repeated, and what its own slot holds."""
+    """An element of a wrapper, or a repeated group of several (sym is empty): children in order, whether it is optional or
+    repeated, and whether it has text of its own."""
+
+    __slots__ = ("children", "opt", "rep", "sym", "text")
 
-    __slots__ = ("chars", "children", "linked", "opt", "pages", "rep", "sym", "text")
+    def __init__(self, sym: str, children: list[Node] | None = None) -> None:
+        self.sym, self.children, self.opt, self.rep, self.text = sym, children or [], False, False, False
 
-    def __init__(self, sym: str) -> None:
-        self.sym, self.children, self.opt, self.rep = sym, [], False, False
-        self.pages = 1  # how many pages have it, at least
-        self.chars, self.linked, self.text = 0, 0, None  # text: None no slot, "" differing texts, else the one text or its hash
+    def key(self) -> str:
+        return self.sym or "(" + " ".join(c.sym for c in self.children) + ")"
 
-    def dump(self) -> list:
-        return [self.sym, self.opt, self.rep, self.chars, self.linked, self.text, [c.dump() for c in self.children], self.pages]
+    def dump(self) -> str:
+        """One line for each node, parents first: depth, flags and symbol. No nesting, so any depth is fine."""
+        lines, stack = [], [(self, 0)]
+        while stack:
+            n, depth = stack.pop()
+            lines.append(f"{depth} {n.opt + 2 * n.rep + 4 * n.text} {n.sym}")
+            stack += [(c, depth + 1) for c in reversed(n.children)]
+        return "\n".join(lines)
 
     @classmethod
-    def load(cls, x: list) -> Node:
-        n = cls(x[0])
-        n.opt, n.rep, n.chars, n.linked, n.text = x[1:6]
-        n.children = [cls.load(c) for c in x[6]]
-        n.pages = x[7]
-        return n
-
-    def expression(self) -> str:
-        """The wrapper as a union-free regular expression."""
-        inner = ("#" if self.text == "" else "T" if self.text else "") + "".join(c.expression() for c in self.children)
-        out = f"<{self.sym}>{inner}</>"
-        return f"({out})+" if self.rep else f"({out})?" if self.opt else out
-
-
-def page_tree(page: str) -> Node:
-    """The wrapper of one page: its elements, with runs of equal neighbours folded into repeated groups."""
-    root = Node("")
-    path, link = [root], False
-    for kind, value in read(page):
-        if kind == "open":
-            node = Node(value)
-            path[-1].children.append(node)
-            path.append(node)
-        elif kind == "close":
-            if len(path) > 1:
-                fold(path.pop())
-        elif kind == "link":
-            link = bool(value)
-        elif kind == "text" and (words := value.split()):
-            node, said = path[-1], " ".join(words)
-            node.chars += len(said)
-            node.linked += len(said) * link
-            if len(said) > 80:
-                said = hashlib.md5(said.encode("utf-8", "surrogatepass")).hexdigest()
-            node.text = said if node.text is None else node.text if node.text == said else ""
-    while path:
-        fold(path.pop())
-    return root
-
-
-def fold(node: Node) -> None:
-    """Align equal neighbours among the children into one repeated group."""
+    def load(cls, lines: str) -> Node:
+        path: list[Node] = []
+        for line in lines.split("\n"):
+            depth, flags, sym = line.split(" ", 2)
+            n = cls(sym)
+            n.opt, n.rep, n.text = (bool(int(flags) & k) for k in (1, 2, 4))
+            del path[int(depth) :]
+            if path:
+                path[-1].children.append(n)
+            path.append(n)
+        return path[0]
+
+    def expression(self, template: frozenset[int] = frozenset()) -> str:
+        """The wrapper as a union-free regular expression; `template` holds the places with template text."""
+        out, stack = [], [(self, 0, False)]
+        while stack:
+            n, path, done = stack.pop()
+            if done:
+                out.append(("</>" if n.sym else "") + (")" if n.rep or n.opt else "") + ("+" if n.rep else "") + ("?" if n.opt else ""))
+                continue
+            at = below(path, n.sym) if n.sym else path
+            out.append(("(" if n.rep or n.opt else "") + (f"<{n.sym}>" if n.sym else "") + ("T" if at in template else "") + ("#" if n.text else ""))
+            stack.append((n, path, True))
+            stack += [(c, at, False) for c in reversed(n.children)]
+        return "".join(out)
+
+
+def fold(items: list[Node], todo: list[tuple[Node, Node]]) -> list[Node]:
+    """Neighbours that repeat, as one repeated node or group; what has to be aligned for that goes to `todo`. Linear."""
     out: list[Node] = []
-    for c in node.children:
-        if out and out[-1].sym == c.sym:
-            out[-1] = align(out[-1], c, True)
-            out[-1].rep = True
-        else:
-            out.append(c)
-    node.children = out
-
-
-def align(a: Node, b: Node, same_page: bool = False) -> Node:
-    """The least wrapper that covers both: mismatches become optional, differing texts become slots."""
-    out = Node(a.sym)
-    out.opt, out.rep = a.opt or b.opt, a.rep or b.rep
-    out.pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
-    out.chars, out.linked = a.chars + b.chars, a.linked + b.linked
-    out.text = b.text if a.text is None else a.text if b.text is None else a.text if a.text == b.text else ""
-    left, right = [c.sym for c in a.children], [c.sym for c in b.children]
-    if left == right:
-        out.children = [align(x, y, same_page) for x, y in zip(a.children, b.children, strict=True)]
-        return out
-    for op, i, j, k, n in difflib.SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
-        if op == "equal":
-            out.children += [align(x, y, same_page) for x, y in zip(a.children[i:j], b.children[k:n], strict=True)]
+    keys = [n.key() for n in items]
+    i = 0
+    while i < len(items):
+        if out:
+            top = out[-1]
+            if top.key() == keys[i]:
+                todo.append((top, items[i]))
+                top.rep = True
+                i += 1
+                continue
+            m = len(top.children)
+            if not top.sym and [c.sym for c in top.children] == keys[i : i + m]:
+                todo += zip(top.children, items[i : i + m], strict=True)
+                i += m
+                continue
+        p = 0
+        if i + 1 < len(keys) and keys[i] != keys[i + 1]:
+            p = next((p for p in range(2, GROUP + 1) if keys[i : i + p] == keys[i + p : i + 2 * p] and len(keys) >= i + 2 * p and all(n.sym for n in items[i : i + p])), 0)
+        if p:
+            group = Node("", items[i : i + p])
+            group.rep = True
+            out.append(group)
+            i += p
         else:
-            for c in a.children[i:j] + b.children[k:n]:
-                c.opt = True
-                out.children.append(c)
-    fold(out)
+            out.append(items[i])
+            i += 1
     return out
 
 
-def outside(sym: str) -> bool:
-    """Marked as something else than the article."""
-    name, _, hint = sym.partition(".")
-    return bool(hint) and name not in ("body", "html", "article", "main") or name in ASIDE
-
-
-class Slots(NamedTuple):
-    """What a host's wrapper says of its slots, by path."""
-
-    varied: frozenset[str]  # texts differ, or no second page of the host has the slot
-    links: frozenset[str]  # mostly text of links
-
-
-def slots(wrapper: Node) -> Slots:
-    said: dict[str, set[str]] = {}
-    seen: dict[str, list[int]] = {}
+def grouped(items: list[Node], other: list[Node], todo: list[tuple[Node, Node]]) -> list[Node]:
+    """`items` with neighbours that make a repeated group of `other` as such a group."""
+    known = {tuple(c.sym for c in n.children) for n in other if not n.sym}
+    if not known:
+        return items
+    sizes, syms = sorted({len(k) for k in known}, reverse=True), [n.sym for n in items]
+    out: list[Node] = []
+    i = 0
+    while i < len(items):
+        m = next((m for m in sizes if tuple(syms[i : i + m]) in known), 0)
+        out.append(Node("", items[i : i + m]) if m else items[i])
+        i += m or 1
+    return fold(out, todo)
+
+
+def together(left: list[Node], right: list[Node], todo: list[tuple[Node, Node]]) -> list[Node]:
+    """Both lists in one: equal keys are matched in order (each with the next one that is free, after equal ends), the
+    others become optional. Takes n log n steps."""
+    left, right = grouped(left, right, todo), grouped(right, left, todo)
+    a, b = [n.key() for n in left], [n.key() for n in right]
+    lo = 0
+    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    places: dict[str, list[int]] = {}
+    for k in range(lo, len(b) - hi):
+        places.setdefault(b[k], []).append(k)
+    pairs, at = [(k, k) for k in range(lo)], lo
+    for k in range(lo, len(a) - hi):
+        spots = places.get(a[k], ())
+        j = bisect_left(spots, at)
+        if j < len(spots):
+            pairs.append((k, spots[j]))
+            at = spots[j] + 1
+    pairs += [(len(a) - k, len(b) - k) for k in range(hi, 0, -1)]
+    out: list[Node] = []
+    i = j = 0
+    for x, y in [*pairs, (len(a), len(b))]:
+        for n in left[i:x] + right[j:y]:
+            n.opt = True
+            out.append(n)
+        if x < len(a):
+            todo.append((left[x], right[y]))
+            out.append(left[x])
+        i, j = x + 1, y + 1
+    return out
 
-    def walk(node: Node, path: str) -> None:
-        if node.text is not None:
-            said.setdefault(path, set()).add(node.text)
-            at = seen.setdefault(path, [0, 0, 0])
-            at[0], at[1], at[2] = max(at[0], node.pages), at[1] + node.chars, at[2] + node.linked
-        for c in node.children:
-            walk(c, f"{path}/{c.sym}")
 
-    walk(wrapper, "")
-    return Slots(frozenset(p for p, t in said.items() if t != {min(t)} or "" in t or seen[p][0] < 2), frozenset(p for p, (_, n, linked) in seen.items() if linked > 0.5 * n))
+def align(a: Node, b: Node) -> Node:
+    """The least wrapper found that covers both; `a` is changed into it. Works through a list of pairs, without recursion."""
+    todo = [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        x.opt, x.rep, x.text = x.opt or y.opt, x.rep or y.rep, x.text or y.text
+        if y.children:
+            x.children = fold(together(x.children, y.children, todo), todo) if x.children else y.children
+            if x.children is y.children:
+                y.children = []
+    return a
 
 
 class Element:
     """An element of one page, with the text of its own slot and of all below it."""
 
-    __slots__ = ("article", "chars", "deep", "inside", "linked", "name", "parent", "path", "sym")
+    __slots__ = ("article", "chars", "deep", "inside", "linked", "name", "node", "parent", "place", "sym")
 
     def __init__(self, sym: str, parent: Element | None) -> None:
         self.sym, self.parent, self.name = sym, parent, sym.partition(".")[0]
-        self.path = f"{parent.path}/{sym}" if parent else ""
+        self.place = below(parent.place, sym) if parent else 0
         self.inside = self.name in ("article", "main") or parent is not None and parent.inside
         self.article = False  # an article or main lies below
         self.chars, self.linked, self.deep = 0, 0, 0
+        self.node = Node(sym)
+        if parent:
+            parent.node.children.append(self.node)
 
 
 def page_blocks(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
@@ -255,6 +314,7 @@ def page_blocks(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
         if part:
             if said := " ".join("".join(part).split()):
                 blocks.append((at, said))
+                at.node.text = True
             part.clear()
 
     for kind, value in read(page):
@@ -281,12 +341,47 @@ def page_blocks(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
     return elements, blocks
 
 
+def shape(elements: list[Element]) -> Node:
+    """The wrapper of one page: its elements, with repeated neighbours folded from the innermost on."""
+    for e in reversed(elements):
+        todo: list[tuple[Node, Node]] = []
+        e.node.children = fold(e.node.children, todo)
+        for x, y in todo:
+            align(x, y)
+    return elements[0].node
+
+
+class Slots(NamedTuple):
+    """What a host's wrapper says of its places."""
+
+    template: frozenset[tuple[int, int]]  # (place, text): text of the template
+    still: frozenset[int]  # slots with the same text on all pages that have them
+    links: frozenset[int]  # slots of mostly links
+
+
+NOTHING = Slots(frozenset(), frozenset(), frozenset())
+
+
+def text_print(said: str) -> int:
+    return int.from_bytes(hashlib.blake2b(said.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
+
+
+def pruned(e: Element, root: Element) -> bool:
+    """Marked as something else than the article, and not a hinted element or form with most of the page's text outside of
+    links. A header is part of the article that it is in, and there a class counts only as a whole token."""
+    if e.name == "header":
+        return not e.inside
+    if e.name in ASIDE:
+        return e.name != "form" or 2 * e.deep <= root.deep
+    return marks(e.sym)[e.inside] and 2 * e.deep <= root.deep
+
+
 def content(elements: list[Element], known: Slots) -> set[Element]:
     """The elements whose slots hold the article of a page.
 
     Those inside article or main where the page itself has text there. Else those of the smallest element that has most of
     the page's text outside of links, without slots that are mostly links here and over the host, and the slots beside it
-    whose text isn't the same on several pages of the host. Parts that are marked as something else are left out.
+    whose text isn't the same on all pages of the host. Parts that are marked as something else are left out.
     """
     for around in (False, True):  # an article in a marked part, such as a comment, counts where there is no other
         ok: set[Element] = set()
@@ -306,91 +401,140 @@ def content(elements: list[Element], known: Slots) -> set[Element]:
     for e in spots:
         if held[best] and held[e] >= 0.6 * held[spots[0]] and e.name in ("body", "div", "section", "td", "center", "form"):
             best = e
-    own: dict[str, list[int]] = {}
+    own: dict[int, list[int]] = {}
     for e in spots:
-        at = own.setdefault(e.path, [0, 0])
+        at = own.setdefault(e.place, [0, 0])
         at[0], at[1] = at[0] + e.chars, at[1] + e.linked
     under: set[Element] = set()
     out: set[Element] = set()
     for e in spots:
         if e is best or e.parent in under:
             under.add(e)
-        links = own[e.path][1] > 0.5 * own[e.path][0]
-        if not links or e in under and e.path not in known.links:
-            if e in under or e.path in known.varied:
+        links = own[e.place][1] > 0.5 * own[e.place][0]
+        if not links or e in under and e.place not in known.links:
+            if e in under or e.place not in known.still:
                 out.add(e)
     return out
 
 
-def pruned(e: Element, root: Element) -> bool:
-    """Marked as something else than the article, and not a hinted element or form with most of the page's text outside of
-    links. A header is part of the article that it is in."""
-    if e.name == "header":
-        return not e.inside
-    return outside(e.sym) and not ((e.name == "form" or e.name not in ASIDE) and 2 * e.deep > root.deep)
-
-
-def extract(page: str, known: Slots) -> str:
+def extract(page: str, known: Slots = NOTHING) -> str:
     """The article's text: blocks in page order, one line each, white space inside a block as one space."""
     elements, blocks = page_blocks(page)
     wanted = content(elements, known)
-    return "\n".join(said for e, said in blocks if e in wanted)
+    return "\n".join(said for e, said in blocks if e in wanted and not (known.template and (e.place, text_print(said)) in known.template))
 
 
-def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[str, Node] = {}
+_SEEN = pa.schema([("host", pa.string()), ("page", pa.int64()), ("shape", pa.string()), ("place", pa.int64()), ("text", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64())])
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(n.dump()) for n in found.values()], pa.string())], names=["host", "wrapper"])
 
+def _see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each page a row with its folded stream, and one for each text token at each place."""
     for batch in batches:
+        rows: list[tuple] = []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            tree = page_tree(page.as_py())
-            found[host] = align(found[host], tree) if host in found else tree
-        if len(found) > 5000:  # bounded memory: hand on what there is
-            yield out()
-            found = {}
-    yield out()
-
-
-def _align_group(rows: pd.DataFrame) -> pd.DataFrame:
-    wrapper = None
-    for x in sorted(rows["wrapper"]):
-        node = Node.load(json.loads(x))
-        wrapper = node if wrapper is None else align(wrapper, node)
-    return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(wrapper.dump())]})
-
-
-def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", salts: int = 32) -> DataFrame:
-    """(host, wrapper): one wrapper, as JSON, for each host of `pages`. Null urls count as an empty host, null html as empty."""
+            page = page.as_py()
+            elements, blocks = page_blocks(page)
+            print_ = text_print(page)
+            tokens: dict[tuple[int, int], tuple] = {}
+            for e, said in blocks:
+                share = e.linked / max(1, e.chars)
+                tokens.setdefault((e.place, t := text_print(said)), (host, print_, None, e.place, t, len(said), round(share * len(said))))
+            rows += tokens.values()
+            rows.append((host, print_, shape(elements).dump(), None, None, None, None))
+            if len(rows) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SEEN.types, strict=True)], schema=_SEEN)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SEEN.types, strict=True)], schema=_SEEN)
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One wrapper for each run of rows with one (host, salt), which come in order; holds one wrapper at a time."""
+    rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+    for (host, salt), group in groupby(rows, key=lambda r: r[:2]):
+        wrapper = None
+        for _, _, lines in group:
+            node = Node.load(lines)
+            wrapper = node if wrapper is None else align(wrapper, node)
+        yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([salt], pa.int64()), pa.array([wrapper.dump()], pa.string())], names=["host", "salt", "shape"])
+
+
+def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, shape, template, still, links): the wrapper of each host of `pages`, written.
+
+    `shape` is the expression's tree (`Node.load`), `template` lists (place, text) of template texts, `still` and `links` the
+    places of slots with one text and of mostly links. Pages that are equal count once. Null urls and urls without a host
+    count as an empty host, null html as empty. Counts are pre-aggregated; the shapes of a host are aligned by salts of their
+    hash first, so that a hot host is spread; lists hold places on 1 % of a host's pages or more, which bounds them.
+    """
     rows = pages.select(host_and_path(F.col(url_col).cast("string"))[0].alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    parts = rows.mapInArrow(_infer, "host string, wrapper string").distinct()
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)))
-    some = salted.groupBy("host", "salt").applyInPandas(_align_group, "host string, wrapper string")
-    return some.groupBy("host").applyInPandas(_align_group, "host string, wrapper string")
+    spec = "host string, page long, shape string, place long, text long, chars long, linked long"
+    seen = materialize(rows.mapInArrow(_see, spec), "tokens")
+    shapes = seen.where("shape is not null")
+    size = materialize(shapes.groupBy("host", "page").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("size")), "hosts")
+    aligned = shapes.groupBy("host", "shape").agg(F.lit(1)).select("host", F.pmod(F.xxhash64("shape"), F.lit(SALTS)).alias("salt"), "shape")
+    aligned = aligned.repartition("host", "salt").sortWithinPartitions("host", "salt", "shape").mapInArrow(_align, "host string, salt long, shape string")
+    aligned = aligned.repartition("host").sortWithinPartitions("host", "salt").select("host", F.lit(0).cast("long").alias("salt"), "shape").mapInArrow(_align, "host string, salt long, shape string")
+    tokens = seen.where("place is not null").groupBy("host", "place", "text", "page").agg(F.max("chars").alias("chars"), F.max("linked").alias("linked"))
+    texts = materialize(tokens.groupBy("host", "place", "text").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")), "texts")
+    least = F.greatest(F.lit(TEMPLATE_PAGES), F.ceil(F.col("size") * TEMPLATE_SHARE))
+    template = texts.where(F.col("pages") >= TEMPLATE_PAGES).join(size, "host").where(F.col("pages") >= least)
+    template = template.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("template"))
+    # A page may have several texts at one place, so pages are counted as at least those of the most frequent text.
+    places = texts.groupBy("host", "place").agg(F.count("*").alias("texts"), F.max("pages").alias("same"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    still, links = (F.col("texts") == 1) & (F.col("same") >= SLOT_PAGES), 2 * F.col("linked") > F.col("chars")
+    places = places.where(still | links).join(size, "host").where(F.col("pages") >= F.col("size") * SLOT_SHARE)
+    places = places.groupBy("host").agg(F.sort_array(F.collect_set(F.when(still, F.col("place")))).alias("still"), F.sort_array(F.collect_set(F.when(links, F.col("place")))).alias("links"))
+    out = materialize(aligned.select("host", "shape").join(template, "host", "left").join(places, "host", "left"), "wrappers")
+    release(seen, size, texts)
+    return out
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, Slots] = {}
-    for batch in batches:
-        texts = []
-        for page, wrapper in zip(batch.column(2), batch.column(3), strict=True):
-            w = wrapper.as_py()
-            if w not in known:
-                if len(known) > 2000:
-                    known.clear()
-                known[w] = slots(Node.load(json.loads(w)))
-            texts.append(extract(page.as_py(), known[w]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
-
-
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def slots_of(wrapper: str) -> Slots:
+    """What a wrapper, as JSON of its row, says of the places that its expression has."""
+    w = json.loads(wrapper)
+    known: set[int] = set()
+    stack = [(Node.load(w["shape"]), None)]
+    while stack:
+        n, path = stack.pop()
+        at = 0 if path is None else below(path, n.sym) if n.sym else path
+        if n.text:
+            known.add(at)
+        stack += [(c, at) for c in n.children]
+    template = frozenset((x["place"], x["text"]) for x in w.get("template") or () if x["place"] in known)
+    return Slots(template, frozenset(w.get("still") or ()) & known, frozenset(w.get("links") or ()) & known)
+
+
+def _extract(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wrappers = shared.value if shared is not None else None
+        known: dict[str, Slots] = {}
+        for batch in batches:
+            texts = []
+            for page, w in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
+                if w not in known:
+                    if len(known) > 2000:
+                        known.clear()
+                    known[w] = slots_of(w if wrappers is None else wrappers[w])
+                texts.append(extract(page.as_py(), known[w]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
+
+    return run
+
+
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shared_bytes: int = SHARED_BYTES) -> DataFrame:
     """(id, url, text, n_chars) for each row of `pages`: the article's blocks, joined by line ends; empty if there is none.
 
-    Null html counts as empty. Repeated rows and null ids stay; other columns are ignored; an empty table gives no rows.
+    Null html counts as empty. Repeated rows and null ids stay; other columns are ignored, whatever their names; an empty
+    table gives no rows. Pages of any depth and length are read whole, in time that grows with their length. Wrappers of up
+    to `shared_bytes` together are sent to every task; beyond that each page is joined with its host's.
     """
-    wrappers = materialize(infer_wrappers(pages, url_col, html_col), "wrappers")
+    wrappers = infer_wrappers(pages, url_col, html_col).select("host", F.to_json(F.struct("shape", "template", "still", "links")).alias("wrapper"))
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), host_and_path(url)[0].alias("host"))
-    both = rows.join(wrappers, "host").select("id", "url", "html", "wrapper")
-    return both.mapInArrow(_extract, "id long, url string, text string, n_chars long").withColumnRenamed("id", id_col)
+    shared = None
+    if (wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0) <= shared_bytes:
+        shared = pages.sparkSession.sparkContext.broadcast({r.host: r.wrapper for r in wrappers.collect()})  # size checked
+    else:
+        rows = rows.join(wrappers, "host").select("id", "url", "html", "wrapper")
+    return rows.mapInArrow(_extract(shared), "id long, url string, text string, n_chars long").withColumnRenamed("id", id_col)
