@@ -550,8 +550,34 @@ def test_html_layout_parts_are_not_pruned(page):
 
 
 def test_url_rules_beyond_the_filters(spark):
-    urls = ["http://Example.ORG/en/12?x", "https://a.example.org/es/1", "http://org/", "http://x.org", "http://b.com/de/#t", "no scheme", None, "x://a.com/fr/b", "x://a.com/fr/b"]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    rules = url_filter.default_rules(spark).union(spark.createDataFrame([("a.com/fr/", None), (None, "block")], "rule string, action string"))
+    urls = ["http://Example.ORG/en/12?x", "https://a.example.org/es/1", "http://org/", "http://x.org", "http://b.com/de/#t", "no scheme", None, "x://a.com/fr/b", "x://a.com/fr/b", "x://" + "a." * 3000 + "com/fr/b"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({c: F.lit(c) for c in ("host", "key", "action", "r")})
+    more = [("a.com/fr/", None), (None, "block"), ("x.org", "unknown"), ("b.com/de/", "allow"), ("b.com/de/", "block"), ("b.com/de/", "allow"), ("org/", "allow")]
+    rules = url_filter.default_rules(spark).union(spark.createDataFrame(more, "rule string, action string"))
     small, large = (sorted(map(str, url_filter.judge_urls(pages, rules, most_bytes=n).collect())) for n in (10, url_filter.MOST_BYTES))
     assert small == large and len(small) == len(urls)
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, rules).collect()}
+    assert got[4] == ("b.com/de/", "block") and got[3] == (None, "allow") and got[7] == got[9] == ("com/fr/", "allow")
+    assert url_filter.judge_urls(pages.where("false"), rules).count() == 0
+    bare = url_filter.judge_urls(pages, rules.where("false"), default="block").collect()
+    assert len(bare) == len(urls) and {r.verdict for r in bare} == {"block"}
+
+
+def test_url_rules_are_native_and_many(spark):
+    """A million rules through the cascade, against a dictionary; no Python in the plan."""
+    n = 1_000_000
+    i = F.col("id")
+    rules = spark.range(n).select(F.concat(F.lit("h"), i * 7 % 300_007, F.lit(".org/p"), i % 10).alias("rule"), F.when(i % 3 == 0, "block").otherwise("allow").alias("action"))
+    pages = spark.range(20_000).select(i.alias("page_id"), F.concat(F.lit("http://www.h"), i * 31 % 600_011, F.lit(".org/p"), i % 13, F.lit("/x")).alias("url"))
+    out = url_filter.judge_urls(pages, rules)
+    assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
+    known = {}
+    for k in range(n):
+        rule = f"h{k * 7 % 300_007}.org/p{k % 10}"
+        known[rule] = "block" if k % 3 == 0 else known.get(rule, "allow")
+    got = out.collect()
+    assert len(got) == 20_000 and sum(r.rule is not None for r in got) > 1000
+    for r in got:
+        rule = f"{r.host[4:]}{r.path[:3]}"
+        rule = rule if rule in known else None
+        assert (r.rule, r.verdict) == (rule, known.get(rule, "allow"))

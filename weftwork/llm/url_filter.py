@@ -13,10 +13,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, release
 
 BITS_PER_KEY, HASHES, LEAST_BITS = 12, 4, 256
-#: Size bound of all levels together. The filters travel inside the plan; listed keys beyond about 5 million need `by_join`.
+#: Size bound of all levels together, enough for some 4 million listed keys. The filters travel inside the plan, each level
+#: as one literal; beyond the bound the same keys are looked up by joins.
 MOST_BYTES = 8 << 20
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
@@ -28,15 +29,9 @@ class Level(NamedTuple):
 
     def passes(self, key: Column) -> Column:
         """All of the key's bits are set."""
-        table = F.lit(self.words)
-        tests = []
-        for place in positions(key, self.bits, self.seed):
-            word = F.element_at(table, (F.shiftright(place, 5) + 1).cast("int"))
-            tests.append(F.call_function("shiftright", word, (place % 32).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
-        out = tests[0]
-        for t in tests[1:]:
-            out = out & t
-        return out
+        # One string that is folded into one array literal when the plan is optimised.
+        table = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
+        return F.forall(F.array(*positions(key, self.bits, self.seed)), lambda p: F.getbit(F.element_at(table, (F.shiftright(p, 6) + 1).cast("int")), (p % 64).cast("int")) == 1)
 
 
 def positions(key: Column, bits: int, seed: int) -> list[Column]:
@@ -54,21 +49,23 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Every `domain + path prefix` that could be listed for a url: the host and its parent domains, with each prefix."""
+def candidate_keys(host: Column, path: Column, lengths: list[int], most_labels: int) -> Column:
+    """Every `domain + path prefix` that could be listed for a url: the host and its parent domains of at most `most_labels`
+    labels, with each prefix of a listed length."""
     labels = F.split(host, "\\.", -1)
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    some = F.slice(labels, -F.least(F.size(labels), F.lit(most_labels)), F.least(F.size(labels), F.lit(most_labels)))
+    domains = F.transform(F.sequence(F.lit(1), F.size(some)), lambda i: F.array_join(F.slice(some, i, F.size(some)), "."))
     prefixes = F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths])
     return F.filter(F.flatten(F.transform(domains, lambda d: F.transform(prefixes, lambda p: F.concat(d, p)))), lambda k: k.isNotNull())
 
 
 def build_level(keys: DataFrame, n: int, seed: int) -> Level:
-    """A Bloom filter of the n keys in column `key`, built by aggregating words of 32 bits."""
-    bits = max(LEAST_BITS, -(-n * BITS_PER_KEY // 32) * 32)
+    """A Bloom filter of the n keys in column `key`, built by aggregating words of 64 bits."""
+    bits = max(LEAST_BITS, -(-n * BITS_PER_KEY // 64) * 64)
     places = keys.select(F.explode(F.array(*positions(F.col("key"), bits, seed))).alias("place"))
-    words = places.groupBy(F.shiftright("place", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 32 as int))")).alias("v"))
-    table = [0] * (bits // 32)
-    for word, v in words.collect():  # at most bits / 32 rows, bounded by MOST_BYTES
+    words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("v"))
+    table = [0] * (bits // 64)
+    for word, v in words.collect():  # at most bits / 64 rows, bounded by MOST_BYTES
         table[word] = v
     return Level(bits, table, seed)
 
@@ -94,53 +91,61 @@ def build_cascade(listed: DataFrame, universe: DataFrame, most_bytes: int = MOST
     Raises TooLarge, a ValueError, where the filters would be larger than `most_bytes`; `by_join` is the way for such lists.
     """
     inside = materialize(listed.select(F.col("key").cast("string")).where("key is not null").distinct(), "listed")
-    outside = None
+    other: DataFrame | None = None
     levels: list[Level] = []
     keys = inside
-    while True:
-        n = keys.count()
-        if not n and levels:
-            return Cascade(levels)
-        if sum(len(x.words) * 8 for x in levels) + n * BITS_PER_KEY // 4 > most_bytes:
-            raise TooLarge("the listed keys need larger filters than most_bytes; use by_join")
-        level = build_level(keys, n, len(levels) + 1)
-        levels.append(level)
-        if outside is None:
-            passed = universe.select(F.col("key").cast("string")).where("key is not null").where(level.passes(F.col("key"))).distinct()
-            outside = keys, materialize(passed.join(inside, "key", "left_anti"), "passed")
-        else:
-            outside = keys, materialize(outside[0].where(level.passes(F.col("key"))), "passed")
-        keys = outside[1]
-        # The next level encodes what this one passed wrongly; after it, the keys of this level are tested again.
+    try:
+        while (n := keys.count()) or not levels:
+            if sum(len(x.words) * 8 for x in levels) + n * BITS_PER_KEY // 8 > most_bytes:
+                raise TooLarge("the listed keys need larger filters than most_bytes; use by_join")
+            level = build_level(keys, n, len(levels) + 1)
+            levels.append(level)
+            if other is None:
+                passed = universe.select(F.col("key").cast("string")).where("key is not null").where(level.passes(F.col("key"))).distinct()
+                wrong = materialize(passed.join(inside, "key", "left_anti"), "passed")
+            else:
+                wrong = materialize(other.where(level.passes(F.col("key"))), "passed")
+                release(other)
+            # The next level encodes what this one passed wrongly; after it, the keys of this level are tested again.
+            other, keys = keys, wrong
+        return Cascade(levels)
+    finally:
+        release(inside, other, keys)
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", most_bytes: int = MOST_BYTES) -> DataFrame:
     """(id, host, path, rule, verdict) for each row of `pages`.
 
-    `rules` has `rule` (domain followed by a path prefix) and `action`. A rule fits its domain and all subdomains where the
-    path starts with its own; the longest fitting rule gives the verdict, and urls without one get `default`. The listed
-    rules are found through the cascade, or by joins where its filters would be larger than `most_bytes`. Null urls and urls without `://` have an empty host and path. Repeated rows and
-    null ids stay; other columns are ignored; without rules or pages the result has the same columns.
+    `rules` has `rule` (domain followed by a path prefix) and `action`, allow or block; rows with another action or a null are
+    left out, and a rule that is listed with both blocks. A rule fits its domain and all subdomains where the path starts
+    with its own; the longest fitting rule gives the verdict, and urls without one get `default`. The listed rules are found
+    through the cascade, or by joins where its filters would be larger than `most_bytes`; both give the same rows. Null urls
+    and urls without `://` have an empty host and path. Repeated rows and null ids stay; other columns are ignored, whatever
+    their names; without rules or pages the result has the same columns.
     """
-    spark = pages.sparkSession
     host, path = host_and_path(F.col(url_col).cast("string"))
     base = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    known = rules.select(F.col("rule").cast("string").alias("key"), F.col("action").cast("string").alias("action")).where("key is not null").dropDuplicates(["key"])
-    lengths = [r[0] for r in known.select(F.length(F.regexp_extract("key", r"(?s)^[^/]*(.*)$", 1)).alias("n")).distinct().orderBy("n").collect()]
+    known = rules.select(F.col("rule").cast("string").alias("key"), F.col("action").cast("string").alias("action")).where("key is not null and action in ('allow', 'block')")
+    known = materialize(known.groupBy("key").agg(F.max("action").alias("action")), "rules")
+    domain = F.regexp_extract("key", r"(?s)^[^/]*", 0)
+    # Distinct lengths of listed paths: no more than the longest has characters.
+    lengths = [r[0] for r in known.select((F.length("key") - F.length(domain)).alias("n")).distinct().orderBy("n").collect()]
     if not lengths:
         return base.select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    keys = candidate_keys(F.col("host"), F.col("path"), lengths)
+    most_labels = known.agg(F.max(F.size(F.split(domain, "\\.", -1)))).first()[0]
+    keys = candidate_keys(F.col("host"), F.col("path"), lengths, most_labels)
     parts = base.select("host", "path").distinct()
-    universe = parts.select(F.explode(keys).alias("key"))
     try:
-        cascade = build_cascade(known, universe, most_bytes)
-        blocks = build_cascade(known.where("action = 'block'"), universe, most_bytes)
+        cascade = build_cascade(known, parts.select(F.explode(keys).alias("key")), most_bytes)
+        # Only listed rules are asked whether they block, so these are the second cascade's universe.
+        blocks = build_cascade(known.where("action = 'block'"), known, most_bytes)
     except TooLarge:
         asked = parts.select("host", "path", F.explode(keys).alias("key"))
         found = by_join(asked, known).join(known, "key").groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), "key", "action")).alias("r"))
-        rule, action = F.col("r")["key"], F.col("r")["action"]
-        verdict = F.when(rule.isNull(), F.lit(default)).otherwise(F.when(action == "block", "block").otherwise("allow"))
+        rule = F.col("r")["key"]
+        verdict = F.coalesce(F.col("r")["action"], F.lit(default))
         return base.join(found, ["host", "path"], "left").select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+    release(known)
     hits = F.filter(keys, cascade.listed)
     longest = F.array_max(F.transform(hits, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))["key"]
     out = base.withColumn("rule", longest)
