@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 FRAME, HOP, RATE, ALIGN = 256, 128, 8000, 64
 BANDS = ((1, 4), (4, 8), (8, 16), (16, 32), (32, 64), (64, 129))
 FAN, ZONE = 3, 32
+#: Frames that are transformed at a time.
+BLOCK = 1024
 _hann = (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(FRAME) / FRAME)).astype(np.float32)
 
 
@@ -58,18 +60,30 @@ def spectrum(samples: np.ndarray) -> np.ndarray:
     return np.abs(np.fft.rfft(cut * _hann, axis=1)) ** 2
 
 
-def peaks(power: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def band_tops(samples: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """(power, bin) of the strongest bin of each band and frame. Frames are transformed a block at a time, so that a long
+    medium needs little more than its own bytes."""
+    frames = max(1, -(-(len(samples) - FRAME) // HOP) + 1)
+    tops, bins = np.zeros((frames, len(BANDS)), np.float32), np.zeros((frames, len(BANDS)), np.int32)
+    for at in range(0, frames, block):
+        stop = min(frames, at + block)
+        power = spectrum(samples[at * HOP : (stop - 1) * HOP + FRAME])
+        for k, (lo, hi) in enumerate(BANDS):
+            best = power[:, lo:hi].argmax(axis=1)
+            tops[at:stop, k] = power[np.arange(stop - at), best + lo]
+            bins[at:stop, k] = best + lo
+    return tops, bins
+
+
+def peaks(tops: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(frame, bin) of the peaks, by frame and then bin; silence has none."""
-    times, bins = [], []
-    for lo, hi in BANDS:
-        part = power[:, lo:hi]
-        best = part.argmax(axis=1)
-        top = part[np.arange(len(part)), best]
-        around = np.concatenate([[-1.0], top, [-1.0]])
-        t = np.flatnonzero((top > 1e-3) & (top >= around[:-2]) & (top > around[2:]))
+    times, found = [], []
+    for k in range(len(BANDS)):
+        around = np.concatenate([[-1.0], tops[:, k], [-1.0]]).astype(np.float32)
+        t = np.flatnonzero((tops[:, k] > 1e-3) & (tops[:, k] >= around[:-2]) & (tops[:, k] > around[2:]))
         times.append(t)
-        bins.append(best[t] + lo)
-    t, f = np.concatenate(times), np.concatenate(bins)
+        found.append(bins[t, k])
+    t, f = np.concatenate(times), np.concatenate(found).astype(np.int64)
     order = np.lexsort((f, t))
     return t[order], f[order]
 
@@ -90,7 +104,7 @@ def pair_codes(t: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Time-coded fingerprints of a medium: parallel arrays of frame numbers and pair codes."""
-    return pair_codes(*peaks(spectrum(np.frombuffer(samples, np.uint8))))
+    return pair_codes(*peaks(*band_tops(np.frombuffer(samples, np.uint8))))
 
 
 _FULL = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("times", pa.list_(pa.int32())), ("codes", pa.list_(pa.int32()))])

@@ -3,8 +3,9 @@
 An Aho-Corasick automaton finds anchors in one pass over a text: at-signs, plus-digit pairs, digits, URL schemes and
 identifier cues. From each anchor a deterministic local parser expands to the span's boundaries and validates it; spans of
 a kind are leftmost and don't overlap. The base kinds are email, ip, card and phone; the method adds account numbers
-(iban), user-info in URLs (login), cued national or tax identifiers (id) and cued secrets (secret). All kinds need a
-validated shape, so that plain words and numbers are left alone.
+(iban), user-info in URLs (login), cued national or tax identifiers (id) and secrets (secret: cued values, keys with a known
+prefix, bearer and signed tokens, private key blocks). All kinds need a validated shape, so that plain words and numbers are
+left alone. IPv6 addresses are not looked for.
 """
 
 from __future__ import annotations
@@ -31,8 +32,11 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
-_LOGIN = re.compile(r"[A-Za-z0-9._%+-]{1,64}:[^\s/@:]{1,128}@")
-_ID = re.compile(r"(?:\s*(?:no|number|#))?\.?\s*[:=#]?\s*([A-Z]{0,2}[0-9](?:[0-9-]*[0-9])?)(?![0-9A-Za-z])", re.I)
+_LOGIN = re.compile(r"[A-Za-z0-9._%+-]+:[^\s/@:]+@")
+_ID = re.compile(r"(?:\s*(?:no|number|is|was|#)(?![A-Za-z0-9]))*\.?\s*[:=#]?\s*([A-Z]{0,2}[0-9](?:[0-9-]*[0-9])?)(?![0-9A-Za-z])", re.I)
+_BEARER = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+_JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(?:[A-Za-z0-9+/=\s:,]|-(?!-))*+-----END \1-----")
 _SECRET = re.compile(r"\s*[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9+/_=.-]{12,})")
 _KEY = re.compile(r"[A-Za-z0-9_-]{16,}")
 _LETTER_OR_DIGIT = re.compile(r"[0-9A-Za-z]")
@@ -69,6 +73,9 @@ def _automaton():
                 cues.setdefault(form, set()).add(kind)
     for w in KEY_PREFIXES:
         cues.setdefault(w, set()).add("key")
+    for kind, forms in (("bearer", ("Bearer ", "bearer ")), ("jwt", ("eyJ",)), ("pem", ("-----BEGIN ",))):
+        for w in forms:
+            cues.setdefault(w, set()).add(kind)
     for word, kinds in cues.items():
         a.add_word(word, (len(word), tuple(sorted(kinds))))
     a.make_automaton()
@@ -164,6 +171,23 @@ class Finder:
             found["secret"].append(m.span())
             done["secret"] = m.end()
 
+    def _whole(self, m, group, text, found, done) -> None:
+        if m and m.start(group) >= done["secret"]:
+            found["secret"].append(m.span(group))
+            done["secret"] = m.end(group)
+
+    def _bearer(self, text, start, end, found, done) -> None:
+        if (m := _BEARER.match(text, end)) and _mixed(m[0]):
+            self._whole(m, 0, text, found, done)
+
+    def _jwt(self, text, start, end, found, done) -> None:
+        if start >= done["secret"] and (start == 0 or not text[start - 1].isalnum()):
+            self._whole(_JWT.match(text, start), 0, text, found, done)
+
+    def _pem(self, text, start, end, found, done) -> None:
+        if start >= done["secret"]:
+            self._whole(_PEM.match(text, start), 0, text, found, done)
+
 
 def _mixed(s: str) -> bool:
     """Holds letters and at least three digits, as generated keys do and words don't."""
@@ -197,7 +221,7 @@ def finder() -> Finder:
     return _finder[0]
 
 
-_SCHEMA = pa.schema([("id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("spans", pa.string())])
+_SCHEMA = pa.schema([("id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64())])
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,19 +230,19 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             s = f.spans(value.as_py() or "")
-            rows.append((key, *(len(s[k]) for k in BASE), hashlib.sha256(listed(s, BASE).encode()).hexdigest(), listed(s, KINDS)))
+            rows.append((key, *(len(s[k]) for k in BASE), hashlib.sha256(listed(s, BASE).encode()).hexdigest(), listed(s, KINDS), sum(map(len, s.values()))))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row of `docs`.
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) for each row of `docs`.
 
     Offsets are code points of the whole text, ends exclusive. Null texts count as empty and have no spans; repeated rows
     and null ids stay; other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    spec = "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    spec = "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
     return rows.mapInArrow(_find, spec).withColumnRenamed("id", id_col)
 
 

@@ -2,8 +2,9 @@
 
 The writer makes one archive of gzip members, one record each, in every task, in the shared folder; an attempt writes
 under a name of its own, so that a repeated task never damages a file. The reader checks each member and record; where a
-check fails it searches for the next valid member (or version line, in plain archives), goes on there, and logs the bytes
-between as a quarantined gap.
+check fails it searches for the next valid member (or version line, in plain archives and inside a member), goes on there,
+and logs the bytes between as a quarantined gap. A member may hold many records, as in an archive that is compressed as one:
+it is unpacked in windows, so that memory is bounded by the largest record, and records before a damaged place are kept.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import base64
 import datetime
 import hashlib
+import logging
 import re
 import uuid
 import zlib
@@ -22,8 +24,9 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize, new_path
+from .storage import materialize, new_path, release, remove
 
+_log = logging.getLogger(__name__)
 VERSION = b"WARC/1.1"
 GZIP = b"\x1f\x8b\x08"
 _WINDOW = 1 << 15
@@ -32,13 +35,18 @@ _EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
 
 
 class Record(NamedTuple):
+    """offset, length: of the record in the archive, or of the member that it is in; inside: its place in that member."""
+
     offset: int
     length: int
     headers: dict[str, str]
     body: bytes
+    inside: int = 0
 
 
 class Gap(NamedTuple):
+    """Bytes of the archive that gave no record; inside a member that is otherwise read, of its unpacked bytes."""
+
     offset: int
     length: int
     reason: str
@@ -64,15 +72,16 @@ def gzip_member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int] | str:
-    """Headers, block and end of the record that begins at `at`, or what is wrong with it."""
+def parse_record(data: bytes | bytearray, at: int = 0, ended: bool = True) -> tuple[dict[str, str], bytes, int] | str | None:
+    """Headers, block and end of the record that begins at `at`, or what is wrong with it; None if more bytes, which may
+    come while `data` is not `ended`, could make it whole."""
     if not _VERSION_LINE.match(data, at):
-        return "no version line"
+        return None if not ended and len(data) - at < 10 else "no version line"
     end = data.find(b"\r\n\r\n", at)
     if end < 0:
-        return "headers not ended"
+        return "headers not ended" if ended else None
     headers = {}
-    for line in data[at:end].split(b"\r\n")[1:]:
+    for line in bytes(data[at:end]).split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             return "header without colon"
@@ -80,51 +89,101 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]
     if not (n := headers.get("content-length", "")).isdigit():
         return "no content length"
     stop = end + 4 + int(n)
+    if not ended and len(data) < stop + 4:
+        return None
     if data[stop : stop + 4] != b"\r\n\r\n":
         return "block not ended"
-    body = data[end + 4 : stop]
+    body = bytes(data[end + 4 : stop])
     want = headers.get("warc-block-digest", "")
     if want.startswith("sha1:") and want[5:] != payload_digest(body):
         return "block digest differs"
     return headers, body, stop + 4
 
 
-def parse_member(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
-    """As parse_record, for a gzip member at `at` that holds one record; reads no further than the member's end."""
-    unpack, plain, pos = zlib.decompressobj(31), [], at
-    try:
-        while not unpack.eof and pos < len(data):
-            plain.append(unpack.decompress(data[pos : pos + _WINDOW]))
-            pos += _WINDOW
-    except zlib.error as e:
-        return f"member damaged: {e}"
-    if not unpack.eof:
-        return "member not ended"
-    whole = b"".join(plain)
-    found = parse_record(whole)
-    if isinstance(found, str):
-        return found
-    return (*found[:2], min(pos, len(data)) - len(unpack.unused_data)) if found[2] == len(whole) else "bytes after the record"
+def read_member(data: bytes, at: int) -> Iterator[Record | Gap | int | str]:
+    """Records and inner gaps of the gzip member at `at`, then its end, or what is wrong with it. Record lengths are 0."""
+    unpack, plain, pos, base = zlib.decompressobj(31), bytearray(), at, 0
+    bad: int | None = None
+    why, some = "", False
+    while True:
+        try:
+            plain += unpack.decompress(data[pos : pos + _WINDOW])
+        except zlib.error as e:
+            yield f"member damaged: {e}"
+            return
+        pos += _WINDOW
+        ended, p = unpack.eof, 0
+        while p < len(plain):
+            found = parse_record(plain, p, ended)
+            if found is None:
+                break
+            if isinstance(found, str):
+                if bad is None:
+                    bad, why = base + p, found
+                line = _VERSION_LINE.search(plain, p + 1)
+                p = line.start() if line else len(plain) if ended else max(p + 1, len(plain) - 9)
+                continue
+            if bad is not None and some:
+                yield Gap(at, base + p - bad, f"inside a member: {why}")
+            elif bad is not None:
+                yield Gap(at, base + p, f"inside a member: {why}")
+            bad, some = None, True
+            yield Record(at, 0, found[0], found[1], base + p)
+            p = found[2]
+        base += p
+        del plain[:p]
+        if ended:
+            if not some:
+                yield why or "empty member"
+                return
+            if bad is not None:
+                yield Gap(at, base - bad, f"inside a member: {why}")
+            yield min(pos, len(data)) - len(unpack.unused_data)
+            return
+        if pos >= len(data):
+            yield "member not ended"
+            return
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """Every valid record of an archive, gzip members or plain, with a Gap for each run of bytes that gave none."""
     at, bad, why = 0, None, ""
     while at < len(data):
-        found = parse_member(data, at) if data.startswith(GZIP, at) else parse_record(data, at)
-        if isinstance(found, str):
-            if bad is None:
-                bad, why = at, found
-            line = _VERSION_LINE.search(data, at + 1)
-            ahead = [p for p in (data.find(GZIP, at + 1), line.start() if line else -1) if p >= 0]
-            at = min(ahead, default=len(data))
+        end: int | str = "nothing"
+        held: Record | None = None
+        if data.startswith(GZIP, at):
+            for found in read_member(data, at):
+                if isinstance(found, (int, str)):
+                    end = found
+                    continue
+                if bad is not None:
+                    yield Gap(bad, at - bad, why)
+                    bad = None
+                if held is not None:
+                    yield held
+                held = None if isinstance(found, Gap) else found
+                if isinstance(found, Gap):
+                    yield found
+            if held is not None:  # the last record; the only one of a whole member has the member's length
+                yield held._replace(length=end - at if isinstance(end, int) and not held.inside else 0)
+        else:
+            plain = parse_record(data, at)
+            if isinstance(plain, str):
+                end = plain
+            else:
+                if bad is not None:
+                    yield Gap(bad, at - bad, why)
+                    bad = None
+                headers, body, end = plain
+                yield Record(at, end - at, headers, body)
+        if isinstance(end, int):
+            at = end
             continue
-        if bad is not None:
-            yield Gap(bad, at - bad, why)
-            bad = None
-        headers, body, end = found
-        yield Record(at, end - at, headers, body)
-        at = end
+        if bad is None:
+            bad, why = at, end
+        line = _VERSION_LINE.search(data, at + 1)
+        ahead = [p for p in (data.find(GZIP, at + 1), line.start() if line else -1) if p >= 0]
+        at = min(ahead, default=len(data))
     if bad is not None:
         yield Gap(bad, len(data) - bad, why)
 
@@ -250,8 +309,21 @@ def read_archives(manifest: DataFrame, folder: str, with_payload: bool = True) -
 
 
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", **options) -> DataFrame:
-    """Write `pages` into the shared folder and return one row for each record that is read back."""
+    """Write `pages` into the shared folder and return one row for each record that is read back.
+
+    Rows with a null id have no record; rows that repeat an id have one each; other columns are ignored, whatever their
+    names; an empty table gives no rows. What could not be read is logged: the number of gaps and their bytes, and the first
+    ones by file and offset; `read_archives` returns all of them.
+    """
     folder = new_path(pages.sparkSession, "warc")
     manifest = write_archives(pages, folder, id_col=id_col, **options)
-    got = read_archives(manifest, folder, with_payload=False).where("gap is null")
-    return got.select(F.col("id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    got = materialize(read_archives(manifest, folder, with_payload=False).drop("payload"), "records")
+    gaps = got.where("gap is not null")
+    n, lost = gaps.agg(F.count("*"), F.sum("length")).first()
+    if n:
+        _log.warning("%d gaps with %d bytes in %s", n, lost, folder)
+        for r in gaps.orderBy("path", "offset").limit(20).collect():
+            _log.warning("gap of %d bytes at %d of %s: %s", r.length, r.offset, r.path, r.gap)
+    remove(pages.sparkSession, folder)
+    release(manifest)
+    return got.where("gap is null").select(F.col("id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")
