@@ -1,5 +1,6 @@
 """Operators on small hand-made tables: nulls, ties, cycles, Cyrillic text, empty input."""
 
+import html
 import re
 
 import pytest
@@ -126,7 +127,7 @@ def test_whole_edit_distance_has_all_pairs(spark):
     from weftwork.plans.registry import QUERIES
 
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").count()
-    assert QUERIES["edit_distance_whole"](spark, "/root/testdata/sf0.001").count() == items - 1
+    assert QUERIES["edit_distance"](spark, "/root/testdata/sf0.001").count() == items - 1
 
 
 def test_calls_resolve_against_a_whole_table(spark):
@@ -137,6 +138,52 @@ def test_calls_resolve_against_a_whole_table(spark):
     words = lambda t: {w for r in t.collect() for w in re.findall("[a-z]+", (r.text or "").lower())}
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang in ('en', 'de')")
     late = words(docs) - words(docs.where("doc_id < 20")) - {"the", "of"}
-    got = {r.method for r in QUERIES["calls_cross_module_whole"](spark, sf).collect()}
+    got = {r.method for r in QUERIES["calls_cross_module"](spark, sf).collect()}
     want = words(docs) & words(spark.read.parquet(f"{sf}/conversations.parquet")) - {"the", "of"}
     assert got == want and got & late
+
+
+def test_unescape_equals_html_module(spark):
+    texts = ["&amp;lt; &mdash;&#1040;&eacute; &#x41;&#X1F600; x & y && &unknown; &; &#; &#xZ &#0; &#128; &#xD800; &#99999999; &#x99999999;", "&nbsp;|&NotEqualTilde;|&copy &lt&gt;", "plain", "", None, "&" * 50]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(text.unescape(F.col("t"))).collect()]
+    assert got == [None if t is None else html.unescape(t) for t in texts]
+
+
+def test_find_all_equals_finditer_with_repeated_ids(spark):
+    texts = ["a1\nb22\n\nc3 d4\n", "a1\nb22\n\nc3 d4\n", "none", "", None, "x9" * 3]
+    rows = spark.createDataFrame([(7, t) for t in texts], "id int, t string")
+    got = sorted((r.line, r.pos, r.match) for r in rules.find_all(rows, "id", "t", "[a-z][0-9]+").collect())
+    want = sorted((t[: m.start()].count("\n") + 1, k, m[0]) for t in texts if t for k, m in enumerate(re.finditer("[a-z][0-9]+", t)))
+    assert got == want
+
+
+def test_upsert_last_of_repeated_rows_wins(spark):
+    base = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "k int, v string, t int")
+    new = spark.createDataFrame([(1, "x", 2), (1, "y", 1), (3, "z", 5)], "k int, v string, t int")
+    assert sorted(tuple(r) for r in store.upsert(base, new, ["k"], ["t"]).collect()) == [(1, "x", 2), (2, "b", 0), (3, "z", 5)]
+
+
+def test_dependency_view(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "c"), ("a", "b")], "src string, dst string")
+    view = lambda *a: (lambda x: (sorted(map(tuple, x[0].collect())), *x[1:]))(graph.dependency_view(edges, *a))
+    assert view(None, "both", 1, 2) == ([("a", "b"), ("a", "b")], 5, True)
+    assert view("a", "out", 1) == ([("a", "b"), ("a", "b")], 2, False) and view("zz") == ([], 0, False)
+    assert view("a", "both", 1) == ([("a", "b"), ("a", "b"), ("c", "a")], 3, False)
+    assert view("c", "in", 2) == ([("a", "b"), ("a", "b"), ("b", "c"), ("d", "c")], 4, False)
+    with pytest.raises(ValueError):
+        graph.dependency_view(edges, "a", "sideways")
+    with pytest.raises(ValueError):
+        graph.closure(edges, "a", 2, "sideways")
+
+
+def test_edit_distance_of_neighbours(spark):
+    rows = spark.createDataFrame([(1, "kitten"), (4, "sitting" * 60), (9, None), (10_000, "ж")], "item_id long, text string")
+    got = {r.item_id: r.distance for r in text.neighbour_distances(rows, "item_id", "text").collect()}
+    assert got == {1: 7 * 60 - 4, 4: None, 9: None}
+
+
+def test_unavailable_calls(spark):
+    code = spark.createDataFrame([(1, "x();\nПоказатьВопрос();\nНайти(1);\nПоказатьВопрос(2)"), (2, "Если (1) Закрыть ()")], "id int, t string")
+    methods = spark.createDataFrame([("Найти", 0), ("Найти", 1), ("x", 0)], "name string, server int")
+    got = sorted((r.id, r.code, r.line, r.severity) for r in rules.unavailable_calls(code, "id", "t", methods, "server", ["Если"]).collect())
+    assert got == [(1, "METHOD-CONTEXT-x", 1, "critical"), (1, "METHOD-CONTEXT-ПоказатьВопрос", 2, "critical"), (2, "METHOD-CONTEXT-Закрыть", 1, "critical")]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialize, release
+
 
 def neighbours(edges: DataFrame, node: str, direction: str = "out") -> DataFrame:
     """Out-edges (dependencies), in-edges (dependents) or both of a node; parallel edges stay."""
@@ -14,38 +16,44 @@ def neighbours(edges: DataFrame, node: str, direction: str = "out") -> DataFrame
     return edges.where(tests[direction])
 
 
+def _ends(direction: str) -> tuple[str, str]:
+    if direction not in ("out", "in"):
+        raise ValueError(f"direction is {direction!r}; it can be out or in")
+    return ("src", "dst") if direction == "out" else ("dst", "src")
+
+
 def closure(edges: DataFrame, start: str, max_depth: int = 10, direction: str = "out") -> DataFrame:
     """(node, depth): nodes within `max_depth` hops with their least depth. The start is not visited beforehand, so it
-    appears where it is on a cycle. Each hop is one join of the frontier; the loop ends when no new node is found."""
+    appears where it is on a cycle. The edges are written once; each hop keeps those that leave the frontier (a semi join,
+    whose small side Spark sends to the tasks where it is small) and writes the new nodes. Null ends lead nowhere."""
     if max_depth < 1:
         raise ValueError("max_depth has to be 1 or more")
-    a, b = ("src", "dst") if direction == "out" else ("dst", "src")
-    steps = edges.select(F.col(a).alias("at"), F.col(b).alias("node")).distinct()
-    seen = None
-    frontier = edges.sparkSession.createDataFrame([(start,)], "node string")
+    a, b = _ends(direction)
+    steps = materialize(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("at"), F.col(b).alias("node")), "edges")
+    hops: list[DataFrame] = []
+    frontier = edges.sparkSession.createDataFrame([(start,)], "at string")
     for depth in range(1, max_depth + 1):
-        ahead = steps.join(frontier.select(F.col("node").alias("at")), "at").select("node").distinct()
-        if seen is not None:
-            ahead = ahead.join(seen.select("node"), "node", "left_anti")
-        ahead = ahead.select("node", F.lit(depth).alias("depth")).checkpoint() if has_checkpoints(edges) else ahead.select("node", F.lit(depth).alias("depth")).persist()
+        ahead = steps.join(frontier, "at", "left_semi").select("node").distinct()
+        for seen in hops:
+            ahead = ahead.join(seen, "node", "left_anti")
+        ahead = materialize(ahead, "hop")
+        hops.append(ahead)
         if ahead.isEmpty():
             break
-        seen = ahead if seen is None else seen.unionByName(ahead)
-        frontier = ahead
-    return seen if seen is not None else ahead
-
-
-def has_checkpoints(df: DataFrame) -> bool:
-    """Whether the session names a folder that all executors share."""
-    return bool(df.sparkSession.conf.get("spark.checkpoint.dir", None))
+        frontier = ahead.select(F.col("node").alias("at"))
+    release(steps)
+    out = hops[0].select("node", F.lit(1).alias("depth"))
+    for depth, hop in enumerate(hops[1:], 2):
+        out = out.unionByName(hop.select("node", F.lit(depth).alias("depth")))
+    return out
 
 
 def closure_edges(edges: DataFrame, start: str, max_depth: int, direction: str = "out") -> DataFrame:
     """Edges walked by the closure: those that leave the start, or a node at less than `max_depth`."""
-    own = "src" if direction == "out" else "dst"
+    own = _ends(direction)[0]
     inner = closure(edges, start, max_depth, direction).where(F.col("depth") < max_depth).select(F.col("node").alias(own))
     root = edges.sparkSession.createDataFrame([(start,)], f"{own} string")
-    return edges.join(inner.union(root).distinct(), own, "left_semi")
+    return edges.join(inner.union(root).distinct(), own, "left_semi").select(*edges.columns)
 
 
 def impact_count(edges: DataFrame, node: str, max_depth: int = 10) -> DataFrame:
@@ -84,3 +92,19 @@ def resolve_calls(calls: DataFrame, modules: DataFrame, exports: DataFrame, excl
     """Calls (caller, module, method) of known modules' exported methods, without excluded names."""
     known = calls.join(modules.select("module").distinct(), "module", "left_semi").join(excluded.select("method").distinct(), "method", "left_anti")
     return known.join(exports.select("module", "method").distinct(), ["module", "method"], "left_semi")
+
+
+def dependency_view(edges: DataFrame, ref: str | None = None, direction: str = "both", depth: int = 1, most: int = 500) -> tuple[DataFrame, int, bool]:
+    """(at most `most` edges in the order of their ends, how many there are, whether some are left out): the whole graph
+    without `ref`, else the edges that a walk of `depth` hops from it takes. `most` bounds the answer, not the walk; an
+    unknown `ref` has no edges."""
+    if direction not in ("out", "in", "both"):
+        raise ValueError(f"direction is {direction!r}; it can be out, in or both")
+    if ref is None:
+        found = edges
+    else:
+        walks = [closure_edges(edges, ref, depth, d) for d in (("out", "in") if direction == "both" else (direction,))]
+        # An edge that both walks take counts once, as often as it is in the graph.
+        found = walks[0] if len(walks) == 1 else walks[0].unionAll(walks[1].exceptAll(walks[0]))
+    total = found.count()
+    return found.orderBy(*found.columns).limit(most), total, total > most

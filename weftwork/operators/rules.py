@@ -1,7 +1,7 @@
 """Rule engine: regular expressions with line numbers, secret scan, availability of called names.
 
-Find-all with positions is a Catalyst expression: each match is extracted with the text before it, and line numbers come
-from the line ends in those pieces. There is no Python in the path. Patterns are given in Python's syntax.
+Find-all with positions is a Catalyst plan: each match is extracted with the text before it, and line numbers are running
+sums of the line ends in those pieces. There is no Python in the path. Patterns are given in Python's syntax.
 """
 
 from __future__ import annotations
@@ -10,9 +10,26 @@ import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import fresh_names
+
+# Methods that the platform has on the server or on the client alone.
+SERVER_ONLY = ("ЗаписьЖурналаРегистрации", "УровеньЖурналаРегистрации", "Метаданные", "ПараметрыСеанса", "Константы", "ФоновыеЗадания", "РегламентныеЗадания", "НайтиПоСсылкам", "Заблокировать", "Разблокировать")
+CLIENT_ONLY = ("Асинх", "Ждать", "ПоказатьВопрос", "ПоказатьПредупреждение", "ОткрытьФорму", "Закрыть", "Оповестить")
+# Shapes of secrets.
+SECRETS = {
+    "fine-grained token": r"github_pat_[A-Za-z0-9_]{20,}",
+    "classic token": r"ghp_[A-Za-z0-9]{36}",
+    "access key": r"AKIA[0-9A-Z]{16}",
+    "private key": r"-----BEGIN (RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----",
+    "bearer token": r"(?i)Bearer\s+[A-Za-z0-9_\-\.]{20,}",
+    "chat token": r"xox[baprs]-[A-Za-z0-9-]{10,}",
+}
+#: A name that an opening bracket follows.
+CALL = r"\b[A-Za-zА-Яа-яЁё_][A-Za-zА-Яа-яЁё0-9_]*\s*\("
+
 
 class Rule(NamedTuple):
     rule_id: str
@@ -38,22 +55,33 @@ def test_pattern(pattern: str, flags: str = "m") -> str:
     return f"(?Ud{''.join(f for f in flags if f in 'ms')}{'iu' if 'i' in flags else ''}){body}"
 
 
-def find_all(df: DataFrame, id_col: str, text_col: str, pattern: str, flags: str = "m") -> DataFrame:
-    """(id, line, pos, match): every non-empty match of the pattern, with the 1-based line where it begins."""
+def _pieces(text: Column, pattern: str, flags: str) -> Column:
+    """An array of each match with its line ends and those of the text before it."""
     full = F.lit(compile_pattern(pattern, flags))
-    text = F.col(text_col)
-    rows = df.select(F.col(id_col), F.arrays_zip(F.regexp_extract_all(text, full, 1).alias("pre"), F.regexp_extract_all(text, full, 2).alias("hit")).alias("z"))
-    lines = F.transform("z", lambda x: F.struct((F.length(x["pre"]) - F.length(F.replace(x["pre"], F.lit("\n")))).alias("p"), (F.length(x["hit"]) - F.length(F.replace(x["hit"], F.lit("\n")))).alias("h"), x["hit"].alias("hit")))
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<line:int,hit:string>>").alias("out"))
-    step = lambda acc, x: F.struct((acc["at"] + x["p"] + x["h"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["p"]).alias("line"), x["hit"].alias("hit")))).alias("out"))
-    found = rows.select(id_col, F.posexplode(F.aggregate(lines, start, step)["out"]).alias("pos", "m"))
-    return found.select(id_col, F.col("m.line").alias("line"), "pos", F.col("m.hit").alias("match")).where("match <> ''")
+    ends = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n")))
+    both = F.arrays_zip(F.regexp_extract_all(text, full, 1).alias("pre"), F.regexp_extract_all(text, full, 2).alias("hit"))
+    return F.transform(both, lambda x: F.struct(ends(x["pre"]).alias("p"), ends(x["hit"]).alias("h"), x["hit"].alias("hit")))
+
+
+def _located(rows: DataFrame, id_col: str, extra: list[str]) -> DataFrame:
+    """Rows (id, row, extra..., pieces) as one row a match, with its line from a running sum over the matches of a text."""
+    found = rows.select(id_col, "row", *extra, F.posexplode("pieces").alias("pos", "m"))
+    w = Window.partitionBy("row", *extra).orderBy("pos")
+    upto = F.sum(F.col("m.p") + F.col("m.h")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("m.h")
+    return found.select(id_col, *extra, (upto + 1).cast("int").alias("line"), "pos", F.col("m.hit").alias("match")).where("match <> ''")
+
+
+def find_all(df: DataFrame, id_col: str, text_col: str, pattern: str, flags: str = "m") -> DataFrame:
+    """(id, line, pos, match): every non-empty match of the pattern, with the 1-based line where it begins. Rows that repeat
+    an id are read each for itself; a null text has no match. Only matches are shuffled, no texts."""
+    rows = df.select(F.col(id_col), F.monotonically_increasing_id().alias("row"), _pieces(F.col(text_col), pattern, flags).alias("pieces"))
+    return _located(rows, id_col, [])
 
 
 def detect(df: DataFrame, id_col: str, text_col: str, rules: Sequence[Rule], severities: Sequence[str] | None = None, categories: Sequence[str] | None = None) -> DataFrame:
     """(id, rule_id, severity, category, line, match[:100]): findings of the rules that the filters leave; a pattern that
-    doesn't compile is skipped. Rules are pruned before the plan is made, and each text column is scanned per rule."""
-    out = None
+    doesn't compile is skipped. Rules are pruned before the plan is made; one scan of the texts serves all of them."""
+    used = []
     for r in rules:
         if (severities and r.severity not in severities) or (categories and r.category not in categories):
             continue
@@ -61,12 +89,17 @@ def detect(df: DataFrame, id_col: str, text_col: str, rules: Sequence[Rule], sev
             re.compile(r.pattern)
         except re.error:
             continue
-        hits = find_all(df.where(F.col(text_col).rlike(test_pattern(r.pattern, r.flags))), id_col, text_col, r.pattern, r.flags)
-        part = hits.select(id_col, F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"), "line", F.substring("match", 1, 100).alias("match"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+        used.append(r)
+    if not used:
         return df.select(id_col, *[F.lit(None).cast(t).alias(n) for n, t in (("rule_id", "string"), ("severity", "string"), ("category", "string"), ("line", "int"), ("match", "string"))]).limit(0)
-    return out
+    text = F.col(text_col)
+    each = [F.struct(F.lit(i).alias("rule"), F.when(text.rlike(test_pattern(r.pattern, r.flags)), _pieces(text, r.pattern, r.flags)).alias("pieces")) for i, r in enumerate(used)]
+    rows = df.select(id_col, F.monotonically_increasing_id().alias("row"), F.explode(F.array(*each)).alias("x")).select(id_col, "row", "x.rule", "x.pieces").where("pieces is not null")
+
+    def named(field: str) -> Column:
+        return F.element_at(F.lit([getattr(r, field) for r in used]), F.col("rule") + 1).alias(field)
+
+    return _located(rows, id_col, ["rule"]).select(id_col, named("rule_id"), named("severity"), named("category"), "line", F.substring("match", 1, 100).alias("match"))
 
 
 def mask(secret: Column) -> Column:
@@ -74,7 +107,7 @@ def mask(secret: Column) -> Column:
     return F.when(F.length(secret) > 12, F.concat(F.left(secret, F.lit(8)), F.lit("***"), F.right(secret, F.lit(4)))).otherwise(F.lit("***"))
 
 
-def secret_scan(df: DataFrame, id_col: str, text_col: str, patterns: dict[str, str]) -> DataFrame:
+def secret_scan(df: DataFrame, id_col: str, text_col: str, patterns: dict[str, str] = SECRETS) -> DataFrame:
     """(id, kind, masked): the first pattern that hits a text, masked; clean texts give no row."""
     kind, hit = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, p in reversed(patterns.items()):
@@ -83,10 +116,21 @@ def secret_scan(df: DataFrame, id_col: str, text_col: str, patterns: dict[str, s
     return df.select(id_col, kind.alias("kind"), mask(hit).alias("masked")).where("kind is not null")
 
 
-def availability(calls: DataFrame, name_col: str, methods: DataFrame, server_only: Sequence[str], client_only: Sequence[str], context: str) -> DataFrame:
-    """`calls` with `available` and `reason`: the method table's flag for the context, else the fixed lists, else yes."""
-    flags = methods.select(F.col("name").alias("__name"), F.col(context).cast("boolean").alias("__flag"))
-    listed = F.when(F.col(name_col).isin(list(server_only)), F.lit(context == "server")).when(F.col(name_col).isin(list(client_only)), F.lit(context != "server"))
-    both = calls.join(flags, F.col(name_col) == F.col("__name"), "left")
-    reason = F.when(F.col("__flag").isNotNull(), "table").when(listed.isNotNull(), "list").otherwise("unknown")
-    return both.withColumn("available", F.coalesce(F.col("__flag"), listed, F.lit(True))).withColumn("reason", reason).drop("__name", "__flag")
+def availability(calls: DataFrame, name_col: str, methods: DataFrame, server_only: Sequence[str] = SERVER_ONLY, client_only: Sequence[str] = CLIENT_ONLY, context: str = "server") -> DataFrame:
+    """`calls` with `available` and `reason`: the method table's flag for the context, else the fixed lists, else yes. Of
+    methods that repeat a name one available row is enough. Columns may have any names."""
+    name, flag = fresh_names(calls, "weft_name", "weft_flag")
+    flags = methods.groupBy(F.col("name").alias(name)).agg(F.max(F.col(context).cast("boolean")).alias(flag))
+    listed = F.when(F.col(name_col).isin(list(server_only)), F.lit(context in ("server", "external_connection"))).when(F.col(name_col).isin(list(client_only)), F.lit(context != "server"))
+    both = calls.join(flags, F.col(name_col) == F.col(name), "left")
+    reason = F.when(F.col(flag).isNotNull(), "table").when(listed.isNotNull(), "list").otherwise("unknown")
+    return both.withColumns({"available": F.coalesce(F.col(flag), listed, F.lit(True)), "reason": reason}).drop(name, flag)
+
+
+def unavailable_calls(code: DataFrame, id_col: str, text_col: str, methods: DataFrame, context: str, keywords: Sequence[str] = ()) -> DataFrame:
+    """(id, severity, code, line, message): a critical finding for each name that a text calls and that the context lacks, at
+    the name's first call. Keywords before a bracket are no calls."""
+    calls = find_all(code, id_col, text_col, CALL, "").select(id_col, "line", F.regexp_extract("match", r"^\w+", 0).alias("name")).where(~F.col("name").isin(list(keywords)) if keywords else F.lit(True))
+    first = calls.groupBy(id_col, "name").agg(F.min("line").alias("line"))
+    lacks = availability(first, "name", methods, context=context).where("not available")
+    return lacks.select(id_col, F.lit("critical").alias("severity"), F.concat(F.lit("METHOD-CONTEXT-"), "name").alias("code"), "line", F.concat(F.lit("'"), "name", F.lit(f"' is not available in the context '{context}'")).alias("message"))

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
+
 RRF_K = 60
 DIGITS = 9
 
@@ -49,16 +51,24 @@ def top_k(df: DataFrame, score: str, k: int, tie: str) -> DataFrame:
     return df.orderBy(F.col(score).desc(), F.col(tie)).limit(k)
 
 
+def scored_vectors(df: DataFrame, vector_col: str, query: Sequence[float]) -> DataFrame:
+    """`df` with the cosine `score`; rows without a vector are skipped."""
+    return df.where(F.col(vector_col).isNotNull()).withColumn("score", F.round(cosine(F.col(vector_col), query), DIGITS))
+
+
+def scored_texts(df: DataFrame, text_col: str, terms: Sequence[str]) -> DataFrame:
+    """`df` with the term overlap as `score`; rows without a hit are dropped."""
+    return df.withColumn("score", F.round(term_overlap(F.col(text_col), terms), DIGITS)).where("score > 0")
+
+
 def vector_search(df: DataFrame, vector_col: str, query: Sequence[float], k: int, id_col: str) -> DataFrame:
-    """Exact search; rows without a vector are skipped."""
-    scored = df.where(F.col(vector_col).isNotNull()).withColumn("score", F.round(cosine(F.col(vector_col), query), DIGITS))
-    return top_k(scored, "score", k, id_col)
+    """Exact search over all rows with a vector."""
+    return top_k(scored_vectors(df, vector_col, query), "score", k, id_col)
 
 
 def text_search(df: DataFrame, text_col: str, terms: Sequence[str], k: int, id_col: str) -> DataFrame:
-    """Term overlap; rows without a hit are dropped."""
-    scored = df.withColumn("score", F.round(term_overlap(F.col(text_col), terms), DIGITS)).where("score > 0")
-    return top_k(scored, "score", k, id_col)
+    """The k rows with the largest share of the terms."""
+    return top_k(scored_texts(df, text_col, terms), "score", k, id_col)
 
 
 def ranked(df: DataFrame, score: str, tie: str) -> DataFrame:
@@ -77,16 +87,31 @@ def rrf(lists: Sequence[DataFrame], id_col: str, k: int, rrf_k: int = RRF_K) ->
     return fused.orderBy(F.col("rrf_score").desc(), "first").limit(k).select(id_col, "rrf_score")
 
 
-def hybrid_search(df: DataFrame, id_col: str, text_col: str, vector_col: str, terms: Sequence[str], query: Sequence[float], k: int = 10) -> DataFrame:
-    """Text and vector candidates (2k each) fused by rank; without a query vector, text only."""
-    narrow = df.select(id_col, text_col, vector_col)
-    text = ranked(text_search(narrow, text_col, terms, 2 * k, id_col), "score", id_col)
-    lists = [text]
-    if query:
-        lists.append(ranked(vector_search(narrow, vector_col, query, 2 * k, id_col), "score", id_col))
+def hybrid(texts: DataFrame, vectors: DataFrame | None, id_col: str, k: int = 10) -> DataFrame:
+    """Text and vector candidates (2k each) fused by rank, from two tables (id, score); without vectors, text only."""
+    lists = [ranked(top_k(t.select(id_col, "score"), "score", 2 * k, id_col), "score", id_col) for t in (texts, vectors) if t is not None]
     return rrf(lists, id_col, k)
 
 
+def hybrid_search(df: DataFrame, id_col: str, text_col: str, vector_col: str, terms: Sequence[str], query: Sequence[float], k: int = 10) -> DataFrame:
+    """`hybrid` over one table with texts and vectors; without a query vector, text only."""
+    vectors = scored_vectors(df, vector_col, query) if query else None
+    return hybrid(scored_texts(df, text_col, terms), vectors, id_col, k)
+
+
+def semantic_search(chunks: DataFrame, terms: Sequence[str], query: Sequence[float], filters: dict[str, object], k: int = 5, id_col: str = "chunk_id", text_col: str = "code_text", vector_col: str = "embedding", most: int = 20) -> DataFrame:
+    """(id, rank, score, snippet, and the table's other columns): the hybrid search over the chunks of a configuration and
+    version, whose filters the caller's may override; k is 1 to `most`. Only the k hits are read with their texts."""
+    if not 1 <= k <= most:
+        raise ValueError(f"k has to be 1 to {most}")
+    layer = chunks.where(matches(filters, null_matches_null=False))
+    hits = hybrid_search(layer, id_col, text_col, vector_col, terms, query, k)
+    hits = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.col("rrf_score").desc(), id_col)))  # k rows
+    rest = [c for c in chunks.columns if c not in (id_col, text_col, vector_col)]
+    both = layer.join(F.broadcast(hits), id_col)  # k rows
+    return both.select(id_col, "rank", F.col("rrf_score").alias("score"), F.substring(F.coalesce(text_col, F.lit("")), 1, 200).alias("snippet"), *rest)
+
+
 def similar(df: DataFrame, id_col: str, vector_col: str, seed, k: int, exclude: Column | None = None) -> DataFrame:
     """The k rows most similar to the row `seed`, which is left out before the limit; an unknown seed has none."""
     row = df.where(F.col(id_col) == seed).select(vector_col).first()
@@ -113,20 +138,24 @@ def field_score(title: Column, ident: Column, tags: Column, fields: Sequence[Col
     return F.round(total, 6)
 
 
-def bm25(df: DataFrame, id_col: str, text_col: str, terms: Sequence[str], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Ranking by Okapi BM25 over lower-cased words (an extension); corpus counts come from one aggregation."""
-    words = df.select(id_col, F.split(F.lower(text_col), r"[^\p{L}\p{N}]+").alias("w")).withColumn("n", F.size("w"))
+def bm25(df: DataFrame, id_col: str, text_col: str, terms: Sequence[str], k: int, k1: float = 1.2, b: float = 0.75, every: bool = False) -> DataFrame:
+    """Ranking by Okapi BM25 over lower-cased words (an extension); with `every`, only texts with all terms. The texts are
+    read once: their word and term counts are written, and corpus figures and scores come from that table."""
+    low = [t.lower() for t in terms]
+    words = F.filter(F.split(F.lower(text_col), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    counted = df.select(id_col, F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("n"), F.filter(w, lambda x: x.isin(low)).alias("hits")))[0].alias("c"))
 
     def count(term: str) -> Column:
-        return F.size(F.filter("w", lambda x: x == F.lit(term.lower())))
+        return F.size(F.filter("c.hits", lambda x: x == term))
 
-    tf = [count(t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    counted = words.select(id_col, "n", *tf)
+    tf = [count(t).alias(f"tf{i}") for i, t in enumerate(low)]
+    counted = materialize(counted.select(id_col, F.coalesce("c.n", F.lit(0)).alias("n"), *tf), "counts")
     stats = counted.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
-    score = F.lit(0.0)
+    score, all_ = F.lit(0.0), F.lit(True)
     for i in range(len(terms)):
         idf = F.lit(float(math.log1p((stats["docs"] - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5))))
-        t = F.col(f"tf{i}")
+        t = F.greatest(F.col(f"tf{i}"), F.lit(0))
+        all_ = all_ & (t > 0)
         score = score + idf * t * (k1 + 1) / (t + k1 * (1 - b + b * F.col("n") / F.lit(stats["mean"] or 1.0)))
-    return top_k(counted.select(id_col, F.round(score, DIGITS).alias("score")).where("score > 0"), "score", k, id_col)
-
+    found = counted.select(id_col, F.round(score, DIGITS).alias("score"), all_.alias("all")).where(F.col("score") > 0 if not every else F.col("all"))
+    return top_k(found.drop("all"), "score", k, id_col)

@@ -2,19 +2,43 @@
 
 from __future__ import annotations
 
+import json
+import re
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fixed values of HTML.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+from ..scratch import fresh_names
+
+#: White space as text has it, the no-break space included.
+SPACE = r"[\x20\x09-\x0D\x{A0}]"
+
+
+def unescape(text: Column) -> Column:
+    """Character references decoded: numbers, decimal or hexadecimal, and all names that HTML has. Unknown ones stay, code
+    points that are no characters become U+FFFD, and 128 to 159 are read as Windows-1252, as browsers do. A name without a
+    semicolon counts where it stands alone."""
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    win = F.lit([bytes([n]).decode("cp1252", "replace") for n in range(128, 160)])
+    parts = F.regexp_extract_all(text, F.lit(r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&"), 0)
+
+    def one(part: Column) -> Column:
+        digits = F.regexp_extract(part, "^&#([0-9]+)", 1)
+        hexa = F.regexp_extract(part, "^&#[xX]0*([0-9a-fA-F]+)", 1)
+        n = F.when(hexa != "", F.when(F.length(hexa) < 8, F.conv(hexa, 16, 10).cast("long")).otherwise(F.lit(1 << 30))).otherwise(F.coalesce(digits.try_cast("long"), F.lit(1 << 30)))
+        odd = (n > 0x10FFFF) | n.between(0xD800, 0xDFFF) | (n == 0)
+        char = F.when(odd, "\ufffd").when(n.between(128, 159), F.element_at(win, (n - 127).cast("int"))).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+        named = F.coalesce(F.try_element_at(names, F.substring(part, 2, 1 << 30)), part)
+        return F.when(~part.startswith("&"), part).when(part.startswith("&#"), char).otherwise(named)
+
+    # Most texts have no reference at all and are left alone.
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, one), "")).otherwise(text)
 
 
 def strip_html(html: Column) -> Column:
-    """Entities decoded, tags as spaces, white space as one space, trimmed."""
-    out = html
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, "<[^>]*>", " "), r"[\x20\x09-\x0D]+", " "))
+    """References decoded, tags as spaces, white space as one space, trimmed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(unescape(html), "<[^>]*>", " "), f"{SPACE}+", " "))
 
 
 def page_title(html: Column) -> Column:
@@ -23,7 +47,7 @@ def page_title(html: Column) -> Column:
 
 def strip_line_comment(line: Column, mark: str = "//") -> Column:
     """The line up to a comment mark outside double quotes; possessive, so that long lines need no stack."""
-    first, rest = mark[0], mark[1:]
+    first, rest = re.escape(mark[0]), re.escape(mark[1:])
     return F.regexp_extract(line, rf'^((?:[^"{first}]|"[^"]*(?:"|$)|{first}(?!{rest}))*+)', 1)
 
 
@@ -39,11 +63,16 @@ def enclosing(df: DataFrame, part: str, order: str, marker: Column, out: str = "
 
 
 def assign_regions(items: DataFrame, regions: DataFrame, key: str, at: str, region_cols: tuple[str, str, str]) -> DataFrame:
-    """Each item with the innermost region (name, start, end) that holds it, or null. A range join inside equal keys."""
+    """Each item with the innermost region (name, start, end) that holds it, or null: that with the last start, and of those
+    the greatest name. The regions of a key, which is a file, travel as one list to its items, so that this is a join on the
+    key alone; repeated items stay. Columns may have any names but `region`."""
     name, start, end = region_cols
-    r = regions.select(F.col(key).alias("__k"), F.col(name).alias("region"), F.col(start).alias("__s"), F.col(end).alias("__e"))
-    both = items.join(r, (F.col(key) == F.col("__k")) & (F.col(at) >= F.col("__s")) & (F.col(at) <= F.col("__e")), "left")
-    return both.groupBy(*items.columns).agg(F.max_by("region", "__s").alias("region"))
+    own, lists = fresh_names(items, "weft_key", "weft_regions")
+    one = F.struct(F.col(start).alias("s"), F.col(name).alias("n"), F.col(end).alias("e"))
+    r = regions.groupBy(F.col(key).alias(own)).agg(F.collect_list(one).alias(lists))
+    both = items.join(r, F.col(key) == F.col(own), "left")
+    inside = F.filter(lists, lambda x: (F.col(at) >= x["s"]) & (F.col(at) <= x["e"]))
+    return both.withColumn("region", F.array_max(inside)["n"]).drop(own, lists)
 
 
 def pair_regions(marks: DataFrame, key: str, line: str, opens: str, name: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.rules import find_all
@@ -26,7 +26,7 @@ def methods(modules: DataFrame) -> DataFrame:
     it starts if there is none. Keywords are matched without regard to case."""
     head = rf"^[\t ]*(?:(?:{ASYNC})[\t ]+)?(?:{BEGIN})[\t ]+{NAME}[\t ]*\([^)]*\)[^\n]*"
     starts = find_all(modules, "path", "text", head, "mi")
-    ends = find_all(modules, "path", "text", rf"^[\t ]*(?:{END})\b", "mi").select(F.col("path").alias("p"), F.col("line").alias("e"))
+    ends = find_all(modules, "path", "text", rf"^[\t ]*(?:{END})\b", "mi").select("path", F.col("line").alias("start_line"), F.lit(True).alias("is_end"))
     name = F.regexp_extract("match", rf"(?iu)(?:{BEGIN})[\t ]+({NAME})", 1)
     after = F.regexp_extract("match", r"(?s)\([^)]*\)(.*)$", 1)
     found = starts.select(
@@ -38,8 +38,10 @@ def methods(modules: DataFrame) -> DataFrame:
         parameters(F.col("match")).alias("parameters"),
         F.col("line").alias("start_line"),
     )
-    both = found.join(ends, (F.col("path") == F.col("p")) & (F.col("e") >= F.col("start_line")), "left")
-    return both.groupBy(*found.columns).agg(F.min("e").alias("e")).select(*found.columns, F.coalesce("e", "start_line").alias("end_line"))
+    both = found.withColumn("is_end", F.lit(False)).unionByName(ends, allowMissingColumns=True)
+    ahead = Window.partitionBy("path").orderBy("start_line", "is_end").rowsBetween(0, Window.unboundedFollowing)
+    next_end = F.first(F.when(F.col("is_end"), F.col("start_line")), ignorenulls=True).over(ahead)
+    return both.withColumn("end_line", F.coalesce(next_end, "start_line")).where("not is_end").drop("is_end")
 
 
 def parameters(found: Column) -> Column:
