@@ -2,84 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from ..scratch import fresh_names, materialize, new_path, release, remove, shared_dir
 
-from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
-
-_made: dict[str, SparkSession] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir.
-
-    A session without one gets a folder of this machine only where all its tasks run here (a local master, as in tests);
-    on a cluster that would be another disk on each machine, so it is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
-        named = f"file://{tempfile.mkdtemp(prefix='weftwork-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, kind: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's Python ends if nothing has freed it before."""
-    path = f"{shared_dir(spark)}/weftwork/{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
-    _made[path] = spark
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete `path` through Hadoop's file system, so that it works on any store."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    _made.pop(path, None)
-
-
-def materialize(df: DataFrame, kind: str = "table") -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it again: lineage ends, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, kind)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def release(*tables: DataFrame | None) -> None:
-    """Free the files of tables from `materialize` whose last reader has run; other frames and None are left alone."""
-    for df in tables:
-        path = getattr(df, "_scratch", None)
-        if path in _made:
-            remove(_made[path], path)
-
-
-def fresh_names(df: DataFrame, *names: str) -> list[str]:
-    """`names`, each with underscores added until no column of `df` has it; Spark's names don't tell cases apart."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
-@atexit.register
-def _clean() -> None:
-    for path, spark in list(_made.items()):
-        try:
-            remove(spark, path)
-        except (OSError, PySparkException):  # the JVM may have ended before Python; the next path is still tried
-            continue
-        except Exception as e:
-            if type(e).__module__.partition(".")[0] != "py4j":
-                raise
+__all__ = ["fresh_names", "materialize", "new_path", "release", "remove", "shared_dir"]
