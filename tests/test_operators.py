@@ -187,3 +187,10 @@ def test_unavailable_calls(spark):
     methods = spark.createDataFrame([("Найти", 0), ("Найти", 1), ("x", 0)], "name string, server int")
     got = sorted((r.id, r.code, r.line, r.severity) for r in rules.unavailable_calls(code, "id", "t", methods, "server", ["Если"]).collect())
     assert got == [(1, "METHOD-CONTEXT-x", 1, "critical"), (1, "METHOD-CONTEXT-ПоказатьВопрос", 2, "critical"), (2, "METHOD-CONTEXT-Закрыть", 1, "critical")]
+
+
+def test_small_parsers(spark):
+    rows = spark.createDataFrame([("a/b", "x/../y", "[1,2.5]"), ("a b", "x/y..z", "[1,x]"), ("o/n..m", "/abs", " [ -1e3 ]")], "r string, p string, v string")
+    got = [tuple(r) for r in rows.select(refs.repository_valid(F.col("r")), refs.inside_root(F.col("p")), refs.vector_parse(F.col("v"))).collect()]
+    assert got == [(True, False, [1.0, 2.5]), (False, True, None), (False, False, [-1000.0])]
+    assert rows.limit(1).select(refs.vector_literal(F.array(F.lit(1.5), F.lit(-2.0)))).first()[0] == "[1.5,-2.0]"

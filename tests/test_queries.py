@@ -2,7 +2,7 @@
 
 import pytest
 
-from weftwork.plans.registry import ORACLES, QUERIES
+from weftwork.plans import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

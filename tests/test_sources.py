@@ -6,7 +6,8 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from weftwork.sources import helpbook, lint, metadata, modules
+from weftwork.operators import lookups
+from weftwork.sources import helpbook, lint, metadata, modules, objects, paths, stores
 from weftwork.streaming import reindex
 
 
@@ -14,6 +15,9 @@ def test_lint_reports(spark, tmp_path):
     diag = {"code": "X1", "severity": "Error", "message": "m", "range": {"start": {"line": 4, "character": 0}}}
     (tmp_path / "a.json").write_text(json.dumps({"fileinfos": [{"path": "p", "diagnostics": [diag]}, {"path": "q", "diagnostics": []}]}))
     (tmp_path / "b.json").write_text("{ broken")
+    (tmp_path / "c.json").write_text(json.dumps([{"severity": 2, "location": {"line": 1, "column": 2}, "source": "s"}]))
+    assert sorted(tuple(r) for r in lint.read_reports(spark, str(tmp_path / "c.json")).collect()) == [("s", "UNKNOWN", "warning", "", 2, 3)]
+    (tmp_path / "c.json").unlink()
     assert [tuple(r) for r in lint.read_reports(spark, str(tmp_path)).collect()] == [("p", "X1", "critical", "m", 5, 1)]
 
 
@@ -86,3 +90,121 @@ def test_parameters(spark):
     got = [r.p and [tuple(x) for x in r.p] for r in rows]
     assert got[0] == [("A", True, None, False), ("Б", False, "1", True), ("В", True, '"x,)"', True), ("Г", False, "(1, 2)", True)]
     assert got[1:] == [[], [("A", False, None, False), ("B", False, None, False)], None]
+
+
+def test_help_book_with_directory_and_salvage(spark, tmp_path):
+    import io
+    import zipfile
+
+    def book(**kw):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("a.html", "<html>" + "a" * 500)
+            z.writestr("inner.html", b"<html>" + b"PK\x03\x04" * 20, zipfile.ZIP_STORED)
+            z.writestr("ж", "<!doctype html>b")
+        return out.getvalue()
+
+    want = ["a.html", "inner.html", "ж"]
+    assert [n for n, _ in helpbook.entries(book())] == want
+    assert [n for n, _ in helpbook.entries(b"before" * 9 + book())] == want
+    cut = book()[: book().index(b"PK\x01\x02")]
+    assert [n for n, _ in helpbook.entries(b"x" + cut)] == want
+    hurt = bytearray(cut)
+    hurt[40:44] = b"\xff" * 4
+    assert [n for n, _ in helpbook.entries(bytes(hurt))] == want[1:]
+    stream = io.BytesIO()
+    with zipfile.ZipFile(type("Pipe", (), {"write": stream.write, "flush": stream.flush})(), "w", zipfile.ZIP_DEFLATED) as z:  # sizes in data descriptors
+        z.writestr("a.html", "<html>" + "a" * 500)
+        z.writestr("b.html", "<html>b")
+    raw = stream.getvalue()
+    assert [n for n, _ in helpbook.entries(raw[: raw.index(b"PK\x01\x02")])] == ["a.html", "b.html"]
+    assert list(helpbook.entries(b"")) == [] and list(helpbook.entries(b"PK\x03\x04short")) == []
+
+
+def test_registry_and_indexes(spark, tmp_path):
+    import datetime
+
+    import pytest
+
+    path = str(tmp_path / "registry")
+    day = lambda d: datetime.datetime(2024, 1, d)
+    rows = lambda *x: spark.createDataFrame(list(x), stores.REGISTRY_SCHEMA)
+    assert stores.read_registry(spark, path).count() == 0 and stores.load_index(spark, path) is None
+    stores.register(spark, path, rows(("ut", "1", "/a", day(1), None), ("ut", "1", "/b", day(2), None), ("bp", "2", "/c", day(1), None)))
+    assert sorted((r.name, r.path) for r in stores.read_registry(spark, path).collect()) == [("bp", "/c"), ("ut", "/b")]
+    with pytest.raises(ValueError):
+        stores.register(spark, path, rows(("ut", "1", "/z", day(3), None)))
+    stores.register(spark, path, rows(("ut", "1", "/z", day(3), None)), replace=True)
+    stores.mark_indexed(spark, path, "ut", "1", F.lit(day(9)))
+    assert [(r.path, r.indexed_at) for r in stores.read_registry(spark, path).where("name = 'ut'").collect()] == [("/z", day(9))]
+    assert stores.unregister(spark, path, "bp", "2") and not stores.unregister(spark, path, "bp", "2")
+    assert stores.read_registry(spark, path).count() == 1
+    stores.drop_index(spark, path)
+    assert stores.load_index(spark, path) is None
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "x.bsl").write_text("x")
+    assert stores.newest_source(spark, str(tmp_path / "src")).first()[0] is not None
+
+
+def test_rules_from_files(spark, tmp_path):
+    for kind in ("p", "a"):
+        (tmp_path / kind).mkdir()
+    (tmp_path / "p" / "1.json").write_text(json.dumps({"id": "one", "title": "Old", "tags": ["x"]}))
+    (tmp_path / "p" / "2.yaml").write_text("id: one\ntitle: Нов\nseverity: critical\nregex_pattern: 'a+'\n")
+    (tmp_path / "p" / "3.yaml").write_text("title: no id\n")
+    (tmp_path / "p" / "4.json").write_text("{broken")
+    (tmp_path / "a" / "5.json").write_text(json.dumps({"id": "one", "title": "T", "severity": "odd"}))
+    (tmp_path / "a" / "6.json").write_text(json.dumps({"id": "two", "title": "T", "regex_pattern": "("}))
+    (tmp_path / "a" / "7.json").write_text(json.dumps({"id": "two", "title": "ring"}))
+    rules, problems = stores.read_rules(spark, {"pattern": str(tmp_path / "p"), "antipattern": str(tmp_path / "a")})
+    assert sorted((r.type, r.id, r.title) for r in rules.collect()) == [("antipattern", "two", "ring"), ("pattern", "one", "Нов")]
+    assert sorted((r.path[-6:], r.problem[:12]) for r in problems.collect()) == [("3.yaml", "id is missin"), ("4.json", "not readable"), ("5.json", "severity is "), ("6.json", "regex_patter")]
+    got = lookups.search_kb(rules, "one", 5).collect()
+    assert [(r.id, r.type, r.score) for r in got] == [("one", "pattern", 0.8)]
+    assert lookups.rule_by_id(rules, "one").first().detect_method == "regex" and lookups.rule_by_id(rules, "none").count() == 0
+
+
+def test_catalogue():
+    import pytest
+
+    text = "# paths\nROOT=/data\nIDX=${ROOT}/idx\n OUT = \"${IDX}/out\"\nLOOP=${LOOP}\nBAD=${NONE}"
+    assert stores.catalogue(text, {"ROOT": "/env"}, ["OUT"]) == {"OUT": "/env/idx/out"}
+    for name, error in (("LOOP", ValueError), ("BAD", KeyError), ("ABSENT", KeyError)):
+        with pytest.raises(error):
+            stores.catalogue(text, {}, [name])
+
+
+def test_path_rules(spark):
+    cases = {
+        "CommonModules/A/Ext/Module.bsl": ("CommonModule", "CommonModule.A", "A"),
+        "Catalogs/T/Ext/ObjectModule.bsl": ("ObjectModule", "Catalog.T", "T"),
+        "Documents/D/Forms/F/Ext/Form/Module.bsl": ("FormModule", "Document.D.F", "F"),
+        "Odds/O/Ext/ManagerModule.bsl": ("ManagerModule", "Odd.O", "O"),
+        "CommonForms/C/Ext/Form/Module.bsl": ("Module", "CommonForm.C", "C"),
+        "CommonForms/C/Module.bsl": ("FormModule", "CommonForm.C", "C"),
+        "Ext/Session.bsl": ("Unknown", "Ext/Session.bsl", "Session"),
+        "x.bsl": ("Unknown", "x.bsl", "x"),
+    }
+    rows = spark.createDataFrame([(p,) for p in cases], "p string")
+    info = paths.module_info(F.col("p"))
+    assert {r[0]: (r[1], r[2], r[3]) for r in rows.select("p", info["kind"], info["ref"], paths.module_name(F.col("p"))).collect()} == cases
+    files = spark.createDataFrame([(p, "t") for p in cases], "path string, text string")
+    assert lookups.module_of(files, "Catalog.T", "ObjectModule").first().path == "Catalogs/T/Ext/ObjectModule.bsl"
+    assert lookups.module_of(files, "Document.D", "FormModule").count() == 1 and lookups.module_of(files, "Catalog.%", "ObjectModule").count() == 0
+    assert rows.select(paths.relative(F.lit("file:///a/b/Catalogs/%D0%96.xml"), "/a/b")).first()[0] == "Catalogs/Ж.xml"
+
+
+def test_configuration_and_forms_from_files(spark, tmp_path):
+    (tmp_path / "Configuration.xml").write_text("﻿<x:MetaDataObject><Configuration><Properties><Name>Root</Name><CompatibilityMode>Version8_3_24</CompatibilityMode></Properties><ChildObjects><Catalog>A</Catalog><Catalog>B</Catalog><Role>R</Role></ChildObjects></Configuration></x:MetaDataObject>", encoding="utf-8")
+    c = objects.configuration(spark, str(tmp_path)).first()
+    assert (c.name, c.platform_version, c.version, c.object_counts) == ("Root", "8.3.24", "0.0.0.0", {"Catalog": 2, "Role": 1})
+    folder = tmp_path / "Catalogs" / "A" / "Forms"
+    (folder / "Main" / "Ext").mkdir(parents=True)
+    (folder / "Main.xml").write_text("<MetaDataObject><Form><Properties><Name>Main</Name><FormType>Managed</FormType></Properties></Form></MetaDataObject>")
+    (folder / "Main" / "Ext" / "Form.xml").write_text("<Form><Events><Event name='OnOpen'>H</Event></Events><ChildItems><Group name='G'><ChildItems><Field name='F'/></ChildItems></Group></ChildItems></Form>")
+    (folder / "Bare.xml").write_text("<MetaDataObject><Form><Properties/></Form></MetaDataObject>")
+    rows = objects.read_forms(spark, str(tmp_path))
+    got = {r.name: r for r in objects.forms(rows).collect()}
+    assert set(got) == {"Main", "Bare"} and got["Main"].events == {"OnOpen": "H"} and got["Bare"].events == {} and got["Bare"].parent_name == "A"
+    assert [(r.depth, r.element) for r in objects.form_elements(rows).orderBy("depth").collect()] == [(0, "G"), (1, "F")]
+    assert lookups.form_by_name(objects.forms(rows), "Catalog.A", "Main").count() == 1

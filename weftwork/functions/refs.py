@@ -52,3 +52,35 @@ def diff_stat(summary: Column) -> Column:
 def branch_valid(name: Column) -> Column:
     """A safe relative branch or path name."""
     return name.rlike(r"^[A-Za-z0-9][A-Za-z0-9._/-]*$") & ~F.contains(name, F.lit(".."))
+
+
+def repository_valid(name: Column) -> Column:
+    """`owner/name` of letters, digits, dots, dashes and underscores."""
+    return name.rlike(r"^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$") & ~F.contains(name, F.lit(".."))
+
+
+def inside_root(path: Column) -> Column:
+    """A relative path that doesn't leave its root."""
+    return (path != "") & ~path.rlike(r"^(/|\\\\|[A-Za-z]:)") & ~F.exists(F.split(path, r"[/\\\\]"), lambda p: p == "..")
+
+
+def vector_literal(v: Column) -> Column:
+    """A vector as text, `[a,b,c]`."""
+    return F.concat(F.lit("["), F.array_join(v.cast("array<string>"), ","), F.lit("]"))
+
+
+def vector_parse(text: Column) -> Column:
+    """The vector behind its text; null where a part is no number."""
+    parts = F.transform(F.split(F.regexp_replace(text, r"^\s*\[|\]\s*$", ""), r"\s*,\s*"), lambda x: x.try_cast("double"))
+    return F.when(~F.exists(parts, lambda x: x.isNull()), parts)
+
+
+def generated_path(type_: Column, name: Column, task: Column, turn: Column) -> Column:
+    """Where a generated module goes: the object's own module file, else a file of the task and turn."""
+    has = F.coalesce(name, F.lit("")) != ""
+    return (
+        F.when((type_ == "CommonModule") & has, F.concat(F.lit("CommonModules/"), name, F.lit("/Ext/Module.bsl")))
+        .when((type_ == "Catalog") & has, F.concat(F.lit("Catalogs/"), name, F.lit("/Ext/ObjectModule.bsl")))
+        .when((type_ == "Document") & has, F.concat(F.lit("Documents/"), name, F.lit("/Ext/ObjectModule.bsl")))
+        .otherwise(F.concat(F.lit("Generated/"), task.cast("string"), F.lit("_"), turn.cast("string"), F.lit(".bsl")))
+    )

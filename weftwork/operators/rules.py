@@ -130,7 +130,7 @@ def availability(calls: DataFrame, name_col: str, methods: DataFrame, server_onl
 def unavailable_calls(code: DataFrame, id_col: str, text_col: str, methods: DataFrame, context: str, keywords: Sequence[str] = ()) -> DataFrame:
     """(id, severity, code, line, message): a critical finding for each name that a text calls and that the context lacks, at
     the name's first call. Keywords before a bracket are no calls."""
-    calls = find_all(code, id_col, text_col, CALL, "").select(id_col, "line", F.regexp_extract("match", r"^\w+", 0).alias("name")).where(~F.col("name").isin(list(keywords)) if keywords else F.lit(True))
+    calls = find_all(code, id_col, text_col, CALL, "").select(id_col, "line", F.regexp_extract("match", r"(?U)^\w+", 0).alias("name")).where(~F.col("name").isin(list(keywords)) if keywords else F.lit(True))
     first = calls.groupBy(id_col, "name").agg(F.min("line").alias("line"))
     lacks = availability(first, "name", methods, context=context).where("not available")
     return lacks.select(id_col, F.lit("critical").alias("severity"), F.concat(F.lit("METHOD-CONTEXT-"), "name").alias("code"), "line", F.concat(F.lit("'"), "name", F.lit(f"' is not available in the context '{context}'")).alias("message"))

@@ -15,6 +15,9 @@ from ..scratch import fresh_names
 SPACE = r"[\x20\x09-\x0D\x{A0}]"
 
 
+COMMON = {n: html5[f"{n};"] for n in ("quot", "gt", "lt", "nbsp", "amp")}
+
+
 def unescape(text: Column) -> Column:
     """Character references decoded: numbers, decimal or hexadecimal, and all names that HTML has. Unknown ones stay, code
     points that are no characters become U+FFFD, and 128 to 159 are read as Windows-1252, as browsers do. A name without a
@@ -30,6 +33,8 @@ def unescape(text: Column) -> Column:
         odd = (n > 0x10FFFF) | n.between(0xD800, 0xDFFF) | (n == 0)
         char = F.when(odd, "\ufffd").when(n.between(128, 159), F.element_at(win, (n - 127).cast("int"))).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
         named = F.coalesce(F.try_element_at(names, F.substring(part, 2, 1 << 30)), part)
+        for name, common in COMMON.items():  # the table is looked through from its start, so the usual ones are tested first
+            named = F.when(part == f"&{name};", common).otherwise(named)
         return F.when(~part.startswith("&"), part).when(part.startswith("&#"), char).otherwise(named)
 
     # Most texts have no reference at all and are left alone.

@@ -1 +1,6 @@
+"""Registered queries over the driver tables, with their SQL."""
 
+from .registry import ORACLES, QUERIES
+from . import indexes  # noqa: F401  registers its queries
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -339,12 +339,13 @@ def diag_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: References that the pages of the driver hold; the operator knows all, which a test holds against Python's html module.
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"))
 
 
 def _strip_sql(c: str) -> str:
     for name, char in _ENTITIES:
         c = f"replace({c}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    c = rf"regexp_replace({c}, '&amp(?:;|([^A-Za-z0-9;]|$))', '&\1', 'g')"  # also without its semicolon, at the end of a cut title
     return rf"trim(regexp_replace(regexp_replace({c}, '<[^>]*>', ' ', 'g'), '[\x20\x09-\x0D\x{{A0}}]+', ' ', 'g'))"
 
 

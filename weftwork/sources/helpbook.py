@@ -1,24 +1,24 @@
-"""Help books: containers of deflated HTML pages, and the methods that the pages describe.
+"""Help books: archives of HTML pages, and the methods that the pages describe.
 
-A container is scanned for entry headers in Python, as no reader of Spark knows it; the pages are parsed by expressions.
+A book is a ZIP archive, often with bytes before it or without its directory. Where the directory can be read, entries come
+from it; what it doesn't reach is salvaged by walking from one local header to the next, each entry ending where its own
+data end. Pages are cut into titled sections by expressions.
 """
 
 from __future__ import annotations
 
-import re
+import io
 import struct
+import zipfile
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.text import strip_html
 
-MARK = b"PK\x03\x04"
-_HEADER = struct.Struct("<4s5H3I2H")
-
 # Phrases of the availability text and the flag that each sets.
 CONTEXTS = {
     "server": ("сервер",),
@@ -32,39 +32,63 @@ CONTEXTS = {
 }
 
 
+LOCAL = b"PK\x03\x04"
+
+
 def entries(data: bytes) -> Iterator[tuple[str, bytes]]:
-    """(name, content) of each entry whose content can be unpacked; broken entries are passed over, whatever their place."""
-    at = data.find(MARK)
-    while 0 <= at <= len(data) - _HEADER.size:
-        _, _, flags, method, _, _, _, packed, _, n_name, n_extra = _HEADER.unpack_from(data, at)
-        begin = at + _HEADER.size + n_name + n_extra
-        ahead = at + len(MARK)
-        if begin <= len(data):
-            sized = packed > 0 and not flags & 8
-            content = _unpack(memoryview(data)[begin : begin + packed if sized else len(data)], method, sized)
-            if content is not None:
-                yield data[at + _HEADER.size : begin - n_extra].decode("utf-8", "replace"), content
-            if sized:
-                ahead = begin + packed
-        at = data.find(MARK, ahead)
-
-
-def _unpack(raw: memoryview, method: int, sized: bool) -> bytes | None:
-    """Stored (0) or deflated (8) content; an entry without a size ends where its deflate stream does."""
-    if method == 0:
-        return bytes(raw) if sized else None
-    if method != 8:
-        return None
-    for bits in (-15, 15) if sized else (-15,):
-        try:
-            return zlib.decompressobj(bits).decompress(raw)
-        except zlib.error:
-            continue
-    return None
+    """(name, content) of each entry that can be unpacked, in order; damaged ones are passed over."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as book:
+            for info in book.infolist():
+                try:
+                    yield info.filename, book.read(info)
+                except (zipfile.BadZipFile, zlib.error, NotImplementedError, EOFError, RuntimeError, OSError):
+                    continue
+    except (zipfile.BadZipFile, OSError, ValueError, struct.error):
+        yield from salvaged(data)
+
+
+def salvaged(data: bytes) -> Iterator[tuple[str, bytes]]:
+    """Entries of an archive without a directory, by its local headers."""
+    view, at = memoryview(data), data.find(LOCAL)
+    while at >= 0:
+        name, content, end = local_entry(view, at)
+        if content is not None:
+            yield name, content
+        # Behind a whole entry the next one follows; bytes inside its data are never taken for a header.
+        at = data.find(LOCAL, max(end, at + len(LOCAL)))
+
+
+def local_entry(view: memoryview, at: int) -> tuple[str, bytes | None, int]:
+    """Name, content (None if damaged) and end of the entry whose local header is at `at`."""
+    fixed = bytes(view[at + 4 : at + 30])
+    if len(fixed) < 26:
+        return "", None, len(view)
+    flags, method = struct.unpack_from("<HH", fixed, 2)
+    check, size, _, name_size, extra_size = struct.unpack_from("<IIIHH", fixed, 10)
+    begin = at + 30 + name_size + extra_size
+    name = bytes(view[at + 30 : at + 30 + name_size]).decode("utf-8", "replace")
+    known = size > 0 and not flags & 8
+    if begin > len(view):
+        return name, None, at
+    if method == zipfile.ZIP_STORED:
+        return (name, bytes(view[begin : begin + size]), begin + size) if known and begin + size <= len(view) else (name, None, at)
+    if method != zipfile.ZIP_DEFLATED:
+        return name, None, begin + size if known else at
+    unpack = zlib.decompressobj(-zlib.MAX_WBITS)
+    try:
+        content = unpack.decompress(view[begin : begin + size] if known else view[begin:])
+    except zlib.error:
+        return name, None, at
+    if not unpack.eof or check and not flags & 8 and zlib.crc32(content) != check:
+        return name, None, at
+    return name, content, begin + size if known else len(view) - len(unpack.unused_data)
 
 
 def _is_page(name: str, content: bytes) -> bool:
-    return name.lower().endswith((".html", ".htm")) or bool(name and re.search(rb"<html|<!doctype", content[:200].lower()))
+    """HTML by its suffix or, with any other name, by how it begins."""
+    start = content[:200].lower()
+    return name.lower().endswith((".html", ".htm")) or bool(name) and (b"<html" in start or b"<!doctype" in start)
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,40 +116,52 @@ def read_pages(spark: SparkSession, folder: str, pattern: str = "*.hbk") -> Data
     return files.select("path", "content").mapInArrow(_pages, "path string, pos int, entry string, html string")
 
 
+def sections(html: Column) -> Column:
+    """array<struct(title, body)> of a page's chapters: the title without its colon, and the markup up to the next chapter
+    or rule."""
+    parts = F.slice(F.split(html, r"(?i)<p[^>]*class=[\"']?V8SH_chapter[\"']?[^>]*>"), 2, 1 << 30)
+    title = lambda x: F.rtrim(F.trim(F.regexp_replace(F.regexp_extract(x, r"(?is)^(.*?)</p>", 1), "<[^>]*>", "")), F.lit(": "))
+    return F.transform(parts, lambda x: F.struct(title(x).alias("title"), F.regexp_extract(x, r"(?is)^.*?</p>(.*?)(?:<hr\b.*)?$", 1).alias("body")))
+
+
+def title_parts(title: Column) -> Column:
+    """struct(category, name, name_en) of a title such as `Category.Name (Category.NameEn)`; the last brackets hold the
+    English name."""
+    open_at = F.length(title) - F.instr(F.reverse(title), "(") + 1
+    brackets = F.contains(title, F.lit("(")) & title.endswith(")")
+    own = F.when(brackets, F.trim(F.substring(title, F.lit(1), open_at - 1))).otherwise(title)
+    english = F.when(brackets, F.rtrim(F.substring(title, open_at + 1, F.length(title)), F.lit(") ")))
+    dotted = F.contains(own, F.lit("."))
+    category = F.when(dotted, F.substring(own, F.lit(1), F.length(own) - F.length(F.substring_index(own, ".", -1)) - 1))
+    return F.struct(F.nullif(category, F.lit("")).alias("category"), F.trim(F.substring_index(own, ".", -1)).alias("name"), F.nullif(F.substring_index(english, ".", -1), F.lit("")).alias("name_en"))
+
+
+def contexts(text: Column) -> list[Column]:
+    """A flag for each context that the first sentence of an availability text names."""
+    first = F.lower(F.substring_index(text, ".", 1))
+    return [F.coalesce(F.greatest(*[F.contains(first, F.lit(p)) for p in (*phrases, phrases[0])]), F.lit(False)).alias(name) for name, phrases in CONTEXTS.items()]
+
+
 def methods(pages: DataFrame) -> DataFrame:
     """(name, name_en, category, signature, is_procedure, description, source_file, and a flag for each context): one row
     for each method name, the first by path and place. Pages without a title or without markers give none."""
     html = F.col("html")
-    title = strip_html(F.regexp_extract(html, r'(?s)<h1[^>]*class="V8SH_pagetitle"[^>]*>(.+?)</h1>', 1))
-    base = pages.where(html.rlike("V8SH_chapter|V8SH_pagetitle")).select("path", "pos", "entry", "html", title.alias("title")).where("title <> ''")
-    both = F.contains("title", F.lit("(")) & F.contains("title", F.lit(")"))
-    ru = F.when(both, F.trim(F.regexp_extract("title", r"(?s)^(.*)\(", 1))).otherwise(F.col("title"))
-    en = F.when(both, F.substring_index(F.trim(F.regexp_extract("title", r"(?s)^.*\(([^)]*(?:\)[^)(]*)*)\)", 1)), ".", -1))
-    available = strip_html(F.regexp_extract(html, r"Доступность:\s*</p>\s*<p>([^<]+)</p>", 1))
-    syntax = F.left(strip_html(F.regexp_extract(html, r'(?s)<p[^>]*class="V8SH_chapter">Синтаксис:</p>(.+?)(?:<p[^>]*class="V8SH_chapter">|<HR>|$)', 1)), F.lit(200))
-    text = F.lower(F.substring_index(available, ".", 1))
-    flags = [F.greatest(*[F.contains(text, F.lit(p)) for p in (*phrases, phrases[0])]).alias(name) for name, phrases in CONTEXTS.items()]
-    cut = base.select(
-        "path",
-        "pos",
-        F.col("entry").alias("source_file"),
-        F.substring_index(ru, ".", -1).alias("name"),
-        en.alias("name_en"),
-        F.nullif(F.regexp_extract(ru, r"(?s)^(.*)\.", 1), F.lit("")).alias("category"),
-        syntax.alias("syntax"),
-        *flags,
-    ).where("name <> ''")
-    signature = F.coalesce(F.nullif(F.col("syntax"), F.lit("")), F.col("name"))
-    description = F.concat(F.lit("Метод платформы 1С: "), "name", F.coalesce(F.concat(F.lit(" (en: "), F.nullif(F.col("name_en"), F.lit("")), F.lit(")")), F.lit("")), F.coalesce(F.concat(F.lit(" | Категория: "), "category"), F.lit("")))
+    heading = strip_html(F.regexp_extract(html, r"(?is)<h1[^>]*V8SH_pagetitle[^>]*>(.*?)</h1>", 1))
+    cut = pages.where(F.contains("html", F.lit("V8SH_"))).select("path", "pos", F.col("entry").alias("source_file"), title_parts(heading).alias("t"), sections(html).alias("s"))
+    said = lambda k: F.coalesce(strip_html(F.get(F.filter("s", lambda e: e["title"] == k), F.lit(0))["body"]), F.lit(""))
+    rows = cut.where("t.name <> ''").select("path", "pos", "source_file", "t.*", F.left(said("Синтаксис"), F.lit(200)).alias("syntax"), said("Доступность").alias("available"))
+    rows = rows.select("*", *contexts(F.col("available"))).drop("available")
     first = F.row_number().over(Window.partitionBy("name").orderBy("path", "pos"))
-    rows = cut.withColumn("n", first).where("n = 1")
+    rows = rows.withColumn("n", first).where("n = 1").withColumn("signature", F.coalesce(F.nullif("syntax", F.lit("")), "name"))
+    english = F.coalesce(F.concat(F.lit(" (en: "), "name_en", F.lit(")")), F.lit(""))
+    group = F.coalesce(F.concat(F.lit(" | Категория: "), "category"), F.lit(""))
     return rows.select(
         "name",
         "name_en",
         F.coalesce("category", F.lit("Uncategorized")).alias("category"),
-        signature.alias("signature"),
-        (F.lower(signature).startswith("процедура") | F.contains(F.lower(signature), F.lit("процедура "))).alias("is_procedure"),
-        description.alias("description"),
+        "signature",
+        F.col("signature").rlike(r"(?iu)^процедура|процедура ").alias("is_procedure"),
+        F.concat(F.lit("Метод платформы 1С: "), "name", english, group).alias("description"),
         "source_file",
         *CONTEXTS,
     )

@@ -7,13 +7,25 @@ from pyspark.sql import functions as F
 
 from ..operators.findings import severity
 
-SCHEMA = "fileinfos array<struct<path:string, diagnostics:array<struct<code:string, severity:string, message:string, range:struct<start:struct<line:int, character:int>>>>>>"
+_ISSUE = "struct<code:string, severity:string, message:string, source:string, range:struct<start:struct<line:int, character:int>>, location:struct<line:int, column:int, start:struct<line:int, character:int>>>"
+_REPORT = f"struct<fileinfos:array<struct<path:string, diagnostics:array<{_ISSUE}>>>>"
+
+
+def parse_reports(rows: DataFrame, text_col: str = "value") -> DataFrame:
+    """(path, code, severity, message, line, column) of every diagnostic of the reports in a text column, in both forms: an
+    object with files, or an array of issues. Lines and columns count from 1; a missing code is UNKNOWN. Reports that can't
+    be parsed give no rows."""
+    text = F.trim(text_col)
+    files = F.from_json(text, _REPORT)["fileinfos"]
+    of_files = F.flatten(F.transform(files, lambda f: F.transform(F.coalesce(f["diagnostics"], F.array().cast(f"array<{_ISSUE}>")), lambda d: F.struct(f["path"].alias("path"), d.alias("d")))))
+    plain = F.transform(F.from_json(text, f"array<{_ISSUE}>"), lambda d: F.struct(d["source"].alias("path"), d.alias("d")))
+    issues = rows.select(F.explode(F.when(text.startswith("["), plain).otherwise(of_files)).alias("x")).select("x.path", "x.d").where("d is not null")
+    start, place = F.col("d.range.start"), F.col("d.location")
+    line = F.coalesce(start["line"], place["start"]["line"], place["line"], F.lit(0))
+    column = F.coalesce(start["character"], place["start"]["character"], place["column"], F.lit(0))
+    return issues.select("path", F.coalesce("d.code", F.lit("UNKNOWN")).alias("code"), severity(F.col("d.severity")).alias("severity"), F.coalesce("d.message", F.lit("")).alias("message"), (line + 1).alias("line"), (column + 1).alias("column"))
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """(path, code, severity, message, line, column) of every diagnostic; lines and columns from 1. Files without
-    diagnostics and reports that can't be parsed give no rows."""
-    reports = spark.read.schema(SCHEMA).option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
-    files = reports.select(F.explode("fileinfos").alias("f")).select(F.col("f.path").alias("path"), F.explode("f.diagnostics").alias("d"))
-    start = F.col("d.range.start")
-    return files.select("path", F.col("d.code").alias("code"), severity(F.col("d.severity")).alias("severity"), F.col("d.message").alias("message"), (start["line"] + 1).alias("line"), (start["character"] + 1).alias("column"))
+    """`parse_reports` of the files at a path."""
+    return parse_reports(spark.read.text(path, wholetext=True))

@@ -74,17 +74,19 @@ def _text(xml: Column | str, path: str) -> Column:
     return F.nullif(F.trim(F.xpath_string(xml, F.lit(path))), F.lit(""))
 
 
-def properties(objects: DataFrame) -> DataFrame:
-    """(type, name, path, uuid, synonym, comment): the synonym is the first non-empty `content`. Well-formed files only."""
+def property_columns() -> list[Column]:
+    """uuid, synonym (the first non-empty `content`) and comment of an object."""
     own = "/*/*/" + _path("Properties")
-    return objects.where("well_formed").select(
-        "type",
-        "name",
-        "path",
+    return [
         F.nullif(F.xpath_string("xml", F.lit("/*/*/@uuid")), F.lit("")).alias("uuid"),
         _text("xml", f"({own}/{_path('Synonym')}//*[local-name()='content'][normalize-space()])[1]").alias("synonym"),
         _text("xml", f"{own}/{_path('Comment')}").alias("comment"),
-    )
+    ]
+
+
+def properties(objects: DataFrame) -> DataFrame:
+    """(type, name, path, uuid, synonym, comment). Well-formed files only."""
+    return objects.where("well_formed").select("type", "name", "path", *property_columns())
 
 
 def children(objects: DataFrame, tag: str) -> DataFrame:
