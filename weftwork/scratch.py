@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,6 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, SparkSession] = {}
+_own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,7 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
-        named = f"file://{tempfile.mkdtemp(prefix='weftwork-')}"
+        _own.append(tempfile.mkdtemp(prefix="weftwork-"))
+        named = f"file://{_own[-1]}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
@@ -76,6 +79,11 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
 @atexit.register
 def _clean() -> None:
     for path, spark in list(_made.items()):
+        if spark.sparkContext._jsc is None:  # the session was stopped before Python ended; what lies here can still go
+            local = path.removeprefix("file://").removeprefix("file:")
+            if local.startswith("/"):
+                shutil.rmtree(local, ignore_errors=True)
+            continue
         try:
             remove(spark, path)
         except (OSError, PySparkException):  # the JVM may have ended before Python; the next path is still tried
@@ -83,3 +91,5 @@ def _clean() -> None:
         except Exception as e:
             if type(e).__module__.partition(".")[0] != "py4j":
                 raise
+    for folder in _own:
+        shutil.rmtree(folder, ignore_errors=True)
