@@ -1,13 +1,17 @@
 """Readers on files of our own."""
 
 import json
+import sqlite3
 import struct
+import zipfile
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
+from weftwork import indexing
 from weftwork.operators import lookups
-from weftwork.sources import helpbook, lint, metadata, modules, objects, paths, stores
+from weftwork.sources import archives, helpbook, lint, metadata, modules, objects, paths, sqlite, stores
 from weftwork.streaming import reindex
 
 
@@ -192,6 +196,8 @@ def test_path_rules(spark):
     assert lookups.module_of(files, "Catalog.T", "ObjectModule").first().path == "Catalogs/T/Ext/ObjectModule.bsl"
     assert lookups.module_of(files, "Document.D", "FormModule").count() == 1 and lookups.module_of(files, "Catalog.%", "ObjectModule").count() == 0
     assert rows.select(paths.relative(F.lit("file:///a/b/Catalogs/%D0%96.xml"), "/a/b")).first()[0] == "Catalogs/Ж.xml"
+    for path, root, rest in (("file:/a/a/x", "file:///a", "a/x"), ("file:///a/a/x", "/a/", "a/x"), ("s3a://b/d/x+y", "s3a://b/d", "x+y"), ("file:/w/d/m/x", "d/m", "x"), ("file:/w/$d/x", "/w/$d", "x")):
+        assert rows.select(paths.relative(F.lit(path), root)).first()[0] == rest
 
 
 def test_configuration_and_forms_from_files(spark, tmp_path):
@@ -208,3 +214,69 @@ def test_configuration_and_forms_from_files(spark, tmp_path):
     assert set(got) == {"Main", "Bare"} and got["Main"].events == {"OnOpen": "H"} and got["Bare"].events == {} and got["Bare"].parent_name == "A"
     assert [(r.depth, r.element) for r in objects.form_elements(rows).orderBy("depth").collect()] == [(0, "G"), (1, "F")]
     assert lookups.form_by_name(objects.forms(rows), "Catalog.A", "Main").count() == 1
+
+
+def _zip(path, files):
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in files:
+            z.writestr(name, data)
+
+
+def test_archives_are_hoisted_and_told_by_their_problems(spark, tmp_path):
+    _zip(tmp_path / "a.zip", [("ut/Configuration.xml", "<a/>"), ("ut/Catalogs/G.xml", "<g/>"), ("readme.txt", "r"), ("ut/empty/", "")])
+    _zip(tmp_path / "b.zip", [("x/Configuration.xml", "1"), ("y/Configuration.xml", "2")])
+    _zip(tmp_path / "c.zip", [("Configuration.xml", "1"), ("sub/Configuration.xml", "2"), ("../out.txt", "3")])
+    _zip(tmp_path / "d.zip", [])
+    _zip(tmp_path / "e.zip", [("f.txt", "1")])
+    (tmp_path / "f.zip").write_bytes(b"no archive")
+    rows = archives.hoisted(archives.read_archives(spark, str(tmp_path))).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["archive"][-5], set()).add((r["entry"], r["problem"]))
+    assert got["a"] == {("Configuration.xml", None), ("Catalogs/G.xml", None), ("readme.txt", None)}
+    assert got["b"] == {("x/Configuration.xml", "several Configuration.xml"), ("y/Configuration.xml", "several Configuration.xml")}
+    assert got["c"] == {("Configuration.xml", None), ("sub/Configuration.xml", None), ("../out.txt", "outside of the archive")}
+    assert got["d"] == {(None, "empty")}
+    assert got["e"] == {("f.txt", "no Configuration.xml")}
+    assert got["f"] == {(None, "not readable: BadZipFile")}
+
+
+def test_archive_to_indexes(spark, tmp_path):
+    attr = "<Attribute><Properties><Name>Item</Name><Type><Type>cfg:CatalogRef.Goods</Type></Type></Properties></Attribute>"
+    order = f"<MetaDataObject><Document uuid='d-1'><Properties><Name>Order</Name></Properties><ChildObjects>{attr}</ChildObjects></Document></MetaDataObject>"
+    code = "Процедура Первая() Экспорт\n  Вторая();\nКонецПроцедуры\nФункция Вторая(А) Экспорт\n  Общий.Первая();\nКонецФункции\n"
+    _zip(tmp_path / "ut.zip", [("ut/Configuration.xml", "<MetaDataObject/>"), ("ut/Documents/Order.xml", order), ("ut/Catalogs/Broken.xml", "<MetaDataObject><Cat"), ("ut/CommonModules/Общий/Ext/Module.bsl", code)])
+    registry, target, out = (f"file://{tmp_path}/{n}" for n in ("registry", "dump", "indexes"))
+    assert archives.add_archive(spark, registry, str(tmp_path / "ut.zip"), target, "ut", "1") == 4
+    with pytest.raises(ValueError, match="registered"):
+        archives.add_archive(spark, registry, str(tmp_path / "ut.zip"), target, "ut", "1")
+    (tmp_path / "bad.zip").write_bytes(b"PK")
+    with pytest.raises(ValueError, match="not readable"):
+        archives.add_archive(spark, registry, str(tmp_path / "bad.zip"), f"{target}2", "ut", "2")
+    assert [r["fresh"] for r in indexing.fresh(spark, registry).collect()] == [False]
+    sizes = indexing.build_registered(spark, registry, out, "ut")["1"]
+    assert sizes == {"objects": 2, "attributes": 1, "modules": 1, "api_reference": 1, "call_graph": 3, "dependency_graph": 1, "chunks": 2}
+    load = lambda i: stores.load_index(spark, indexing.index_path(out, "ut", "1", i))
+    assert {(r["name"], r["well_formed"], r["uuid"]) for r in load("objects").collect()} == {("Order", True, "d-1"), ("Broken", False, None)}
+    assert lookups.object_by_ref(load("objects"), "Document.Order").first()["uuid"] == "d-1"
+    assert [r["name"] for r in lookups.api_of(load("api_reference"), "Общий").collect()] == ["Первая", "Вторая"]
+    assert [tuple(r)[:2] for r in load("dependency_graph").collect()] == [("Document.Order", "Catalog.Goods")]
+    assert {(r["src_method"], r["dst"], r["dst_method"]) for r in load("call_graph").collect()} == {("Первая", None, "Вторая"), ("Вторая", "CommonModule.Общий", "Первая"), ("Вторая", None, "Первая")}
+    assert indexing.build_registered(spark, registry, out, "ut") == {"1": None}
+    assert indexing.build_registered(spark, registry, out, "ut", "1", force=True) == {"1": sizes}
+    with pytest.raises(KeyError):
+        indexing.build_registered(spark, registry, out, "other")
+
+
+def test_sqlite_tables(spark, tmp_path):
+    for name, rows in (("a.db", [("М1", "s", 1, 0), ("М2", None, 0, None)]), ("b.db", [("М2", "t", 1, 1)])):
+        with sqlite3.connect(tmp_path / name) as db:
+            db.execute("CREATE TABLE platform_methods (id INTEGER PRIMARY KEY, name TEXT, signature TEXT, server INTEGER, thin_client INTEGER)")
+            db.executemany("INSERT INTO platform_methods (name, signature, server, thin_client) VALUES (?, ?, ?, ?)", rows)
+    with sqlite3.connect(tmp_path / "other.db") as db:
+        db.execute("CREATE TABLE x (y)")
+    got = {tuple(r) for r in sqlite.read_table(spark, str(tmp_path), "platform_methods", "name string, server boolean, thin_client boolean, web_client boolean").drop("path").collect()}
+    assert got == {("М1", True, False, None), ("М2", False, None, None), ("М2", True, True, None)}
+    assert sorted(r["name"] for r in sqlite.platform_methods(spark, str(tmp_path)).collect()) == ["М1", "М2"]
+    with pytest.raises(ValueError, match="no SQLite type"):
+        sqlite.read_table(spark, str(tmp_path), "x", "y array<int>")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,9 +31,14 @@ def _named(folder: Column, default: Column) -> Column:
 
 
 def relative(path: Column, root: str) -> Column:
-    """The part of a file's address below a folder, decoded."""
-    whole = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
-    return F.regexp_replace(F.substring_index(whole, f"{root.rstrip('/')}/", -1), "^/+", "")
+    """The part of a file's address below a folder, decoded. Addresses may spell their scheme with one, two or three
+    slashes; below an absolute root its first occurrence counts, below another its last."""
+    scheme = r"^([A-Za-z][A-Za-z0-9+.-]*:)/+"
+    whole = F.regexp_replace(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), scheme, "$1/")
+    start = re.sub(scheme, r"\1/", root).rstrip("/") + "/"
+    absolute = start.startswith("/") or ":/" in start
+    below = F.regexp_replace(whole, rf"(?s)^.*?\Q{start}\E", "") if absolute else F.substring_index(whole, start, -1)
+    return F.regexp_replace(below, "^/+", "")
 
 
 def module_info(path: Column) -> Column:
