@@ -70,3 +70,43 @@ def backoff(attempt: Column, base: float, cap: float, kind: str = "exponential")
     """Delay before an attempt (1-based): linear or exponential, at most `cap`."""
     delay = F.lit(base) * (attempt if kind == "linear" else F.pow(F.lit(2.0), attempt - 1))
     return F.least(delay, F.lit(float(cap)))
+
+
+# Kinds of errors and what follows each.
+ERROR_ACTIONS = {
+    "AgentError": "escalate",
+    "PreflightError": "abort",
+    "IndexStaleError": "abort",
+    "SchemaViolationError": "retry",
+    "ToolError": "retry",
+    "ToolTimeoutError": "retry",
+    "ToolConnectionError": "retry",
+    "ToolExecutionError": "escalate",
+    "RoleForbiddenError": "abort",
+    "LLMError": "retry",
+    "LLMUnavailableError": "retry",
+    "LLMRateLimitError": "retry",
+    "LLMBudgetExceededError": "escalate",
+    "ValidationFailedError": "retry",
+    "ReviewRejectedError": "retry",
+    "MaxIterationsExceededError": "escalate",
+    "EscalationRequestedError": "escalate",
+    "PersistenceError": "abort",
+}
+# Reasons of an escalation by the kind of its error; any other kind is a tool's error.
+ERROR_REASONS = {
+    "MaxIterationsExceededError": "max_iterations_exceeded",
+    "SchemaViolationError": "schema_violation_loop",
+    "LLMBudgetExceededError": "budget_exceeded",
+    "LLMUnavailableError": "llm_unavailable",
+}
+
+
+def error_action(kind: Column) -> Column:
+    """retry, escalate or abort for a kind of error; null for an unknown one."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in ERROR_ACTIONS.items() for x in pair]), kind)
+
+
+def error_reason(kind: Column) -> Column:
+    """Why a task with this kind of error is escalated."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in ERROR_REASONS.items() for x in pair]), kind), F.lit("tool_error"))

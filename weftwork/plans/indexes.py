@@ -7,6 +7,11 @@ straight from the tables.
 
 from __future__ import annotations
 
+import io
+import sqlite3
+import zipfile
+
+import pyarrow as pw
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +25,14 @@ from ..operators import rules as ru
 from ..operators import search as se
 from ..operators import text as tx
 from ..session import table
+from ..sources import archives as ar
 from ..sources import helpbook as hb
 from ..sources import lint as li
 from ..sources import metadata as md
 from ..sources import modules as mo
 from ..sources import objects as ob
 from ..sources import paths as pa
+from ..sources import sqlite as sq
 from .registry import _COS, _OVERLAP, TERMS, _vector, dependency_edges, query
 
 
@@ -384,3 +391,65 @@ def import_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def generated_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.lit(["CommonModule", "Catalog", "Document", "Report"]), (F.col("doc_id") % 4 + 1).cast("int"))
     return table(spark, sf_dir, "documents").select("doc_id", generated_path(kind, F.col("source"), F.col("doc_id"), F.lit(2)).alias("path"))
+
+
+def _files(rows: DataFrame, pack) -> DataFrame:
+    """(path, content) of a file that `pack` makes of each row (path, items)."""
+
+    def run(batches):
+        for batch in batches:
+            made = [pack(items.as_py()) for items in batch.column(1)]
+            yield pw.RecordBatch.from_arrays([batch.column(0), pw.array(made, pw.binary())], names=["path", "content"])
+
+    return rows.select("path", "items").mapInArrow(run, "path string, content binary")
+
+
+def _zipped(items: list[dict]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for item in items:
+            z.writestr(item["name"], item["text"])
+    return out.getvalue()
+
+
+def _database(items: list[dict]) -> bytes:
+    with sqlite3.connect(":memory:") as db:
+        db.execute("CREATE TABLE platform_methods (id INTEGER PRIMARY KEY, name TEXT, signature TEXT, server INTEGER, thin_client INTEGER)")
+        db.executemany("INSERT INTO platform_methods (name, signature, server, thin_client) VALUES (?, ?, ?, ?)", [(i["name"], i["text"], i["key"] % 2, None if i["key"] % 3 == 0 else 1) for i in items])
+        return db.serialize()
+
+
+@query("""
+WITH f AS (SELECT n_regionkey AS r, CASE WHEN n_regionkey % 2 = 0 THEN '' ELSE 'Catalogs/../' END || 'n' || n_nationkey || '.xml' AS name, n_name AS text FROM nation),
+roots AS (SELECT DISTINCT r, 'Configuration.xml' AS name, 'root' AS text FROM f WHERE r <> 4)
+SELECT 'r' || r AS archive, CASE WHEN r = 4 THEN 'dump/' || name ELSE name END AS entry, CASE WHEN r % 2 = 1 AND text <> 'root' THEN NULL ELSE text END AS text,
+  CASE WHEN r = 4 THEN 'no Configuration.xml' WHEN r % 2 = 1 AND text <> 'root' THEN 'outside of the archive' END AS problem FROM (SELECT * FROM f UNION ALL SELECT * FROM roots)
+""")
+def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive for each region, its nations as files below one folder; some with names that lead out of it, one without
+    the root file."""
+    n = table(spark, sf_dir, "nation")
+    own = F.concat(F.lit("dump/"), F.when(F.col("n_regionkey") % 2 == 0, "").otherwise("Catalogs/../"), F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(".xml"))
+    files = n.select("n_regionkey", own.alias("name"), F.col("n_name").alias("text"))
+    files = files.union(n.where("n_regionkey <> 4").select("n_regionkey", F.lit("dump/Configuration.xml"), F.lit("root")).distinct())
+    packed = files.groupBy(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("path")).agg(F.collect_list(F.struct("name", "text")).alias("items"))
+    found = ar.hoisted(ar.entries(_files(packed, _zipped)))
+    return found.select("archive", "entry", F.decode("content", "UTF-8").alias("text"), "problem")
+
+
+@query("SELECT 'n' || s_nationkey AS path, s_name AS name, 's' || s_suppkey AS signature, s_suppkey % 2 = 1 AS server, CASE WHEN s_suppkey % 3 <> 0 THEN true END AS thin_client, NULL::BOOLEAN AS web_client FROM supplier")
+def sqlite_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A database for each nation, its suppliers as methods; a column that the files lack is null."""
+    s = table(spark, sf_dir, "supplier")
+    packed = s.groupBy(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("path")).agg(F.collect_list(F.struct(F.col("s_name").alias("name"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("text"), F.col("s_suppkey").alias("key"))).alias("items"))
+    return sq.tables(_files(packed, _database), "platform_methods", "name string, signature string, server boolean, thin_client boolean, web_client boolean")
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'retry' WHEN 1 THEN 'escalate' WHEN 2 THEN 'abort' WHEN 3 THEN 'retry' WHEN 4 THEN 'escalate' END AS action,
+  CASE doc_id % 6 WHEN 0 THEN 'schema_violation_loop' WHEN 1 THEN 'budget_exceeded' WHEN 3 THEN 'llm_unavailable' WHEN 4 THEN 'max_iterations_exceeded' ELSE 'tool_error' END AS reason FROM documents
+""")
+def error_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = ["SchemaViolationError", "LLMBudgetExceededError", "PersistenceError", "LLMUnavailableError", "MaxIterationsExceededError", "Other"]
+    kind = F.element_at(F.lit(kinds), (F.col("doc_id") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", fd.error_action(kind).alias("action"), fd.error_reason(kind).alias("reason"))
