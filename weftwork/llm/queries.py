@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
 from .bpe import round_trip
+from .codes import ENTRIES, PARTS, ROUNDS, SCALE, compress_vectors
 from .html_extract import extract_text
 from .media import media_digests
 from .mixing import mix_sources
 from .neardup import near_duplicates
 from .pii import find_personal_data
 from .quality import judge_quality
+from .sharding import shard_documents
 from .substring import LEAST_WORDS, LONG, remove_repeated_passages
 from .url_filter import default_rules, judge_urls
 from .warc import archive_round_trip
+from .whitening import whitened_components
 
 SPACE, SOLID = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,6 +65,38 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), default_rules(spark))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def _codes_sql(parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, scale: int = SCALE) -> str:
+    """The rounds one after another; products of these integers are exact as doubles."""
+    sql = f"""WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda c: floor({scale} * c::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS (SELECT vec_id, label, p, list_slice(v, p * len(v) // {parts} + 1, (p + 1) * len(v) // {parts}) AS x FROM k, range(0, {parts}) t(p)),
+b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM x WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT {entries})),"""
+    near = "SELECT vec_id, p, first(label) AS label, first(x) AS x, min(struct_pack(d := list_inner_product(c, c) - 2 * list_inner_product(x, c), e := e)) AS m FROM x JOIN b{i} USING (p) GROUP BY vec_id, p"
+    for i in range(rounds):
+        sql += f"""
+a{i} AS MATERIALIZED ({near.format(i=i)}),
+s{i} AS (SELECT p, m.e AS e, unnest(x) AS v, unnest(range(0, len(x))) AS j FROM a{i}),
+g{i} AS (SELECT p, e, list(c ORDER BY j) AS c FROM (SELECT p, e, j, floor(sum(v) / count(*)) AS c FROM s{i} GROUP BY ALL) GROUP BY ALL),
+b{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(g{i}.c, b{i}.c) AS c FROM b{i} LEFT JOIN g{i} USING (p, e)),"""
+    return sql + f"""
+z AS ({near.format(i=rounds)}),
+r AS (SELECT vec_id, first(label) AS label, string_agg(lpad(to_hex(m.e), 2, '0'), '' ORDER BY p) AS code, sum(m.d + list_inner_product(x, x))::BIGINT AS error FROM z GROUP BY 1),
+h AS (SELECT lower(sha256(string_agg(array_to_string(list_transform(c, lambda v: v::BIGINT), ','), ',' ORDER BY p, e))) AS said FROM b{rounds})
+SELECT vec_id, lower(code) AS code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, said AS codebooks_sha256 FROM r, h"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -73,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_pii": op9_pii,
     "op10_url_filters": op10_url_filters,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_whitening": op12_whitening,
+    "op13_sharding": op13_sharding,
 }
 
 ORACLES: dict[str, str] = {
@@ -110,6 +148,7 @@ m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(action, lengt
   ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY 1)
 SELECT p.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)
 """,
+    "op11_vector_codes": _codes_sql(),
     "op8_substring_dedup": rf"""
 WITH cut AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SPACE}*{SOLID}+{SPACE}*') AS parts FROM documents),
 one AS (SELECT doc_id, unnest(parts) AS part, unnest(range(0, len(parts))) AS k FROM cut),
