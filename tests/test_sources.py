@@ -257,7 +257,8 @@ def test_archive_to_indexes(spark, tmp_path):
     sizes = indexing.build_registered(spark, registry, out, "ut")["1"]
     assert sizes == {"objects": 2, "attributes": 1, "modules": 1, "api_reference": 1, "call_graph": 3, "dependency_graph": 1, "chunks": 2}
     load = lambda i: stores.load_index(spark, indexing.index_path(out, "ut", "1", i))
-    assert {(r["name"], r["well_formed"], r["uuid"]) for r in load("objects").collect()} == {("Order", True, "d-1"), ("Broken", False, None)}
+    assert {(r["name"], r["well_formed"], r["uuid"]) for r in load("objects").collect()} == {("Order", True, "d-1"), ("Broken", True, None)}
+    assert {r["name"]: r["repairs"] for r in load("objects").collect()} == {"Order": None, "Broken": ["closed tags: 1", "closed at the end: 2"]}
     assert lookups.object_by_ref(load("objects"), "Document.Order").first()["uuid"] == "d-1"
     assert [r["name"] for r in lookups.api_of(load("api_reference"), "Общий").collect()] == ["Первая", "Вторая"]
     assert [tuple(r)[:2] for r in load("dependency_graph").collect()] == [("Document.Order", "Catalog.Goods")]

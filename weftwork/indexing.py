@@ -23,16 +23,16 @@ def read_sources(spark: SparkSession, source: str) -> tuple[DataFrame, DataFrame
     found = modules.read_modules(spark, source)
     place = paths.relative(F.col("path"), source)
     info = paths.module_info(place)
-    return metadata.read_objects(spark, source), found.select("path", "text", paths.module_name(place).alias("module"), info["ref"].alias("ref"), info["kind"].alias("kind"))
+    return metadata.read_objects(spark, source, recover=True), found.select("path", "text", paths.module_name(place).alias("module"), info["ref"].alias("ref"), info["kind"].alias("kind"))
 
 
 def indexes(objects: DataFrame, code: DataFrame, prefix: str) -> dict[str, DataFrame]:
-    """The plan of each index over (objects, modules) as `read_sources` gives them. Objects that aren't well-formed XML stay
-    in the index of objects, without properties."""
+    """The plan of each index over (objects, modules) as `read_sources` gives them. Objects without
+    anything to read stay in the index of objects, without properties."""
     found = modules.methods(code)
     exports = found.where("is_export").join(code.select("path", "module"), "path").select("module", F.col("name").alias("method"))
     attributes = metadata.attributes(objects)
-    named = objects.select("type", "name", "path", "well_formed").join(metadata.properties(objects).drop("type", "name"), "path", "left")
+    named = objects.select("type", "name", "path", *[c for c in ("well_formed", "repairs") if c in objects.columns]).join(metadata.properties(objects).drop("type", "name"), "path", "left")
     return {
         "objects": named,
         "attributes": attributes,
@@ -51,7 +51,7 @@ def build(spark: SparkSession, source: str, target: str, name: str, version: str
     for index, plan in indexes(objects, code, f"{name}_{version}").items():
         path = index_path(target, name, version, index)
         save_index(plan, path)
-        sizes[index] = spark.read.parquet(path).count()
+        sizes[index] = load_index(spark, path).count()
     release(objects, code)
     return sizes
 

@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 from .text import lines, strip_line_comment
 
 # Words of the source language that a bracket may follow, and objects of the platform that are no modules.
-KEYWORDS = tuple(
-    "Если Иначе ИначеЕсли КонецЕсли Для Пока Цикл КонецЦикла Процедура КонецПроцедуры Функция КонецФункции Возврат Прервать Продолжить "
-    "Попытка Исключение КонецПопытки Перем Новый И ИЛИ НЕ Тогда Экспорт Знач Неопределено Истина Ложь".split()
+KEYWORDS = (
+    "Если", "Иначе", "ИначеЕсли", "КонецЕсли", "Для", "Пока", "Цикл", "КонецЦикла", "Процедура", "КонецПроцедуры",
+    "Функция", "КонецФункции", "Возврат", "Прервать", "Продолжить", "Попытка", "Исключение", "КонецПопытки", "Перем",
+    "Новый", "И", "ИЛИ", "НЕ", "Тогда", "Экспорт", "Знач", "Неопределено", "Истина", "Ложь",
 )
-STANDARD_OBJECTS = tuple(
-    "ЭтотОбъект Объект Форма Элементы ЭтаФорма Справочники Документы Регистры Константы Метаданные Параметры ПараметрыСеанса Запрос "
-    "Результат РезультатЗапроса Выборка СтрокаТаблицы Элемент Колонка Структура Массив ТаблицаЗначений ДеревоЗначений Справочник Документ "
-    "РегистрСведений РегистрНакопления РегистрБухгалтерии РегистрРасчета ПланСчетов ПланВидовХарактеристик ПланВидовРасчета ПланОбмена "
-    "Перечисление БизнесПроцесс Задача ДоставляемыеУведомления СредстваМультимедиа ФоновыеЗадания ИнформацияОбИнтернетСоединении "
-    "ЖурналРегистрации Пользователи ПользователиИнформационнойБазы ДвоичныеДанные ХранилищеЗначения ЧтениеJSON ЗаписьJSON ЧтениеXML "
-    "ЗаписьXML HTTPСоединение HTTPЗапрос HTTPОтвет КомпоновщикНастроек ПроцессорВывода ТабличныйДокумент ТекстовыйДокумент "
-    "ОписаниеОповещения ДиалогВыбораФайла ЗащищенноеСоединениеOpenSSL".split()
+STANDARD_OBJECTS = (
+    "ЭтотОбъект", "Объект", "Форма", "Элементы", "ЭтаФорма", "Справочники", "Документы", "Регистры", "Константы",
+    "Метаданные", "Параметры", "ПараметрыСеанса", "Запрос", "Результат", "РезультатЗапроса", "Выборка", "СтрокаТаблицы",
+    "Элемент", "Колонка", "Структура", "Массив", "ТаблицаЗначений", "ДеревоЗначений", "Справочник", "Документ",
+    "РегистрСведений", "РегистрНакопления", "РегистрБухгалтерии", "РегистрРасчета", "ПланСчетов",
+    "ПланВидовХарактеристик", "ПланВидовРасчета", "ПланОбмена", "Перечисление", "БизнесПроцесс", "Задача",
+    "ДоставляемыеУведомления", "СредстваМультимедиа", "ФоновыеЗадания", "ИнформацияОбИнтернетСоединении",
+    "ЖурналРегистрации", "Пользователи", "ПользователиИнформационнойБазы", "ДвоичныеДанные", "ХранилищеЗначения",
+    "ЧтениеJSON", "ЗаписьJSON", "ЧтениеXML", "ЗаписьXML", "HTTPСоединение", "HTTPЗапрос", "HTTPОтвет",
+    "КомпоновщикНастроек", "ПроцессорВывода", "ТабличныйДокумент", "ТекстовыйДокумент", "ОписаниеОповещения",
+    "ДиалогВыбораФайла", "ЗащищенноеСоединениеOpenSSL",
 )
 # Prefixes of reference types in both spellings, and the type that each refers to.
 REFERENCE_TYPES = {
@@ -132,7 +136,11 @@ def regions(line_rows: DataFrame, key: str, line: str = "line", at: str = "line_
     closes = F.col(line).rlike(r"(?iu)^\s*#(?:КонецОбласти|EndRegion)\b")
     marks = line_rows.select(key, F.col(at).alias("at"), (opens != "").alias("opens"), opens.alias("name"), closes.alias("closes")).where("opens or closes").drop("closes")
     found = pair_regions(marks, key, "at", "opens", "name")
-    # The parent is the last region that opened one level up: a running value over all regions of the file.
-    w = Window.partitionBy(key).orderBy("start_line").rowsBetween(Window.unboundedPreceding, -1)
-    above = F.sort_array(F.filter(F.collect_list(F.struct("start_line", "depth", "name")).over(w), lambda x: x["depth"] == F.col("depth") - 1), asc=False)
-    return found.withColumn("parent", F.get(above, F.lit(0))["name"])
+    # The parent is the last region that opened one level up and is still open: each region stands at its own level, as what
+    # may be a parent, and at the one above, where it looks for the last before it.
+    both = F.array(F.struct(F.col("depth").alias("level"), F.lit(True).alias("offers")), F.struct((F.col("depth") - 1).alias("level"), F.lit(False).alias("offers")))
+    asked = found.select("*", F.explode(both).alias("at")).select("*", "at.level", "at.offers").drop("at")
+    w = Window.partitionBy(key, "level").orderBy("start_line").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("offers"), F.struct("name", "end_line")), ignorenulls=True).over(w)
+    above = asked.withColumn("above", last).where("not offers")
+    return above.withColumn("parent", F.when(F.col("above.end_line") >= F.col("end_line"), F.col("above.name"))).drop("above", "level", "offers")

@@ -60,6 +60,17 @@ def rule_by_id(rules: DataFrame, rule_id: str, applicable_to: str | None = None)
     return rules.where(F.col("id") == rule_id).select("*", method.alias("detect_method"), fits.alias("applicable"))
 
 
+def list_rules(rules: DataFrame, collection: str, category: str | None = None, severity: str | None = None, source_type: str | None = None, applicable_to: str | None = None) -> DataFrame:
+    """The rules of a collection that pass all the filters that are given."""
+    if collection not in COLLECTIONS:
+        raise ValueError(f"{collection!r} is no collection")
+    out = rules.where(F.col("type") == collection)
+    for column, value in (("category", category), ("severity", severity), ("source_type", source_type)):
+        if value:
+            out = out.where(F.col(column) == value)
+    return out.where(F.array_contains("applicable_to", applicable_to)) if applicable_to else out
+
+
 def search_kb(rules: DataFrame, query: str, k: int = 5, collection: str = "all", most: int = 20) -> DataFrame:
     """(id, type, title, score): the rules of one collection or of all three with the highest score; ties keep the order of
     the collections, then of the ids. k is 1 to `most`."""
@@ -68,7 +79,7 @@ def search_kb(rules: DataFrame, query: str, k: int = 5, collection: str = "all",
     if collection not in (*COLLECTIONS, "all"):
         raise ValueError(f"{collection!r} is no collection")
     part = rules if collection == "all" else rules.where(F.col("type") == collection)
-    fields: Sequence[Column] = [F.col(c) for c in ("description", "solution", "example", "rationale")]
+    fields: Sequence[Column] = [F.col(c) for c in ("recommendation_for_llm", "when_to_use", "category", "description")]
     score = field_score(F.col("title"), F.col("id"), F.col("tags"), fields, F.col("source_code"), F.col("source_type"), query)
     place = F.array_position(F.lit(list(COLLECTIONS)), F.col("type"))
     scored = part.select("id", "type", F.coalesce("title", F.lit("")).alias("title"), score.alias("score"), place.alias("place")).where("score > 0")

@@ -1,12 +1,13 @@
 """Rule engine: regular expressions with line numbers, secret scan, availability of called names.
 
-Find-all with positions is a Catalyst plan: each match is extracted with the text before it, and line numbers are running
-sums of the line ends in those pieces. There is no Python in the path. Patterns are given in Python's syntax.
+Find-all with positions is a Catalyst plan: a text is split at the matches, which are extracted beside, and line numbers are
+running sums of the line ends in those pieces. There is no Python in the path. Patterns are given in Python's syntax.
 """
 
 from __future__ import annotations
 
 import re
+import re._parser as sre_parser
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -55,26 +56,53 @@ def test_pattern(pattern: str, flags: str = "m") -> str:
     return f"(?Ud{''.join(f for f in flags if f in 'ms')}{'iu' if 'i' in flags else ''}){body}"
 
 
+def never_empty(pattern: str) -> bool:
+    """Whether every match of a pattern has a character."""
+    try:
+        return sre_parser.parse(pattern).getwidth()[0] > 0
+    except (re.error, OverflowError, RecursionError):
+        return False
+
+
+def _ends(c: Column) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit("\n")))
+
+
+def pieces(text: Column, plain: Column, full: Column, solid: Column | bool) -> Column:
+    """An array of each match with its line ends and those of the text before it. `plain` is what `test_pattern` gives, `full`
+    what `compile_pattern` does; where matches are `never_empty`, the text is split at them, else each is found with the text
+    before it, which takes longer."""
+    one = lambda x: F.struct(_ends(x["pre"]).alias("p"), _ends(x["hit"]).alias("h"), x["hit"].alias("hit"))
+    cut = F.transform(F.filter(F.arrays_zip(F.split(text, plain, -1).alias("pre"), F.regexp_extract_all(text, plain, 0).alias("hit")), lambda x: x["hit"].isNotNull()), one)
+    found = F.transform(F.arrays_zip(F.regexp_extract_all(text, full, 1).alias("pre"), F.regexp_extract_all(text, full, 2).alias("hit")), one)
+    return (cut if solid else found) if isinstance(solid, bool) else F.when(solid, cut).otherwise(found)
+
+
 def _pieces(text: Column, pattern: str, flags: str) -> Column:
-    """An array of each match with its line ends and those of the text before it."""
-    full = F.lit(compile_pattern(pattern, flags))
-    ends = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n")))
-    both = F.arrays_zip(F.regexp_extract_all(text, full, 1).alias("pre"), F.regexp_extract_all(text, full, 2).alias("hit"))
-    return F.transform(both, lambda x: F.struct(ends(x["pre"]).alias("p"), ends(x["hit"]).alias("h"), x["hit"].alias("hit")))
+    return pieces(text, F.lit(test_pattern(pattern, flags)), F.lit(compile_pattern(pattern, flags)), never_empty(pattern))
+
+
+def row_key(text: Column) -> Column:
+    """What tells the texts of one id apart: fixed by the text, so that a task that runs again gives the same."""
+    return F.xxhash64(text)
 
 
 def _located(rows: DataFrame, id_col: str, extra: list[str]) -> DataFrame:
-    """Rows (id, row, extra..., pieces) as one row a match, with its line from a running sum over the matches of a text."""
+    """Rows (id, row, extra..., pieces) as one row a match, with its line from a running sum over the matches of a text.
+
+    Rows alike in id and text have each match as often as they occur; the sum up to a match is divided by that number.
+    """
     found = rows.select(id_col, "row", *extra, F.posexplode("pieces").alias("pos", "m"))
-    w = Window.partitionBy("row", *extra).orderBy("pos")
-    upto = F.sum(F.col("m.p") + F.col("m.h")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("m.h")
+    w = Window.partitionBy(id_col, "row", *extra).orderBy("pos")
+    alike = F.count("*").over(w.rangeBetween(0, 0))
+    upto = F.sum(F.col("m.p") + F.col("m.h")).over(w.rangeBetween(Window.unboundedPreceding, 0)) / alike - F.col("m.h")
     return found.select(id_col, *extra, (upto + 1).cast("int").alias("line"), "pos", F.col("m.hit").alias("match")).where("match <> ''")
 
 
 def find_all(df: DataFrame, id_col: str, text_col: str, pattern: str, flags: str = "m") -> DataFrame:
     """(id, line, pos, match): every non-empty match of the pattern, with the 1-based line where it begins. Rows that repeat
     an id are read each for itself; a null text has no match. Only matches are shuffled, no texts."""
-    rows = df.select(F.col(id_col), F.monotonically_increasing_id().alias("row"), _pieces(F.col(text_col), pattern, flags).alias("pieces"))
+    rows = df.select(F.col(id_col), row_key(F.col(text_col)).alias("row"), _pieces(F.col(text_col), pattern, flags).alias("pieces"))
     return _located(rows, id_col, [])
 
 
@@ -94,7 +122,7 @@ def detect(df: DataFrame, id_col: str, text_col: str, rules: Sequence[Rule], sev
         return df.select(id_col, *[F.lit(None).cast(t).alias(n) for n, t in (("rule_id", "string"), ("severity", "string"), ("category", "string"), ("line", "int"), ("match", "string"))]).limit(0)
     text = F.col(text_col)
     each = [F.struct(F.lit(i).alias("rule"), F.when(text.rlike(test_pattern(r.pattern, r.flags)), _pieces(text, r.pattern, r.flags)).alias("pieces")) for i, r in enumerate(used)]
-    rows = df.select(id_col, F.monotonically_increasing_id().alias("row"), F.explode(F.array(*each)).alias("x")).select(id_col, "row", "x.rule", "x.pieces").where("pieces is not null")
+    rows = df.select(id_col, row_key(text).alias("row"), F.explode(F.array(*each)).alias("x")).select(id_col, "row", "x.rule", "x.pieces").where("pieces is not null")
 
     def named(field: str) -> Column:
         return F.element_at(F.lit([getattr(r, field) for r in used]), F.col("rule") + 1).alias(field)
@@ -109,11 +137,10 @@ def mask(secret: Column) -> Column:
 
 def secret_scan(df: DataFrame, id_col: str, text_col: str, patterns: dict[str, str] = SECRETS) -> DataFrame:
     """(id, kind, masked): the first pattern that hits a text, masked; clean texts give no row."""
-    kind, hit = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name, p in reversed(patterns.items()):
-        found = F.regexp_extract(text_col, p, 0)
-        kind, hit = F.when(found != "", F.lit(name)).otherwise(kind), F.when(found != "", found).otherwise(hit)
-    return df.select(id_col, kind.alias("kind"), mask(hit).alias("masked")).where("kind is not null")
+    each = F.array(*[F.struct(F.lit(name).alias("kind"), F.regexp_extract(text_col, p, 0).alias("hit")) for name, p in patterns.items()])
+    # A generator keeps the optimizer from naming, and so running, the expressions once more for each use of their result.
+    found = df.select(id_col, F.explode(F.slice(F.filter(each, lambda x: x["hit"] != ""), 1, 1)).alias("weft_found"))
+    return found.select(id_col, F.col("weft_found.kind").alias("kind"), mask(F.col("weft_found.hit")).alias("masked"))
 
 
 def availability(calls: DataFrame, name_col: str, methods: DataFrame, server_only: Sequence[str] = SERVER_ONLY, client_only: Sequence[str] = CLIENT_ONLY, context: str = "server") -> DataFrame:

@@ -33,7 +33,7 @@ from ..sources import modules as mo
 from ..sources import objects as ob
 from ..sources import paths as pa
 from ..sources import sqlite as sq
-from .registry import _COS, _OVERLAP, TERMS, _vector, dependency_edges, query
+from .registry import _COS, _EDGES, _OVERLAP, TERMS, _vector, dependency_edges, query
 
 
 def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,14 +148,12 @@ def dependency_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bu.dependency_totals(_dependencies(spark, sf_dir), parts)
 
 
-@query("""
-WITH e AS (SELECT 'customer.' || c_custkey AS src, 'nation.' || c_nationkey AS dst FROM customer UNION ALL SELECT 'supplier.' || s_suppkey, 'nation.' || s_nationkey FROM supplier
-  UNION ALL SELECT 'nation.' || n_nationkey, 'region.' || n_regionkey FROM nation), f AS (SELECT * FROM e WHERE dst = 'region.1' OR dst IN (SELECT src FROM e WHERE dst = 'region.1'))
+@query(f"""WITH {_EDGES}, a AS (SELECT src FROM edges WHERE dst = 'region.1'), b AS (SELECT src FROM edges WHERE dst IN (FROM a)),
+f AS (SELECT * FROM edges WHERE dst = 'region.1' OR dst IN (FROM a) OR dst IN (FROM b))
 SELECT src, dst, (SELECT count(*) FROM f) AS total, (SELECT count(*) > 20 FROM f) AS truncated FROM f ORDER BY src, dst LIMIT 20
 """)
 def dependency_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = dependency_edges(spark, sf_dir).where("src not like 'order.%'")
-    rows, total, cut = gr.dependency_view(edges, "region.1", "in", 2, 20)
+    rows, total, cut = gr.dependency_view(dependency_edges(spark, sf_dir), "region.1", "in", 3, 20)
     return rows.withColumn("total", F.lit(total)).withColumn("truncated", F.lit(cut))
 
 
@@ -245,23 +243,29 @@ def attribute_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of parts, suppliers and customers, with texts in all fields that a search scores."""
     none = F.lit(None).cast("string")
     kinds = (("part", "pattern", "p_partkey", "p_name", "p_type"), ("supplier", "antipattern", "s_suppkey", "s_name", "s_name"), ("customer", "standard", "c_custkey", "c_name", "c_mktsegment"))
     out = None
     for t, kind, key, title, tags in kinds:
+        by = lambda n, text, of=key: F.when(F.col(of) % n == 0, text)
         rows = table(spark, sf_dir, t).select(
-            F.concat(F.lit(f"{kind}-"), F.lpad(F.col(key).cast("string"), 9, "0")).alias("id"), F.lit(kind).alias("type"), F.col(title).alias("title"), F.split(tags, " ").alias("tags"), none.alias("description"), none.alias("solution"), none.alias("example"), none.alias("rationale"),
-            none.alias("source_code"), none.alias("source_type"), F.when(F.col(key) % 2 == 0, "critical").otherwise("info").alias("severity"), F.when(F.col(key) % 3 == 0, "x+").alias("regex_pattern"), F.lit("a()").alias("ast_pattern"), none.alias("linter_rule"), F.array(F.lit("Catalog")).alias("applicable_to"),
+            F.concat(F.lit(f"{kind}-"), F.lpad(F.col(key).cast("string"), 9, "0")).alias("id"), F.lit(kind).alias("type"), F.col(title).alias("title"), F.split(tags, " ").alias("tags"),
+            by(2, F.concat(F.lit("Say "), title)).alias("description"), by(3, F.lit("When it can be done")).alias("when_to_use"), by(4, F.lit("Use the plain form")).alias("recommendation_for_llm"), by(5, F.lit("transactions")).alias("category"),
+            by(6, F.lit("an-1")).alias("source_code"), by(7, F.lit("standard")).alias("source_type"), by(7, F.lit("http://x")).alias("source_url"),
+            F.when(F.col(key) % 2 == 0, "critical").otherwise("info").alias("severity"), F.when(F.col(key) % 3 == 0, "x+").alias("regex_pattern"), none.alias("flags"), F.lit("a()").alias("ast_pattern"), none.alias("linter_rule"), F.array(F.lit("Catalog")).alias("applicable_to"),
         )
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 _RULES_SQL = """r AS (
-  SELECT 'pattern-' || lpad(p_partkey::VARCHAR, 9, '0') AS id, 'pattern' AS type, p_name AS title, string_split(p_type, ' ') AS tags, 1 AS place FROM part
-  UNION ALL SELECT 'antipattern-' || lpad(s_suppkey::VARCHAR, 9, '0'), 'antipattern', s_name, string_split(s_name, ' '), 2 FROM supplier
-  UNION ALL SELECT 'standard-' || lpad(c_custkey::VARCHAR, 9, '0'), 'standard', c_name, string_split(c_mktsegment, ' '), 3 FROM customer),
-s AS (SELECT id, type, title, place, round(contains(lower(title), '{q}')::INT * 1.0 + contains(id, '{q}')::INT * 0.8 + 0.5 * len(list_filter(tags, lambda t: contains(lower(t), '{q}'))), 6)::DOUBLE AS score FROM r)"""
+  SELECT 'pattern-' || lpad(p_partkey::VARCHAR, 9, '0') AS id, p_partkey AS k, 'pattern' AS type, p_name AS title, string_split(p_type, ' ') AS tags, 1 AS place FROM part
+  UNION ALL SELECT 'antipattern-' || lpad(s_suppkey::VARCHAR, 9, '0'), s_suppkey, 'antipattern', s_name, string_split(s_name, ' '), 2 FROM supplier
+  UNION ALL SELECT 'standard-' || lpad(c_custkey::VARCHAR, 9, '0'), c_custkey, 'standard', c_name, string_split(c_mktsegment, ' '), 3 FROM customer),
+s AS (SELECT id, type, title, place, round(contains(lower(title), '{q}')::INT * 1.0 + contains(id, '{q}')::INT * 0.8 + 0.5 * len(list_filter(tags, lambda t: contains(lower(t), '{q}')))
+  + 0.3 * ((k % 2 = 0 AND contains('say ' || lower(title), '{q}'))::INT + (k % 3 = 0 AND contains('when it can be done', '{q}'))::INT + (k % 4 = 0 AND contains('use the plain form', '{q}'))::INT + (k % 5 = 0 AND contains('transactions', '{q}'))::INT)
+  + 0.7 * (k % 6 = 0 AND contains('an-1', '{q}'))::INT + 0.4 * (k % 7 = 0 AND contains('standard', '{q}'))::INT, 6)::DOUBLE AS score FROM r)"""
 
 
 @query(f"WITH {_RULES_SQL.format(q='an')} SELECT id, type, title, score FROM s WHERE score > 0 ORDER BY score DESC, place, id LIMIT 20")

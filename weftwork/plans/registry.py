@@ -27,7 +27,9 @@ RULES = (
     ru.Rule("address", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", "critical", "privacy"),
     ru.Rule("short_line", r"^[A-Z][a-z]{1,3}\.$", "info", "layout"),
 )
-SECRETS = {"token": r"token = \"[0-9a-f]{40}\"", "mail": r"[a-z.0-9]+@[a-z0-9]+(?:\.[a-z]+)+"}
+# The run before an at-sign begins where no such character stands before it and isn't given back: linear on long runs.
+SECRETS = {"token": r"token = \"[0-9a-f]{40}\"", "mail": r"(?<![a-z.0-9])[a-z.0-9]++@[a-z0-9]++(?:\.[a-z]+)+"}
+SECRETS_SQL = {"token": SECRETS["token"], "mail": r"[a-z.0-9]+@[a-z0-9]+(?:\.[a-z]+)+"}
 SCOPES = ((0, 400, "outer"), (50, 200, "middle"), (100, 150, "inner"), (250, 300, "sibling"))
 
 
@@ -93,15 +95,18 @@ def similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.similar(rows, "vec_id", "embedding", 0, 5, F.col("label") == (own[0] if own else -1)).select("vec_id", "score")
 
 
-@query(r"""
+BM25_SQL = r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'worthless')) AS a, len(list_filter(w, lambda x: x = 'the')) AS b FROM w),
 s AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM c)
 SELECT doc_id, round(ln(1 + (docs - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean))
   + ln(1 + (docs - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score
 FROM c, s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10
-""")
-def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+"""
+
+
+@query(BM25_SQL)
+def bm25_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = se.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", ("worthless", "the"), 10)
     return got.select("doc_id", F.round("score", 6).alias("score"))
 
@@ -166,7 +171,7 @@ def rule_findings_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-WITH h AS (SELECT doc_id, regexp_extract(text, '{SECRETS["token"]}') AS a, regexp_extract(text, '{SECRETS["mail"]}') AS b FROM documents),
+WITH h AS (SELECT doc_id, regexp_extract(text, '{SECRETS_SQL["token"]}') AS a, regexp_extract(text, '{SECRETS_SQL["mail"]}') AS b FROM documents),
 k AS (SELECT doc_id, CASE WHEN a <> '' THEN 'token' WHEN b <> '' THEN 'mail' END AS kind, CASE WHEN a <> '' THEN a ELSE b END AS s FROM h)
 SELECT doc_id, kind, CASE WHEN len(s) > 12 THEN left(s, 8) || '***' || right(s, 4) ELSE '***' END AS masked FROM k WHERE kind IS NOT NULL
 """)
@@ -239,24 +244,10 @@ walk AS (SELECT y AS node, 1 AS depth FROM steps WHERE x = '{start}' UNION SELEC
 closed AS (SELECT node, min(depth)::INT AS depth FROM walk GROUP BY 1)"""
 
 
-@query(_walk("order.1", 5, "src", "dst") + " SELECT * FROM closed")
-def dep_transitive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gr.closure(dependency_edges(spark, sf_dir), "order.1", 5, "out")
-
-
-@query(_walk("region.1", 3, "dst", "src") + " SELECT * FROM closed")
-def dep_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gr.closure(dependency_edges(spark, sf_dir), "region.1", 3, "in")
-
-
-@query(_walk("part.7", 10, "dst", "src") + " SELECT count(*) AS impact FROM closed")
-def impact_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gr.impact_count(dependency_edges(spark, sf_dir), "part.7", 10)
-
-
-@query(_walk("order.1", 2, "src", "dst") + " SELECT src, dst FROM edges WHERE src = 'order.1' OR src IN (SELECT node FROM closed WHERE depth < 2)")
-def dep_closure_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gr.closure_edges(dependency_edges(spark, sf_dir), "order.1", 2, "out")
+@query(_walk("nation.3", 2, "dst", "src") + " SELECT * FROM closed")
+def dep_closure_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A closure over edges that aren't indexed."""
+    return gr.closure(dependency_edges(spark, sf_dir), "nation.3", 2, "in")
 
 
 @query(f"WITH {_EDGES}, e AS (SELECT unnest([src, dst]) AS node FROM edges) SELECT count(DISTINCT node) AS nodes, count(*) // 2 AS edges, round(count(*) / count(DISTINCT node)::DOUBLE, 6) AS avg_degree FROM e")

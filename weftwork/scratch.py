@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, SparkSession] = {}
 _own: list[str] = []
+_kept: dict[tuple[str, str, str], str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +49,16 @@ def remove(spark: SparkSession, path: str) -> None:
     _made.pop(path, None)
 
 
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Move a folder or file of one store."""
+    jvm = spark.sparkContext._jvm
+    a, b = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(to)
+    fs = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(b.getParent())
+    if not fs.rename(a, b):
+        raise OSError(f"{path} can't be moved to {to}")
+
+
 def materialize(df: DataFrame, kind: str = "table") -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it again: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession
@@ -64,6 +77,29 @@ def release(*tables: DataFrame | None) -> None:
             remove(_made[path], path)
 
 
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """What changes when a file below one of the paths does: names, sizes and times of all of them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    seen = []
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        files = p.getFileSystem(conf).listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
+
+
+def kept(spark: SparkSession, kind: str, sources: Sequence[str], build: Callable[[str], object]) -> str:
+    """The path of what `build(path)` made of these sources: built once in a session, and again after a source has changed."""
+    key = (spark.sparkContext.applicationId, kind, fingerprint(spark, *sources))
+    if key not in _kept:
+        path = new_path(spark, kind)
+        build(path)
+        _kept[key] = path
+    return _kept[key]
+
+
 def fresh_names(df: DataFrame, *names: str) -> list[str]:
     """`names`, each with underscores added until no column of `df` has it; Spark's names don't tell cases apart."""
     taken = {c.lower() for c in df.columns}

@@ -14,7 +14,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import materialize, release, remove
+from ..scratch import materialize, release, remove, rename
 from .stores import read_registry, register
 
 #: The file that stands in the root of a configuration's dump (fixed value).
@@ -25,7 +25,7 @@ _SCHEMA = "archive string, entry string, content binary, problem string"
 
 def _unsafe(name: str) -> bool:
     path = PurePosixPath(name.replace("\\", "/"))
-    return path.is_absolute() or ".." in path.parts or ":" in path.parts[0]
+    return not path.parts or path.is_absolute() or ".." in path.parts or ":" in path.parts[0]
 
 
 def archive_rows(archive: str, data: bytes) -> Iterator[tuple[str, str | None, bytes | None, str | None]]:
@@ -136,10 +136,13 @@ def add_archive(spark: SparkSession, registry: str, archive: str, target: str, n
     if problem is not None:
         release(rows)
         raise ValueError(f"{archive}: {problem['entry'] or 'archive'}: {problem['problem']}")
-    remove(spark, target)
-    written = unpack(rows, target)
+    # Unpacked beside the target, which is replaced once all files are there.
+    fresh = f"{target.rstrip('/')}.{uuid.uuid4().hex}"
+    written = unpack(rows, fresh)
     n = written.count()
     release(rows, written)
+    remove(spark, target)
+    rename(spark, fresh, target)
     entry = spark.range(1).select(F.lit(name).alias("name"), F.lit(version).alias("version"), F.lit(target).alias("path"), F.current_timestamp().alias("added_at"), F.lit(None).cast("timestamp").alias("indexed_at"))
     register(spark, registry, entry)
     return n

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .xml_repair import repaired
+
 # Folders of a dump whose type isn't the folder's name without its last s.
 IRREGULAR = {
     "ChartsOfCharacteristicTypes": "ChartOfCharacteristicTypes",
@@ -56,17 +58,24 @@ def object_type(folder: Column) -> Column:
     return out
 
 
-def read_objects(spark: SparkSession, folder: str) -> DataFrame:
+def read_objects(spark: SparkSession, folder: str, recover: bool = False) -> DataFrame:
     """(type, name, path, xml, well_formed) of every `*/*.xml` one level below a folder; the file's name is the object's name.
 
     Prefixes are taken off element names and attributes other than xmlns declarations, so that unbound ones do no harm.
+    With `recover`, files that aren't well-formed are mended as far as that goes, and `repairs` says what was.
     """
     files = spark.read.text(f"{folder}/*/*.xml", wholetext=True)
     path = F.col("_metadata.file_path")
     parts = F.split(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "/")
     bare = F.regexp_replace(F.regexp_replace("value", r"^\x{FEFF}", ""), r"(</?)[A-Za-z_][\w.-]*:", "$1")
     bare = F.regexp_replace(F.regexp_replace(bare, r"\sxmlns(?::[\w.-]+)?=(?:\"[^\"]*\"|'[^']*')", ""), r"(\s)[A-Za-z_][\w.-]*:([\w.-]+=[\"'])", "$1$2")
-    return files.select(object_type(F.element_at(parts, -2)).alias("type"), F.regexp_replace(F.element_at(parts, -1), r"\.xml$", "").alias("name"), path.alias("path"), bare.alias("xml")).withColumn("well_formed", F.from_xml("xml", "_corrupt_record string")["_corrupt_record"].isNull())
+    found = files.select(object_type(F.element_at(parts, -2)).alias("type"), F.regexp_replace(F.element_at(parts, -1), r"\.xml$", "").alias("name"), path.alias("path"), bare.alias("xml")).withColumn("well_formed", well_formed(F.col("xml")))
+    return repaired(found) if recover else found
+
+
+def well_formed(xml: Column) -> Column:
+    """Whether a text is well-formed XML."""
+    return F.coalesce(F.from_xml(xml, "_corrupt_record string")["_corrupt_record"].isNull(), F.lit(False))
 
 
 def _text(xml: Column | str, path: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.rules import find_all
+from ..operators.text import strip_line_comment
 
 # Keywords of the source language, in its two spellings.
 BEGIN = "Procedure|Function|Процедура|Функция"
@@ -28,7 +29,7 @@ def methods(modules: DataFrame) -> DataFrame:
     starts = find_all(modules, "path", "text", head, "mi")
     ends = find_all(modules, "path", "text", rf"^[\t ]*(?:{END})\b", "mi").select("path", F.col("line").alias("start_line"), F.lit(True).alias("is_end"))
     name = F.regexp_extract("match", rf"(?iu)(?:{BEGIN})[\t ]+({NAME})", 1)
-    after = F.regexp_extract("match", r"(?s)\([^)]*\)(.*)$", 1)
+    after = strip_line_comment(F.regexp_extract("match", r"(?s)\([^)]*\)(.*)$", 1))
     found = starts.select(
         "path",
         name.alias("name"),

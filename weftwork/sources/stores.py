@@ -10,30 +10,43 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.store import first_wins, upsert
-from ..scratch import materialize, release, remove
+from ..operators.store import first_wins
+from ..scratch import remove
+from .rule_schema import schema_problems
+from .versioned import current, delete_rows, read_table, replace_table, upsert_table, vacuum
 
 # What a rule file has to hold, and what these fields can be.
-REQUIRED = ("id", "title")
+REQUIRED = ("id",)
 SEVERITY = ("critical", "warning", "info")
 RULE_SCHEMA = (
-    "id string, title string, tags array<string>, description string, solution string, example string, rationale string, source_code string, "
-    "source_type string, severity string, category string, regex_pattern string, flags string, ast_pattern string, linter_rule string, applicable_to array<string>"
+    "id string, title string, tags array<string>, category string, severity string, description string, when_to_use string, recommendation_for_llm string, "
+    "source_type string, source_code string, source_url string, regex_pattern string, flags string, ast_pattern string, linter_rule string, applicable_to array<string>"
 )
+#: Columns whose value lies deeper in a rule file, and the way to it.
+NESTED = {
+    "regex_pattern": ("detect", "regex", "pattern"),
+    "flags": ("detect", "regex", "flags"),
+    "ast_pattern": ("detect", "ast_pattern", "query"),
+    "linter_rule": ("detect", "bsl_ls_rule", "code"),
+    "source_type": ("source", "type"),
+    "source_code": ("source", "code"),
+    "source_url": ("source", "url"),
+}
 REGISTRY_SCHEMA = "name string, version string, path string, added_at timestamp, indexed_at timestamp"
 
 
 def save_index(df: DataFrame, path: str) -> None:
-    """Replace the index at `path`. It is written beside the old one first, which may be what `df` reads."""
-    spark = df.sparkSession
-    kept = materialize(df, "index")
-    kept.write.mode("overwrite").parquet(path)
-    release(kept)
-    spark.catalog.refreshByPath(path)
+    """Replace the index at `path`, which may be what `df` reads: the new one is written beside it and takes its place in one
+    step, so that a driver lost in between leaves the old one whole."""
+    replace_table(df, path)
+    vacuum(df.sparkSession, path, keep=2)
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame | None:
-    """The index at `path`; None if there is none."""
+    """The index at `path`, also one of plain Parquet files; None if there is none."""
+    found = read_table(spark, path)
+    if found is not None:
+        return found
     try:
         return spark.read.parquet(path)
     except AnalysisException:
@@ -47,33 +60,32 @@ def drop_index(spark: SparkSession, path: str) -> None:
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """The registered configurations; none if there is no registry yet or it can't be read."""
     found = load_index(spark, path)
-    return found if found is not None else spark.createDataFrame([], REGISTRY_SCHEMA)
+    return found.select(*spark.createDataFrame([], REGISTRY_SCHEMA).columns) if found is not None else spark.createDataFrame([], REGISTRY_SCHEMA)
 
 
 def register(spark: SparkSession, path: str, rows: DataFrame, replace: bool = False) -> None:
     """Add configurations. A key (name, version) that is there already is an error, or replaced; of new rows that repeat a
     key the one added last wins."""
+    keys = ["name", "version"]
     known = read_registry(spark, path)
-    if not replace and (twice := known.join(rows.select("name", "version"), ["name", "version"], "left_semi").first()):
+    if not replace and (twice := known.join(rows.select(*keys), keys, "left_semi").first()):
         raise ValueError(f"{twice['name']}:{twice['version']} is registered already")
-    save_index(upsert(known, rows.select(*known.columns), ["name", "version"], ["added_at"]), path)
+    if current(spark, path) is None:
+        replace_table(known, path, keys, 1)
+    upsert_table(rows.select(*known.columns), path, ["added_at"])
 
 
 def unregister(spark: SparkSession, path: str, name: str, version: str) -> bool:
     """Take a configuration out; whether it was there."""
-    known = read_registry(spark, path)
-    own = (F.col("name") == name) & (F.col("version") == version)
-    if known.where(own).isEmpty():
+    if current(spark, path) is None:
         return False
-    save_index(known.where(~F.coalesce(own, F.lit(False))), path)
-    return True
+    return delete_rows(spark, path, (F.col("name") == name) & (F.col("version") == version))[1] > 0
 
 
 def mark_indexed(spark: SparkSession, path: str, name: str, version: str, when: Column) -> None:
     """Note when a configuration was indexed."""
-    own = (F.col("name") == name) & (F.col("version") == version)
-    known = read_registry(spark, path)
-    save_index(known.withColumn("indexed_at", F.when(own, when).otherwise(F.col("indexed_at"))), path)
+    own = read_registry(spark, path).where((F.col("name") == name) & (F.col("version") == version))
+    upsert_table(own.withColumn("indexed_at", when.cast("timestamp")), path, columns=["indexed_at"])
 
 
 def newest_source(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -82,8 +94,8 @@ def newest_source(spark: SparkSession, folder: str, pattern: str = "*") -> DataF
     return files.agg(F.max("modificationTime").alias("source_time"))
 
 
-def rule_problems(rule: object) -> list[str]:
-    """What is wrong with a rule as it is in its file; nothing for a valid one."""
+def rule_problems(rule: object, schema: dict | None = None) -> list[str]:
+    """What is wrong with a rule as it is in its file; nothing for a valid one. A schema adds its own checks."""
     if not isinstance(rule, dict):
         return ["not an object"]
     out = [f"{k} is missing" for k in REQUIRED if not isinstance(rule.get(k), str) or not rule[k]]
@@ -97,7 +109,20 @@ def rule_problems(rule: object) -> list[str]:
             re.compile(rule["regex_pattern"])
         except re.error as e:
             out.append(f"regex_pattern: {e}")
-    return out
+    return out + list(schema_problems(rule, schema) if schema else ())
+
+
+def rule_columns(rule: dict) -> dict[str, object]:
+    """A rule's fields by the columns of the table: nested ones are lifted; a field that is no text counts as absent, but
+    numbers of a source are texts."""
+    out = dict(rule)
+    for column, way in NESTED.items():
+        value: object = rule
+        for step in way:
+            value = value.get(step) if isinstance(value, dict) else None
+        if value is not None and not isinstance(value, (dict, list)):
+            out[column] = str(value)
+    return {k: v for k, v in out.items() if isinstance(v, (str, list))}
 
 
 def _parse(text: str, path: str) -> object:
@@ -110,29 +135,44 @@ def _parse(text: str, path: str) -> object:
     return yaml.safe_load(text)
 
 
-def _rules(batches: Iterable):
-    import pandas as pd
+def _rules(schema: dict | None):
+    def run(batches: Iterable):
+        import pandas as pd
 
-    for batch in batches:
-        rows = []
-        for path, text in zip(batch["path"], batch["value"], strict=True):
-            try:
-                rule = _parse(text, path)
-                problems = rule_problems(rule)
-            except Exception as e:  # any fault of a parser is that file's problem, told in its row
-                rule, problems = None, [f"not readable: {type(e).__name__}"]
-            rows.append((path, json.dumps(rule, ensure_ascii=False, default=str) if not problems else None, "; ".join(problems) or None))
-        yield pd.DataFrame(rows, columns=["path", "rule", "problem"])
+        for batch in batches:
+            rows = []
+            for path, text in zip(batch["path"], batch["value"], strict=True):
+                try:
+                    rule = _parse(text, path)
+                    problems = rule_problems(rule, schema)
+                except Exception as e:  # any fault of a parser is that file's problem, told in its row
+                    rule, problems = None, [f"not readable: {type(e).__name__}"]
+                rows.append((path, json.dumps(rule_columns(rule), ensure_ascii=False, default=str) if not problems else None, "; ".join(problems) or None))
+            yield pd.DataFrame(rows, columns=["path", "rule", "problem"])
+
+    return run
+
+
+def read_schemas(spark: SparkSession, folder: str) -> dict[str, dict]:
+    """The schemas `<collection>.schema.json` of a folder, by collection; one that is no JSON is left out. They are few."""
+    files = spark.read.option("pathGlobFilter", "*.schema.json").text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
+    out = {}
+    for r in files.collect():
+        try:
+            out[r["name"].removesuffix(".schema.json")] = json.loads(r["value"])
+        except ValueError:
+            continue
+    return out
 
 
-def read_rules(spark: SparkSession, folders: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+def read_rules(spark: SparkSession, folders: dict[str, str], schemas: dict[str, dict] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rules, problems): the rules of each collection (type -> folder of JSON or YAML files), one a file, by path; of rules
-    of one collection that repeat an id the last by path wins. Files that can't be read or lack a field are in `problems`
-    (path, problem) alone."""
+    of one collection that repeat an id the last by path wins. Files that can't be read, lack a field or don't fit their
+    collection's schema are in `problems` (path, problem) alone. The expression of a rule is that of `detect.regex`."""
     parts = None
     for kind, folder in folders.items():
         files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{json,yaml,yml}").text(folder, wholetext=True)
-        part = files.select(F.col("_metadata.file_path").alias("path"), "value").mapInPandas(_rules, "path string, rule string, problem string").withColumn("type", F.lit(kind))
+        part = files.select(F.col("_metadata.file_path").alias("path"), "value").mapInPandas(_rules((schemas or {}).get(kind)), "path string, rule string, problem string").withColumn("type", F.lit(kind))
         parts = part if parts is None else parts.unionByName(part)
     good = parts.where("problem is null").select("type", "path", F.from_json("rule", RULE_SCHEMA).alias("r")).select("type", "path", "r.*")
     rules = first_wins(good, ["type", "id"], [F.col("path").desc()])
