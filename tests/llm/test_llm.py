@@ -358,23 +358,74 @@ def random_site(rng, pages, constant):
 
 @pytest.mark.parametrize("pages", [1, 4, 12])
 def test_html_equals_known_articles(spark, pages):
-    """Articles that are known, as the pages are made here; fixed text counts as template from five pages on."""
+    """Articles that are known, as the pages are made here; fixed text inside an article is the article's at any number of pages."""
     rng = random.Random(pages)
     rows, want = [], {}
     for site in range(6):
         for page, blocks in random_site(rng, pages, f"Fixed greeting {site} of the site."):
             i = len(rows)
             rows.append((i, f"http://s{site}.org/{i}", page))
-            want[i] = "\n".join(blocks if pages >= html_extract.TEMPLATE_PAGES else [f"Fixed greeting {site} of the site.", *blocks])
+            want[i] = "\n".join([f"Fixed greeting {site} of the site.", *blocks])
     docs = spark.createDataFrame(rows, "page_id long, url string, html string")
     seen = set()
     for parts, shared in ((1, 1 << 20), (7, 1 << 20), (7, 0)):
         got = {r.page_id: r.text for r in html_extract.extract_text(docs.repartition(parts), shared_bytes=shared).collect()}
         assert got == want
-        seen.add(str(sorted(map(str, html_extract.infer_wrappers(docs.repartition(parts)).collect()))))
+        seen.add(str(sorted(map(str, html_extract.infer_wrappers(docs.repartition(parts), shared_bytes=shared).collect()))))
     assert len(seen) == 1
 
 
+FIXED = "<html><head><title>t</title></head><body class='page-{name}'><div class=a><p>Welcome to the site of {h}.</p></div>{body}<div class=z>All rights reserved by {h}.</div></body></html>"
+
+
+@pytest.mark.parametrize("pages", [1, 4, 5, 50])
+def test_fixed_parts_of_articles_stay_at_any_size(spark, pages):
+    """Headings and closing sentences that all articles of a host have; tokens of its own on each page."""
+    body = "<article><h1>Title {i}</h1><h2>Summary</h2><p>Own words {i}.</p><p>This sentence closes every article.</p></article>"
+    rows = [(i, f"http://h.org/{i}", FIXED.format(name=f"slug{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]}", h="h", body=body.format(i=i))) for i in range(pages)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\nSummary\nOwn words {i}.\nThis sentence closes every article." for i in range(pages)}
+
+
+def test_wrapper_decides_where_there_is_no_article(spark):
+    """Without article and class words the text that varies is the article; without a wrapper the fixed text would be there."""
+    body = "<div class=q><h1>Title {i}</h1><p>Own words {i} that are long enough to matter.</p><p>And more {i}.</p></div><div class=w><p>Read our terms.</p></div>"
+    rows = [(i, f"http://h.org/{i}", FIXED.format(name=i, h="h", body=body.format(i=i))) for i in range(8)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: f"Title {i}\nOwn words {i} that are long enough to matter.\nAnd more {i}." for i in range(8)}
+    assert got == want
+    assert all("Read our terms." in html_extract.extract(h) and "Welcome" in html_extract.extract(h) for _, _, h in rows)
+
+
+def test_wrapper_marks_decide(spark):
+    """One text everywhere is still, also in an optional element; in a repeated group it isn't."""
+    page = "<div class=k><p>Varies {i} and is long enough for this page.</p></div>{opt}<ul class=l>{items}</ul>"
+    rows = [(i, f"http://h.org/{i}", page.format(i=i, opt="<div class=o>Sometimes here.</div>" if i % 2 else "", items="<li>Point.</li>" * (1 + i % 3))) for i in range(4)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    w = html_extract.infer_wrappers(docs).first()
+    assert html_extract.Node.load(w["shape"]).expression() == "<div.k><p>#</></>(<div.o>#</>)?<ul.l>(<li>#</>)+</>"
+    got = {r.page_id: r.text for r in html_extract.extract_text(docs).collect()}
+    assert got[1] == "Varies 1 and is long enough for this page.\nPoint.\nPoint." and got[0].endswith("\nPoint.")
+
+
+def test_wrappers_are_bounded_by_the_template(spark):
+    """Pages with tokens of their own: the wrapper doesn't grow with them, and time grows with the pages."""
+    import time
+
+    letters = lambda n: "".join("abcdefghij"[int(c)] for c in str(n))
+    sizes, took = [], []
+    for pages in (1000, 4000):
+        rows = [(i, "http://h.org/x", f"<html><body class='page slug-{letters(i)}'><div id='post-{letters(i)}' class='box'><p>Text {i}</p></div></body></html>") for i in range(pages)]
+        docs = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+        began = time.time()
+        assert html_extract.extract_text(docs).where("text like 'Text %'").count() == pages
+        took.append(time.time() - began)
+        w = html_extract.infer_wrappers(docs).first()
+        sizes.append(len(w["shape"]) + len(w["keys"]))
+        assert w["keys"] == ["box", "page"]
+    assert sizes[0] == sizes[1] and took[1] < 6 * took[0] + 5
+
+
 def test_warc_round_trip_and_salvage(spark):
     rows = [(1, "http://a/\nb", "x"), (2, None, "x"), (3, "http://c", None), (4, "http://d", ""), (5, "u", "\u00e9" * 5000), (6, "u", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))

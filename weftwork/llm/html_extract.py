@@ -1,17 +1,19 @@
 """Main text of web pages through union-free wrappers that are inferred for each host.
 
-A page is read as a stream of block-level elements, keyed by tag and class tokens, and text tokens. Its own stream is folded
-first: neighbours that repeat, single or in groups, become one repeated group `( )+`. The distinct folded streams of a host
-are then aligned in a fixed order, where an element that only one has becomes optional `( )?`; the result is a union-free
-regular expression, the host's wrapper. Text tokens are aligned by value over the whole host: a text at one place on nearly
-all of its pages belongs to the template (`T`), other places are slots (`#`) of which the wrapper says whether they hold the
-same text everywhere or mostly links. All of this is counted over distinct pages and merged in an order that the data alone
-fix, so that the result doesn't depend on the partitioning.
-
-On a page, slots inside article or main are the article, or else those of the element that holds the page's text, with slots
-beside it that vary from page to page; template text is left out. Tags and class words only say what is a menu, notice,
-advert, form or comment; inside an article a class counts only where a whole token says so. A host with a single page has no
-template text and all its slots vary, so that its page is read by tags, class words and density alone.
+A page is read as a stream of block-level elements, keyed by tag and class tokens, and text tokens. Class tokens that don't
+recur on the host, such as a page's own name, are no keys, so that a wrapper is bounded by its template. Each page's stream is
+folded first: neighbours that repeat, single or in groups, become one repeated group `( )+`. The distinct folded streams of a
+host are then aligned in a fixed order, where an element that only one has becomes optional `( )?`; the result is a
+union-free regular expression, the host's wrapper. Text tokens are aligned by value over the whole host: a text on nearly all
+pages that have its place belongs to the template (`T`), other places are slots (`#`), which vary where they have several
+texts or stand in a repeated group, and are still where they always have one. All of this is counted over distinct pages and
+merged in an order that the data alone fix, so that the result doesn't depend on the partitioning.
+
+On a page, what stands inside article or main is the article, template text included: headings and sentences that every
+article of a host has are its own. A page without them is read by its wrapper: the slots that vary and aren't mostly links are
+the article, still slots and template text are not. Tags and class words only say what is a menu, notice, advert, form or
+comment; inside an article a class counts only where a whole token says so. A host with a single page has no template and no
+still slots, so that its page is read by tags, class words and density alone.
 """
 
 from __future__ import annotations
@@ -61,13 +63,17 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
-#: A text is template where at least so many distinct pages of a host, and this share of them, have it at one place.
+#: A text is template where at least so many distinct pages of a host, and this share of those that have its place, have it.
 TEMPLATE_PAGES, TEMPLATE_SHARE = 5, 0.9
+#: A class token is a key where at least so many distinct pages of a host, and more than this share of them, have it.
+KEY_PAGES, KEY_SHARE = 2, 0.01
 #: What a wrapper says of a place counts from so many distinct pages on, and from this share of the host's pages.
 SLOT_PAGES, SLOT_SHARE = 2, 0.01
 #: Longest repeated group of elements, salts of the first alignment step, and bytes of all wrappers up to which they are
 #: shared with every task; larger ones are joined to the pages.
 GROUP, SALTS, SHARED_BYTES = 8, 64, 32 << 20
+#: Bytes of what wrappers say that a task keeps parsed.
+HELD_BYTES = 8 << 20
 
 
 @lru_cache(4096)
@@ -80,6 +86,14 @@ def symbol(name: str, attrs: str) -> str:
     return ".".join([name, *sorted(tokens)]) if tokens else name
 
 
+def keyed(sym: str, keys: frozenset[str] | None) -> str:
+    """A symbol with those of its tokens that are keys; with all of them if no keys are given."""
+    name, _, rest = sym.partition(".")
+    if keys is None or not rest:
+        return sym
+    return ".".join([name, *[t for t in rest.split(".") if t in keys]])
+
+
 @lru_cache(4096)
 def marks(sym: str) -> tuple[bool, bool]:
     """Whether class words mark an element as something else than the article: by any word, and by a whole token."""
@@ -288,25 +302,28 @@ def align(a: Node, b: Node) -> Node:
 
 
 class Element:
-    """An element of one page, with the text of its own slot and of all below it."""
+    """An element of one page, with the text of its own slot and of all below it. `sym` has all its tokens, `key` those that
+    are keys."""
 
     __slots__ = ("article", "chars", "deep", "inside", "linked", "name", "node", "parent", "place", "sym")
 
-    def __init__(self, sym: str, parent: Element | None) -> None:
+    def __init__(self, sym: str, parent: Element | None, key: str | None = None) -> None:
         self.sym, self.parent, self.name = sym, parent, sym.partition(".")[0]
-        self.place = below(parent.place, sym) if parent else 0
+        key = sym if key is None else key
+        self.place = below(parent.place, key) if parent else 0
         self.inside = self.name in ("article", "main") or parent is not None and parent.inside
         self.article = False  # an article or main lies below
         self.chars, self.linked, self.deep = 0, 0, 0
-        self.node = Node(sym)
+        self.node = Node(key)
         if parent:
             parent.node.children.append(self.node)
 
 
-def page_blocks(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
+def page_blocks(page: str, keys: frozenset[str] | None = None) -> tuple[list[Element], list[tuple[Element, str]]]:
     """Elements of a page in order, parents first, and its blocks of text with the element whose slot holds each."""
     at = Element("", None)
     elements, blocks = [at], []
+    named: dict[str, str] = {}
     part: list[str] = []
     link = False
 
@@ -328,7 +345,9 @@ def page_blocks(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
         else:
             end()
             if kind == "open":
-                at = Element(value, at)
+                if value not in named:
+                    named[value] = keyed(value, keys)
+                at = Element(value, at, named[value])
                 elements.append(at)
             elif kind == "close" and at.parent is not None:
                 at = at.parent
@@ -352,11 +371,12 @@ def shape(elements: list[Element]) -> Node:
 
 
 class Slots(NamedTuple):
-    """What a host's wrapper says of its places."""
+    """What a host's wrapper says of its places, and its keys (None: all tokens are)."""
 
     template: frozenset[tuple[int, int]]  # (place, text): text of the template
     still: frozenset[int]  # slots with the same text on all pages that have them
     links: frozenset[int]  # slots of mostly links
+    keys: frozenset[str] | None = None
 
 
 NOTHING = Slots(frozenset(), frozenset(), frozenset())
@@ -379,9 +399,9 @@ def pruned(e: Element, root: Element) -> bool:
 def content(elements: list[Element], known: Slots) -> set[Element]:
     """The elements whose slots hold the article of a page.
 
-    Those inside article or main where the page itself has text there. Else those of the smallest element that has most of
-    the page's text outside of links, without slots that are mostly links here and over the host, and the slots beside it
-    whose text isn't the same on all pages of the host. Parts that are marked as something else are left out.
+    Those inside article or main where the page itself has text there. Else all whose slots aren't still on the host and
+    aren't mostly links; in the smallest element that has most of the page's text outside of links, a slot is one of links
+    only if it is over the whole host. Parts that are marked as something else are left out.
     """
     for around in (False, True):  # an article in a marked part, such as a comment, counts where there is no other
         ok: set[Element] = set()
@@ -411,41 +431,50 @@ def content(elements: list[Element], known: Slots) -> set[Element]:
         if e is best or e.parent in under:
             under.add(e)
         links = own[e.place][1] > 0.5 * own[e.place][0]
-        if not links or e in under and e.place not in known.links:
-            if e in under or e.place not in known.still:
-                out.add(e)
+        if e.place not in known.still and (not links or e in under and e.place not in known.links):
+            out.add(e)
     return out
 
 
 def extract(page: str, known: Slots = NOTHING) -> str:
     """The article's text: blocks in page order, one line each, white space inside a block as one space."""
-    elements, blocks = page_blocks(page)
+    elements, blocks = page_blocks(page, known.keys)
     wanted = content(elements, known)
-    return "\n".join(said for e, said in blocks if e in wanted and not (known.template and (e.place, text_print(said)) in known.template))
+    return "\n".join(said for e, said in blocks if e in wanted and (e.inside or not (known.template and (e.place, text_print(said)) in known.template)))
 
 
 _SEEN = pa.schema([("host", pa.string()), ("page", pa.int64()), ("shape", pa.string()), ("place", pa.int64()), ("text", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64())])
 
 
-def _see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each page a row with its folded stream, and one for each text token at each place."""
-    for batch in batches:
-        rows: list[tuple] = []
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            page = page.as_py()
-            elements, blocks = page_blocks(page)
-            print_ = text_print(page)
-            tokens: dict[tuple[int, int], tuple] = {}
-            for e, said in blocks:
-                share = e.linked / max(1, e.chars)
-                tokens.setdefault((e.place, t := text_print(said)), (host, print_, None, e.place, t, len(said), round(share * len(said))))
-            rows += tokens.values()
-            rows.append((host, print_, shape(elements).dump(), None, None, None, None))
-            if len(rows) > 20_000:
+def _keys(shared, column: object) -> frozenset[str]:
+    """The keys of a row's host: looked up by the host where they were sent to the task, else from the row itself."""
+    said = shared.value.get(column) if shared is not None else column
+    return frozenset(said or ())
+
+
+def _see(shared):
+    """Of each page (host, html, keys or host) a row with its folded stream, and one for each text token at each place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for host, page, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                page = page.as_py()
+                elements, blocks = page_blocks(page, _keys(shared, own))
+                print_ = text_print(page)
+                tokens: dict[tuple[int, int], tuple] = {}
+                for e, said in blocks:
+                    share = e.linked / max(1, e.chars)
+                    tokens.setdefault((e.place, t := text_print(said)), (host, print_, None, e.place, t, len(said), round(share * len(said))))
+                rows += tokens.values()
+                rows.append((host, print_, shape(elements).dump(), None, None, None, None))
+                if len(rows) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SEEN.types, strict=True)], schema=_SEEN)
+                    rows = []
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SEEN.types, strict=True)], schema=_SEEN)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SEEN.types, strict=True)], schema=_SEEN)
+
+    return run
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,63 +488,117 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([salt], pa.int64()), pa.array([wrapper.dump()], pa.string())], names=["host", "salt", "shape"])
 
 
-def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, shape, template, still, links): the wrapper of each host of `pages`, written.
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each wrapper (host, salt, shape) its places with text, and those of them in a repeated group."""
+    for batch in batches:
+        found = [text_places(Node.load(lines)) for lines in batch.column(2).to_pylist()]
+        lists = [pa.array([sorted(f[k]) for f in found], pa.list_(pa.int64())) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], names=["host", "shape", "places", "repeated"])
+
+
+def text_places(wrapper: Node) -> tuple[set[int], set[int]]:
+    """The places of a wrapper that have text, and of these the ones in a repeated node or group."""
+    known: set[int] = set()
+    repeated: set[int] = set()
+    stack: list[tuple[Node, int | None, bool]] = [(wrapper, None, False)]
+    while stack:
+        n, path, rep = stack.pop()
+        at = 0 if path is None else below(path, n.sym) if n.sym else path
+        rep = rep or n.rep
+        if n.text:
+            known.add(at)
+            if rep:
+                repeated.add(at)
+        stack += [(c, at, rep) for c in n.children]
+    return known, repeated
+
+
+def _given(rows: DataFrame, table: DataFrame, column: str, shared_bytes: int):
+    """(rows with `column`, what is shared): a value for each host, given to the rows of that host. Up to `shared_bytes` the
+    table is sent to every task and the column is the host itself; beyond that it is joined, and Spark splits hot hosts."""
+    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct(column))) + F.octet_length("host"))).first()[0] or 0
+    if size <= shared_bytes:
+        sent = {r["host"]: r[column] for r in table.select("host", column).collect()}  # size checked
+        return rows.withColumn(column, F.col("host")), rows.sparkSession.sparkContext.broadcast(sent)
+    return rows.join(table.select("host", column), "host", "left"), None
+
+
+def host_keys(rows: DataFrame) -> DataFrame:
+    """(host, keys): the class, id and role tokens that recur on each host of (host, html), sorted, written. They are counted
+    by expressions over the whole texts; a list has at most some 1 / `KEY_SHARE` times the tokens of a page."""
+    said = F.regexp_extract_all("html", F.lit(r"(?i)[\x20\x09-\x0D\"'](?:class|id|role)\s*=\s*(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)"), 1)
+    tokens = F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(F.array_join(said, " ")), "[0-9]+", "0"), "[\\s\"']+"), lambda t: t != ""))
+    pages = materialize(rows.select("host", F.xxhash64("html").alias("page"), tokens.alias("tokens")), "names")
+    distinct = pages.groupBy("host", "page").agg(F.first("tokens").alias("tokens"))
+    size = distinct.groupBy("host").agg(F.count("*").alias("size"))
+    counted = distinct.select("host", F.explode("tokens").alias("token")).groupBy("host", "token").agg(F.count("*").alias("pages")).where(F.col("pages") >= KEY_PAGES)
+    good = counted.join(size, "host").where(F.col("pages") > F.col("size") * KEY_SHARE)
+    out = materialize(good.groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("keys")), "keys")
+    release(pages)
+    return out
+
+
+def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", shared_bytes: int = SHARED_BYTES) -> DataFrame:
+    """(host, shape, template, still, links, keys): the wrapper of each host of `pages`, written.
 
     `shape` is the expression's tree (`Node.load`), `template` lists (place, text) of template texts, `still` and `links` the
-    places of slots with one text and of mostly links. Pages that are equal count once. Null urls and urls without a host
-    count as an empty host, null html as empty. Counts are pre-aggregated; the shapes of a host are aligned by salts of their
-    hash first, so that a hot host is spread; lists hold places on 1 % of a host's pages or more, which bounds them.
+    places of slots with one text outside of repeated groups and of mostly links, `keys` the class tokens that recur. Pages
+    that are equal count once. Null urls and urls without a host count as an empty host, null html as empty. Counts are
+    pre-aggregated; the shapes of a host are aligned by salts of their hash first, so that a hot host is spread, and the
+    wrappers of the salts, bounded by the template, one after another. Lists hold places on 1 % of a host's pages or more,
+    which bounds them.
     """
     rows = pages.select(host_and_path(F.col(url_col).cast("string"))[0].alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+    keys = host_keys(rows)
+    given, shared = _given(rows, keys, "keys", shared_bytes)
     spec = "host string, page long, shape string, place long, text long, chars long, linked long"
-    seen = materialize(rows.mapInArrow(_see, spec), "tokens")
+    seen = materialize(given.select("host", "html", "keys").mapInArrow(_see(shared), spec), "tokens")
     shapes = seen.where("shape is not null")
     size = materialize(shapes.groupBy("host", "page").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("size")), "hosts")
     aligned = shapes.groupBy("host", "shape").agg(F.lit(1)).select("host", F.pmod(F.xxhash64("shape"), F.lit(SALTS)).alias("salt"), "shape")
     aligned = aligned.repartition("host", "salt").sortWithinPartitions("host", "salt", "shape").mapInArrow(_align, "host string, salt long, shape string")
     aligned = aligned.repartition("host").sortWithinPartitions("host", "salt").select("host", F.lit(0).cast("long").alias("salt"), "shape").mapInArrow(_align, "host string, salt long, shape string")
+    aligned = aligned.mapInArrow(_places, "host string, shape string, places array<long>, repeated array<long>")
     tokens = seen.where("place is not null").groupBy("host", "place", "text", "page").agg(F.max("chars").alias("chars"), F.max("linked").alias("linked"))
     texts = materialize(tokens.groupBy("host", "place", "text").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")), "texts")
-    least = F.greatest(F.lit(TEMPLATE_PAGES), F.ceil(F.col("size") * TEMPLATE_SHARE))
-    template = texts.where(F.col("pages") >= TEMPLATE_PAGES).join(size, "host").where(F.col("pages") >= least)
-    template = template.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("template"))
-    # A page may have several texts at one place, so pages are counted as at least those of the most frequent text.
-    places = texts.groupBy("host", "place").agg(F.count("*").alias("texts"), F.max("pages").alias("same"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    still, links = (F.col("texts") == 1) & (F.col("same") >= SLOT_PAGES), 2 * F.col("linked") > F.col("chars")
-    places = places.where(still | links).join(size, "host").where(F.col("pages") >= F.col("size") * SLOT_SHARE)
-    places = places.groupBy("host").agg(F.sort_array(F.collect_set(F.when(still, F.col("place")))).alias("still"), F.sort_array(F.collect_set(F.when(links, F.col("place")))).alias("links"))
-    out = materialize(aligned.select("host", "shape").join(template, "host", "left").join(places, "host", "left"), "wrappers")
-    release(seen, size, texts)
+    # Of a place: its distinct texts, the pages that have it, and how much of its text is in links.
+    having = tokens.groupBy("host", "place", "page").agg(F.lit(1)).groupBy("host", "place").agg(F.count("*").alias("having"))
+    places = texts.groupBy("host", "place").agg(F.count("*").alias("texts"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")).join(having, ["host", "place"])
+    places = materialize(places.join(size, "host").where(F.col("having") >= F.col("size") * SLOT_SHARE).drop("size"), "places")
+    common = texts.where(F.col("pages") >= TEMPLATE_PAGES).join(places.select("host", "place", "having"), ["host", "place"]).where(F.col("pages") >= F.col("having") * TEMPLATE_SHARE)
+    template = common.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("template"))
+    still, links = (F.col("texts") == 1) & (F.col("having") >= SLOT_PAGES), 2 * F.col("linked") > F.col("chars")
+    lists = places.where(still | links).groupBy("host").agg(F.sort_array(F.collect_set(F.when(still, F.col("place")))).alias("still"), F.sort_array(F.collect_set(F.when(links, F.col("place")))).alias("links"))
+    both = aligned.join(template, "host", "left").join(lists, "host", "left").join(keys, "host", "left")
+    own = F.filter("template", lambda x: F.array_contains("places", x["place"]))
+    kept = F.array_except(F.array_intersect("still", "places"), F.col("repeated"))
+    out = materialize(both.select("host", "shape", own.alias("template"), kept.alias("still"), F.array_intersect("links", "places").alias("links"), "keys"), "wrappers")
+    release(keys, seen, size, texts, places)
     return out
 
 
-def slots_of(wrapper: str) -> Slots:
-    """What a wrapper, as JSON of its row, says of the places that its expression has."""
+def slots_of(wrapper: str | None) -> Slots:
+    """What a wrapper says of its places, from the JSON of its row without the shape."""
+    if wrapper is None:
+        return NOTHING
     w = json.loads(wrapper)
-    known: set[int] = set()
-    stack = [(Node.load(w["shape"]), None)]
-    while stack:
-        n, path = stack.pop()
-        at = 0 if path is None else below(path, n.sym) if n.sym else path
-        if n.text:
-            known.add(at)
-        stack += [(c, at) for c in n.children]
-    template = frozenset((x["place"], x["text"]) for x in w.get("template") or () if x["place"] in known)
-    return Slots(template, frozenset(w.get("still") or ()) & known, frozenset(w.get("links") or ()) & known)
+    return Slots(frozenset((x["place"], x["text"]) for x in w.get("template") or ()), frozenset(w.get("still") or ()), frozenset(w.get("links") or ()), frozenset(w.get("keys") or ()))
 
 
 def _extract(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wrappers = shared.value if shared is not None else None
-        known: dict[str, Slots] = {}
+        known: dict[str | None, Slots] = {}
+        held = 0
         for batch in batches:
             texts = []
             for page, w in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
                 if w not in known:
-                    if len(known) > 2000:
+                    said = w if shared is None else shared.value.get(w)
+                    held += len(said or "")
+                    if held > HELD_BYTES:  # parsed lists of the last hosts are kept, in bounded memory
                         known.clear()
-                    known[w] = slots_of(w if wrappers is None else wrappers[w])
+                        held = len(said or "")
+                    known[w] = slots_of(said)
                 texts.append(extract(page.as_py(), known[w]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
@@ -526,15 +609,17 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """(id, url, text, n_chars) for each row of `pages`: the article's blocks, joined by line ends; empty if there is none.
 
     Null html counts as empty. Repeated rows and null ids stay; other columns are ignored, whatever their names; an empty
-    table gives no rows. Pages of any depth and length are read whole, in time that grows with their length. Wrappers of up
-    to `shared_bytes` together are sent to every task; beyond that each page is joined with its host's.
+    table gives no rows. Pages of any depth and length are read whole, in time that grows with their length but for the search
+    of the wrapper's aligned ends, which is n log n; of elements with equally much text the last and so innermost counts.
+    What wrappers say (lists of places and keys, not their shapes) is sent to every task up to `shared_bytes` for all hosts
+    together; beyond that each page is joined with its host's.
     """
-    wrappers = infer_wrappers(pages, url_col, html_col).select("host", F.to_json(F.struct("shape", "template", "still", "links")).alias("wrapper"))
+    wrappers = infer_wrappers(pages, url_col, html_col, shared_bytes)
+    said = wrappers.select("host", F.to_json(F.struct("template", "still", "links", "keys")).alias("wrapper"))
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), host_and_path(url)[0].alias("host"))
-    shared = None
-    if (wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0) <= shared_bytes:
-        shared = pages.sparkSession.sparkContext.broadcast({r.host: r.wrapper for r in wrappers.collect()})  # size checked
-    else:
-        rows = rows.join(wrappers, "host").select("id", "url", "html", "wrapper")
-    return rows.mapInArrow(_extract(shared), "id long, url string, text string, n_chars long").withColumnRenamed("id", id_col)
+    given, shared = _given(rows, said, "wrapper", shared_bytes)
+    out = given.select("id", "url", "html", "wrapper").mapInArrow(_extract(shared), "id long, url string, text string, n_chars long").withColumnRenamed("id", id_col)
+    if shared is not None:
+        release(wrappers)  # the tasks have what they need of it
+    return out
