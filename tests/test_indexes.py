@@ -94,6 +94,18 @@ def test_kept_is_built_once_and_again_after_a_change(spark, tmp_path):
     assert scratch.kept(spark, "x", [source], build) != first
 
 
+def test_a_scope_leaves_nothing_behind(spark):
+    from weftwork.plans import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    QUERIES["dep_transitive"](spark, sf).count()  # its index is kept
+    before = set(scratch._made)
+    for name in ("dep_transitive", "dep_dependents", "impact_count", "bm25_scan", "dep_closure_scan", "registry_upkeep", "similar_names"):
+        with scratch.scope():
+            assert QUERIES[name](spark, sf).count() >= 0
+    assert set(scratch._made) - set(scratch._kept.values()) == before - set(scratch._kept.values())
+
+
 @pytest.mark.parametrize(
     "pattern,wanted",
     [

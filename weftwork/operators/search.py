@@ -112,6 +112,21 @@ def semantic_search(chunks: DataFrame, terms: Sequence[str], query: Sequence[flo
     return both.select(id_col, "rank", F.col("rrf_score").alias("score"), F.substring(F.coalesce(text_col, F.lit("")), 1, 200).alias("snippet"), *rest)
 
 
+def layered_search(chunks: DataFrame, terms: Sequence[str], query: Sequence[float], layers: Sequence[dict[str, object]], ref_col: str, k: int = 5, id_col: str = "chunk_id", text_col: str = "code_text", vector_col: str = "embedding", most: int = 20) -> DataFrame:
+    """The hits of `semantic_search` in each layer, a configuration first and then libraries, as (layer, ...), at most k: of
+    hits with one ref the first counts, by layer, then rank; a null ref is like no other. A layer's hits come before those of
+    the next."""
+    found = None
+    for i, layer in enumerate(layers):
+        hits = semantic_search(chunks, terms, query, layer, k, id_col, text_col, vector_col, most).select(F.lit(i).alias("layer"), "*")
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        raise ValueError("there has to be a layer")
+    # At most k rows a layer from here on.
+    own = Window.partitionBy(F.coalesce(F.col(ref_col).cast("string"), F.concat(F.lit("\0"), F.col(id_col).cast("string")))).orderBy("layer", "rank")
+    return found.withColumn("weft_n", F.row_number().over(own)).where("weft_n = 1").drop("weft_n").orderBy("layer", "rank").limit(k)
+
+
 def similar(df: DataFrame, id_col: str, vector_col: str, seed, k: int, exclude: Column | None = None) -> DataFrame:
     """The k rows most similar to the row `seed`, which is left out before the limit; an unknown seed has none."""
     row = df.where(F.col(id_col) == seed).select(vector_col).first()

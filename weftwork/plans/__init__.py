@@ -1,6 +1,6 @@
 """Registered queries over the driver tables, with their SQL."""
 
 from .registry import ORACLES, QUERIES
-from . import indexes, knowledge, retrieval  # noqa: F401  register their queries
+from . import indexes, knowledge, retrieval, upkeep  # noqa: F401  register their queries
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -7,7 +7,8 @@ import hashlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -77,6 +78,18 @@ def release(*tables: DataFrame | None) -> None:
             remove(_made[path], path)
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Free, at the end, the scratch tables that were made inside and that `release` hasn't freed: for sessions that run many
+    queries and are done with each result. What `kept` holds stays."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        for path in [p for p in _made if p not in before and p not in _kept.values()]:
+            remove(_made[path], path)
+
+
 def fingerprint(spark: SparkSession, *paths: str) -> str:
     """What changes when a file below one of the paths does: names, sizes and times of all of them."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -194,6 +194,25 @@ def upsert_table(new: DataFrame, path: str, order: Sequence[str] = (), columns:
         release(kept)
 
 
+def replace_keys(new: DataFrame, path: str, gone: DataFrame) -> Version:
+    """Take out all rows whose key is in `gone` (keys) or among those of `new`, and add the rows of `new`, of which several may
+    have one key. Only buckets that have one of these keys are read and written."""
+    spark = new.sparkSession
+    kept = materialize(new, "changes")
+
+    def change(before: Version) -> dict[int, str | None]:
+        keys = list(before.keys)
+        out_of = gone.select(*keys).unionByName(kept.select(*keys)).distinct()
+        touched = [r[0] for r in out_of.select(bucket_of(keys, before.buckets)).distinct().collect()]  # one a bucket
+        base = read_version(spark, path, before, touched)
+        return dict.fromkeys(touched) | _write(base.join(out_of, keys, "left_anti").unionByName(kept.select(*base.columns)), path, keys, before.buckets)
+
+    try:
+        return _changed(spark, path, change)
+    finally:
+        release(kept)
+
+
 def delete_rows(spark: SparkSession, path: str, condition: Column) -> tuple[Version, int]:
     """Delete the rows for which a condition holds (null: it doesn't); (version, how many). Buckets without one stay as they
     are. Counting reads the columns of the condition alone."""
