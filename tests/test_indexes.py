@@ -310,3 +310,37 @@ def test_secret_scan_of_a_long_run(spark):
     began = time.time()
     assert sorted(map(tuple, rules.secret_scan(df, "id", "t", SECRETS).collect())) == [(2, "mail", "***"), (3, "mail", "***")]
     assert time.time() - began < 15
+
+
+def test_json_indexes_of_both_forms(spark, tmp_path):
+    schema = "a int, b array<string>"
+    assert stores.load_json(spark, str(tmp_path / "none"), schema) is None
+    rows = spark.createDataFrame([(1, ["x\ny"]), (None, None)], schema)
+    stores.save_json(rows, str(tmp_path / "i"))
+    assert sorted(map(str, stores.load_json(spark, str(tmp_path / "i"), schema).collect())) == sorted(map(str, rows.collect()))
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "a.json").write_text('[{"a": 1, "b": ["q"]},\n {"a": 2}]')
+    (tmp_path / "j" / "b.json").write_text('{"a": 3}\nno object\n')
+    assert sorted((r.a, r.b) for r in stores.load_json(spark, str(tmp_path / "j"), schema).collect()) == [(1, ["q"]), (2, None), (3, None)]
+    found = stores.present_paths(spark, {"i": str(tmp_path / "i"), "n": str(tmp_path / "n"), "s": "nostore://x/y"}).collect()
+    assert {r.name: r.present for r in found} == {"i": True, "n": False, "s": False}
+
+
+def test_module_records(spark):
+    code = "#Область A\nПроцедура П(Б) Экспорт\nКонецПроцедуры\n#КонецОбласти\n"
+    got = modules.module_records(spark.createDataFrame([("p", code, "k"), ("q", "", "k")], "path string, text string, kind string")).orderBy("path").collect()
+    assert [(r.path, r.kind, r.line_count, [m.name for m in r.methods], [(a.name, a.start_line, a.end_line) for a in r.regions]) for r in got] == [("p", "k", 5, ["П"], [("A", 1, 4)]), ("q", "k", 1, [], [])]
+
+
+def test_depth_of_a_view_is_bounded(spark):
+    edges = spark.createDataFrame([("a", "b")], "src string, dst string")
+    for depth in (0, 6):
+        with pytest.raises(ValueError, match="depth"):
+            graph.dependency_view(edges, "a", "out", depth)
+
+
+def test_iteration_log(spark):
+    from weftwork.operators import findings
+
+    rows = spark.createDataFrame([("p", 1, "a\nb", ["x"], None), ("p", 2, "", [], 3), ("p", 3, None, None, 0)], "plan_id string, number int, code string, failed_checks array<string>, edit_distance_vs_prev int")
+    assert [tuple(r) for r in findings.iteration_log(rows).collect()] == [("p", 1, 2, 1, None), ("p", 2, 1, 0, 3), ("p", 3, None, 0, 0)]

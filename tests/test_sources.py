@@ -184,7 +184,9 @@ def test_path_rules(spark):
         "Catalogs/T/Ext/ObjectModule.bsl": ("ObjectModule", "Catalog.T", "T"),
         "Documents/D/Forms/F/Ext/Form/Module.bsl": ("FormModule", "Document.D.F", "F"),
         "Odds/O/Ext/ManagerModule.bsl": ("ManagerModule", "Odd.O", "O"),
-        "CommonForms/C/Ext/Form/Module.bsl": ("Module", "CommonForm.C", "C"),
+        "CommonForms/C/Ext/Form/Module.bsl": ("FormModule", "CommonForm.C", "C"),
+        "ChartsOfAccounts/H/Ext/ManagerModule.bsl": ("ManagerModule", "ChartOfAccounts.H", "H"),
+        "Enums/E/Forms/F/Ext/Form/Module.bsl": ("FormModule", "Enum.E.F", "F"),
         "CommonForms/C/Module.bsl": ("FormModule", "CommonForm.C", "C"),
         "Ext/Session.bsl": ("Unknown", "Ext/Session.bsl", "Session"),
         "x.bsl": ("Unknown", "x.bsl", "x"),
@@ -194,6 +196,8 @@ def test_path_rules(spark):
     assert {r[0]: (r[1], r[2], r[3]) for r in rows.select("p", info["kind"], info["ref"], paths.module_name(F.col("p"))).collect()} == cases
     files = spark.createDataFrame([(p, "t") for p in cases], "path string, text string")
     assert lookups.module_of(files, "Catalog.T", "ObjectModule").first().path == "Catalogs/T/Ext/ObjectModule.bsl"
+    assert lookups.module_of(files, "ChartOfAccounts.H", "ManagerModule").count() == 1 and lookups.module_of(files, "CommonForm.C", "FormModule").first().path == "CommonForms/C/Ext/Form/Module.bsl"
+    assert lookups.module_of(files, "CommonModule.A", "ObjectModule").count() == 0 and lookups.module_of(files, "CommonModule.A", "CommonModule").count() == 1
     assert lookups.module_of(files, "Document.D", "FormModule").count() == 1 and lookups.module_of(files, "Catalog.%", "ObjectModule").count() == 0
     assert rows.select(paths.relative(F.lit("file:///a/b/Catalogs/%D0%96.xml"), "/a/b")).first()[0] == "Catalogs/Ж.xml"
     for path, root, rest in (("file:/a/a/x", "file:///a", "a/x"), ("file:///a/a/x", "/a/", "a/x"), ("s3a://b/d/x+y", "s3a://b/d", "x+y"), ("file:/w/d/m/x", "d/m", "x"), ("file:/w/$d/x", "/w/$d", "x")):

@@ -66,6 +66,13 @@ def retry_text(findings: DataFrame, by: str, order: Sequence[str]) -> DataFrame:
     return rows.select(by, F.array_join(F.transform("x", lambda r: r["__line"]), "\n").alias("prompt"))
 
 
+def iteration_log(iterations: DataFrame, keys: tuple[str, ...] = ("plan_id",)) -> DataFrame:
+    """(keys..., number, code_lines, failed_checks, edit_distance) of the tries of each task: lines of the code, of which an
+    empty one has one, and how many checks failed. A try without code has no lines, one without checks none that failed."""
+    lines = F.size(F.split("code", "\n", -1))
+    return iterations.select(*keys, "number", F.when(F.col("code").isNotNull(), lines).alias("code_lines"), F.greatest(F.size("failed_checks"), F.lit(0)).alias("failed_checks"), F.col("edit_distance_vs_prev").alias("edit_distance"))
+
+
 def backoff(attempt: Column, base: float, cap: float, kind: str = "exponential") -> Column:
     """Delay before an attempt (1-based): linear or exponential, at most `cap`."""
     delay = F.lit(base) * (attempt if kind == "linear" else F.pow(F.lit(2.0), attempt - 1))

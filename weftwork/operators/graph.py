@@ -94,10 +94,16 @@ def resolve_calls(calls: DataFrame, modules: DataFrame, exports: DataFrame, excl
     return known.join(exports.select("module", "method").distinct(), ["module", "method"], "left_semi")
 
 
+#: Most hops of a view.
+VIEW_DEPTH = 5
+
+
 def dependency_view(edges: DataFrame, ref: str | None = None, direction: str = "both", depth: int = 1, most: int = 500) -> tuple[DataFrame, int, bool]:
     """(at most `most` edges in the order of their ends, how many there are, whether some are left out): the whole graph
-    without `ref`, else the edges that a walk of `depth` hops from it takes. `most` bounds the answer, not the walk; an
-    unknown `ref` has no edges."""
+    without `ref`, else the edges that a walk of `depth` hops (1 to `VIEW_DEPTH`) from it takes. `most` bounds the answer,
+    not the walk; an unknown `ref` has no edges."""
+    if not 1 <= depth <= VIEW_DEPTH:
+        raise ValueError(f"the depth has to be 1 to {VIEW_DEPTH}")
     if direction not in ("out", "in", "both"):
         raise ValueError(f"direction is {direction!r}; it can be out, in or both")
     if ref is None:

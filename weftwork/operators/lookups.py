@@ -86,6 +86,13 @@ def search_kb(rules: DataFrame, query: str, k: int = 5, collection: str = "all",
     return scored.orderBy(F.col("score").desc(), "place", "id").limit(k).drop("place")
 
 
+def hit_rules(hits: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rules behind search hits (id, type, score) with all their fields, the best first; hits of rules that aren't there
+    any more are left out. Few hits, so they are what is sent to the rules."""
+    own = F.broadcast(hits.select("id", "type", "score"))  # `search_kb` gives `most` rows at most
+    return rules.join(own, ["id", "type"]).orderBy(F.col("score").desc(), "id")
+
+
 def explain(rules: DataFrame, chunks: DataFrame, query: str, id_col: str = "chunk_id", k: int = 3) -> DataFrame:
     """(part, id, score): the best rules and the most similar chunks (scored beforehand as `score`) for a question."""
     kb = search_kb(rules, query, k).select(F.lit("rule").alias("part"), "id", "score")

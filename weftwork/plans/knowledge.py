@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import indexing
+from ..functions import refs as re
 from ..operators import builders as bu
 from ..operators import lookups as lo
 from ..operators import rule_table as rt
@@ -19,7 +20,7 @@ from ..sources import metadata as md
 from ..sources import stores as so
 from ..sources import versioned as ve
 from ..sources import xml_repair as xr
-from .indexes import _M, _modules, _objects
+from .indexes import _M, _RULES_SQL, _modules, _objects, _rules
 from .registry import RULES, _found_sql, query
 
 #: Words of `benchmark` from which rules are made.
@@ -35,10 +36,10 @@ def rule_files(spark: SparkSession, sf_dir: str) -> str:
         words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(text, F.lit(WORD), 0)).alias("w")).distinct()
         regex = F.struct(F.struct(F.concat(F.lit(r"\b"), "w", F.lit(r"\b")).alias("pattern"), F.lit("mi").alias("flags")).alias("regex"))
         level = F.when(F.length("w") % 3 == 0, "critical").when(F.length("w") % 3 == 1, "warning").otherwise("info")
-        rows = words.select(F.concat(F.lit("w-"), "w").alias("id"), F.col("w").alias("file"), F.concat(F.lit("Word "), "w").alias("title"), level.alias("severity"), F.lit("style").alias("category"), regex.alias("detect"))
-        rows.repartition("file").write.partitionBy("file").json(f"{path}/antipatterns")
-        own = spark.createDataFrame([(r.rule_id, r.rule_id, f"Rule {r.rule_id}", r.severity, r.category, ((r.pattern, r.flags),), ("internal", "2.1", "http://x")) for r in RULES], "id string, file string, title string, severity string, category string, detect struct<regex:struct<pattern:string,flags:string>>, source struct<type:string,code:string,url:string>")
-        own.write.partitionBy("file").json(f"{path}/standards")
+        rows = words.select(F.concat(F.lit("antipatterns/"), "w", F.lit(".json")).alias("entry"), F.struct(F.concat(F.lit("w-"), "w").alias("id"), F.concat(F.lit("Word "), "w").alias("title"), level.alias("severity"), F.lit("style").alias("category"), regex.alias("detect")).alias("rule"))
+        own = spark.createDataFrame([(f"standards/{r.rule_id}.json", (r.rule_id, f"Rule {r.rule_id}", r.severity, r.category, ((r.pattern, r.flags),), ("internal", "2.1", "http://x"))) for r in RULES], "entry string, rule struct<id:string, title:string, severity:string, category:string, detect:struct<regex:struct<pattern:string,flags:string>>, source:struct<type:string,code:string,url:string>>")
+        said = rows.select("entry", F.to_json("rule").alias("said")).unionByName(own.select("entry", F.to_json("rule").alias("said")))
+        ar.unpack(said.select("entry", F.encode("said", "UTF-8").alias("content"), F.lit(None).cast("string").alias("problem")), path).count()
 
     return kept(spark, "rules", [f"{sf_dir}/benchmark.parquet"], build)
 
@@ -84,7 +85,7 @@ def rule_file_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that don't fit a schema are told with their fault."""
     path = rule_files(spark, sf_dir)
     rules, problems = so.read_rules(spark, {"antipattern": f"{path}/antipatterns"}, {"antipattern": SCHEMA})
-    word = F.concat(F.lit("w-"), F.regexp_extract("path", "file=([a-z]+)", 1))
+    word = F.concat(F.lit("w-"), F.regexp_extract("path", r"([a-z]+)\.json$", 1))
     return rules.select("id", F.lit(None).cast("string").alias("problem")).unionByName(problems.select(word.alias("id"), "problem"))
 
 
@@ -183,6 +184,17 @@ def dump_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mo.methods(code).groupBy("path").agg(F.count("*").alias("methods")).join(code.select("path", "module", "ref", "kind"), "path").drop("path")
 
 
+@query(f"WITH {_M} SELECT ref, kind, (4 * count(*) + 2)::INT AS line_count, string_agg('М' || k, ',' ORDER BY k) AS methods, 'Все:1:' || 4 * count(*) + 2 AS regions FROM (SELECT *, 'CommonModule' AS kind FROM m) GROUP BY ref, kind")
+def module_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record a module, whose methods stand in one region."""
+    from ..sources import modules as mo
+
+    code = _modules(spark, sf_dir).withColumn("text", F.concat(F.lit("#Область Все\n"), "text", F.lit("\n#КонецОбласти")))
+    names = F.array_join(F.transform("methods", lambda m: m["name"]), ",").alias("methods")
+    areas = F.array_join(F.transform("regions", lambda r: F.concat_ws(":", r["name"], r["start_line"].cast("string"), r["end_line"].cast("string"))), ",").alias("regions")
+    return mo.module_records(code).select("ref", "kind", "line_count", names, areas)
+
+
 @query(f"WITH {_M} SELECT 'objects' AS index, 4 * (SELECT count(*) FROM nation) AS rows UNION ALL SELECT 'modules', count(DISTINCT n) FROM m UNION ALL SELECT 'chunks', count(*) FROM m WHERE k % 3 <> 0")
 def dump_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Register the dump, build its indexes, and say how many rows some have."""
@@ -193,6 +205,58 @@ def dump_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, built[n]) for n in ("objects", "modules", "chunks")], "index string, rows long")
 
 
+@query("SELECT n_nationkey AS key, CASE WHEN n_nationkey % 3 <> 0 THEN n_name END AS name, [n_regionkey, n_nationkey] AS ids FROM nation")
+def json_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index written as JSON and read back."""
+    path = new_path(spark, "json")
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.when(F.col("n_nationkey") % 3 != 0, F.col("n_name")).alias("name"), F.array("n_regionkey", "n_nationkey").alias("ids"))
+    so.save_json(rows, path)
+    return so.load_json(spark, path, "key int, name string, ids array<int>")
+
+
+@query(f"WITH {_RULES_SQL.format(q='an')}, h AS (SELECT id, type, score FROM s WHERE score > 0 ORDER BY score DESC, place, id LIMIT 20) SELECT id, type, score, title, 'Catalog' AS applicable FROM h JOIN s USING (id, type, score)")
+def hit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules behind the hits of a search."""
+    rules = _rules(spark, sf_dir)
+    found = lo.hit_rules(lo.search_kb(rules, "an", 20), rules)
+    return found.select("id", "type", "score", "title", F.array_join("applicable_to", ",").alias("applicable"))
+
+
+@query("""
+SELECT s_suppkey, s_suppkey % 3 <> 0 AS branch, s_suppkey % 4 <> 0 AS repository, s_suppkey % 5 <> 0 AS inside, s_suppkey % 2 = 0 AS plan, CASE WHEN s_suppkey % 10 > 0 THEN s_suppkey % 10 END AS artifact,
+  'pg://u:***@h/' || s_suppkey AS dsn, (s_suppkey % 10)::INT AS files, (s_suppkey % 100)::INT AS insertions, 0 AS deletions, '[' || s_nationkey || '.5,-1.0]' AS vector FROM supplier
+""")
+def reference_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of branches, repositories, paths, plans and artifacts, connection strings, diff summaries and vectors as texts."""
+    k = F.col("s_suppkey")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    odd = lambda n, bad, good: F.when(k % n == 0, bad).otherwise(good)
+    stat = re.diff_stat(text(" ", k % 10, " files changed, ", k % 100, " insertions(+)"))
+    vector = re.vector_literal(re.vector_parse(text(" [", F.col("s_nationkey"), ".5 , -1]")))
+    return table(spark, sf_dir, "supplier").select(
+        "s_suppkey", re.branch_valid(odd(3, text("a..", k), text("fix/", k))).alias("branch"), re.repository_valid(odd(4, text("o w/", k), text("o/", k))).alias("repository"),
+        re.inside_root(odd(5, text("a/../../", k), text("a/", k, "..x"))).alias("inside"), re.plan_id_valid(F.when(k % 2 == 0, text("plan-", k)).otherwise(text("plan ", k))).alias("plan"),
+        re.artifact_ref(text("p#", k, "#", k % 10))["number"].alias("artifact"), re.mask_dsn(text("pg://u:secret@h/", k)).alias("dsn"), stat["files"].alias("files"), stat["insertions"].alias("insertions"), stat["deletions"].alias("deletions"), vector.alias("vector"),
+    )
+
+
+@query("SELECT 'Catalog' AS parent_type, 'C' || n_nationkey AS parent_name, 'Main' AS name, n_name AS title FROM nation WHERE n_nationkey = 3")
+def form_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A form of an object by its name, out of the forms of all nations' catalogs, read from files."""
+    n = table(spark, sf_dir, "nation")
+    key = F.col("n_nationkey").cast("string")
+
+    def build(path: str) -> None:
+        own = n.select(F.concat(F.lit("Catalogs/C"), key, F.lit("/Forms/Main.xml")).alias("entry"), F.lit("<MetaDataObject><Form><Properties><Name>Main</Name></Properties></Form></MetaDataObject>").alias("x"))
+        ext = n.select(F.concat(F.lit("Catalogs/C"), key, F.lit("/Forms/Main/Ext/Form.xml")), F.concat(F.lit("<Form><v8:Title><v8:item><v8:content>"), "n_name", F.lit("</v8:content></v8:item></v8:Title></Form>")))
+        ar.unpack(own.union(ext).select("entry", F.encode("x", "UTF-8").alias("content"), F.lit(None).cast("string").alias("problem")), path).count()
+
+    from ..sources import objects as ob
+
+    path = kept(spark, "forms", [f"{sf_dir}/nation.parquet"], build)
+    return lo.form_by_name(ob.forms(ob.read_forms(spark, path)), "Catalog.C3", "Main").select("parent_type", "parent_name", "name", "title")
+
+
 @query("""
 SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN -1.0 ELSE o_totalprice END AS o_totalprice, o_orderstatus FROM orders WHERE o_orderpriority <> '5-LOW'
 UNION ALL SELECT o_orderkey + 1000000000, -1.0, 'N' FROM orders WHERE o_orderkey % 97 = 0

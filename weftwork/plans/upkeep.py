@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import findings as fd
 from ..operators import graph_upkeep as gu
 from ..operators import impact as im
 from ..operators import names as na
@@ -136,6 +137,17 @@ def layered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("layer", "doc_id", "source", "score", "rank")
 
 
+@query("""
+SELECT conv_id, turn AS number, len(string_split(text, chr(10)))::INT AS code_lines, len(list_filter(string_split(text, ' '), lambda w: w = 'the'))::INT AS failed_checks, length(role) AS edit_distance FROM conversations
+""")
+def iteration_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as tries of a task."""
+    c = table(spark, sf_dir, "conversations")
+    failed = F.filter(F.split("text", " "), lambda w: w == "the")
+    rows = c.select("conv_id", F.col("turn").alias("number"), F.col("text").alias("code"), failed.alias("failed_checks"), F.length("role").cast("long").alias("edit_distance_vs_prev"))
+    return fd.iteration_log(rows, ("conv_id",))
+
+
 _ROLE_SQL = "CASE user_id % 3 WHEN 0 THEN 'VALIDATOR' WHEN 1 THEN 'REVIEWER' ELSE 'CODER' END"
 _TOOL_SQL = "CASE event_type WHEN 'error' THEN 'kb.check_antipatterns' WHEN 'view' THEN 'bsl_ls.lint' ELSE 'kb.get_antipattern' END"
 

@@ -45,6 +45,22 @@ def methods(modules: DataFrame) -> DataFrame:
     return both.withColumn("end_line", F.coalesce(next_end, "start_line")).where("not is_end").drop("is_end")
 
 
+def module_records(modules: DataFrame) -> DataFrame:
+    """(path, ..., line_count, methods, regions): one row a module with its other columns but the text, its methods and its
+    regions (name, start_line, end_line, depth, parent) by line; empty lists where there are none. Only what was found is
+    shuffled."""
+    from ..operators.builders import regions
+    from ..operators.text import lines
+
+    own = methods(modules)
+    listed = own.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start_line", *[c for c in own.columns if c not in ("path", "start_line")]))).alias("methods"))
+    found = regions(lines(modules.select("path", "text"), "path", "text"), "path")
+    parts = found.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start_line", "end_line", "name", "depth", "parent"))).alias("regions"))
+    heads = modules.select(*[c for c in modules.columns if c != "text"], F.size(F.split("text", "\n", -1)).alias("line_count"))
+    both = heads.join(listed, "path", "left").join(parts, "path", "left")
+    return both.withColumns({"methods": F.coalesce("methods", F.array().cast(listed.schema["methods"].dataType)), "regions": F.coalesce("regions", F.array().cast(parts.schema["regions"].dataType))})
+
+
 def parameters(found: Column) -> Column:
     """array<struct(name, by_value, default_value, has_default)> of a method's head, such as `match` of its start: split
     at commas outside parentheses and double quotes; empty without parameters."""

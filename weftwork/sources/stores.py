@@ -6,9 +6,11 @@ import json
 import re
 from collections.abc import Iterable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.store import first_wins
 from ..scratch import remove
@@ -53,6 +55,41 @@ def load_index(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def save_json(df: DataFrame, path: str) -> None:
+    """Write an index as JSON files, an object a line, for readers that aren't Spark; nulls are written."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def load_json(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """An index from JSON files, by lines or as one array of objects a file; None if there is none. Lines or files that
+    are no objects are left out."""
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException:
+        return None
+    whole = text.where(F.ltrim("value").startswith("["))
+    lines = text.where(~F.ltrim("value").startswith("[")).select(F.explode(F.split("value", r"\r?\n")).alias("value")).where(F.ltrim("value").startswith("{"))
+    parsed = lines.select(F.from_json("value", schema).alias("r")).unionByName(whole.select(F.explode(F.from_json("value", f"array<struct<{_as_struct(schema)}>>")).alias("r")))
+    return parsed.where("r is not null").select("r.*")
+
+
+def _as_struct(schema: str) -> str:
+    return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in StructType.fromDDL(schema).fields)
+
+
+def present_paths(spark: SparkSession, named: dict[str, str]) -> DataFrame:
+    """(name, path, present): which of a catalogue's paths there are; a store that can't be asked counts as absent."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    rows = []
+    for name, path in named.items():
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        try:
+            rows.append((name, path, bool(p.getFileSystem(conf).exists(p))))
+        except Py4JJavaError:
+            rows.append((name, path, False))
+    return spark.createDataFrame(rows, "name string, path string, present boolean")
+
+
 def drop_index(spark: SparkSession, path: str) -> None:
     remove(spark, path)
 
