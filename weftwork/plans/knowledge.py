@@ -16,11 +16,12 @@ from ..operators import text as tx
 from ..scratch import kept, new_path
 from ..session import table
 from ..sources import archives as ar
+from ..sources import helpbook as hb
 from ..sources import metadata as md
 from ..sources import stores as so
 from ..sources import versioned as ve
 from ..sources import xml_repair as xr
-from .indexes import _M, _RULES_SQL, _modules, _objects, _rules
+from .indexes import _M, _RULES_SQL, _files, _modules, _objects, _rules, _zipped
 from .registry import RULES, _found_sql, query
 
 #: Words of `benchmark` from which rules are made.
@@ -195,6 +196,42 @@ def module_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mo.module_records(code).select("ref", "kind", "line_count", names, areas)
 
 
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_name AS n, (p_partkey % 5)::VARCHAR AS b FROM part)
+SELECT 'b' || b || '.hbk' AS book, CASE WHEN k % 2 = 0 THEN 'p' || k || '.html' ELSE 'page' || k END AS entry, n AS title FROM p
+""")
+def help_book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five books of the parts' pages, some without a suffix, with other files between them; two books have lost their
+    directory, so that their entries are found by their local headers."""
+    p = table(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("string")
+
+    def build(path: str) -> None:
+        name = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("p"), key, F.lit(".html"))).otherwise(F.concat(F.lit("page"), key))
+        page = F.struct(name.alias("name"), F.concat(F.lit("<html><title>"), "p_name", F.lit("</title></html>")).alias("text"))
+        other = F.struct(F.concat(F.lit("x"), key, F.lit(".txt")).alias("name"), F.lit("no page").alias("text"))
+        each = p.select((F.col("p_partkey") % 5).cast("int").alias("b"), F.explode(F.array(page, other)).alias("item"))
+        packed = _files(each.groupBy(F.concat(F.lit("b"), F.col("b").cast("string"), F.lit(".hbk")).alias("path")).agg(F.sort_array(F.collect_list("item")).alias("items")), _zipped)
+        whole = F.concat(F.unhex(F.lit("00" * 16)), "content")
+        cut = F.when(F.col("path").isin("b1.hbk", "b3.hbk"), F.substring(whole, F.lit(1), F.octet_length(whole) - 22)).otherwise(whole)
+        ar.unpack(packed.select(F.col("path").alias("entry"), cut.alias("content"), F.lit(None).cast("string").alias("problem")), path).count()
+
+    path = kept(spark, "books", [f"{sf_dir}/part.parquet"], build)
+    pages = hb.read_pages(spark, path)
+    return pages.select(F.element_at(F.split("path", "/"), -1).alias("book"), "entry", tx.page_title(F.col("html")).alias("title"))
+
+
+@query("SELECT 'R' || r_regionkey AS name, r_name AS synonym, 'c' || r_regionkey AS comment FROM region")
+def role_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import objects as ob
+
+    r = table(spark, sf_dir, "region")
+    key = F.col("r_regionkey").cast("string")
+    xml = F.concat(F.lit("<MetaDataObject><Role><Properties><Name>R"), key, F.lit("</Name><Synonym><item><content>"), "r_name", F.lit("</content></item></Synonym><Comment>c"), key, F.lit("</Comment></Properties></Role></MetaDataObject>"))
+    rows = r.select(F.lit("Role").alias("type"), F.concat(F.lit("R"), key).alias("name"), F.concat(F.lit("Roles/R"), key, F.lit(".xml")).alias("path"), xml.alias("xml"), F.lit(True).alias("well_formed"))
+    return ob.roles(rows).select("name", "synonym", "comment")
+
+
 @query(f"WITH {_M} SELECT 'objects' AS index, 4 * (SELECT count(*) FROM nation) AS rows UNION ALL SELECT 'modules', count(DISTINCT n) FROM m UNION ALL SELECT 'chunks', count(*) FROM m WHERE k % 3 <> 0")
 def dump_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Register the dump, build its indexes, and say how many rows some have."""
