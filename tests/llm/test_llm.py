@@ -774,3 +774,16 @@ def test_url_rules_are_native_and_many(spark):
         rule = f"{r.host[4:]}{r.path[:3]}"
         rule = rule if rule in known else None
         assert (r.rule, r.verdict) == (rule, known.get(rule, "allow"))
+
+
+def test_texts_of_megabytes_are_read_whole(spark):
+    """Media, quality rules and personal data over one text of 3 MB whose last words count."""
+    text = "word " * 600_000 + "mail me@example.org"
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    sizes = {r.doc_id: r.n_bytes for r in media.media_digests(docs).collect()}
+    assert sizes == {1: len(text), 2: 5}
+    rules = {r.doc_id: (r.n_words, r.n_repeat_words, r.base_failed) for r in quality.judge_quality(docs, labels).collect()}
+    assert rules == {1: (600_002, 600_000, True), 2: (1, 0, True)}
+    found = {r.doc_id: r.n_email for r in pii.find_personal_data(docs).collect()}
+    assert found == {1: 1, 2: 0}

@@ -173,7 +173,8 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, n_tokens, ids_sha256, decoded_sha256) after encoding each whole text and decoding the ids, in one pass.
 
     Digests are lowercase hex: of the decimal ids joined by one space, and of the decoded bytes. Rows as for
-    `encode_documents`.
+    `encode_documents`: an empty table gives none, and texts of any length are encoded whole, pre-token by pre-token, in
+    memory that grows with the one text.
     """
     shared, pattern = _model(docs, vocabulary, pattern)
     schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

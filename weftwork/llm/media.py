@@ -152,7 +152,10 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Sizes, digests and a feature string of each row's medium, without keeping the media; rows as for `to_media`."""
+    """Sizes, digests and a feature string of each row's medium, without keeping the media; rows as for `to_media`.
+
+    An empty table gives no rows; texts of any length are stored and read back whole, and transformed in blocks of frames.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     spec = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_peak_pairs long"
     return rows.mapInArrow(_run(_digest, _DIGEST), spec).withColumnRenamed("id", id_col)

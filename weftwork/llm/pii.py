@@ -239,7 +239,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) for each row of `docs`.
 
     Offsets are code points of the whole text, ends exclusive. Null texts count as empty and have no spans; repeated rows
-    and null ids stay; other columns are ignored; an empty table gives no rows.
+    and null ids stay; other columns are ignored; an empty table gives no rows. Texts of any length are read whole, in time that
+    grows with them; spans of one kind are leftmost and don't overlap.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     spec = "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"

@@ -236,8 +236,10 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, low_quality) for each row.
 
     Null texts have no words. `base_failed`: under 50 words, or over half of them inside 3-word runs that occur twice or
-    more. `kept` is false where that holds or `low_quality`, the calibrated probability, is above `reject_above`. Repeated
-    rows and null ids stay; other columns are ignored; without labels of both classes only the base rules reject.
+    more. `kept` is false where that holds or `low_quality`, the calibrated probability, is above `reject_above`; one that is
+    equal to it is kept. Texts of any length are read whole, some half a megabyte of short ones or one long one at a time.
+    Repeated rows and null ids stay; other columns are ignored; an empty table gives no rows; without labels of both classes
+    only the base rules reject.
     """
     # Broadcast: the weights, 256 KB whatever the corpus.
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, sample))

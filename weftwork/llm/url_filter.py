@@ -118,7 +118,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
 
     `rules` has `rule` (domain followed by a path prefix) and `action`, allow or block; rows with another action or a null are
     left out, and a rule that is listed with both blocks. A rule fits its domain and all subdomains where the path starts
-    with its own; the longest fitting rule gives the verdict, and urls without one get `default`. The listed rules are found
+    with its own; the longest fitting rule gives the verdict, of equally long ones that which is greater as text, and urls
+    without one get `default`. The listed rules are found
     through the cascade, or by joins where its filters would be larger than `most_bytes`; both give the same rows. Null urls
     and urls without `://` have an empty host and path. Repeated rows and null ids stay; other columns are ignored, whatever
     their names; without rules or pages the result has the same columns.

@@ -311,7 +311,8 @@ def read_archives(manifest: DataFrame, folder: str, with_payload: bool = True) -
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", **options) -> DataFrame:
     """Write `pages` into the shared folder and return one row for each record that is read back.
 
-    Rows with a null id have no record; rows that repeat an id have one each; other columns are ignored, whatever their
+    Rows with a null id have no record; rows that repeat an id have one each, of which with equal payloads any one is the
+    response if no smaller id has it; other columns are ignored, whatever their
     names; an empty table gives no rows. What could not be read is logged: the number of gaps and their bytes, and the first
     ones by file and offset; `read_archives` returns all of them.
     """
