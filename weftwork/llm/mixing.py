@@ -87,8 +87,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashed = sized.withColumn("h", F.xxhash64("id", F.lit(seed)))
     sources, total = source_targets(hashed, weights, budget, passes)
     line = running_total(hashed, [F.col("source").asc_nulls_last(), F.col("h"), F.col("id"), F.col("size")], {"size": "upto"})
+    # What holds for a source meets its rows by range and source, so that a source with many rows is spread as its ranges are.
     named = sources.withColumnRenamed("source", "of")
-    queued = line.join(named.hint("merge"), F.col("source").eqNullSafe(F.col("of"))).withColumn("upto", F.col("upto") - F.col("start"))
+    ranges = line.select(F.col("weft_part").alias("part"), F.col("source").alias("its")).distinct().join(named, F.col("its").eqNullSafe(F.col("of"))).drop("of")
+    queued = line.join(ranges.hint("merge"), (F.col("weft_part") == F.col("part")) & F.col("source").eqNullSafe(F.col("its"))).withColumn("upto", F.col("upto") - F.col("start"))
     queued = materialize(queued.select("id", "h", "size", "upto", "source_size", "weight", "target"), "queue")
     release(sized, sources, line)
 
