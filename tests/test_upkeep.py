@@ -140,6 +140,18 @@ def test_impact_estimates_equal_closures_on_small_graphs(spark):
     assert abs(n - 50_000) < 0.06 * 50_000
 
 
+def test_few_dependents_are_counted_exactly(spark):
+    # These two names fall on one cell of a sketch, so that a sketch counts one of them.
+    edges = [("order.2196111", "part"), ("order.2196113", "part"), ("part", "shop")]
+    edges += [(f"a{i}", "hundred") for i in range(100)] + [(f"b{i}", "more") for i in range(101)] + [("more", "behind")]
+    edges += [(f"c{i}", f"m{i % 3}") for i in range(120)] + [(f"m{i}", "joined") for i in range(3)]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    got = {r.node: r.impact for r in impact.impact_estimates(df, 10).collect()}
+    assert (got["part"], got["shop"], got["hundred"], got["m0"], got["c0"]) == (2, 3, 100, 40, 0)
+    assert min(got["more"], got["behind"], got["joined"]) > 100
+    assert impact.impact_estimates(df, 1).where("node = 'joined'").first().impact == 3
+
+
 def test_text_vectors_find_near_texts(spark, tmp_path):
     rng = random.Random(11)
     vocabulary = [f"слово{i}" for i in range(200)] + [f"term{i}" for i in range(200)]

@@ -1,4 +1,5 @@
-"""How many nodes depend on each node, for all nodes at once: distinct-count sketches passed along the edges in rounds."""
+"""How many nodes depend on each node, for all nodes at once: the nodes themselves while they are few, and distinct-count
+sketches beyond, passed along the edges in rounds."""
 
 from __future__ import annotations
 
@@ -10,32 +11,42 @@ from pyspark.sql import functions as F
 from ..scratch import materialize, release
 from .graph import closure
 
-#: Size of a sketch: 2^12 cells, 4 KB at most; small counts are exact, others have a standard error of about 1.6 %.
+#: Size of a sketch: 2^12 cells, 4 KB at most, with a standard error of about 1.6 %.
 LOG_CELLS = 12
+#: Up to so many dependents are counted exactly. Sketches can't: two names may fall on one cell however few there are.
+EXACT = 100
 
 
-def impact_estimates(edges: DataFrame, max_depth: int = 10, log_cells: int = LOG_CELLS) -> DataFrame:
+def impact_estimates(edges: DataFrame, max_depth: int = 10, log_cells: int = LOG_CELLS, exact: int = EXACT) -> DataFrame:
     """(node, impact, settled): how many nodes reach a node over at most `max_depth` edges, itself only where it is on a
-    cycle; `settled` is false if a further round could still add some. Written.
+    cycle; `settled` is false if a further round could still add some. Written. Numbers up to `exact` are right, and an
+    estimate is always beyond it.
 
-    A round joins the edges with the sketches of their sources and merges them by target, with partial merges before the
-    shuffle; one job a hop serves all nodes. Nodes on which nothing depends have 0; null ends lead nowhere.
+    A round joins the edges with what is known of their sources and merges it by target, with partial merges before the
+    shuffle; one job a hop serves all nodes. A node with more sources than `exact`, or behind one that has more dependents,
+    has more itself; it collects no names, so that no group has more than `exact` squared. Nodes on which nothing depends have
+    0; null ends lead nowhere.
     """
-    steps = materialize(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "edges")
+    pairs = materialize(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "edges")
+    wide = pairs.groupBy("dst").agg(F.count("*").alias("sources")).where(F.col("sources") > exact)
+    steps = materialize(pairs.join(wide, "dst", "left").select("src", "dst", F.col("sources").isNull().alias("narrow")), "edges")
+    release(pairs)
     nodes = steps.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    now = materialize(steps.groupBy("dst").agg(F.hll_sketch_agg("src", log_cells).alias("sketch")).withColumnRenamed("dst", "node"), "sketches")
+    few = F.when(F.bool_and("narrow"), F.collect_list(F.when(F.col("narrow"), F.col("src"))))
+    now = materialize(steps.groupBy(F.col("dst").alias("node")).agg(F.hll_sketch_agg("src", log_cells).alias("sketch"), few.alias("few")), "known")
     grows = True
     for _ in range(max_depth - 1):
-        passed = steps.join(now.select(F.col("node").alias("src"), "sketch"), "src").select(F.col("dst").alias("node"), "sketch")
-        merged = now.unionByName(passed).groupBy("node").agg(F.hll_union_agg("sketch").alias("sketch"))
-        ahead = materialize(merged, "sketches")
-        both = ahead.select("node", F.hll_sketch_estimate("sketch").alias("more")).join(now.select("node", F.hll_sketch_estimate("sketch").alias("less")), "node", "left")
-        grows = not both.where("less is null or more > less").isEmpty()
+        passed = steps.join(now.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "sketch", F.when(F.col("narrow"), F.col("few")).alias("few"))
+        merged = now.unionByName(passed).groupBy("node").agg(F.hll_union_agg("sketch").alias("sketch"), F.bool_and(F.col("few").isNotNull()).alias("all_few"), F.array_distinct(F.flatten(F.collect_list("few"))).alias("few"))
+        ahead = materialize(merged.select("node", "sketch", F.when(F.col("all_few") & (F.array_size("few") <= exact), F.col("few")).alias("few")), "known")
+        size = lambda name: F.struct(F.coalesce(F.array_size("few"), F.lit(exact + 1)).alias("names"), F.when(F.col("few").isNull(), F.hll_sketch_estimate("sketch")).alias("guess")).alias(name)
+        both = ahead.select("node", size("more")).join(now.select("node", size("less")), "node", "left")
+        grows = not both.where("less is null or more.names > less.names or more.guess > less.guess").isEmpty()
         release(now)
         now = ahead
         if not grows:
             break
-    counted = now.select("node", F.hll_sketch_estimate("sketch").alias("impact"))
+    counted = now.select("node", F.coalesce(F.array_size("few"), F.greatest(F.hll_sketch_estimate("sketch"), F.lit(exact + 1))).alias("impact"))
     out = materialize(nodes.join(counted, "node", "left").select("node", F.coalesce("impact", F.lit(0)).cast("long").alias("impact"), F.lit(not grows).alias("settled")), "impact")
     release(steps, now)
     return out
