@@ -144,6 +144,19 @@ def test_rule_table_equals_each_rule_alone(spark):
     assert "Python" not in plan(rule_table.detect_table(df, "id", "t", table))
 
 
+def test_rules_of_whole_words_meet_words_by_a_join(spark):
+    assert [rule_table.whole_word(p) for p in (r"\bFoo_1\b", r"\bfoo", r"foo\b", r"\bfo+\b", r"\ba b\b", r"(?i)\bfoo\b", r"\b\b", r"\bЖук\b", r"\bé\b", "(")] == ["foo_1", None, None, None, None, None, None, "жук", None, None]
+    patterns = [(r"\bfoo\b", "m"), (r"\bFOO\b", "mi"), (r"\bsk\b", "i"), (r"\bжук\b", "i"), (r"\bif\b", "i"), (r"\bss\b", "i"), (r"\ba_1\b", ""), (r"foo\d", "m"), (r"sk.x", "i"), (r"вод.", "i")]
+    texts = ["foo Foo\r\nxfoo foo-foo\nfoo_ foo", "ſK SK sk", "Жук жУк\u0301 (жук)", "İF if IF ıf", "ß ss SS", "a_1 a_1. a_12", "foo\u0301 foo\u00b2 foo1", "ſK-x ᲀᲂᲁа", "", None]
+    table = [rule_table.TableRule(f"r{i}", "antipattern", "critical", "c", "T", "", "", "", p, f) for i, (p, f) in enumerate(patterns)]
+    df = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (0, "foo")], "id int, t string")
+    got = sorted((r.id, r.rule_id, r.line, r.match) for r in rule_table.detect_table(df, "id", "t", table).collect())
+    want = [(x.id, r.rule_id, x.line, x.match) for r in table for x in rules.detect(df, "id", "t", [rules.Rule(r.rule_id, r.pattern, "critical", "c", r.flags)]).collect()]
+    assert got == sorted(want) and len(got) > 30
+    said = plan(rule_table.detect_table(df, "id", "t", table[:7]))
+    assert "hashpartitioning" not in said and "Window" not in said  # no text is searched once for each rule
+
+
 def test_rule_files_of_the_usual_form(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "s").mkdir()
