@@ -63,6 +63,21 @@ def test_text_index_equals_scans(spark, tmp_path):
         text_index.build_text_index(df.union(df.limit(1)), "id", "t", str(tmp_path / "u"))
 
 
+def test_text_index_shuffles_no_words(spark, tmp_path):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(f"d{i}", " ".join(f"w{rng.randrange(400)}" for _ in range(600))) for i in range(400)], "id string, t string").coalesce(2)
+    df.write.parquet(str(tmp_path / "d"))
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    written = lambda: sum(s.shuffleWriteRecords() for s in map(stages().apply, range(stages().size())))
+    before = written()
+    index = text_index.build_text_index(spark.read.parquet(str(tmp_path / "d")), "id", "t", str(tmp_path / "t"))
+    assert written() - before < 20_000  # of 125,000 postings: a block for each term, and the ids that are checked
+    assert index.texts == 400 and index.mean == 600
+    assert text_index.matching(spark, index, "w1 w2").count() == df.where("concat(' ', t, ' ') like '% w1 %' and concat(' ', t, ' ') like '% w2 %'").count()
+    none = text_index.build_text_index(df.where("false"), "id", "t", str(tmp_path / "n"))
+    assert (none.texts, none.mean) == (0, 0.0) and text_index.matching(spark, none, "w1").count() == 0
+
+
 def test_adjacency_equals_closures(spark, tmp_path):
     rng = random.Random(5)
     edges = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(90)] + [("hub", f"n{i}") for i in range(40)] + [("a", "b"), ("b", "a"), ("b", "b"), (None, "a"), ("a", None), ("a", "b")]

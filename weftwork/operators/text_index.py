@@ -7,33 +7,38 @@ when the index is built. Terms are the lower-cased runs of letters and digits.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import or_
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import materialize, release
 from .search import DIGITS, top_k
 
 BUCKETS = 64
+#: Terms that a task hands to Spark at once.
+BLOCKS = 4096
 SPLIT = r"[^\p{L}\p{N}]+"
 
 
 class TextIndex(NamedTuple):
-    """Where the index lies, its number of buckets, and the corpus' texts and mean number of words."""
+    """Where the index lies, its number of buckets, the corpus' texts and mean number of words, and the type of ids."""
 
     path: str
     id_col: str
     buckets: int
     texts: int
     mean: float
+    id_type: str
 
     def postings(self, spark: SparkSession, terms: Sequence[str]) -> DataFrame:
         """(id, term, tf, n, places) of some terms: how often each text has the term, its words, and the term's places."""
-        rows = spark.read.parquet(f"{self.path}/postings")
+        rows = spark.read.schema(f"term string, id {self.id_type}, tf int, n int, places array<int>, bucket int").parquet(f"{self.path}/postings")
         if not terms:
             return rows.drop("bucket").limit(0)
         # Constants, which Catalyst folds into a filter on folders.
@@ -55,29 +60,61 @@ def terms_of(query: str) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in query.lower()).split()
 
 
+def _lists(begins: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(begins, len(values)).astype(np.int32)), values)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each term of a batch of texts: the texts that have it, by id, their words, and its places in all of them
+    one after another, with the end of each text's part. Flat lists take less of a shuffle than lists of lists."""
+    for batch in batches:
+        ids, said = batch.column(0), batch.column(1)
+        sizes = pc.list_value_length(said).to_numpy(zero_copy_only=False).astype(np.int32)
+        words = pc.list_flatten(said).dictionary_encode()
+        codes = words.indices.to_numpy(zero_copy_only=False)
+        if not len(codes):
+            continue
+        order = np.argsort(codes, kind="stable")  # within a term by text and place, as they come
+        codes, text = codes[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+        place = (np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)[order]
+        begins = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (text[1:] != text[:-1])]))
+        own, held = codes[begins], text[begins]
+        heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        lists = [_lists(heads, ids.take(pa.array(held))), _lists(heads, pa.array(sizes[held])), _lists(heads, pa.array((np.append(begins[1:], len(order)) - np.repeat(begins[heads], np.diff(np.append(heads, len(own))))).astype(np.int32)))]
+        flat = _lists(begins[heads], pa.array(place))
+        out = pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(own[heads])), *lists, flat], names=["term", "ids", "ns", "ends", "flat"])
+        for at in range(0, out.num_rows, BLOCKS):
+            yield out.slice(at, BLOCKS)
+
+
 def build_text_index(df: DataFrame, id_col: str, text_col: str, path: str, buckets: int = BUCKETS) -> TextIndex:
     """Index all texts of `df` below `path`, a new folder. Ids have to be unique and not null, else it is a ValueError.
 
-    Postings are range-partitioned by bucket, term and id, so that a term that all texts have is spread over many files, and
-    sorted within them. Empty and null texts count in the corpus figures.
+    A text's postings are made where it is read, so that each is shuffled once, in blocks that hold a term's texts of one
+    batch; no text is. Blocks are range-partitioned by bucket, term and first id, so that a term that all texts have is
+    spread over many files, and postings sorted within them. Empty and null texts count in the corpus figures.
     """
     spark = df.sparkSession
-    split = materialize(df.select(F.col(id_col).alias("id"), words(text_col).alias("w")), "words")
-    texts, known, mean = split.agg(F.count("*"), F.count_distinct("id"), F.avg(F.size("w"))).first()
+    texts, known = df.agg(F.count("*"), F.count_distinct(id_col)).first()
     if texts != known:
         raise ValueError(f"{texts - known} texts have no id of their own")
-    each = split.select("id", F.size("w").alias("n"), F.posexplode("w").alias("place", "term"))
-    grouped = each.groupBy("id", "n", "term").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    rows = grouped.select(_bucket(F.col("term"), buckets).alias("bucket"), "term", "id", F.size("places").alias("tf"), "n", "places")
-    rows.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
-    release(split)
-    spark.createDataFrame([(id_col, buckets, texts, float(mean or 0.0))], "id_col string, buckets int, texts long, mean double").coalesce(1).write.parquet(f"{path}/corpus")
+    of = df.schema[id_col].dataType.simpleString()
+    blocks = df.select(F.col(id_col).alias("id"), words(text_col).alias("w")).mapInArrow(_blocks, f"term string, ids array<{of}>, ns array<int>, ends array<int>, flat array<int>")
+    placed = blocks.withColumns({"bucket": _bucket(F.col("term"), buckets), "first": F.col("ids")[0]}).repartitionByRange("bucket", "term", "first")
+    each = placed.select("bucket", "term", "ns", "ends", "flat", F.posexplode("ids").alias("at", "id"))
+    begin = F.when(F.col("at") == 0, F.lit(0)).otherwise(F.col("ends")[F.col("at") - 1])
+    tf = F.col("ends")[F.col("at")] - begin
+    rows = each.select("bucket", "term", "id", tf.alias("tf"), F.col("ns")[F.col("at")].alias("n"), F.slice("flat", begin + 1, tf).alias("places"))
+    rows = rows.sortWithinPartitions("bucket", "term", "id")
+    rows.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/postings")
+    said = spark.read.schema(rows.schema).parquet(f"{path}/postings").agg(F.sum("tf")).first()[0]
+    spark.createDataFrame([(id_col, buckets, texts, (said or 0) / max(1, texts), of)], "id_col string, buckets int, texts long, mean double, id_type string").coalesce(1).write.parquet(f"{path}/corpus")
     return open_text_index(spark, path)
 
 
 def open_text_index(spark: SparkSession, path: str) -> TextIndex:
     r = spark.read.parquet(f"{path}/corpus").first()
-    return TextIndex(path, r["id_col"], r["buckets"], r["texts"], r["mean"])
+    return TextIndex(path, r["id_col"], r["buckets"], r["texts"], r["mean"], r["id_type"])
 
 
 def matching(spark: SparkSession, index: TextIndex, query: str, every: bool = True) -> DataFrame:
