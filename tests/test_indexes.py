@@ -5,6 +5,7 @@ import re
 import time
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftwork import scratch
@@ -41,6 +42,25 @@ def test_vector_index_is_exact_and_prunes(spark, tmp_path):
     assert empty.lists == {}
 
 
+def test_neighbours_are_scored_one_by_one_only_where_they_can_be_near(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(f"v{i}", [rng.gauss(0, 1) for _ in range(6)]) for i in range(3000)]
+    rows += [(f"c{i}", rows[7][1]) for i in range(30)] + [("n", [None] + [1.0] * 5), ("z", [0.0] * 6), ("s", [2.0]), ("i", [float("inf")] * 6)]
+    df = spark.createDataFrame(rows, "id string, v array<double>")
+    index = vector_index.build_index(df, "id", "v", str(tmp_path / "i"), lists=2)
+    asked = df.where("id in ('v7', 'v8', 'v9', 'n', 'z', 'c3', 's')")
+    found = vector_index.index_neighbours(asked, index, 10, None)
+    got = {(r["query"], r["id"], r["rank"]): r["score"] for r in found.collect()}
+    a, b = asked.select(F.col("id").alias("query"), F.col("v").alias("asked")), df.select("id", F.col("v").alias("vector"))
+    size = search.norm(F.col("vector")) * search.norm(F.col("asked"))
+    dot = F.aggregate(F.zip_with("vector", "asked", lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+    w = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
+    brute = a.crossJoin(b).where("query <> id").withColumn("score", F.round(F.when(size > 0, dot / size).otherwise(F.lit(0.0)), 9)).withColumn("rank", F.row_number().over(w)).where("rank <= 10")
+    want = {(r["query"], r["id"], r["rank"]): r["score"] for r in brute.collect()}
+    assert got.keys() == want.keys() and str(sorted(got.items())) == str(sorted(want.items())) and len(got) == 70
+    assert "MapInArrow" in plan(found)  # pairs are compared in blocks
+
+
 def test_text_index_equals_scans(spark, tmp_path):
     rng = random.Random(4)
     words = ["альфа", "beta", "Gamma", "x1", "the", "the", "the"]
