@@ -505,6 +505,16 @@ def test_quality_rules_and_held_out_accuracy(spark, docs):
     assert quality.keep_good(docs, none).columns == docs.columns
 
 
+def test_quality_is_fitted_outside_of_the_driver(spark, docs, monkeypatch):
+    def here(*_):
+        raise AssertionError("the sample's features came to the driver")
+
+    monkeypatch.setattr(quality, "fit", here)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    assert model.weights.dtype == "float32" and model.weights.shape == (quality.DIMENSIONS,) and model.weights.any() and model.slope > 0
+
+
 def test_quality_odd_tables(spark, docs):
     """Empty tables, labels without documents, labels and documents that repeat an id, one class only."""
     rng = random.Random(6)

@@ -195,13 +195,30 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in (0, 1, 3)), pa.array(np.diff(ends)), *lists], names=["id", "low", "print", "n", "columns", "values"])
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of the rows (id, low, columns, values), in the order of their ids; none without rows."""
+    got = {}
+    for batch in batches:
+        low = batch.column(1).to_pylist()
+        for i, k in enumerate(batch.column(0).to_pylist()):
+            got[k] = (low[i], batch.column(2)[i].values.to_numpy().astype(np.uint16), batch.column(3)[i].values.to_numpy().copy())
+    ids = sorted(got)
+    if not ids:
+        return
+    held = mix(np.array(ids, np.int64).view(np.uint64)) % U(3) == 0
+    low = np.array([got[k][0] for k in ids])
+    batch = None
+    m = fit([got.pop(k)[1:] for k in ids], low, held)
+    yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), *(pa.array([x], pa.float64()) for x in m[1:])], names=["weights", "bias", "slope", "shift"])
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_A_CLASS, entries: int = ENTRIES_A_CLASS) -> Model:
     """Fit on at most `sample` labelled rows of each class, those with the smallest hashes of their ids, as far as they have
-    `entries` feature entries together (12 bytes each on the driver while they arrive, 10 in the fit).
+    `entries` feature entries together (12 bytes each in the task that fits while they arrive, 10 in the fit).
 
     A label of 0 is low quality; of labels that repeat an id the lowest counts, and of documents that repeat one the one
-    whose text has the smallest hash. Null labels and labelled ids without a document are ignored. The sample and its
-    features are all that comes to the driver.
+    whose text has the smallest hash. Null labels and labelled ids without a document are ignored. The sample's features
+    meet in one task of an executor; the model, 256 KB, is all that comes to the driver.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg((F.min(label_col) == 0).alias("low"))
     picked = None
@@ -215,18 +232,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sizes = rows.groupBy("id", "low").agg(F.min(F.struct("print", "n")).alias("one"))  # at most 2 * sample rows from here on
     upto = F.sum("one.n").over(Window.partitionBy("low").orderBy(F.xxhash64("id", F.lit(11)), "id"))
     wanted = sizes.withColumn("upto", upto).where(F.col("upto") <= entries).select("id", F.col("one.print").alias("print"))
-    got = {}
-    for r in rows.join(F.broadcast(wanted), ["id", "print"]).select("id", "low", "columns", "values").toArrow().to_batches():
-        ids, low = r.column(0).to_pylist(), r.column(1).to_pylist()
-        for i, k in enumerate(ids):  # equal rows of one id have equal features
-            got[k] = (low[i], r.column(2)[i].values.to_numpy().astype(np.uint16), r.column(3)[i].values.to_numpy().copy())
+    # Equal rows of one id have equal features; one task gets the sample, and the driver gets the model alone.
+    sampled = rows.join(F.broadcast(wanted), ["id", "print"]).select("id", "low", "columns", "values").dropDuplicates(["id"]).repartition(1)
+    made = sampled.mapInArrow(_fitted, "weights binary, bias double, slope double, shift double").first()
     release(rows)
-    ids = sorted(got)
-    if not ids:
+    if made is None:
         return Model(np.zeros(DIMENSIONS, np.float32), 0.0, 0.0, -40.0)
-    held = mix(np.array(ids, np.int64).view(np.uint64)) % U(3) == 0
-    low = np.array([got[k][0] for k in ids])
-    return fit([got.pop(k)[1:] for k in ids], low, held)
+    return Model(np.frombuffer(made.weights, np.float32), made.bias, made.slope, made.shift)
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
