@@ -1,6 +1,7 @@
 """Readers on files of our own."""
 
 import json
+import random
 import sqlite3
 import struct
 import zipfile
@@ -125,6 +126,73 @@ def test_help_book_with_directory_and_salvage(spark, tmp_path):
     assert list(helpbook.entries(b"")) == [] and list(helpbook.entries(b"PK\x03\x04short")) == []
 
 
+def test_large_help_books_are_read_by_runs(spark, tmp_path):
+    """The same pages by runs of entries and whole; a book of over 2 GB, which no binary value holds."""
+    import io
+
+    def book(n, **kw):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for i in range(n):
+                z.writestr(f"ж{i}" if i % 3 else f"p{i}.htm", f"<html>{i}" + "ab" * (i % 50) + "PK\x03\x04" * (i % 2), compress_type=zipfile.ZIP_STORED if i % 7 == 0 else zipfile.ZIP_DEFLATED)
+        return out.getvalue()
+
+    stream = io.BytesIO()
+    with zipfile.ZipFile(type("Pipe", (), {"write": stream.write, "flush": stream.flush})(), "w", zipfile.ZIP_DEFLATED) as z:  # sizes in data descriptors
+        for i in range(50):
+            z.writestr(f"a{i}.html", "<html>" + "".join(chr(97 + i * k % 26) for k in range(9000)) * 20)
+    full, piped = book(9000), stream.getvalue()
+    hurt = bytearray(full)
+    hurt[40:44] = b"\xff" * 4
+    wrong = bytearray(full)
+    wrong[full.rindex(b"PK\x01\x02")] = 0
+    books = {"full": full, "before": b"x" * 99 + full, "cut": b"x" + full[:-22], "hurt": bytes(hurt), "hurtcut": bytes(hurt[:-22]), "wrong": bytes(wrong), "piped": piped, "pipedcut": piped[:-22], "note": full[:-2] + b"\x03\0abc", "empty": book(0), "no": b"", "short": b"PK\x03\x04short"}
+    for name, data in books.items():
+        (tmp_path / f"{name} 1.hbk").write_bytes(data)
+    rows = lambda whole: sorted((r.path, r.entry, r.html) for r in helpbook.read_pages(spark, str(tmp_path), whole=whole).collect())
+    want = rows(1 << 30)
+    assert len(want) > 9000 * 5 and rows(-1) == want
+    both = [helpbook.read_pages(spark, str(tmp_path), "full*", whole=w).orderBy("pos").select("entry").collect() for w in (0, 1 << 30)]
+    assert both[0] == both[1]
+    (tmp_path / "far").mkdir()
+    with open(tmp_path / "far" / "far.hbk", "wb") as f:
+        f.seek((1 << 31) + (1 << 20))
+        f.write(full)
+    assert helpbook.read_pages(spark, str(tmp_path / "far")).count() == 9000
+
+
+def test_windows_of_help_books_are_small(tmp_path):
+    class File:
+        def __init__(self, data):
+            self.data, self.at, self.most = data, 0, 0
+
+        def seek(self, at):
+            self.at = at
+
+        def read(self, n):
+            self.most = max(self.most, n)
+            return self.data[self.at : self.at + n]
+
+    rng = random.Random(1)
+    data = _book(*((f"p{i}.html", f"<html>{rng.randbytes(800).hex()}") for i in range(3000))) * 3 + b"\0" * helpbook.WINDOW
+    assert len(data) > 4 * helpbook.WINDOW
+    file = File(data)
+    found = list(helpbook.salvaged(helpbook.View(file, len(data))))
+    assert found == list(helpbook.salvaged(data)) and len(found) == 9000 and file.most <= helpbook.WINDOW
+
+
+def test_packed_archives(spark, tmp_path):
+    rows = [(f"{k}.zip", f"{'ж' if i % 2 else 'n'}{i}", f"text {i} " * (i % 9), k == 0) for k in range(2) for i in range(500)]
+    files = spark.createDataFrame(rows, "archive string, entry string, content string, ended boolean").withColumn("content", F.encode("content", "UTF-8"))
+    out = {r.archive: r.bytes for r in archives.pack(files.repartition(5), f"file://{tmp_path}", before=b"abc").collect()}
+    assert out == {f"{k}.zip": (tmp_path / f"{k}.zip").stat().st_size for k in range(2)}
+    with zipfile.ZipFile(tmp_path / "0.zip") as z:
+        assert z.testzip() is None and {n: z.read(n).decode() for n in z.namelist()} == {e: t for a, e, t, _ in rows if a == "0.zip"}
+        assert z.namelist() == sorted(z.namelist())
+    whole, cut = ((tmp_path / f"{k}.zip").read_bytes() for k in range(2))
+    assert whole[:-22] == cut and len(list(helpbook.entries(cut))) == 500
+
+
 def test_registry_and_indexes(spark, tmp_path):
     import datetime
 

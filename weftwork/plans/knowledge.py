@@ -21,7 +21,7 @@ from ..sources import metadata as md
 from ..sources import stores as so
 from ..sources import versioned as ve
 from ..sources import xml_repair as xr
-from .indexes import _M, _RULES_SQL, _files, _modules, _objects, _rules, _zipped
+from .indexes import _M, _RULES_SQL, _modules, _objects, _rules
 from .registry import RULES, _found_sql, query
 
 #: Words of `benchmark` from which rules are made.
@@ -210,11 +210,10 @@ def help_book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         name = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("p"), key, F.lit(".html"))).otherwise(F.concat(F.lit("page"), key))
         page = F.struct(name.alias("name"), F.concat(F.lit("<html><title>"), "p_name", F.lit("</title></html>")).alias("text"))
         other = F.struct(F.concat(F.lit("x"), key, F.lit(".txt")).alias("name"), F.lit("no page").alias("text"))
-        each = p.select((F.col("p_partkey") % 5).cast("int").alias("b"), F.explode(F.array(page, other)).alias("item"))
-        packed = _files(each.groupBy(F.concat(F.lit("b"), F.col("b").cast("string"), F.lit(".hbk")).alias("path")).agg(F.sort_array(F.collect_list("item")).alias("items")), _zipped)
-        whole = F.concat(F.unhex(F.lit("00" * 16)), "content")
-        cut = F.when(F.col("path").isin("b1.hbk", "b3.hbk"), F.substring(whole, F.lit(1), F.octet_length(whole) - 22)).otherwise(whole)
-        ar.unpack(packed.select(F.col("path").alias("entry"), cut.alias("content"), F.lit(None).cast("string").alias("problem")), path).count()
+        book = F.concat(F.lit("b"), (F.col("p_partkey") % 5).cast("string"), F.lit(".hbk"))
+        each = p.select(book.alias("archive"), F.explode(F.array(page, other)).alias("item"))
+        files = each.select("archive", F.col("item.name").alias("entry"), F.encode("item.text", "UTF-8").alias("content"), (~F.col("archive").isin("b1.hbk", "b3.hbk")).alias("ended"))
+        ar.pack(files, path, before=bytes(16)).count()
 
     path = kept(spark, "books", [f"{sf_dir}/part.parquet"], build)
     pages = hb.read_pages(spark, path)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import struct
+import tempfile
 import uuid
 import zipfile
 import zlib
@@ -121,6 +123,84 @@ def unpack(rows: DataFrame, target: str) -> DataFrame:
     return materialize(good.mapInArrow(_write(target), "entry string, bytes long"), "unpacked")
 
 
+def _deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = []
+        for x in batch.column(2).to_pylist():
+            z = zlib.compressobj(wbits=-zlib.MAX_WBITS)
+            made.append((z.compress(x) + z.flush(), zlib.crc32(x), len(x)))
+        data, check, size = zip(*made, strict=True) if made else ((), (), ())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary()), pa.array(check, pa.int64()), pa.array(size, pa.int64()), batch.column(3)], names=["archive", "entry", "data", "crc", "size", "ended"])
+
+
+class _Archive:
+    """A ZIP archive that is written as its entries come; its directory waits in a file of the task."""
+
+    def __init__(self, store: pafs.FileSystem, path: str, before: bytes) -> None:
+        folder = path.rpartition("/")[0]
+        store.create_dir(folder, recursive=True)
+        self.store, self.path, self.part = store, path, f"{folder}/.{uuid.uuid4().hex}"
+        self.out, self.records = store.open_output_stream(self.part, buffer_size=1 << 20), tempfile.TemporaryFile()  # noqa: SIM115
+        self.out.write(before)
+        self.n, self.at, self.before = 0, 0, len(before)
+
+    def add(self, entry: str, data: bytes, crc: int, size: int) -> None:
+        name, flags = entry.encode(), 0 if entry.isascii() else 0x800
+        fields = (flags, zipfile.ZIP_DEFLATED, 0, 0x21, crc, len(data), size, len(name))
+        self.out.write(struct.pack("<4s5H3L2H", b"PK\x03\x04", 20, *fields, 0) + name + data)
+        far = struct.pack("<2HQ", 1, 8, self.at) if self.at >= 0xFFFFFFFF else b""
+        self.records.write(struct.pack("<4s6H3L5H2L", b"PK\x01\x02", 45 if far else 20, 45 if far else 20, *fields, len(far), 0, 0, 0, 0, min(self.at, 0xFFFFFFFF)) + name + far)
+        self.n, self.at = self.n + 1, self.at + 30 + len(name) + len(data)
+
+    def close(self, ended: bool) -> int:
+        size, offset, n = self.records.tell(), self.at, self.n
+        self.records.seek(0)
+        while block := self.records.read(1 << 20):
+            self.out.write(block)
+        self.records.close()
+        end = b""
+        if n >= 0xFFFF or max(size, offset) >= 0xFFFFFFFF:
+            end = struct.pack("<4sQ2H2L4Q4sLQL", b"PK\x06\x06", 44, 45, 45, 0, 0, n, n, size, offset, b"PK\x06\x07", 0, offset + size, 1)
+        if ended:
+            end += struct.pack("<4s4H2LH", b"PK\x05\x06", 0, 0, min(n, 0xFFFF), min(n, 0xFFFF), min(size, 0xFFFFFFFF), min(offset, 0xFFFFFFFF), 0)
+        self.out.write(end)
+        self.out.close()
+        self.store.move(self.part, self.path)
+        return self.before + offset + size + len(end)
+
+
+def _pack(target: str, before: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = pafs.FileSystem.from_uri(target)
+        name, ended, book, done = None, True, None, []
+        for batch in batches:
+            for archive, entry, data, crc, size, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if archive != name:
+                    if book:
+                        done.append((name, book.close(ended)))
+                    name, ended, book = archive, end, _Archive(store, f"{root}/{archive}", before)
+                book.add(entry, data, crc, size)
+        if book:
+            done.append((name, book.close(ended)))
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=["archive", "bytes"])
+
+    return run
+
+
+def pack(files: DataFrame, target: str, before: bytes = b"") -> DataFrame:
+    """Write (archive, entry, content, ended) as ZIP archives below `target` (an address of a store that pyarrow can open);
+    (archive, bytes) of what was written.
+
+    Entries are compressed by all tasks and stand in the order of their names; an archive is one file, so that one task writes
+    it, of which it holds one batch of entries. `before` comes first in each; without `ended`, one value for each archive,
+    its end record is left out.
+    """
+    made = files.select("archive", "entry", "content", "ended").mapInArrow(_deflated, "archive string, entry string, data binary, crc long, size long, ended boolean")
+    ordered = made.repartition("archive").sortWithinPartitions("archive", "entry", "data")
+    return materialize(ordered.mapInArrow(_pack(target, before), "archive string, bytes long"), "packed")
+
+
 def add_archive(spark: SparkSession, registry: str, archive: str, target: str, name: str, version: str, root_file: str | None = ROOT_FILE) -> int:
     """Unpack an archive into `target`, in place of what lies there, register it, and give the number of its files.
 
